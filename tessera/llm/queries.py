@@ -5,15 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontamination import decontaminate
+from .language import score_languages, train_language_model
 from .packing import pack_documents
-from .shared import fresh_path, table
+from .quality import score_quality, train_quality_model
+from .shared import fresh_path, remainder, table
 from .token_counts import count_tokens
 from .token_files import read_token_files, write_token_files
+from .toxicity import score_toxicity, train_toxicity
 
 #: Documents of more tokens than this don't fit one context.
 TOKEN_LIMIT = 512
 END_ID = 1
 CAPACITY = 2048
+#: From this score on a document is of the class.
+LIKELY = 0.7
 
 
 def _vocabulary(name: str) -> str:
@@ -22,11 +28,39 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _held_out(n: int, which: int):
+    return (remainder(F.col("doc_id"), n) == which).alias("held_out")
+
+
+def _labelled(spark: SparkSession, sf_dir: str, label: str, n: int, held_out: int) -> DataFrame:
+    """Texts with labels to learn from. Rows of one id that repeat carry each of its labels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", label)
+    return docs.where(remainder(F.col("doc_id"), n) != held_out).join(labels.where(remainder(F.col("doc_id"), n) != held_out), "doc_id")
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = train_quality_model(_labelled(spark, sf_dir, "quality", 4, 2))
+    scored = score_quality(table(spark, sf_dir, "documents"), model, "doc_id", "text", _held_out(4, 2))
+    return scored.withColumn("predicted", (F.col("score") >= LIKELY).cast("int"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = count_tokens(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    trees = train_language_model(docs.where(remainder(F.col("doc_id"), 4) != 2))
+    return score_languages(docs, trees, "doc_id", "text", _held_out(4, 2))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("items", "spans")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), END_ID, CAPACITY)
 
@@ -37,4 +71,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op6_packing, op7_token_files)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lexicon = train_toxicity(_labelled(spark, sf_dir, "toxic", 3, 1))
+    scored = score_toxicity(table(spark, sf_dir, "documents"), lexicon, "doc_id", "text", _held_out(3, 1))
+    return scored.withColumn("predicted", (F.col("score") >= LIKELY).cast("int"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_token_counts, op4_language, op5_decontamination, op6_packing, op7_token_files, op10_toxicity)}
