@@ -17,13 +17,14 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 
 #: Bytes of distinct pieces that one call of the library gets.
 BATCH_BYTES = 1 << 20
 #: Pieces in a generation of a worker's memory, which holds two; bounds its memory, not the result.
-MEMORY_PIECES = 400_000
+MEMORY_PIECES = 800_000
 #: Longest run of characters that is taken apart at once.
 RUN_CHARS = 1 << 20
 
@@ -82,7 +83,7 @@ class PieceCodec:
             self.rule = _rule(spec)
         self._inner = Memory()
         self._first = Memory()
-        self._words = Memory()
+        self._atoms = Memory()
 
     def _values(self, batch: list[str]) -> list:
         encoded = self._library(batch)
@@ -106,18 +107,14 @@ class PieceCodec:
         if prefix:
             # A piece that is empty or has white space at an end marks a boundary that is not safe.
             odd = {p for p in new if not p or p[0].isspace() or p[-1].isspace()}
-            memory.young.update(dict.fromkeys(odd))
-            new = [p for p in new if p not in odd]
-        # Letters followed by signs are two tokens' worth of text at least: each part is looked up by itself.
-        parts = {p: (w, p[len(w) :]) for p in new if (w := p.rstrip(_TAIL)) != p and w.isalpha() and w.lower().isalpha() and ord(max(w)) < 0x250}
-        needed = {p for p in new if p not in parts}
-        if parts:
-            words = self._words.missing({prefix + w for w, _ in parts.values()} | {t for _, t in parts.values()})
-            self._words.young.update(zip(words, self._encode(words), strict=True))
-            known = self._words.young
-            memory.young.update((p, known[prefix + w] + known[t]) for p, (w, t) in parts.items())
-        rest = list(needed)
-        memory.young.update(zip(rest, self._encode([prefix + p for p in rest]), strict=True))
+            if odd:
+                memory.young.update(dict.fromkeys(odd))
+                new = [p for p in new if p not in odd]
+        parts = [_atoms(p, prefix) for p in new]
+        unknown = self._atoms.missing(set(chain.from_iterable(parts)))
+        self._atoms.young.update(zip(unknown, self._encode(unknown), strict=True))
+        get, join = self._atoms.young.__getitem__, b"".join if self.with_ids else sum
+        memory.young.update((p, get(a[0]) if len(a) == 1 else join(map(get, a))) for p, a in zip(new, parts, strict=True))
 
     def answers(self, texts: Sequence[str]) -> list:
         join: Callable = b"".join if self.with_ids else sum
@@ -178,6 +175,23 @@ class PieceCodec:
         return out
 
 
+def _atoms(piece: str, prefix: str) -> list[str]:
+    """Parts of a piece that the library encodes alike alone: words, the signs after them, single line feeds."""
+    lines = piece.split("\n")
+    if not all(line and not line[0].isspace() and not line[-1].isspace() for line in lines):
+        return [prefix + piece]
+    out = []
+    for i, line in enumerate(lines):
+        if i:
+            out.append("\n")
+        word = line.rstrip(_TAIL)
+        if word != line and word.isalpha() and word.lower().isalpha() and ord(max(word)) < 0x250:
+            out += [word if i else prefix + word, line[len(word) :]]
+        else:
+            out.append(line if i else prefix + line)
+    return out
+
+
 def _rule(spec: dict) -> str:
     added = spec.get("added_tokens") or []
     if any(re.search(r"\s", a["content"]) or a["lstrip"] or a["rstrip"] or a["single_word"] for a in added):

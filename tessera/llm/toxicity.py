@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import math
 import unicodedata
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import ahocorasick
@@ -31,8 +31,8 @@ from .shared import null_to_empty, rate_of
 
 TRAIN_DOCS = 2_000
 TRAIN_TEXT_BYTES = 1 << 16
-#: An entry occurs in so many toxic texts at least, and its odds are so many times those in other texts.
-LEAST_TEXTS, LEAST_LOG_ODDS = 6, 3.0
+#: An entry follows so many different words in toxic texts at least (copies of one text don't make a word toxic), and has these log odds.
+LEAST_PLACES, LEAST_LOG_ODDS = 5, 3.0
 BEGINNINGS = (4, 5, 6)
 
 # Digits and signs written for letters; Cyrillic and Greek letters by the Latin ones they look like.
@@ -112,11 +112,17 @@ def learn_lexicon(texts: list[tuple[str, int]], prior: float | None = None) -> L
     n = Counter(y for _, y in folded)
     if not n[0] or not n[1]:
         return Lexicon({})
-    counts = {0: Counter(), 1: Counter()}
+    others: Counter[str] = Counter()
+    before: dict[str, set[str]] = defaultdict(set)
     for words, y in folded:
-        counts[y].update(_entries(set(words)))
-    odds = lambda e: math.log((counts[1][e] + 0.5) / (n[1] + 1)) - math.log((counts[0][e] + 0.5) / (n[0] + 1))
-    good = {e: odds(e) for e, a in counts[1].items() if a >= LEAST_TEXTS and odds(e) >= LEAST_LOG_ODDS}
+        if not y:
+            others.update(_entries(set(words)))
+        else:
+            for a, b in zip(["", *words], words, strict=False):
+                for e in _entries({b}):
+                    before[e].add(a)
+    places = {e: len(a) for e, a in before.items() if len(a) >= LEAST_PLACES}
+    good = {e: w for e, a in places.items() if (w := math.log((min(a, n[1]) + 0.5) / (n[1] + 1)) - math.log((others[e] + 0.5) / (n[0] + 1))) >= LEAST_LOG_ODDS}
     entries: dict[str, float] = {}
     # Shortest first: a longer entry is left out unless it is clearly heavier than the beginning it extends.
     for e in sorted(good, key=lambda e: (len(e), e)):
@@ -124,7 +130,7 @@ def learn_lexicon(texts: list[tuple[str, int]], prior: float | None = None) -> L
         if not shorter or good[e] > max(shorter) + 2:
             entries[e] = good[e]
     phrases = {0: Counter(), 1: Counter()}
-    risky = {e.strip() for e in entries if counts[0][e]}
+    risky = {e.strip() for e in entries if others[e]}
     for words, y in folded:
         phrases[y].update({f"{a} {b}" for a, b in zip(words, words[1:], strict=False) if a in risky or b in risky})
     exceptions = sorted(p for p, c in phrases[0].items() if c >= 3 and not phrases[1][p])
