@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .decontamination import decontaminate
 from .language import score_languages, train_language_model
+from .near_duplicates import link_near_duplicates
 from .packing import pack_documents
 from .quality import score_quality, train_quality_model
 from .shared import fresh_path, remainder, table
@@ -50,6 +51,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_near_duplicates(table(spark, sf_dir, "documents"), shingle=3, similarity=0.85).drop("class")
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     trees = train_language_model(docs.where(remainder(F.col("doc_id"), 4) != 2))
@@ -77,4 +82,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= LIKELY).cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_token_counts, op4_language, op5_decontamination, op6_packing, op7_token_files, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_token_counts, op3_near_duplicates, op4_language, op5_decontamination, op6_packing, op7_token_files, op10_toxicity)}
