@@ -14,6 +14,7 @@ from .shared import fresh_path, remainder, table
 from .token_counts import count_tokens
 from .token_files import read_token_files, write_token_files
 from .toxicity import score_toxicity, train_toxicity
+from .vector_duplicates import link_vectors
 
 #: Documents of more tokens than this don't fit one context.
 TOKEN_LIMIT = 512
@@ -76,10 +77,14 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path)
 
 
+def op9_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     lexicon = train_toxicity(_labelled(spark, sf_dir, "toxic", 3, 1))
     scored = score_toxicity(table(spark, sf_dir, "documents"), lexicon, "doc_id", "text", _held_out(3, 1))
     return scored.withColumn("predicted", (F.col("score") >= LIKELY).cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_token_counts, op3_near_duplicates, op4_language, op5_decontamination, op6_packing, op7_token_files, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_token_counts, op3_near_duplicates, op4_language, op5_decontamination, op6_packing, op7_token_files, op9_vector_duplicates, op10_toxicity)}
