@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .decontamination import decontaminate
 from .language import score_languages, train_language_model
+from .language_model import score_texts
 from .near_duplicates import link_near_duplicates
 from .packing import pack_documents
 from .quality import score_quality, train_quality_model
@@ -77,6 +78,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path)
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op9_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)
 
@@ -87,4 +92,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= LIKELY).cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_token_counts, op3_near_duplicates, op4_language, op5_decontamination, op6_packing, op7_token_files, op9_vector_duplicates, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_token_counts, op3_near_duplicates, op4_language, op5_decontamination, op6_packing, op7_token_files, op8_language_model, op9_vector_duplicates, op10_toxicity)}
