@@ -25,7 +25,7 @@ CAPACITY = 2048
 LIKELY = 0.7
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -35,11 +35,14 @@ def _held_out(n: int, which: int):
     return (remainder(F.col("doc_id"), n) == which).alias("held_out")
 
 
-def _labelled(spark: SparkSession, sf_dir: str, label: str, n: int, held_out: int) -> DataFrame:
+def labelled(docs: DataFrame, labels: DataFrame, label: str, n: int, held_out: int) -> DataFrame:
     """Texts with labels to learn from. Rows of one id that repeat carry each of its labels."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").select("doc_id", label)
-    return docs.where(remainder(F.col("doc_id"), n) != held_out).join(labels.where(remainder(F.col("doc_id"), n) != held_out), "doc_id")
+    learned = remainder(F.col("doc_id"), n) != held_out
+    return docs.select("doc_id", "text").where(learned).join(labels.select("doc_id", label).where(learned), "doc_id")
+
+
+def _labelled(spark: SparkSession, sf_dir: str, label: str, n: int, held_out: int) -> DataFrame:
+    return labelled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), label, n, held_out)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +52,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = count_tokens(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+    counts = count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
@@ -69,12 +72,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), END_ID, CAPACITY)
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), END_ID, CAPACITY)
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "token-files")
-    write_token_files(table(spark, sf_dir, "documents"), path, _vocabulary("word_bpe_49k.json"), END_ID)
+    write_token_files(table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"), END_ID)
     return read_token_files(spark, path)
 
 
