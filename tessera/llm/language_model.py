@@ -82,7 +82,7 @@ def _blocks(kind: str):
                     split = text.encode("utf-8", "surrogatepass").lower().split()
                     if len(known) > MEMORY_WORDS:
                         known = {}
-                    known.update((w, xxhash.xxh3_64_intdigest(w) & ~1) for w in set(split) - known.keys())
+                    known.update((w, xxhash.xxh3_64_intdigest(w) & ~1) for w in set(split) if w not in known)
                     parts.append(np.fromiter(map(known.__getitem__, split), np.uint64, len(split)))
                     parts.append(np.array([_END], np.uint64))
                     lengths.append(len(split) + 1)

@@ -64,7 +64,7 @@ class Shingler:
             words = text.encode("utf-8", "surrogatepass").lower().split()
             if len(self.known) > MEMORY_WORDS:
                 self.known = {}
-            self.known.update((w, xxhash.xxh3_64_intdigest(w)) for w in set(words) - self.known.keys())
+            self.known.update((w, xxhash.xxh3_64_intdigest(w)) for w in set(words) if w not in self.known)
             h = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
             k = min(self.size, len(h))
             if not k:
