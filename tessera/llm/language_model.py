@@ -34,8 +34,8 @@ from .shared import materialize, null_to_empty, remainder, slices
 
 FOLDS, HELD_OUT, DELETED = 10, 0, 1
 #: N-grams that a range holds at a time, about.
-RANGE_GRAMS = 2_000_000
-MEMORY_WORDS = 400_000
+RANGE_GRAMS = 1_000_000
+MEMORY_WORDS = 150_000
 CONTEXT_BUCKETS = 24
 #: Steps of probability per octave in the EM histogram, and octaves down to its floor.
 STEPS, OCTAVES = 4, 30
@@ -56,18 +56,29 @@ def _open(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(raw.T).view(kind).ravel()
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """One at a time: rows are large."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def _grams(words: np.ndarray, tokens: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sorted keys of all n-grams of a block, and per token the places of its word, its context and its bigram.
 
     words: sorted keys of words (even); tokens: places in it. Bigrams and the context of first tokens have odd keys."""
     word = words[tokens]
+    starts = np.cumsum(lengths) - lengths
     context = np.empty_like(word)
     context[1:] = word[:-1]
-    if len(context):
-        context[np.cumsum(lengths) - lengths] = _START
-    pair = mix(mix(context + _ONE) * np.uint64(3) + word) | _ONE
-    keys = np.unique(np.concatenate([words, pair, np.array([_START], np.uint64)]))
-    return keys, np.searchsorted(keys, word), np.searchsorted(keys, context), np.searchsorted(keys, pair)
+    context[starts] = _START
+    pairs, which = np.unique(mix(mix(context + _ONE) * np.uint64(3) + word) | _ONE, return_inverse=True)
+    del word, context
+    keys = np.unique(np.concatenate([words, pairs, np.array([_START], np.uint64)]))
+    at_word = np.searchsorted(keys, words)[tokens]
+    at_context = np.empty_like(at_word)
+    at_context[1:] = at_word[:-1]
+    at_context[starts] = np.searchsorted(keys, _START)
+    return keys, at_word, at_context, np.searchsorted(keys, pairs)[which.ravel()]
 
 
 def _blocks(kind: str):
@@ -100,7 +111,7 @@ def _asked(ranges: int):
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 lengths, folds = np.array(row["lengths"]), np.array(row["folds"])
                 keys, word, context, pair = _grams(_open(row["words"], np.uint64), _open(row["tokens"], np.uint32), lengths)
                 fold = np.repeat(folds, lengths)
@@ -187,7 +198,7 @@ def _resolved(fit_total: int):
         own, parts, id_type = None, [], None
         for batch in batches:
             id_type = batch.schema.field("ids").type.value_type
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 if row["range"] < 0:
                     if own:
                         yield out(own, parts)
@@ -223,7 +234,7 @@ def learn_weights(cells: dict[int, int], uniform: float) -> np.ndarray:
 def _scored(total: int, distinct: int, weights: np.ndarray, kind: str):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 w, c, p = (_open(row[n], np.uint64).astype(float) for n in ("word", "context", "pair"))
                 starts = np.cumsum(row["lengths"]) - row["lengths"]
                 base = np.log10((w + 0.1) / (total + 0.1 * (distinct + 1)))
