@@ -15,8 +15,8 @@ from tessera.llm.language import UNDETERMINED, score_languages, train_language_m
 from tessera.llm.near_duplicates import link_near_duplicates
 from tessera.llm.packing import pack_documents
 from tessera.llm.quality import score_quality, train_quality_model
-from tessera.llm.queries import CAPACITY, END_ID, labelled, vocabulary
-from tessera.llm.shared import materialize, remainder, table
+from tessera.llm.queries import CAPACITY, END_ID, learned, vocabulary
+from tessera.llm.shared import materialize, table
 
 #: Share of the winning language from which a document is of that language.
 LEAST_LANGUAGE = 0.5
@@ -30,13 +30,13 @@ def _boxed(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    trees = train_language_model(docs.where(remainder(F.col("doc_id"), 4) != 2))
+    trees = train_language_model(learned(docs, 4, 2))
     found = score_languages(_boxed(docs), trees, "row", "text")
     return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE)).select("row.*")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = train_quality_model(labelled(docs, table(spark, sf_dir, "labels"), "quality", 4, 2))
+    model = train_quality_model(learned(docs, 4, 2), labels=learned(table(spark, sf_dir, "labels"), 4, 2))
     return score_quality(_boxed(docs), model, "row", "text").where(F.col("score") >= LEAST_QUALITY).select("row.*")
 
 

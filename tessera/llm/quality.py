@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import null_to_empty, rate_of, slices
+from .shared import labelled_sample, null_to_empty, slices
 
 BUCKETS = 1 << 15
 GRAMS = (3, 5)
@@ -109,14 +109,11 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], prior: float) -> Quality
     return QualityModel(vectors @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0]) + logit(prior) - logit(share))
 
 
-def train_quality_model(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_docs: int = TRAIN_DOCS) -> QualityModel:
-    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("int").alias("label"))
-    rows = rows.where("label in (0, 1) and text is not null").where(F.octet_length("text") <= TRAIN_TEXT_BYTES)
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    if not counts:
+def train_quality_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_docs: int = TRAIN_DOCS, labels: DataFrame | None = None) -> QualityModel:
+    """labels: a table of (id_col, label_col), where docs don't hold the label themselves."""
+    sample, counts = labelled_sample(docs, labels, id_col, text_col, label_col, train_docs, TRAIN_TEXT_BYTES, "quality")
+    if sample is None:
         return QualityModel(np.zeros(BUCKETS), 0.0)
-    rates = F.create_map(*(x for label, n in counts.items() for x in (F.lit(label), F.lit(min(1.0, train_docs / n)))))
-    sample = rows.where(rate_of(F.col("id"), "quality") < rates[F.col("label")]).select("text", "label")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -35,19 +35,15 @@ def _held_out(n: int, which: int):
     return (remainder(F.col("doc_id"), n) == which).alias("held_out")
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, n: int, held_out: int) -> DataFrame:
-    """Texts with labels to learn from. Rows of one id that repeat carry each of its labels."""
-    learned = remainder(F.col("doc_id"), n) != held_out
-    return docs.select("doc_id", "text").where(learned).join(labels.select("doc_id", label).where(learned), "doc_id")
-
-
-def _labelled(spark: SparkSession, sf_dir: str, label: str, n: int, held_out: int) -> DataFrame:
-    return labelled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), label, n, held_out)
+def learned(rows: DataFrame, n: int, held_out: int) -> DataFrame:
+    """Documents or labels outside the fold that is held out."""
+    return rows.where(remainder(F.col("doc_id"), n) != held_out)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = train_quality_model(_labelled(spark, sf_dir, "quality", 4, 2))
-    scored = score_quality(table(spark, sf_dir, "documents"), model, "doc_id", "text", _held_out(4, 2))
+    docs = table(spark, sf_dir, "documents")
+    model = train_quality_model(learned(docs, 4, 2), labels=learned(table(spark, sf_dir, "labels"), 4, 2))
+    scored = score_quality(docs, model, "doc_id", "text", _held_out(4, 2))
     return scored.withColumn("predicted", (F.col("score") >= LIKELY).cast("int"))
 
 
@@ -62,7 +58,7 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    trees = train_language_model(docs.where(remainder(F.col("doc_id"), 4) != 2))
+    trees = train_language_model(learned(docs, 4, 2))
     return score_languages(docs, trees, "doc_id", "text", _held_out(4, 2))
 
 
@@ -90,8 +86,9 @@ def op9_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lexicon = train_toxicity(_labelled(spark, sf_dir, "toxic", 3, 1))
-    scored = score_toxicity(table(spark, sf_dir, "documents"), lexicon, "doc_id", "text", _held_out(3, 1))
+    docs = table(spark, sf_dir, "documents")
+    lexicon = train_toxicity(learned(docs, 3, 1), labels=learned(table(spark, sf_dir, "labels"), 3, 1))
+    scored = score_toxicity(docs, lexicon, "doc_id", "text", _held_out(3, 1))
     return scored.withColumn("predicted", (F.col("score") >= LIKELY).cast("int"))
 
 

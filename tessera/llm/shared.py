@@ -48,6 +48,23 @@ def rate_of(key: Column, salt: str) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame | None, id_col: str, text_col: str, label_col: str, per_class: int, most_bytes: int, salt: str) -> tuple[DataFrame | None, dict[int, int]]:
+    """Rows (text, label) of about `per_class` ids a class, drawn by a hash of the id, and the labels by class.
+
+    labels: where they lie in a table of their own. They are drawn before they meet any text, so that what
+    is broadcast is bounded by `per_class` and texts stay where they are read. Null texts and texts of over
+    `most_bytes` are left out; of rows that repeat an id, one is taken; without labels the sample is None.
+    """
+    marks = (docs if labels is None else labels).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
+    counts = {r["label"]: r["count"] for r in marks.groupBy("label").count().collect()}
+    if not counts:
+        return None, counts
+    rates = F.create_map(*(x for label, n in counts.items() for x in (F.lit(label), F.lit(min(1.0, per_class / n)))))
+    drawn = marks.where(rate_of(F.col("id"), salt) < rates[F.col("label")]).distinct()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.octet_length("text") <= most_bytes)
+    return texts.join(F.broadcast(drawn), "id").groupBy("id", "label").agg(F.min("text").alias("text")).select("text", "label"), counts
+
+
 def slices(texts: Sequence[str], limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Index ranges of about `limit` characters, one text at least."""
     start, size = 0, 0

@@ -18,8 +18,10 @@ from __future__ import annotations
 
 import math
 import unicodedata
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import null_to_empty, rate_of
+from .shared import labelled_sample, null_to_empty
 
 TRAIN_DOCS = 2_000
 TRAIN_TEXT_BYTES = 1 << 16
@@ -94,7 +96,10 @@ class Lexicon:
                 excepted.append((start, end))
             elif weight > hits.get(start, (0.0, 0))[0]:
                 hits[start] = weight, end
-        total = sum(w for start, (w, end) in hits.items() if not any(a <= start and end <= b for a, b in excepted))
+        # A match lies in an exception if, of those that start no later, one reaches its end.
+        excepted.sort()
+        starts, reach = [a for a, _ in excepted], [0, *accumulate((b for _, b in excepted), max)]
+        total = sum(w for start, (w, end) in hits.items() if reach[bisect_right(starts, start)] < end)
         return math.log1p(total), 100 * total / len(words)
 
     def score(self, features: tuple[float, float]) -> float:
@@ -158,14 +163,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
     return w
 
 
-def train_toxicity(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_docs: int = TRAIN_DOCS) -> Lexicon:
-    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("int").alias("label"))
-    rows = rows.where("label in (0, 1) and text is not null").where(F.octet_length("text") <= TRAIN_TEXT_BYTES)
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    if len(counts) < 2:
+def train_toxicity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_docs: int = TRAIN_DOCS, labels: DataFrame | None = None) -> Lexicon:
+    """labels: a table of (id_col, label_col), where docs don't hold the label themselves."""
+    sample, counts = labelled_sample(docs, labels, id_col, text_col, label_col, train_docs, TRAIN_TEXT_BYTES, "toxicity")
+    if sample is None or len(counts) < 2:
         return Lexicon({})
-    rates = F.create_map(*(x for label, n in counts.items() for x in (F.lit(label), F.lit(min(1.0, train_docs / n)))))
-    sample = rows.where(rate_of(F.col("id"), "toxicity") < rates[F.col("label")]).select("text", "label")
     return learn_lexicon([(r["text"], r["label"]) for r in sample.toLocalIterator()], counts[1] / sum(counts.values()))
 
 
