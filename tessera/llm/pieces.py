@@ -24,7 +24,7 @@ import numpy as np
 #: Bytes of distinct pieces that one call of the library gets.
 BATCH_BYTES = 1 << 20
 #: Pieces in a generation of a worker's memory, which holds two; bounds its memory, not the result.
-MEMORY_PIECES = 800_000
+MEMORY_PIECES = 300_000
 #: Longest run of characters that is taken apart at once.
 RUN_CHARS = 1 << 20
 
