@@ -5,7 +5,9 @@ the number of copies. In each of TREES independent trees a class follows the pat
 is in chooses for it: a node names one of the minwise tokens, and classes that agree on it go on
 together. Nodes that hold at most SMALL classes are compared exhaustively; larger ones branch
 again, each class into CHILDREN children, and what is still large then is dealt into salted blocks
-(other blocks in every tree, so that a group which one tree parts is joined by the next).
+(other blocks in every tree, so that a group which one tree parts is joined by the next). Members of
+a dealt node that then aren't in its largest component meet all its blocks, on full sets, so that the
+blocks lose no link that the whole node would have found.
 
 A comparison within a node works on 128-byte sketches and gives a maximum spanning forest over all
 pairs that may reach the threshold, so a group of n costs n - 1 links and never all its pairs. Links
@@ -252,24 +254,45 @@ def _exhaustive(percent: int):
 
 
 def _nodes(classes: DataFrame, small: int) -> DataFrame:
-    """Rows (node, class, n, sign): the nodes that are compared."""
+    """Rows (node, class, dealt): the nodes that are compared; dealt is the node whose block this one is, else null."""
     step = 1 + CHILDREN
     trees = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.slice("nodes", t * step + 1, step).alias("path")))
     rows = classes.select("class", "n", F.explode(trees).alias("t")).select("class", "n", "t.tree", F.col("t.path")[0].alias("node"), "t.path")
     large = rows.groupBy("node").count().where(F.col("count") > small).select("node", F.lit(True).alias("large"))
     rows = rows.join(large, "node", "left")
-    first = rows.where("large is null").select("node", "class")
+    first = rows.where("large is null").select("node", "class", F.lit(None).cast("long").alias("dealt"))
     deeper = rows.where("large").select("class", "tree", F.explode(F.slice("path", 2, CHILDREN)).alias("node"))
     blocks = deeper.groupBy("node").count().select("node", F.ceil(F.col("count") / small).alias("blocks"))
-    dealt = F.when(F.col("blocks") > 1, F.xxhash64("node", F.pmod(F.xxhash64("class", "tree"), F.col("blocks")))).otherwise(F.col("node"))
-    second = deeper.join(blocks, "node").select(dealt.alias("node"), "class")
+    block = F.when(F.col("blocks") > 1, F.xxhash64("node", F.pmod(F.xxhash64("class", "tree"), F.col("blocks")))).otherwise(F.col("node"))
+    second = deeper.join(blocks, "node").select(block.alias("node"), "class", F.when(F.col("blocks") > 1, F.col("node")).alias("dealt"))
     return first.unionByName(second)
 
 
+def _across_blocks(nodes: DataFrame, roots: DataFrame, small: int) -> DataFrame:
+    """Rows (node, class, sign, root): members of dealt nodes outside their largest component, `small` at a time, with every block of their node."""
+    members = nodes.where("dealt is not null").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    sizes = members.groupBy("dealt", "root").count()
+    largest = sizes.groupBy("dealt").agg(F.max(F.struct("count", "root"))["root"].alias("most"), F.ceil((F.sum("count") - F.max("count")) / small).alias("parts")).where("parts > 0")
+    members = members.join(largest, "dealt").select("dealt", "node", "class", "sign", "root", "most", "parts")
+    each = F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int")))
+    blocks = members.select("*", each.alias("part"))
+    rest = members.where("root <> most").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
+    all_blocks = members.select("dealt", F.col("node").alias("block")).distinct()
+    rest = rest.join(all_blocks, "dealt").select(F.col("block").alias("node"), "class", "sign", "root", "part")
+    met = blocks.select("node", "class", "sign", "root", "part").unionByName(rest)
+    return met.select(F.xxhash64("node", "part").alias("node"), "class", "sign", "root").distinct()
+
+
 def _per_node(rows: DataFrame, work, schema: str, names: list[str], kinds: list[pa.DataType]) -> DataFrame:
     return rows.repartition("node").sortWithinPartitions("node").mapInArrow(by_node(work, names, kinds), schema)
 
 
+def _sets_of(rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """Rows (class, shingles) of the wanted (class, first)."""
+    one = rows.join(wanted, F.col("id").eqNullSafe(F.col("first"))).select("class", "text")
+    return one.mapInArrow(_full_sets(shingle), "class binary, shingles binary, own binary").where("own = class").select("class", "shingles").dropDuplicates(["class"])
+
+
 def link_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, small: int = SMALL) -> DataFrame:
     """A row per document: id_col, n_shingles, component_id (smallest id reachable over links), kept, class (of equal sets), copies."""
     percent = round(100 * similarity)
@@ -280,14 +303,13 @@ def link_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     classes = materialize(full.groupBy("class").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.any_value("n").alias("n"), F.any_value("sign").alias("sign"), F.any_value("nodes").alias("nodes")), "classes")
     # Nodes of one class have nothing to compare; they go before any sketch is sent.
     nodes = _nodes(classes, small)
-    shared = nodes.groupBy("node").count().where("count > 1").select("node")
-    nodes = materialize(nodes.join(shared, "node", "left_semi").join(classes.select("class", "n", "sign"), "class").select("node", "class", "n", "sign"), "nodes")
+    shared = nodes.groupBy("node").agg(F.count("*").alias("count"), F.any_value("dealt").alias("dealt")).where("count > 1 or dealt is not null").select("node")
+    nodes = materialize(nodes.join(shared, "node", "left_semi").join(classes.select("class", "n", "sign"), "class").select("node", "class", "dealt", "n", "sign"), "nodes")
     found = materialize(_per_node(nodes, _forest(similarity), "node long, a binary, b binary", ["node", "a", "b"], [pa.int64(), pa.binary(), pa.binary()]), "candidates")
     pairs = found.select("a", "b").distinct()
     # Full sets of the classes concerned, each from one of its texts; rows of one id may hold several.
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes.select("class", "first"), "class")
-    one = rows.join(wanted, F.col("id").eqNullSafe(F.col("first"))).select("class", "text")
-    sets = materialize(one.mapInArrow(_full_sets(shingle), "class binary, shingles binary, own binary").where("own = class").select("class", "shingles").dropDuplicates(["class"]), "sets")
+    sets = materialize(_sets_of(rows, wanted, shingle), "sets")
     both = pairs.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("y")), "b")
     tried = materialize(both.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a binary, b binary, linked boolean"), "tried")
     links = tried.where("linked").select("a", "b")
@@ -296,8 +318,15 @@ def link_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     open_nodes = found.join(failed, ["a", "b"], "left_semi").select("node").distinct()
     again = nodes.join(open_nodes, "node", "left_semi").join(sets, "class").join(roots.withColumnRenamed("node", "class"), "class", "left")
     again = again.select("node", "class", "sign", "shingles", F.coalesce("root", "class").alias("root"))
-    more = materialize(_per_node(again, _exhaustive(percent), "a binary, b binary", ["a", "b"], [pa.binary(), pa.binary()]), "links")
-    roots = materialize(components(links.unionByName(more), "a", "b"), "roots").withColumnRenamed("node", "class")
+    links = links.unionByName(materialize(_per_node(again, _exhaustive(percent), "a binary, b binary", ["a", "b"], [pa.binary(), pa.binary()]), "links"))
+    roots = materialize(components(links, "a", "b"), "roots")
+    across = materialize(_across_blocks(nodes, roots, small), "across")
+    if not across.isEmpty():
+        wanted = across.select("class").distinct().join(classes.select("class", "first"), "class")
+        across = across.join(materialize(_sets_of(rows, wanted, shingle), "sets"), "class").select("node", "class", "sign", "shingles", "root")
+        links = links.unionByName(materialize(_per_node(across, _exhaustive(percent), "a binary, b binary", ["a", "b"], [pa.binary(), pa.binary()]), "links"))
+        roots = materialize(components(links, "a", "b"), "roots")
+    roots = roots.withColumnRenamed("node", "class")
     joined = classes.select("class", "first", "copies").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = joined.groupBy("root").agg(F.min("first").alias("component"))
     labels = joined.join(least, "root").select("class", "copies", "component")

@@ -75,10 +75,7 @@ def test_near_duplicates(spark, docs, rows, size, percent, small):
     found = link_near_duplicates(docs, shingle=size, similarity=percent / 100, small=small).collect()
     assert len(found) == len(rows) and links
     root = _roots(sets, links)
-    if small > 100:
-        assert {r.doc_id: r.component_id for r in found if r.doc_id is not None} == root
-    else:  # blocks of three: no link that isn't there
-        assert all(root[r.doc_id] == root[r.component_id] for r in found if r.doc_id is not None)
+    assert {r.doc_id: r.component_id for r in found if r.doc_id is not None} == root  # whole nodes and blocks of three alike
     assert {r.doc_id: r.n_shingles for r in found if r.doc_id is not None} == {i: len(s) for i, s in sets.items()}
     assert link_near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
