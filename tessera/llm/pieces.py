@@ -14,6 +14,7 @@ whose added tokens hold a space, or strip around themselves, are not cut at all.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 from collections.abc import Callable, Iterator, Sequence
@@ -117,6 +118,16 @@ class PieceCodec:
         memory.young.update((p, get(a[0]) if len(a) == 1 else join(map(get, a))) for p, a in zip(new, parts, strict=True))
 
     def answers(self, texts: Sequence[str]) -> list:
+        # Many short-lived lists, none of them in a cycle: the collector would search them for nothing.
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return self._answers(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _answers(self, texts: Sequence[str]) -> list:
         join: Callable = b"".join if self.with_ids else sum
         if self.rule == "whole":
             return list(self._encode(list(texts)))
@@ -177,6 +188,8 @@ class PieceCodec:
 
 def _atoms(piece: str, prefix: str) -> list[str]:
     """Parts of a piece that the library encodes alike alone: words, the signs after them, single line feeds."""
+    if piece.isalpha():
+        return [prefix + piece]
     lines = piece.split("\n")
     if not all(line and not line[0].isspace() and not line[-1].isspace() for line in lines):
         return [prefix + piece]
