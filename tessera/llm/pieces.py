@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import gc
 import json
+import os
 import re
 from collections.abc import Callable, Iterator, Sequence
 from itertools import chain
@@ -77,6 +78,8 @@ class PieceCodec:
 
             with open(path, encoding="utf-8") as f:
                 spec = json.load(f)
+            # A task has one core; the library's own threads would take others, and double its CPU time on short pieces.
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
             tokenizer = Tokenizer.from_file(path)
             tokenizer.no_truncation()
             tokenizer.no_padding()
