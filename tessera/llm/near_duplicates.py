@@ -1,7 +1,7 @@
 """MinHash near-dedup by a chosen-path set similarity join.
 
 A document is its set of distinct word shingles; equal sets are one class from the start, whatever
-the number of copies. In each of TREES independent trees a class follows the path that the node it
+the number of copies. In each of several trees a class follows the path that the node it
 is in chooses for it: a node names one of the minwise tokens, and classes that agree on it go on
 together. Nodes that hold at most SMALL classes are compared exhaustively; larger ones branch
 again, each class into CHILDREN children, and what is still large then is dealt into salted blocks
@@ -13,7 +13,13 @@ A comparison within a node works on 128-byte sketches and gives a maximum spanni
 pairs that may reach the threshold, so a group of n costs n - 1 links and never all its pairs. Links
 are confirmed on full sets. Where one fails, the node's members are compared again on full sets, all
 pairs whose ends aren't connected yet; so a link is lost only if no tree brings its ends together
-(J^3 per tree: below 1e-4 over all trees at 0.85) or if the sketch errs by over three deviations.
+or if the sketch errs by over three deviations.
+
+A tree brings a pair of similarity J together with J^3 where its nodes are small, and with
+J^3 (1 - (1 - J^3)^CHILDREN) where they branch. `trees_for` takes as many trees as keep the pairs at the
+threshold that none brings together below MISSED even where all nodes branch, with the tokens that all
+trees share counted in: 12 trees at 0.85 (5.9e-5 where nodes branch, 4.9e-5 where they are small) and
+16 at 0.8 (8.9e-5 and 5.5e-5).
 
 Null texts and texts without words have the empty set and link with nothing; fewer words than a
 shingle are one shingle; copies share a class; rows with a null id take part and have a null component
@@ -24,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +42,10 @@ from .components import components
 from .shared import materialize, null_to_empty, slices
 
 SHINGLE, SIMILARITY = 5, 0.8
-TREES, DEPTH, CHILDREN, SMALL = 10, 3, 2, 1000
+DEPTH, CHILDREN, SMALL = 3, 6, 1000
 COORDINATES = 128
+#: Share of the pairs at the threshold that no tree may bring together, and the most trees.
+MISSED, MOST_TREES = 1e-4, 64
 MEMORY_WORDS = 400_000
 #: Bytes of a shingle's hash in a full set.
 WIDTH = 6
@@ -44,7 +53,7 @@ WIDTH = 6
 _rng = np.random.default_rng(11)
 _FACTORS = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TERMS = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
-_SEEDS = _rng.integers(0, 1 << 63, TREES, dtype=np.uint64)
+_SEEDS = _rng.integers(0, 1 << 63, MOST_TREES, dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -102,21 +111,42 @@ def minwise(s: np.ndarray) -> np.ndarray:
     return best >> np.uint64(32)
 
 
-def paths(tokens: np.ndarray) -> np.ndarray:
-    """Nodes of classes (rows of tokens) after one descent and after two: n x TREES x (1 + CHILDREN)."""
-    rows = np.arange(len(tokens))[:, None]
+def missed(similarity: float, trees: int, children: int) -> float:
+    """Probability that no tree brings a pair together where every node branches, or with no children where none does."""
+    out = 0.0
+    for shared in range(COORDINATES + 1):
+        one = (shared / COORDINATES) ** DEPTH
+        if children:
+            one *= 1 - (1 - one) ** children
+        out += comb(COORDINATES, shared) * similarity**shared * (1 - similarity) ** (COORDINATES - shared) * (1 - one) ** trees
+    return out
+
+
+def trees_for(similarity: float) -> int:
+    return next((t for t in range(1, MOST_TREES) if missed(similarity, t, CHILDREN) <= MISSED), MOST_TREES)
+
+
+def _descend(node: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Nodes (a row per row of tokens) DEPTH tokens further down."""
+    rows = np.arange(len(tokens)).reshape(-1, *[1] * (node.ndim - 1))
+    for _ in range(DEPTH):
+        chosen = (mix(node) % np.uint64(COORDINATES)).astype(np.int64)
+        node = mix(node ^ mix(tokens[rows, chosen] + np.uint64(7)))
+    return node
+
 
-    def descend(node: np.ndarray) -> np.ndarray:
-        for _ in range(DEPTH):
-            chosen = (mix(node) % np.uint64(COORDINATES)).astype(np.int64)
-            node = mix(node ^ mix(tokens[rows, chosen] + np.uint64(7)))
-        return node
+def paths(tokens: np.ndarray, trees: int) -> np.ndarray:
+    """Nodes of classes (rows of tokens) after one descent: n x trees."""
+    return _descend(np.broadcast_to(_SEEDS[:trees], (len(tokens), trees)), tokens)
 
-    first = descend(np.broadcast_to(_SEEDS, (len(tokens), TREES)))
-    return np.stack([first, *(descend(mix(first + np.uint64(c + 1))) for c in range(CHILDREN))], axis=2)
 
+def branches(nodes: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    """Nodes of classes after one more descent from each node, by the bytes of their sketches: n x CHILDREN."""
+    start = mix(nodes[:, None] + np.arange(1, CHILDREN + 1, dtype=np.uint64))
+    return _descend(start, signs.astype(np.uint64))
 
-def _sketches(size: int):
+
+def _sketches(size: int, trees: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)
         for batch in batches:
@@ -132,8 +162,8 @@ def _sketches(size: int):
                 signs, nodes = [None] * len(n), [None] * len(n)
                 if full:
                     t = np.stack(tokens)
-                    for i, sign, node in zip(full, t.astype(np.uint8), paths(t).view(np.int64), strict=True):
-                        signs[i], nodes[i] = sign.tobytes(), node.ravel()
+                    for i, sign, node in zip(full, t.astype(np.uint8), paths(t, trees).view(np.int64), strict=True):
+                        signs[i], nodes[i] = sign.tobytes(), node
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(n, pa.int64()), pa.array(marks, pa.binary()), pa.array(signs, pa.binary()), pa.array(nodes, pa.list_(pa.int64()))], names=["id", "n", "class", "sign", "nodes"])
 
     return sketch
@@ -253,15 +283,32 @@ def _exhaustive(percent: int):
     return work
 
 
+def _with_class(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows with the columns of their class; a class is joined once, whatever the number of its nodes."""
+    others = [c for c in rows.columns if c != "class"]
+    held = rows.groupBy("class").agg(F.collect_list(F.struct(*others)).alias("held"))
+    return held.join(classes, "class").select(*classes.columns, F.inline("held"))
+
+
+def _branched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (class, tree, node, sign) to CHILDREN rows (class, tree, node) each."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        signs = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, COORDINATES)
+        nodes = branches(batch.column(2).to_numpy().view(np.uint64), signs)
+        each = batch.take(pa.array(np.repeat(np.arange(len(nodes)), CHILDREN)))
+        yield pa.RecordBatch.from_arrays([each.column(0), each.column(1), pa.array(nodes.ravel().view(np.int64))], names=["class", "tree", "node"])
+
+
 def _nodes(classes: DataFrame, small: int) -> DataFrame:
     """Rows (node, class, dealt): the nodes that are compared; dealt is the node whose block this one is, else null."""
-    step = 1 + CHILDREN
-    trees = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.slice("nodes", t * step + 1, step).alias("path")))
-    rows = classes.select("class", "n", F.explode(trees).alias("t")).select("class", "n", "t.tree", F.col("t.path")[0].alias("node"), "t.path")
+    rows = classes.select("class", F.posexplode("nodes").alias("tree", "node"))
     large = rows.groupBy("node").count().where(F.col("count") > small).select("node", F.lit(True).alias("large"))
     rows = rows.join(large, "node", "left")
     first = rows.where("large is null").select("node", "class", F.lit(None).cast("long").alias("dealt"))
-    deeper = rows.where("large").select("class", "tree", F.explode(F.slice("path", 2, CHILDREN)).alias("node"))
+    deeper = _with_class(rows.where("large").select("class", "tree", "node"), classes.select("class", "sign"))
+    deeper = deeper.select("class", "tree", "node", "sign").mapInArrow(_branched, "class binary, tree int, node long")
     blocks = deeper.groupBy("node").count().select("node", F.ceil(F.col("count") / small).alias("blocks"))
     block = F.when(F.col("blocks") > 1, F.xxhash64("node", F.pmod(F.xxhash64("class", "tree"), F.col("blocks")))).otherwise(F.col("node"))
     second = deeper.join(blocks, "node").select(block.alias("node"), "class", F.when(F.col("blocks") > 1, F.col("node")).alias("dealt"))
@@ -298,13 +345,13 @@ def link_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     percent = round(100 * similarity)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketched = materialize(rows.mapInArrow(_sketches(shingle), f"id {kind}, n long, class binary, sign binary, nodes array<long>"), "sketches")
+    sketched = materialize(rows.mapInArrow(_sketches(shingle, trees_for(similarity)), f"id {kind}, n long, class binary, sign binary, nodes array<long>"), "sketches")
     full = sketched.where("n > 0")
     classes = materialize(full.groupBy("class").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.any_value("n").alias("n"), F.any_value("sign").alias("sign"), F.any_value("nodes").alias("nodes")), "classes")
     # Nodes of one class have nothing to compare; they go before any sketch is sent.
     nodes = _nodes(classes, small)
     shared = nodes.groupBy("node").agg(F.count("*").alias("count"), F.any_value("dealt").alias("dealt")).where("count > 1 or dealt is not null").select("node")
-    nodes = materialize(nodes.join(shared, "node", "left_semi").join(classes.select("class", "n", "sign"), "class").select("node", "class", "dealt", "n", "sign"), "nodes")
+    nodes = materialize(_with_class(nodes.join(shared, "node", "left_semi"), classes.select("class", "n", "sign")).select("node", "class", "dealt", "n", "sign"), "nodes")
     found = materialize(_per_node(nodes, _forest(similarity), "node long, a binary, b binary", ["node", "a", "b"], [pa.int64(), pa.binary(), pa.binary()]), "candidates")
     pairs = found.select("a", "b").distinct()
     # Full sets of the classes concerned, each from one of its texts; rows of one id may hold several.

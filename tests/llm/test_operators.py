@@ -12,7 +12,7 @@ from tessera.llm.components import components
 from tessera.llm.decontamination import decontaminate
 from tessera.llm.language import score_languages, train_language_model
 from tessera.llm.language_model import score_texts
-from tessera.llm.near_duplicates import link_near_duplicates
+from tessera.llm.near_duplicates import CHILDREN, COORDINATES, MISSED, branches, link_near_duplicates, missed, paths, trees_for
 from tessera.llm.packing import pack_documents
 from tessera.llm.quality import score_quality, train_quality_model
 from tessera.llm.queries import vocabulary
@@ -80,6 +80,37 @@ def test_near_duplicates(spark, docs, rows, size, percent, small):
     assert link_near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+@pytest.mark.parametrize("percent,small", [(80, 1), (80, 1000), (85, 1)])
+def test_near_duplicates_at_the_threshold(spark, percent, small):
+    """Pairs of exactly the threshold; with small = 1 every node of theirs branches."""
+    made = []
+    for i in range(1000):
+        shared = [f"{i}-{x}" for x in range(2 * percent)]
+        made += [(2 * i + j, " ".join([*shared, *(f"{i}-{j}-{x}" for x in range(100 - percent))])) for j in (0, 1)]
+    found = link_near_duplicates(spark.createDataFrame(made, "doc_id long, text string").repartition(4), shingle=1, similarity=percent / 100, small=small).collect()
+    parted = sum(r.kept for r in found) - 1000
+    assert all(r.component_id // 2 == r.doc_id // 2 for r in found)
+    assert parted <= 5  # the sketch's cut; by branching alone 13 of 1000 pairs were lost at 0.8
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.85])
+def test_trees_reach_their_recall(similarity):
+    """Simulated sketches of pairs at the threshold against the computed share of pairs that no tree brings together."""
+    trees, rng = trees_for(similarity), np.random.default_rng(2)
+    lost = {0: 0, CHILDREN: 0}
+    for _ in range(20):
+        a, b = rng.integers(0, 1 << 32, (2, 10_000, COORDINATES), dtype=np.uint64)
+        b = np.where(rng.random(b.shape) < similarity, a, b)
+        x, y = paths(a, trees), paths(b, trees)
+        lost[0] += int((x != y).all(1).sum())
+        met = np.zeros(len(a), bool)
+        for t in range(trees):
+            met |= (branches(x[:, t], a.astype(np.uint8)) == branches(y[:, t], b.astype(np.uint8))).any(1)
+        lost[CHILDREN] += int((~met).sum())
+    for children, n in lost.items():
+        assert missed(similarity, trees, children) <= MISSED and n <= 2.5 * MISSED * 200_000
+
+
 @pytest.mark.parametrize("leaf", [4, 64, 4096])
 def test_vectors(spark, leaf):
     rng = np.random.default_rng(1)
