@@ -9,7 +9,7 @@ Counts cover all training documents, whatever their number. Documents lie in blo
 characters; a block asks for its distinct n-grams, packed by range of hash, so every n-gram crosses
 the network once per block and not once per occurrence. A range adds up what the blocks asked and
 answers them in the order of the hashes. Nothing of the vocabulary reaches the driver: it sees N, V
-and a histogram of fixed size for the EM steps.
+and a histogram for the EM steps, of a size that grows with log2(N) only.
 
 Null and empty texts are the end token alone; without training documents every estimate but the
 uniform is zero; documents with a null id are held out; repeated rows count and score row by row; an
@@ -37,8 +37,9 @@ FOLDS, HELD_OUT, DELETED = 10, 0, 1
 RANGE_GRAMS = 1_000_000
 MEMORY_WORDS = 150_000
 CONTEXT_BUCKETS = 24
-#: Steps of probability per octave in the EM histogram, and octaves down to its floor.
-STEPS, OCTAVES = 4, 30
+#: Steps of probability per octave in the EM histogram, and octaves down to its floor: counts have 64 bits, so that
+#: no estimate lies below it. Cells are those that occur, some 4 log2(N) to an axis; 1000 holds the places of an axis.
+STEPS, OCTAVES = 4, 64
 EM_ROUNDS = 60
 _ONE = np.uint64(1)
 _END = np.uint64(xxhash.xxh3_64_intdigest(b" ")) & ~_ONE

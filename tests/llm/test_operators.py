@@ -12,7 +12,7 @@ import tessera.llm.near_duplicates as near
 from tessera.llm.components import components
 from tessera.llm.decontamination import decontaminate
 from tessera.llm.language import score_languages, train_language_model
-from tessera.llm.language_model import score_texts
+from tessera.llm.language_model import OCTAVES, STEPS, _step, learn_weights, score_texts
 from tessera.llm.near_duplicates import CHILDREN, COORDINATES, MISSED, branches, link_near_duplicates, missed, paths, trees_for
 from tessera.llm.packing import pack_documents
 from tessera.llm.quality import score_quality, train_quality_model
@@ -156,6 +156,17 @@ def test_language_model(spark, docs, rows):
     assert score_texts(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_rare_words_of_large_tables_keep_their_probability():
+    """c / N far below 2^-30 comes back from the histogram within half a step, and the weights follow it."""
+    p = np.array([1.0, 0.5, 2.0**-30, 2.0**-33, 3 / 5e9, 2.0**-63])
+    back = np.exp2(-(_step(p) - 1) / STEPS)
+    assert np.allclose(np.log2(back), np.log2(p), rtol=0, atol=0.5 / STEPS + 1e-9)
+    assert _step(np.array([0.0, 2.0**-64])).tolist() == [0, 1 + STEPS * 64] and STEPS * OCTAVES + 1 < 1000
+    cell = (5 * 1000 + 0) * 1000 + int(_step(np.array([2.0**-34]))[0])
+    weights = learn_weights({cell: 1_000_000}, 2.0**-32)[5]
+    assert weights[2] > 0.99  # the uniform estimate is 4 times the word's
+
+
 def test_tokens(spark, docs, rows):
     from tokenizers import Tokenizer
 
