@@ -2,7 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. The first four
 return rows of documents as they are, columns and all; a row's identity is the row, so null and
-repeated ids do no harm. Thresholds reject only what the models are clear about.
+repeated ids do no harm. The last gives the pieces of sequences with their token ids. Thresholds reject only what the models are clear about.
 """
 
 from __future__ import annotations
@@ -52,7 +52,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack_documents(docs, vocabulary("byte_bpe_50k.json"), END_ID, CAPACITY)
+    return pack_documents(docs, vocabulary("byte_bpe_50k.json"), END_ID, CAPACITY, with_ids=True)
 
 
 STAGES = [("language_id", language_id), ("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("packing", packing)]

@@ -241,3 +241,11 @@ def test_learned_scores(spark, docs):
     for found in (score_quality(docs, train_quality_model(nothing, label_col="label")), score_languages(docs, train_language_model(nothing)), score_toxicity(docs, train_toxicity(nothing, label_col="label"))):
         assert found.count() == docs.count() and all(0 <= r.score <= 1 for r in found.collect())
     assert {r.lang_pred for r in score_languages(docs, trees).collect() if r.doc_id in (1, 2, 3)} == {"und"}
+
+
+def test_pipeline_gives_token_ids(spark, docs, rows):
+    import corpus_pipeline
+
+    pieces = corpus_pipeline.packing(spark, docs, "").collect()
+    assert all(len(p.ids) == p.length and zlib.crc32(np.array(p.ids, "<u4").tobytes()) == p.ids_crc32 for p in pieces)
+    assert {p.doc_id for p in pieces} == {i for i, *_ in rows}
