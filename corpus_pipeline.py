@@ -57,7 +57,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language_id), ("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("packing", packing)]
 
-#: Models and tokens aren't expressible in SQL; tests compare the stages with brute force.
+#: Models and tokens aren't expressible in SQL; tests/llm/test_pipeline.py compares the stages with brute force.
 ORACLE_SQL = None
 
 
