@@ -7,6 +7,8 @@ repeated ids do no harm. The last gives the pieces of sequences with their token
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from tessera.llm.near_duplicates import link_near_duplicates
 from tessera.llm.packing import pack_documents
 from tessera.llm.quality import score_quality, train_quality_model
 from tessera.llm.queries import CAPACITY, END_ID, learned, vocabulary
-from tessera.llm.shared import materialize, table
+from tessera.llm.shared import Scratch, materialize, table
 
 #: Share of the winning language from which a document is of that language.
 LEAST_LANGUAGE = 0.5
@@ -24,34 +26,46 @@ LEAST_LANGUAGE = 0.5
 LEAST_QUALITY = 0.5
 
 
-def _boxed(docs: DataFrame) -> DataFrame:
-    """The whole row as one column beside the text; it travels through an operator as its id."""
-    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text"))
+def _passed(docs: DataFrame, flag: Callable[[DataFrame, list[str], str], DataFrame], condition: str) -> DataFrame:
+    """The rows of which flag(rows, their columns, their text) says the condition, columns and all, whatever their names."""
+    plain = [f"c{i}" for i in range(len(docs.columns))]
+    text = plain[docs.columns.index("text")]
+    return flag(docs.toDF(*plain), plain, text).where(condition).select(*plain).toDF(*docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows in a language that was learned; null texts and texts without a letter go. Without labels of languages nothing stays."""
     trees = train_language_model(learned(docs, 4, 2))
-    found = score_languages(_boxed(docs), trees, "row", "text")
-    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE)).select("row.*")
+    return _passed(docs, lambda rows, kept, text: score_languages(rows, trees, kept, text), f"lang_pred <> '{UNDETERMINED}' and score >= {LEAST_LANGUAGE}")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the classifier doesn't hold for class 0; without labels of both classes all stay, or where all are 0, none."""
     model = train_quality_model(learned(docs, 4, 2), labels=learned(table(spark, sf_dir, "labels"), 4, 2))
-    return score_quality(_boxed(docs), model, "row", "text").where(F.col("score") >= LEAST_QUALITY).select("row.*")
+    return _passed(docs, lambda rows, kept, text: score_quality(rows, model, kept, text), f"score >= {LEAST_QUALITY}")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group stays; of rows that share it, one."""
-    numbered = materialize(docs.withColumn("__row", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.monotonically_increasing_id().alias("place"))), "numbered")
-    kept = link_near_duplicates(numbered, "__row", "text").where("kept").select("__row")
-    return numbered.join(kept, "__row", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The smallest id of each group stays, null last; of rows that share it, one; of rows equal in every column, one.
+
+    Texts without words are no copies of each other. A row is known by its id and two hashes of all its columns."""
+    plain = [f"c{i}" for i in range(len(docs.columns))]
+    key, text = (plain[docs.columns.index(c)] for c in ("doc_id", "text"))
+    # Maps have no hash of their own.
+    hashed = [F.col(c).cast("string") if "map<" in t else F.col(c) for c, t in docs.toDF(*plain).dtypes]
+    marks = [F.xxhash64(F.lit(i), *hashed).alias(f"mark{i}") for i in (0, 1)]
+    rows = docs.toDF(*plain).withColumn("row", F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), *marks))
+    kept = link_near_duplicates(rows, "row", text).where("kept").select("row").distinct()
+    return rows.dropDuplicates(["row"]).join(kept, "row", "left_semi").select(*plain).toDF(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate(_boxed(docs), table(spark, sf_dir, "benchmark"), "row", "text").where("not contaminated").select("row.*")
+    """Rows that hold no window of any item; all, where there are no items."""
+    return _passed(docs, lambda rows, kept, text: decontaminate(rows, table(spark, sf_dir, "benchmark"), kept, text), "not contaminated")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences with their token ids; a null or empty text is the end id alone."""
     return pack_documents(docs, vocabulary("byte_bpe_50k.json"), END_ID, CAPACITY, with_ids=True)
 
 
@@ -62,7 +76,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Each stage's rows are a table that goes when the next one is written."""
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark)
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = scratch.save(stage(spark, docs, sf_dir), "documents")
     return STAGES[-1][1](spark, docs, sf_dir)

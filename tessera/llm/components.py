@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import Scratch
 
 _PAIR = ("u", "v")
 
@@ -28,18 +28,23 @@ def _state(pairs: DataFrame) -> tuple:
     return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def components(links: DataFrame, a: str, b: str) -> DataFrame:
-    """Rows (node, root) for every node with a link to another: root is the smallest node reachable. Loops and repeats are fine."""
+def components(links: DataFrame, a: str, b: str, scratch: Scratch, name: str) -> DataFrame:
+    """Rows (node, root) for every node with a link to another: root is the smallest node reachable. Loops and repeats are fine.
+
+    They are table `name` of the scratch space; the links of a round go when the next are written."""
     kind = links.schema[a].dataType
+    own = f"{name}-links"
     pairs = links.select(F.greatest(a, b).cast(kind).alias("u"), F.least(a, b).cast(kind).alias("v")).where("u <> v").distinct()
-    pairs = materialize(pairs, "links")
+    pairs = scratch.save(pairs, own)
     state = _state(pairs)
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _hung(both, larger_only=True).where("u <> v").distinct()
-        pairs = materialize(_hung(large, larger_only=False).where("u <> v").distinct(), "links")
+        pairs = scratch.save(_hung(large, larger_only=False).where("u <> v").distinct(), own)
         if (new := _state(pairs)) == state:
             break
         state = new
     stars = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return stars.unionByName(stars.select(F.col("root").alias("node"), "root")).distinct()
+    roots = scratch.save(stars.unionByName(stars.select(F.col("root").alias("node"), "root")).distinct(), name)
+    scratch.drop(own)
+    return roots

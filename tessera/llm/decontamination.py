@@ -11,8 +11,9 @@ The automaton is built from at most ITEM_BYTES of item text; a larger benchmark
 automata, applied one after the other with their findings merged, so no broadcast grows with it.
 Documents are scanned where they lie, without a shuffle.
 
-Null, empty and signs-only texts have no words; items without words have no windows; repeated items
-count by item id; an empty benchmark hits nothing; other columns are not read.
+Null, empty and signs-only texts have no words; items without words have no windows; items of one id
+count once; words of an item without an id are hit like any others, but the item is neither listed nor
+counted; item ids of any type are listed as text; an empty benchmark hits nothing; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import Scratch, named, struct
 
 WINDOW = 10
 ITEM_BYTES = 4 << 20
@@ -42,7 +43,7 @@ def normalise(text: str | None) -> bytes:
 class Windows:
     """The windows of some items, and where they occur in a text."""
 
-    def __init__(self, items: list[tuple[int, str | None]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
         self.window, self.items = window, []
         anchors: dict[str, list[tuple[int, int]]] = {}
         size = max(1, window // 2)
@@ -62,8 +63,8 @@ class Windows:
             self.automaton.make_automaton()
         self.empty = not anchors
 
-    def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
-        """Ranges of words hit, merged and in order, and the ids of the items."""
+    def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+        """Ranges of words hit, merged and in order, and the ids of the items that have one."""
         if self.empty or not words:
             return [], set()
         text = b" " + b" ".join(words) + b" "
@@ -85,7 +86,8 @@ class Windows:
                 reached[line] = b
                 if b - a >= min(self.window, len(own)):
                     runs.append((a, b))
-                    found.add(item_id)
+                    if item_id is not None:
+                        found.add(item_id)
         return _merged(runs), found
 
 
@@ -109,51 +111,64 @@ def spans_of(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(int(chars[edges[2 * a]]) - 1, int(chars[edges[2 * b - 1] - 1])) for a, b in runs]
 
 
-def blocks_of_items(benchmark: DataFrame, item_col: str, text_col: str, item_bytes: int) -> Iterator[list[tuple[int, str]]]:
+def blocks_of_items(benchmark: DataFrame, item_col: str, text_col: str, item_bytes: int) -> Iterator[list[tuple[str | None, str]]]:
     """The items, dealt so that a block holds about `item_bytes` of text; one block is on the driver at a time."""
-    rows = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    rows = benchmark.select(named(item_col).cast("string").alias("item"), named(text_col).cast("string").alias("text")).where("text is not null")
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = 1 + int(total) // item_bytes
     for k in range(n):
         yield [tuple(r) for r in rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).collect()]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, item_bytes: int = ITEM_BYTES) -> DataFrame:
-    """A row per document: id_col, n_words, n_hit, n_items, items_sha256, contaminated, items, spans (character ranges of the original text)."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    state = f"`{id_col}` {kind}, text string, runs array<int>, items array<long>"
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"), F.array().cast("array<int>").alias("runs"), F.array().cast("array<long>").alias("items"))
+def decontaminate(docs: DataFrame, benchmark: DataFrame, kept: list[str], text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, item_bytes: int = ITEM_BYTES) -> DataFrame:
+    """A row per document: the kept columns, n_words, n_hit, n_items, items_sha256, contaminated, items, spans (character ranges of the original text)."""
     blocks = blocks_of_items(benchmark, item_col, item_text_col, item_bytes)
-    block = next(blocks)
+    block, scratch = next(blocks), Scratch(docs.sparkSession)
+    rows, place, number = docs, text_col, 0
     while (later := next(blocks, None)) is not None:
-        rows = materialize(rows.mapInArrow(_scan(block, window, last=False), state), "decontamination")
-        block = later
-    out = f"`{id_col}` {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<long>, spans array<struct<start: long, stop: long>>"
-    return rows.mapInArrow(_scan(block, window, last=True), out)
+        # Columns by number: names of documents may be any.
+        rows = rows if number else docs.select(*(named(c).alias(f"c{i}") for i, c in enumerate(docs.columns)))
+        place = f"c{docs.columns.index(text_col)}"
+        own = [f"c{i}" for i in range(len(docs.columns))]
+        rows = scratch.save(_scanned(rows, own, place, block, window, number > 0, last=False), "scanned")
+        block, number = later, number + 1
+    if not number:
+        return _scanned(rows, kept, place, block, window, False, last=True)
+    out = _scanned(rows, [f"c{docs.columns.index(c)}" for c in kept], place, block, window, True, last=True)
+    return out.toDF(*kept, *out.columns[len(kept) :])
+
+
+def _scanned(rows: DataFrame, kept: list[str], text_col: str, items: list[tuple[str | None, str]], window: int, again: bool, last: bool) -> DataFrame:
+    """again: rows bring the runs and items of the blocks before, in columns runs and items."""
+    before = [F.col("runs"), F.col("items")] if again else [F.array().cast("array<int>").alias("runs"), F.array().cast("array<string>").alias("items")]
+    numbers = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<struct<start: long, stop: long>>"
+    schema = struct([rows.schema[c] for c in kept], numbers if last else "runs array<int>, items array<string>")
+    with_text = [c == text_col and rows.schema[c].dataType.typeName() == "string" for c in kept]
+    sent = rows.select(*before, named(text_col).cast("string").alias("text"), *(named(c) for c, own in zip(kept, with_text, strict=True) if not own))
+    ints, strings = pa.list_(pa.int32()), pa.list_(pa.string())
 
-
-def _scan(items: list[tuple[int, str]], window: int, last: bool):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Windows(items, window)
         for batch in batches:
             runs, found, counts, spans = [], [], [], []
-            for text, flat, before in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
-                text, flat, before = text.as_py(), flat.as_py(), before.as_py()
+            for flat, earlier, text in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                flat, earlier, text = flat.as_py(), earlier.as_py(), text.as_py()
                 words = normalise(text).split()
                 new, ids = known.find(words)
                 merged = _merged([*new, *zip(flat[::2], flat[1::2], strict=True)]) if flat else new
                 runs.append(merged)
-                found.append(sorted({*before, *ids}))
+                found.append(sorted({*earlier, *ids}))
                 counts.append(len(words))
                 spans.append([{"start": a, "stop": b} for a, b in spans_of(text, merged)] if last and merged else [])
-            ids_, hit = pa.array(found, pa.list_(pa.int64())), [sum(b - a for a, b in r) for r in runs]
-            if not last:
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([[x for r in rs for x in r] for rs in runs], pa.list_(pa.int32())), ids_], names=batch.schema.names)
-                continue
-            shas = [hashlib.sha256(",".join(sorted(map(str, f))).encode()).hexdigest() for f in found]
-            numbers = [pa.array(c, pa.int64()) for c in (counts, hit, [len(f) for f in found])]
-            pairs = pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))
-            names = [batch.schema.names[0], "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *numbers, pa.array(shas, pa.string()), pa.array([h > 0 for h in hit]), ids_, pairs], names=names)
-
-    return scan
+            rest = iter(batch.columns[3:])
+            columns = [batch.column(2) if own else next(rest) for own in with_text]
+            if last:
+                hit = [sum(b - a for a, b in r) for r in runs]
+                columns += [pa.array(c, pa.int64()) for c in (counts, hit, [len(f) for f in found])]
+                columns.append(pa.array([hashlib.sha256(",".join(f).encode("utf-8", "surrogatepass")).hexdigest() for f in found], pa.string()))
+                columns += [pa.array([h > 0 for h in hit], pa.bool_()), pa.array(found, strings), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))]
+            else:
+                columns += [pa.array([[x for r in rs for x in r] for rs in runs], ints), pa.array(found, strings)]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return sent.mapInArrow(scan, schema)

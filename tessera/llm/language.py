@@ -7,9 +7,11 @@ in its word, the space before the word included. A byte seen in the longest cont
 frozen after training, so the code length of a word is exact and the same wherever it stands; a text
 costs what its words cost, and the shortest code wins.
 
-Training takes a bounded sample of the labelled texts (TRAIN_BYTES a language, drawn by a hash of
-the id, texts of over TRAIN_TEXT_BYTES left aside); prediction takes whole texts. A worker keeps the
-costs of words it has seen; unseen words are costed together by table look-ups.
+Training takes a bounded sample of the labelled texts: about `train_bytes` a language, drawn by a hash
+of id and text, copies once, and of a text of over `train_chars` characters one slice of that length from
+a place that its hash chooses, so a language whose texts are all long is learned like any other.
+Prediction takes whole texts. A worker keeps the costs of words it has seen; unseen words are costed
+together by table look-ups.
 
 Null texts and texts without a letter are `und` with score 0; with no labelled text everything is
 `und`; equal code lengths go to the first language in order of name. Score: the winner's share of
@@ -19,20 +21,20 @@ Null texts and texts without a letter are `und` with score 0; with no labelled t
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import null_to_empty, rate_of, slices
+from .shared import named, per_text, rate_of, slice_of
 
 ORDER = 4
 TRAIN_BYTES = 600_000
-TRAIN_TEXT_BYTES = 1 << 16
+TRAIN_CHARS = 1 << 16
 #: Distinct words whose costs a worker keeps.
-MEMORY_WORDS = 300_000
+MEMORY_WORDS = 150_000
 UNDETERMINED = "und"
 
 
@@ -137,58 +139,58 @@ def _codes(stream: np.ndarray, k: int) -> np.ndarray:
     return out[~crossed]
 
 
-def train_language_model(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, train_bytes: int = TRAIN_BYTES) -> ContextTrees:
-    """From rows with a language; null texts and languages are left out."""
-    size = F.octet_length(F.col("text"))
-    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null").where(size <= TRAIN_TEXT_BYTES)
-    totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(size).alias("n")).collect()}
+def train_language_model(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, train_bytes: int = TRAIN_BYTES, train_chars: int = TRAIN_CHARS) -> ContextTrees:
+    """From rows with a language; null texts and languages are left out. One row a language comes to the driver, and the sample."""
+    rows = labelled.select(named(id_col).alias("id"), named(text_col).cast("string").alias("whole"), named(lang_col).cast("string").alias("lang")).where("whole is not null and lang is not null")
+    rows = rows.select("lang", slice_of(F.col("whole"), train_chars, "language").alias("text"), rate_of("language", "id", "whole").alias("rate"))
+    totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
     if not totals:
         return ContextTrees([], {}, order)
     rates = F.create_map(*(x for lang, n in totals.items() for x in (F.lit(lang), F.lit(min(1.0, train_bytes / max(n, 1))))))
     texts: dict[str, list[str]] = {lang: [] for lang in sorted(totals)}
-    for r in rows.where(rate_of(F.col("id"), "language") < rates[F.col("lang")]).select("lang", "text").toLocalIterator():
+    for r in rows.where(F.col("rate") < rates[F.col("lang")]).select("lang", "text").distinct().toLocalIterator():
         texts[r["lang"]].append(r["text"])
     languages = [lang for lang in texts if texts[lang]]
     return ContextTrees(languages, texts, order)
 
 
-def score_languages(docs: DataFrame, trees: ContextTrees, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
-    """A row per document: id_col, `more`, lang_pred, score, bits_per_byte (of the winner)."""
-    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col), *more)
-    kept = [f for f in rows.schema if f.name != "text"]
-    languages = trees.languages
+def score_languages(docs: DataFrame, trees: ContextTrees, kept: list[str], text_col: str = "text", *more: Column) -> DataFrame:
+    """A row per document: the kept columns, `more`, lang_pred, score, bits_per_byte (of the winner)."""
+    return per_text(docs, text_col, kept, lambda: _predictor(trees), "lang_pred string, score double, bits_per_byte double", more)
+
 
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place: dict[str, int] = {}
-        costs = np.zeros((0, len(languages)))
-        for batch in batches:
-            texts = null_to_empty(batch.column(0).to_pylist())
-            best: list[str] = []
-            scores: list[float] = []
-            rates: list[float] = []
-            for a, b in slices(texts):
-                split = [t.split() for t in texts[a:b]]
-                if languages:
-                    if len(place) > MEMORY_WORDS:
-                        place, costs = {}, costs[:0]
-                    new = list(set().union(*split) - place.keys())
-                    place.update(zip(new, range(len(place), len(place) + len(new)), strict=True))
-                    costs = np.concatenate([costs, trees.words(new)])
-                for text, words in zip(texts[a:b], split, strict=True):
-                    if not languages or not _has_letter(words):
-                        best.append(UNDETERMINED)
-                        scores.append(0.0)
-                        rates.append(0.0)
-                        continue
-                    bits = costs[np.fromiter(map(place.__getitem__, words), np.int64, len(words))].sum(0)
-                    top, n = int(bits.argmin()), len(text.encode("utf-8", "surrogatepass"))
-                    best.append(languages[top])
-                    scores.append(float(1 / np.exp2(np.maximum((bits[top] - bits) / math.sqrt(n), -1000)).sum()))
-                    rates.append(float(bits[top]) / n)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(best, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())], names=[*batch.schema.names[1:], "lang_pred", "score", "bits_per_byte"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", lang_pred string, score double, bits_per_byte double"
-    return rows.mapInArrow(predict, schema)
+def _predictor(trees: ContextTrees):
+    """A function from texts to (language, score, bits a byte) that remembers words."""
+    languages = trees.languages
+    place: dict[str, int] = {}
+    costs = np.zeros((0, len(languages)))
+
+    def predict(texts: pa.Array) -> list[pa.Array]:
+        nonlocal place, costs
+        best: list[str] = []
+        scores: list[float] = []
+        rates: list[float] = []
+        split = [t.split() for t in texts.to_pylist()]
+        if languages:
+            if len(place) > MEMORY_WORDS:
+                place, costs = {}, costs[:0]
+            new = list(set().union(*split) - place.keys())
+            place.update(zip(new, range(len(place), len(place) + len(new)), strict=True))
+            costs = np.concatenate([costs, trees.words(new)])
+        for n, words in zip(pc.binary_length(texts).to_pylist(), split, strict=True):
+            if not languages or not _has_letter(words):
+                best.append(UNDETERMINED)
+                scores.append(0.0)
+                rates.append(0.0)
+                continue
+            bits = costs[np.fromiter(map(place.__getitem__, words), np.int64, len(words))].sum(0)
+            top = int(bits.argmin())
+            best.append(languages[top])
+            scores.append(float(1 / np.exp2(np.maximum((bits[top] - bits) / math.sqrt(n), -1000)).sum()))
+            rates.append(float(bits[top]) / n)
+        return [pa.array(best, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())]
+
+    return predict
 
 
 def _has_letter(words: list[str]) -> bool:

@@ -8,8 +8,10 @@ whose counts are deleted (fold DELETED); then all training documents count. Sums
 Counts cover all training documents, whatever their number. Documents lie in blocks of about 2 M
 characters; a block asks for its distinct n-grams, packed by range of hash, so every n-gram crosses
 the network once per block and not once per occurrence. A range adds up what the blocks asked and
-answers them in the order of the hashes. Nothing of the vocabulary reaches the driver: it sees N, V
-and a histogram for the EM steps, of a size that grows with log2(N) only.
+answers them in the order of the hashes; a task takes its ranges one after the other, so the number of
+tasks doesn't follow that of ranges. The shuffle of what is asked goes as soon as the answers are a table.
+Nothing of the vocabulary reaches the driver: it sees N, V and a histogram for the EM steps, of a size
+that grows with log2(N) only.
 
 Null and empty texts are the end token alone; without training documents every estimate but the
 uniform is zero; documents with a null id are held out; repeated rows count and score row by row; an
@@ -28,13 +30,15 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField
 
-from .near_duplicates import mix
-from .shared import materialize, null_to_empty, remainder, slices
+from .shared import MOST_PARTITIONS, Scratch, mix, named, null_to_empty, remainder, slices, struct
 
 FOLDS, HELD_OUT, DELETED = 10, 0, 1
 #: N-grams that a range holds at a time, about.
 RANGE_GRAMS = 1_000_000
+#: Tokens of the blocks that a task gathers answers for, about.
+BLOCK_TOKENS = 1_500_000
 MEMORY_WORDS = 150_000
 CONTEXT_BUCKETS = 24
 #: Steps of probability per octave in the EM histogram, and octaves down to its floor: counts have 64 bits, so that
@@ -42,8 +46,11 @@ CONTEXT_BUCKETS = 24
 STEPS, OCTAVES = 4, 64
 EM_ROUNDS = 60
 _ONE = np.uint64(1)
-_END = np.uint64(xxhash.xxh3_64_intdigest(b" ")) & ~_ONE
-_START = np.uint64(xxhash.xxh3_64_intdigest(b"  ")) | _ONE
+#: Bits of an n-gram's hash; the last one tells words (0) from bigrams (1). Sorted keys are sent as steps, so fewer bits are fewer bytes.
+KEY_BITS = 56
+_DROP = np.uint64(64 - KEY_BITS)
+_END = (np.uint64(xxhash.xxh3_64_intdigest(b" ")) >> _DROP) & ~_ONE
+_START = (np.uint64(xxhash.xxh3_64_intdigest(b"  ")) >> _DROP) | _ONE
 
 
 def _press(x: np.ndarray) -> bytes:
@@ -72,7 +79,7 @@ def _grams(words: np.ndarray, tokens: np.ndarray, lengths: np.ndarray) -> tuple[
     context = np.empty_like(word)
     context[1:] = word[:-1]
     context[starts] = _START
-    pairs, which = np.unique(mix(mix(context + _ONE) * np.uint64(3) + word) | _ONE, return_inverse=True)
+    pairs, which = np.unique((mix(mix(context + _ONE) * np.uint64(3) + word) >> _DROP) | _ONE, return_inverse=True)
     del word, context
     keys = np.unique(np.concatenate([words, pairs, np.array([_START], np.uint64)]))
     at_word = np.searchsorted(keys, words)[tokens]
@@ -82,29 +89,26 @@ def _grams(words: np.ndarray, tokens: np.ndarray, lengths: np.ndarray) -> tuple[
     return keys, at_word, at_context, np.searchsorted(keys, pairs)[which.ravel()]
 
 
-def _blocks(kind: str):
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
-        number = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            folds, texts = batch.column(1).to_pylist(), null_to_empty(batch.column(2).to_pylist())
-            for a, b in slices(texts):
-                parts, lengths = [], []
-                for text in texts[a:b]:
-                    split = text.encode("utf-8", "surrogatepass").lower().split()
-                    if len(known) > MEMORY_WORDS:
-                        known = {}
-                    known.update((w, xxhash.xxh3_64_intdigest(w) & ~1) for w in set(split) if w not in known)
-                    parts.append(np.fromiter(map(known.__getitem__, split), np.uint64, len(split)))
-                    parts.append(np.array([_END], np.uint64))
-                    lengths.append(len(split) + 1)
-                words, tokens = np.unique(np.concatenate(parts), return_inverse=True)
-                row = [number, batch.column(0)[a:b].to_pylist(), folds[a:b], lengths, _press(words), _press(tokens.ravel().astype("<u4"))]
-                kinds = [pa.int64(), pa.list_(batch.column(0).type), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=["block", "ids", "folds", "lengths", "words", "tokens"])
-                number += 1
-
-    return build
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict[bytes, int] = {}
+    number = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        folds, texts = batch.column(1).to_pylist(), null_to_empty(batch.column(2).to_pylist())
+        for a, b in slices(texts):
+            parts, lengths = [], []
+            for text in texts[a:b]:
+                split = text.encode("utf-8", "surrogatepass").lower().split()
+                if len(known) > MEMORY_WORDS:
+                    known = {}
+                known.update((w, xxhash.xxh3_64_intdigest(w) >> 64 - KEY_BITS & ~1) for w in set(split) if w not in known)
+                parts.append(np.fromiter(map(known.__getitem__, split), np.uint64, len(split)))
+                parts.append(np.array([_END], np.uint64))
+                lengths.append(len(split) + 1)
+            words, tokens = np.unique(np.concatenate(parts), return_inverse=True)
+            row = [number, batch.column(0)[a:b].to_pylist(), folds[a:b], lengths, _press(words), _press(tokens.ravel().astype("<u4"))]
+            kinds = [pa.int64(), pa.list_(batch.column(0).type), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=["block", "ids", "folds", "lengths", "words", "tokens"])
+            number += 1
 
 
 def _asked(ranges: int):
@@ -121,17 +125,18 @@ def _asked(ranges: int):
                 for mask in ((fold != HELD_OUT) & (fold != DELETED), fold == DELETED):
                     at = np.concatenate([word[mask], pair[mask], context[mask & start]])
                     counts.append(np.bincount(at, minlength=len(keys)).astype("<u4"))
-                edges = np.searchsorted(keys, np.array([(i << 64) // ranges for i in range(ranges)], dtype=np.uint64))
-                for r, (a, b) in enumerate(zip(edges, [*edges[1:], len(keys)], strict=True)):
-                    if a < b:
-                        steps = np.diff(keys[a:b], prepend=np.uint64(0))
-                        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (r, row["block"], _press(steps), _press(counts[0][a:b]), _press(counts[1][a:b]))], names=["range", "block", "keys", "fit", "deleted"])
+                # Only the ranges that the block has an n-gram of.
+                number = keys // np.uint64((1 << KEY_BITS) // ranges + 1)
+                edges = np.flatnonzero(np.diff(number)) + 1
+                for a, b in zip([0, *edges], [*edges, len(keys)], strict=True):
+                    steps = np.diff(keys[a:b], prepend=np.uint64(0))
+                    yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (int(number[a]), row["block"], _press(steps), _press(counts[0][a:b]), _press(counts[1][a:b]))], names=["range", "block", "keys", "fit", "deleted"])
 
     return ask
 
 
 def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (range, block, fit, whole, seen): counts for what each block asked. One row per range has no block and the words seen."""
+    """Rows (range, block, fit, whole, seen): counts for what each block asked; the first of a range brings the words seen in it, others 0."""
     names = ["range", "block", "fit", "whole", "seen"]
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
 
@@ -145,8 +150,8 @@ def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fit[at] += own
             whole[at] += own.astype(np.uint64) + deleted
         seen = int(((whole > 0) & (keys & _ONE == 0)).sum())
-        rows = [(held[0]["range"], None, None, None, seen), *((r["range"], r["block"], _press(fit[at]), _press(whole[at]), None) for r, at in zip(held, places, strict=True))]
-        for row in rows:
+        for i, (r, at) in enumerate(zip(held, places, strict=True)):
+            row = r["range"], r["block"], _press(fit[at]), _press(whole[at]), 0 if i else seen
             yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=names)
 
     held: list[dict] = []
@@ -181,8 +186,10 @@ def _counts_of(row: dict, parts: list[dict]) -> tuple:
 
 
 def _resolved(fit_total: int):
-    """A block's own row comes first, its answers follow in the order of ranges. Rows with counts, and the EM histogram of the block's deleted fold."""
-    names = ["block", "ids", "folds", "lengths", "known", "word", "context", "pair", "cells"]
+    """A block's own row comes first, its answers follow in the order of ranges. Rows with counts a token, and the EM histogram of the block's deleted fold.
+
+    A token's context is the word before it, so its count is that word's; `start` is the count of the context of first tokens."""
+    names = ["block", "ids", "folds", "lengths", "known", "seen", "start", "word", "pair", "cells"]
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(row: dict, parts: list[dict]) -> pa.RecordBatch:
@@ -192,8 +199,9 @@ def _resolved(fit_total: int):
             cell = (_bucket(c) * 1000 + _step(p / np.maximum(c, 1))) * 1000 + _step(w / max(fit_total, 1))
             cells = Counter(dict(zip(*(x.tolist() for x in np.unique(cell, return_counts=True)), strict=True)))
             known = np.add.reduceat((whole[word] > 0).astype(np.int64), np.cumsum(row["lengths"]) - row["lengths"])
-            columns = [row["block"], row["ids"], row["folds"], row["lengths"], known.tolist(), _press(whole[word]), _press(whole[context]), _press(whole[pair]), [{"cell": k, "n": n} for k, n in cells.items()]]
-            kinds = [pa.int64(), pa.list_(id_type), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.binary()] * 3, pa.list_(pa.struct([("cell", pa.int64()), ("n", pa.int64())]))]
+            seen, start = sum(x["seen"] for x in parts), int(whole[context[0]])
+            columns = [row["block"], row["ids"], row["folds"], row["lengths"], known.tolist(), seen, start, _press(whole[word]), _press(whole[pair]), [{"cell": k, "n": n} for k, n in cells.items()]]
+            kinds = [pa.int64(), pa.list_(id_type), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64(), *[pa.binary()] * 2, pa.list_(pa.struct([("cell", pa.int64()), ("n", pa.int64())]))]
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(columns, kinds, strict=True)], names=names)
 
         own, parts, id_type = None, [], None
@@ -232,40 +240,47 @@ def learn_weights(cells: dict[int, int], uniform: float) -> np.ndarray:
     return out
 
 
-def _scored(total: int, distinct: int, weights: np.ndarray, kind: str):
+def _scored(total: int, distinct: int, weights: np.ndarray, id_col: str):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _rows(batch):
-                w, c, p = (_open(row[n], np.uint64).astype(float) for n in ("word", "context", "pair"))
+                w, p = (_open(row[n], np.uint64).astype(float) for n in ("word", "pair"))
                 starts = np.cumsum(row["lengths"]) - row["lengths"]
+                c = np.concatenate([[0.0], w[:-1]])
+                c[starts] = row["start"]
                 base = np.log10((w + 0.1) / (total + 0.1 * (distinct + 1)))
                 mixed = weights[_bucket(c)]
                 model = np.log10(mixed[:, 0] * p / np.maximum(c, 1) + mixed[:, 1] * w / max(total, 1) + mixed[:, 2] / (distinct + 1))
                 m = len(row["ids"])
                 arrays = [pa.array(row["ids"], batch.schema.field("ids").type.value_type), pa.array([f == HELD_OUT for f in row["folds"]]), pa.array(row["lengths"], pa.int64()), pa.array(row["known"], pa.int64())]
                 arrays += [pa.array([total] * m, pa.int64()), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(model, starts))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                yield pa.RecordBatch.from_arrays(arrays, names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return score
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: id_col, held_out, n_tokens, n_known, train_tokens, base_score (add-0.1 unigram), score (log10 probability)."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), remainder(F.col(id_col), FOLDS).alias("fold"), F.col(text_col).cast("string").alias("text"))
-    own = f"ids array<{kind}>, folds array<int>, lengths array<long>"
-    blocks = materialize(rows.mapInArrow(_blocks(kind), f"block long, {own}, words binary, tokens binary"), "blocks")
+    key, scratch = docs.schema[id_col], Scratch(docs.sparkSession)
+    rows = docs.select(named(id_col).alias("id"), remainder(named(id_col), FOLDS).alias("fold"), named(text_col).cast("string").alias("text"))
+    fields = [StructField("block", LongType()), StructField("ids", ArrayType(key.dataType))]
+    own = "folds array<int>, lengths array<long>"
+    blocks = scratch.save(rows.mapInArrow(_blocks, struct(fields, f"{own}, words binary, tokens binary")), "blocks")
     sums = blocks.select(F.explode(F.arrays_zip("folds", "lengths")).alias("d")).select(F.col("d.folds").alias("fold"), F.col("d.lengths").alias("n"))
     totals = {r["fold"]: r["n"] for r in sums.groupBy("fold").agg(F.sum("n").alias("n")).collect()}
-    total = sum(n for f, n in totals.items() if f != HELD_OUT)
-    ranges = max(8, sum(totals.values()) // RANGE_GRAMS)
+    total, tokens = sum(n for f, n in totals.items() if f != HELD_OUT), sum(totals.values())
+    ranges = max(8, tokens // RANGE_GRAMS)
     asked = blocks.mapInArrow(_asked(ranges), "range long, block long, keys binary, fit binary, deleted binary")
-    answers = materialize(asked.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(_answered, "range long, block long, fit binary, whole binary, seen long"), "answers")
-    distinct = answers.agg(F.coalesce(F.sum("seen"), F.lit(0))).first()[0]
-    both = blocks.withColumn("range", F.lit(-1).cast("long")).unionByName(answers.where("block is not null").drop("seen"), allowMissingColumns=True)
-    resolved = both.repartition("block").sortWithinPartitions("block", "range").mapInArrow(_resolved(total - totals.get(DELETED, 0)), f"block long, {own}, known array<long>, word binary, context binary, pair binary, cells array<struct<cell: long, n: long>>")
-    resolved = materialize(resolved, "resolved")
+    dealt = asked.repartition(min(ranges, MOST_PARTITIONS), "range").sortWithinPartitions("range")
+    answers = scratch.save(dealt.mapInArrow(_answered, "range long, block long, fit binary, whole binary, seen long"), "answers")
+    both = blocks.withColumn("range", F.lit(-1).cast("long")).unionByName(answers, allowMissingColumns=True)
+    parts = max(1, min(MOST_PARTITIONS, tokens // BLOCK_TOKENS))
+    counted = both.repartition(parts, "block").sortWithinPartitions("block", "range")
+    counted = counted.mapInArrow(_resolved(total - totals.get(DELETED, 0)), struct(fields, f"{own}, known array<long>, seen long, start long, word binary, pair binary, cells array<struct<cell: long, n: long>>"))
+    resolved = scratch.save(counted, "resolved")
+    scratch.drop("blocks", "answers")
+    distinct = resolved.agg(F.coalesce(F.sum("seen"), F.lit(0))).first()[0]
     cells = {r["cell"]: r["n"] for r in resolved.select(F.explode("cells").alias("c")).groupBy("c.cell").agg(F.sum("c.n").alias("n")).collect()}
     weights = learn_weights(cells, 1 / (distinct + 1))
-    out = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return resolved.drop("cells").mapInArrow(_scored(total, distinct, weights, kind), out).withColumnRenamed("id", id_col)
+    out = struct([key], "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return resolved.select("ids", "folds", "lengths", "known", "start", "word", "pair").mapInArrow(_scored(total, distinct, weights, id_col), out)

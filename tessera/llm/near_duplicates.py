@@ -18,8 +18,11 @@ brings its ends together or if the sketch errs by over DEVIATIONS (2.5e-6 of pai
 A tree brings a pair of similarity J together with J^3 where its nodes are small, and with
 J^3 (1 - (1 - J^3)^CHILDREN) where they branch. `trees_for` takes as many trees as keep the pairs at the
 threshold that none brings together below MISSED even where all nodes branch, with the tokens that all
-trees share counted in: 12 trees at 0.85 (5.9e-5 where nodes branch, 4.9e-5 where they are small) and
-16 at 0.8 (8.9e-5 and 5.5e-5).
+trees share counted in: 14 trees at 0.85 (1.5e-5 where nodes branch, 1.2e-5 where they are small) and
+20 at 0.8 (1.4e-5 and 7.2e-6).
+
+A class's full set comes from one of its texts, which is found by id and a hash of the text, so rows that
+share an id, null included, cost no more than others. Hashes of shingles have 64 bits.
 
 Null texts and texts without words have the empty set and link with nothing; fewer words than a
 shingle are one shingle; copies share a class; rows with a null id take part and have a null component
@@ -39,18 +42,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import materialize, null_to_empty, slices
+from .shared import Scratch, mix, named, null_to_empty, slices, struct
 
 SHINGLE, SIMILARITY = 5, 0.8
 DEPTH, CHILDREN, SMALL = 3, 6, 1000
 COORDINATES = 128
 #: Share of the pairs at the threshold that no tree may bring together, and the most trees.
-MISSED, MOST_TREES = 1e-4, 64
+MISSED, MOST_TREES = 2e-5, 64
 #: Deviations by which a sketch may fall short of the threshold.
 DEVIATIONS = 5
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 200_000
 #: Bytes of a shingle's hash in a full set.
-WIDTH = 6
+WIDTH = 8
 #: Places that hashes fall on when shared ones are counted from above.
 PLACES = 1 << 20
 
@@ -60,13 +63,6 @@ _TERMS = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
 _SEEDS = _rng.integers(0, 1 << 63, MOST_TREES, dtype=np.uint64)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads every bit."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 class Shingler:
     """Sets of shingle hashes; one per worker task."""
 
@@ -74,7 +70,7 @@ class Shingler:
         self.size, self.known = size, {}
 
     def sets(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """Sorted distinct 48-bit hashes of each text's shingles."""
+        """Sorted distinct 64-bit hashes of each text's shingles."""
         for text in texts:
             words = text.encode("utf-8", "surrogatepass").lower().split()
             if len(self.known) > MEMORY_WORDS:
@@ -88,17 +84,15 @@ class Shingler:
             out = np.full(len(h) - k + 1, k, np.uint64)
             for i in range(k):
                 out = mix(out * np.uint64(3) + h[i : len(h) - k + 1 + i])
-            yield np.unique(out >> np.uint64(64 - 8 * WIDTH))
+            yield np.unique(out)
 
 
 def packed(s: np.ndarray) -> bytes:
-    return s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes()
+    return s.astype("<u8").tobytes()
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // WIDTH, 8), np.uint8)
-    out[:, :WIDTH] = np.frombuffer(data, np.uint8).reshape(-1, WIDTH)
-    return out.view("<u8").ravel()
+    return np.frombuffer(data, "<u8")
 
 
 def mark(data: bytes) -> bytes:
@@ -154,7 +148,7 @@ def _sketches(size: int, trees: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)
         for batch in batches:
-            texts = null_to_empty(batch.column(1).to_pylist())
+            texts = null_to_empty(batch.column(2).to_pylist())
             for a, b in slices(texts):
                 n, marks, tokens, full = [], [], [], []
                 for s in shingler.sets(texts[a:b]):
@@ -168,7 +162,7 @@ def _sketches(size: int, trees: int):
                     t = np.stack(tokens)
                     for i, sign, node in zip(full, t.astype(np.uint8), paths(t, trees).view(np.int64), strict=True):
                         signs[i], nodes[i] = sign.tobytes(), node
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(n, pa.int64()), pa.array(marks, pa.binary()), pa.array(signs, pa.binary()), pa.array(nodes, pa.list_(pa.int64()))], names=["id", "n", "class", "sign", "nodes"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(n, pa.int64()), pa.array(marks, pa.binary()), pa.array(signs, pa.binary()), pa.array(nodes, pa.list_(pa.int64()))], names=["id", "hash", "n", "class", "sign", "nodes"])
 
     return sketch
 
@@ -177,10 +171,13 @@ def _full_sets(size: int):
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)
         for batch in batches:
-            texts = null_to_empty(batch.column(1).to_pylist())
+            # Rows that repeat both id and text all come here; one of a batch is enough.
+            first = {c: i for i, c in reversed(list(enumerate(batch.column(0).to_pylist())))}
+            rows = batch.take(pa.array(sorted(first.values()), pa.int64()))
+            texts = null_to_empty(rows.column(1).to_pylist())
             for a, b in slices(texts):
                 found = [packed(s) for s in shingler.sets(texts[a:b])]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(found, pa.binary()), pa.array(map(mark, found), pa.binary())], names=["class", "shingles", "own"])
+                yield pa.RecordBatch.from_arrays([rows.column(0)[a:b], pa.array(found, pa.binary()), pa.array(map(mark, found), pa.binary())], names=["class", "shingles", "own"])
 
     return full
 
@@ -346,49 +343,57 @@ def _per_node(rows: DataFrame, work, schema: str, names: list[str], kinds: list[
 
 
 def _sets_of(rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """Rows (class, shingles) of the wanted (class, first)."""
-    one = rows.join(wanted, F.col("id").eqNullSafe(F.col("first"))).select("class", "text")
+    """Rows (class, shingles) of the wanted (class, sample): sample is (id, hash) of a text of the class. Other texts of that hash are found out."""
+    own = wanted.select("class", F.col("sample.id").alias("of"), F.col("sample.hash").alias("hash"))
+    one = rows.join(own, rows["id"].eqNullSafe(own["of"]) & (rows["hash"] == own["hash"])).select("class", "text")
     return one.mapInArrow(_full_sets(shingle), "class binary, shingles binary, own binary").where("own = class").select("class", "shingles").dropDuplicates(["class"])
 
 
 def link_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, small: int = SMALL) -> DataFrame:
     """A row per document: id_col, n_shingles, component_id (smallest id reachable over links), kept, class (of equal sets), copies."""
-    percent = round(100 * similarity)
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketched = materialize(rows.mapInArrow(_sketches(shingle, trees_for(similarity)), f"id {kind}, n long, class binary, sign binary, nodes array<long>"), "sketches")
+    percent, scratch = round(100 * similarity), Scratch(docs.sparkSession)
+    text = named(text_col).cast("string")
+    rows = docs.select(named(id_col).alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    schema = struct([rows.schema["id"]], "hash long, n long, class binary, sign binary, nodes array<long>")
+    sketched = scratch.save(rows.mapInArrow(_sketches(shingle, trees_for(similarity)), schema), "sketches")
     full = sketched.where("n > 0")
-    classes = materialize(full.groupBy("class").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.any_value("n").alias("n"), F.any_value("sign").alias("sign"), F.any_value("nodes").alias("nodes")), "classes")
+    classes = scratch.save(full.groupBy("class").agg(F.min("id").alias("first"), F.min(F.struct("id", "hash")).alias("sample"), F.count("*").alias("copies"), F.any_value("n").alias("n"), F.any_value("sign").alias("sign"), F.any_value("nodes").alias("nodes")), "classes")
     # Nodes of one class have nothing to compare; they go before any sketch is sent.
     nodes = _nodes(classes, small)
     shared = nodes.groupBy("node").agg(F.count("*").alias("count"), F.any_value("dealt").alias("dealt")).where("count > 1 or dealt is not null").select("node")
-    nodes = materialize(_with_class(nodes.join(shared, "node", "left_semi"), classes.select("class", "n", "sign")).select("node", "class", "dealt", "n", "sign"), "nodes")
-    found = materialize(_per_node(nodes, _forest(similarity), "node long, a binary, b binary", ["node", "a", "b"], [pa.int64(), pa.binary(), pa.binary()]), "candidates")
+    nodes = scratch.save(_with_class(nodes.join(shared, "node", "left_semi"), classes.select("class", "n", "sign")).select("node", "class", "dealt", "n", "sign"), "nodes")
+    found = scratch.save(_per_node(nodes, _forest(similarity), "node long, a binary, b binary", ["node", "a", "b"], [pa.int64(), pa.binary(), pa.binary()]), "candidates")
     pairs = found.select("a", "b").distinct()
-    # Full sets of the classes concerned, each from one of its texts; rows of one id may hold several.
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes.select("class", "first"), "class")
-    sets = materialize(_sets_of(rows, wanted, shingle), "sets")
+    # Full sets of the classes concerned, each from one of its texts.
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes.select("class", "sample"), "class")
+    sets = scratch.save(_sets_of(rows, wanted, shingle), "sets")
     both = pairs.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("y")), "b")
-    tried = materialize(both.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a binary, b binary, linked boolean"), "tried")
-    links = tried.where("linked").select("a", "b")
+    tried = scratch.save(both.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a binary, b binary, linked boolean"), "tried")
+    roots = components(tried.where("linked").select("a", "b"), "a", "b", scratch, "roots")
+    compared = ("a binary, b binary", ["a", "b"], [pa.binary(), pa.binary()])
+
+    def joined(more: DataFrame, name: str) -> DataFrame:
+        """Roots with more links: what is connected already is a star."""
+        return components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), "a", "b", scratch, name)
+
     failed = tried.where("not linked").select("a", "b")
-    roots = materialize(components(links, "a", "b"), "roots")
-    open_nodes = found.join(failed, ["a", "b"], "left_semi").select("node").distinct()
-    again = nodes.join(open_nodes, "node", "left_semi").join(sets, "class").join(roots.withColumnRenamed("node", "class"), "class", "left")
-    again = again.select("node", "class", "shingles", F.coalesce("root", "class").alias("root"))
-    links = links.unionByName(materialize(_per_node(again, _exhaustive(percent), "a binary, b binary", ["a", "b"], [pa.binary(), pa.binary()]), "links"))
-    roots = materialize(components(links, "a", "b"), "roots")
-    across = materialize(_across_blocks(nodes, roots, small), "across")
+    if not failed.isEmpty():
+        open_nodes = found.join(failed, ["a", "b"], "left_semi").select("node").distinct()
+        again = nodes.join(open_nodes, "node", "left_semi").join(sets, "class").join(roots.withColumnRenamed("node", "class"), "class", "left")
+        again = again.select("node", "class", "shingles", F.coalesce("root", "class").alias("root"))
+        roots = joined(_per_node(again, _exhaustive(percent), *compared), "roots-again")
+    scratch.drop("candidates", "tried", "sets")
+    across = scratch.save(_across_blocks(nodes, roots, small), "across")
     if not across.isEmpty():
-        wanted = across.select("class").distinct().join(classes.select("class", "first"), "class")
-        across = across.join(materialize(_sets_of(rows, wanted, shingle), "sets"), "class").select("node", "class", "shingles", "root")
-        links = links.unionByName(materialize(_per_node(across, _exhaustive(percent), "a binary, b binary", ["a", "b"], [pa.binary(), pa.binary()]), "links"))
-        roots = materialize(components(links, "a", "b"), "roots")
+        wanted = across.select("class").distinct().join(classes.select("class", "sample"), "class")
+        across = across.join(scratch.save(_sets_of(rows, wanted, shingle), "sets"), "class").select("node", "class", "shingles", "root")
+        roots = joined(_per_node(across, _exhaustive(percent), *compared), "roots-across")
+        scratch.drop("sets")
+    scratch.drop("nodes", "across")
     roots = roots.withColumnRenamed("node", "class")
-    joined = classes.select("class", "first", "copies").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    least = joined.groupBy("root").agg(F.min("first").alias("component"))
-    labels = joined.join(least, "root").select("class", "copies", "component")
+    placed = classes.select("class", "first", "copies").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    least = placed.groupBy("root").agg(F.min("first").alias("component"))
+    labels = placed.join(least, "root").select("class", "copies", "component")
     out = sketched.select("id", "n", "class").join(labels, "class", "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id").eqNullSafe(component), F.lit(False)).alias("kept"), "class", F.coalesce("copies", F.lit(1)).alias("copies"))
-

@@ -1,3 +1,41 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL of the queries that SQL can express, by name: sets of shingles, windows and pairs are compared all with all.
 
-ORACLES: dict[str, str] = {}
+The others rest on tokenizers, learned models or an iteration over held-out counts; tests compare them with brute force.
+"""
+
+from __future__ import annotations
+
+#: A-Z alone become small.
+_SMALL = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _components(links: str) -> str:
+    """Common table expressions ending in roots: for every node with a link the smallest node reachable."""
+    return f"reach as (select a as node, b as other from {links} union select r.node, l.b from reach r join {links} l on l.a = r.other),\nroots as (select node, least(node, min(other)) as root from reach group by node)"
+
+
+_WORDS = f"list_filter(string_split_regex({_SMALL.format('text')}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+_NEAR = f"""with recursive words as (select doc_id, {_WORDS} as w from documents),
+sets as (select doc_id, case when coalesce(len(w), 0) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) end as s from words),
+each as (select doc_id, len(s) as n, unnest(s) as s from sets),
+shared as (select a.doc_id as a, b.doc_id as b, any_value(a.n) as n, any_value(b.n) as m, count(*) as c from each a join each b on a.s = b.s and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id),
+links as (select a, b from shared where 100 * c >= 85 * (n + m - c)),
+{_components('links')}
+select doc_id, len(s)::bigint as n_shingles, coalesce(root, doc_id) as component_id, doc_id = coalesce(root, doc_id) as kept from sets left join roots on node = doc_id"""
+
+_SIGNS = f"list_filter(string_split_regex({_SMALL.format('text')}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
+_LEAKS = f"""with items as (select item_id, {_SIGNS} as w from benchmark where text is not null),
+windows as (select distinct item_id, least(len(w), 10) as m, unnest(case when len(w) < 10 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 8), lambda i: array_to_string(w[i:i + 9], ' ')) end) as t from items where len(w) > 0),
+docs as (select doc_id, coalesce({_SIGNS}, []) as w from documents),
+grams as (select doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') as t from (select doc_id, w, m, unnest(range(1, len(w) - m + 2)) as i from docs, (select distinct m from windows) where len(w) >= m)),
+found as (select g.doc_id, w.item_id, g.i, g.m from grams g join windows w on w.m = g.m and w.t = g.t),
+hit as (select doc_id, count(distinct at) as n_hit from (select doc_id, unnest(range(i, i + m)) as at from found) group by doc_id),
+listed as (select doc_id, count(*) as n_items, string_agg(item_id::varchar, ',' order by item_id::varchar) as ids from (select distinct doc_id, item_id from found) group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated from docs left join hit using (doc_id) left join listed using (doc_id)"""
+
+_VECTORS = f"""with recursive v as (select vec_id, embedding::double[] as x from embeddings where embedding is not null and len(embedding) > 0 and list_bool_and(list_transform(embedding, lambda c: coalesce(isfinite(c), false))) and list_bool_or(list_transform(embedding, lambda c: coalesce(c, 0) <> 0))),
+links as (select p.vec_id as a, q.vec_id as b from v p join v q on p.vec_id <> q.vec_id and len(p.x) = len(q.x) and list_cosine_similarity(p.x, q.x) >= 0.95),
+{_components('links')}
+select vec_id, (select count(*) from links where a = vec_id) as n_links, coalesce(root, vec_id) as component_id, vec_id = coalesce(root, vec_id) as kept from embeddings left join roots on node = vec_id"""
+
+ORACLES: dict[str, str] = {"op3_near_duplicates": _NEAR, "op5_decontamination": _LEAKS, "op9_vector_duplicates": _VECTORS}

@@ -17,15 +17,15 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .pieces import codec
-from .shared import null_to_empty, slices
+from .shared import byte_slices, named, struct
 
 #: Share of a sequence that the pieces of a class may leave empty before a document is cut instead.
 WASTE = 0.01
@@ -47,76 +47,78 @@ def cut_lengths(n: int, capacity: int, waste: float = WASTE) -> tuple[int, ...]:
 
 
 class Bins:
-    """Open bins of one worker. Rows are lists whose last two fields, sequence id and offset, are filled in here."""
+    """Open bins of one worker. Pieces are numbered in the order they come; only a bin that is complete gets a sequence id."""
 
     def __init__(self, capacity: int, base: int):
         self.capacity, self.next = capacity, base
-        self.open: dict[int, list[list]] = defaultdict(list)
+        self.open: dict[int, list[tuple]] = defaultdict(list)
 
-    def _close(self, rows: list[list]) -> list[list]:
-        at = 0
-        for row in rows:
-            row[5], row[6] = self.next, at
-            at += row[2]
+    def _close(self, pieces: list[tuple]) -> list[tuple]:
+        """The pieces with sequence id and offset."""
+        starts = [0, *accumulate(p[2] for p in pieces)]
+        out = [(*p, self.next, at) for p, at in zip(pieces, starts, strict=False)]
         self.next += 1
-        return rows
+        return out
 
-    def add(self, row: list) -> list[list]:
-        """The rows of the bin that this piece completes, if it does."""
-        k = self.capacity // row[2]
+    def add(self, piece: tuple) -> list[tuple]:
+        """The pieces of the bin that this one completes, if it does. A piece's third field is its length."""
+        k = self.capacity // piece[2]
         bin_ = self.open[k]
-        bin_.append(row)
+        bin_.append(piece)
         return self._close(self.open.pop(k)) if len(bin_) == k else []
 
-    def rest(self) -> list[list]:
-        rows = sorted((r for b in self.open.values() for r in b), key=lambda r: -r[2])
+    def rest(self) -> list[tuple]:
+        left = sorted((p for b in self.open.values() for p in b), key=lambda p: -p[2])
         self.open.clear()
         room: list[int] = []
-        bins: list[list[list]] = []
-        for row in rows:
-            i = next((i for i, free in enumerate(room) if free >= row[2]), None)
+        bins: list[list[tuple]] = []
+        for piece in left:
+            i = next((i for i, free in enumerate(room) if free >= piece[2]), None)
             if i is None:
                 i = len(room)
                 room.append(self.capacity)
                 bins.append([])
-            room[i] -= row[2]
-            bins[i].append(row)
-        return [r for b in bins for r in self._close(b)]
+            room[i] -= piece[2]
+            bins[i].append(piece)
+        return [p for b in bins for p in self._close(b)]
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """A row per piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with_ids the ids themselves."""
-    kind = docs.schema[id_col].dataType.simpleString()
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
-    end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = codec(vocabulary, with_ids=True)
         bins = Bins(capacity, TaskContext.get().partitionId() << 36)
         id_type = None
 
-        def batch_of(rows: list[list]) -> pa.RecordBatch:
-            columns = list(zip(*rows, strict=True)) or [[]] * 8
-            arrays = [pa.array(columns[0], id_type), *(pa.array(c, pa.int64()) for c in columns[1:7])]
+        def batch_of(pieces: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*pieces, strict=True)) or [()] * 8
+            keys, start, length, crc, total, parts, sequence, offset = columns
+            arrays = [pa.array(keys, id_type), *(pa.array(c, pa.int64()) for c in (start, length, crc, total, sequence, offset))]
             if with_ids:
-                arrays.append(pa.array([np.frombuffer(x, "<u4").tolist() for x in columns[7]], pa.list_(pa.int64())))
+                flat = np.concatenate([np.zeros(0, np.uint32), *parts]).astype(np.int64)
+                edges = np.concatenate([[0], np.cumsum(np.asarray(length, np.int64))]).astype(np.int32)
+                arrays.append(pa.ListArray.from_arrays(pa.array(edges), pa.array(flat)))
             return pa.RecordBatch.from_arrays(arrays, names=names[: len(arrays)])
 
         for batch in batches:
             id_type = batch.column(0).type
-            keys, texts = batch.column(0).to_pylist(), null_to_empty(batch.column(1).to_pylist())
-            for a, b in slices(texts):
-                done: list[list] = []
-                for key, ids in zip(keys[a:b], encoder.answers(texts[a:b]), strict=True):
-                    ids += end
-                    total, at = len(ids) // 4, 0
+            for a, b in byte_slices(batch.column(1)):
+                counts, ids = encoder.answers(batch.column(1)[a:b], end_id)
+                done: list[tuple] = []
+                first = 0
+                for key, total in zip(batch.column(0)[a:b].to_pylist(), counts.tolist(), strict=True):
+                    at = 0
                     for length in (*[capacity] * (total // capacity), *cut_lengths(total % capacity, capacity)):
-                        part = ids[4 * at : 4 * (at + length)]
-                        done += bins.add([key, at, length, zlib.crc32(part), total, None, None, part if with_ids else None])
+                        part = ids[first + at : first + at + length]
+                        # Open pieces outlive the slice: a copy holds their own ids only.
+                        done += bins.add((key, at, length, zlib.crc32(part), total, part.copy() if with_ids else None))
                         at += length
+                    first += total
                 yield batch_of(done)
         if id_type is not None:
             yield batch_of(bins.rest())
 
-    schema = f"`{id_col}` {kind}, " + ", ".join(f"{n} long" for n in names[1:7]) + (", ids array<long>" if with_ids else "")
-    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(pack, schema)
+    schema = struct([docs.schema[id_col]], ", ".join(f"{n} long" for n in names[1:7]) + (", ids array<long>" if with_ids else ""))
+    return docs.select(named(id_col), named(text_col).cast("string").alias("text")).mapInArrow(pack, schema)

@@ -43,7 +43,7 @@ def learned(rows: DataFrame, n: int, held_out: int) -> DataFrame:
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train_quality_model(learned(docs, 4, 2), labels=learned(table(spark, sf_dir, "labels"), 4, 2))
-    scored = score_quality(docs, model, "doc_id", "text", _held_out(4, 2))
+    scored = score_quality(docs, model, ["doc_id"], "text", _held_out(4, 2))
     return scored.withColumn("predicted", (F.col("score") >= LIKELY).cast("int"))
 
 
@@ -53,17 +53,17 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_near_duplicates(table(spark, sf_dir, "documents"), shingle=3, similarity=0.85).drop("class")
+    return link_near_duplicates(table(spark, sf_dir, "documents"), shingle=3, similarity=0.85).drop("class", "copies")
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     trees = train_language_model(learned(docs, 4, 2))
-    return score_languages(docs, trees, "doc_id", "text", _held_out(4, 2))
+    return score_languages(docs, trees, ["doc_id"], "text", _held_out(4, 2))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
     return found.drop("items", "spans")
 
 
@@ -88,7 +88,7 @@ def op9_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lexicon = train_toxicity(learned(docs, 3, 1), labels=learned(table(spark, sf_dir, "labels"), 3, 1))
-    scored = score_toxicity(docs, lexicon, "doc_id", "text", _held_out(3, 1))
+    scored = score_toxicity(docs, lexicon, ["doc_id"], "text", _held_out(3, 1))
     return scored.withColumn("predicted", (F.col("score") >= LIKELY).cast("int"))
 
 

@@ -12,12 +12,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pieces import codec
-from .shared import null_to_empty, slices
+from .shared import byte_slices, named, struct
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -26,12 +27,10 @@ def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = codec(vocabulary, with_ids=False)
         for batch in batches:
-            texts = null_to_empty(batch.column(1).to_pylist())
-            counts: list[int] = []
-            for a, b in slices(texts):
-                counts += encoder.answers(texts[a:b])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64())], names=[id_col, "n_bytes", "n_tokens"])
-
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"), F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long").alias("n_bytes"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(lengths, f"`{id_col}` {kind}, n_bytes long, n_tokens long")
+            counts = [encoder.answers(batch.column(1)[a:b])[0] for a, b in byte_slices(batch.column(1))]
+            n = np.concatenate([np.zeros(0, np.int64), *counts])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n)], names=[id_col, "n_bytes", "n_tokens"])
+
+    text = named(text_col).cast("string")
+    rows = docs.select(named(id_col), text.alias("text"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
+    return rows.mapInArrow(lengths, struct([docs.schema[id_col]], "n_bytes long, n_tokens long"))

@@ -9,7 +9,9 @@ where every record ends in one line feed: Spark's own writer puts the bytes down
 protocol, on any file system it knows, and its binary reader takes them up again. The document index
 holds ids and lengths of the documents that start in the file; the chunk index holds for every chunk
 its byte offset and first id. Files are in ascending order of document id (nulls first, equal ids by
-text); a partition starts a new file after RECORDS_PER_FILE records, so no file grows without bound.
+a hash of their text, then the text, so that rows which share an id, null included, are dealt to as many
+tasks as they need); a partition starts a new file after RECORDS_PER_FILE records, so no file grows without
+bound. Reading holds one chunk's ids and one slice of documents at a time beside the file's bytes.
 
 Null text counts as empty and gives the end id alone. An empty table writes no documents. Other
 columns are not read.
@@ -29,10 +31,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .pieces import codec
-from .shared import null_to_empty, slices
+from .shared import byte_slices, named, partitions_for
 
 CHUNK_IDS = 1 << 16
 RECORDS_PER_FILE = 512
+#: Ids, or 16 a document, that a batch of read documents holds.
+SLICE_IDS = 1 << 20
 _CHUNK, _FOOTER = struct.Struct("<4sBII"), struct.Struct("<4sQQQQQ")  # magic, kind, ids, mask | magic, two offsets, docs, ids, chunks
 _MAGIC = b"TBP1"
 _KINDS = {"byte": 8, "bit": 1}
@@ -84,22 +88,22 @@ class FileBuilder:
         return record
 
     def _chunk(self) -> bytes:
-        data = b"".join(self.pending)
-        now, later = data[: 4 * CHUNK_IDS], data[4 * CHUNK_IDS :]
-        self.pending, self.held = [later] if later else [], len(later) // 4
+        """The pending ids, of which there are no more than a chunk holds."""
+        now = np.concatenate(self.pending)
+        self.pending, self.held = [], 0
         self.chunks.append((self.at, self.ids))
-        self.ids += len(now) // 4
-        return self._put(encode_chunk(np.frombuffer(now, "<u4"), self.planes))
+        self.ids += len(now)
+        return self._put(encode_chunk(now, self.planes))
 
-    def add(self, key: int | None, ids: bytes) -> Iterator[bytes]:
+    def add(self, key: int | None, ids: np.ndarray) -> Iterator[bytes]:
         if len(self.chunks) >= self.records - 4:
             yield from self.close()
-        self.docs.append((key is not None, key or 0, len(ids) // 4))
-        while ids:
-            room = 4 * (CHUNK_IDS - self.held)
-            self.pending.append(ids[:room])
-            self.held += len(self.pending[-1]) // 4
-            ids = ids[room:]
+        self.docs.append((key is not None, key or 0, len(ids)))
+        while len(ids):
+            # A copy, so that what is pending doesn't hold its whole slice.
+            self.pending.append(ids[: CHUNK_IDS - self.held].copy())
+            ids = ids[CHUNK_IDS - self.held :]
+            self.held += len(self.pending[-1])
             if self.held == CHUNK_IDS:
                 yield self._chunk()
 
@@ -107,7 +111,7 @@ class FileBuilder:
         """The rest of the file. Empty records bring it to its full count, so that the writer starts the next file here."""
         if not self.docs:
             return
-        while self.held:
+        if self.held:
             yield self._chunk()
         count = len(self.chunks)
         press = zstandard.ZstdCompressor()
@@ -128,22 +132,22 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int,
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, file = codec(vocabulary, with_ids=True), FileBuilder(planes, records)
-        end = np.asarray([end_id], dtype="<u4").tobytes()
 
         def rows(found: list[bytes]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["record"])
 
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), null_to_empty(batch.column(1).to_pylist())
-            for a, b in slices(texts):
+            for a, b in byte_slices(batch.column(1)):
                 out: list[bytes] = []
-                for key, ids in zip(keys[a:b], encoder.answers(texts[a:b]), strict=True):
-                    out += file.add(key, ids + end)
+                counts, ids = encoder.answers(batch.column(1)[a:b], end_id)
+                for key, part in zip(batch.column(0)[a:b].to_pylist(), np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+                    out += file.add(key, part)
                 yield rows(out)
         yield rows(list(file.close()))
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    records_ = rows.repartitionByRange("id").sortWithinPartitions("id", "text").mapInArrow(build, "record binary")
+    rows = docs.select(named(id_col).cast("long").alias("id"), named(text_col).cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
+    dealt = rows.repartitionByRange(partitions_for(docs), "id", "mark").sortWithinPartitions("id", "mark", "text").select("id", "text")
+    records_ = dealt.mapInArrow(build, "record binary")
     records_.select(F.col("record").cast("string")).write.option("maxRecordsPerFile", records).option("compression", "none").text(path)
 
 
@@ -205,14 +209,26 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
             for path_, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 yield pa.RecordBatch.from_pydict({"path": [path_], "place": [_order(path_)], "ids": [_footer(content.as_py())[3]]})
 
+    n = 6 if with_ids else 5
+    names = ["path", "doc_id", "at", "n_tokens", "ids_crc32", "ids"][:n]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())][:n]
+
+    def slices_of(path_: str, content: bytes) -> Iterator[list[tuple]]:
+        rows, held = [], 0
+        for key, start, ids in _documents(content):
+            rows.append((path_, key, start, len(ids), zlib.crc32(np.ascontiguousarray(ids, "<u4")), ids.tolist() if with_ids else None)[:n])
+            held += 16 + (len(ids) if with_ids else 0)
+            if held >= SLICE_IDS:
+                yield rows
+                rows, held = [], 0
+        if rows:
+            yield rows
+
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path_, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows = [(path_, key, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), ids.tolist() if with_ids else None) for key, start, ids in _documents(content.as_py())]
-                columns = list(zip(*rows, strict=True))
-                kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-                n = 6 if with_ids else 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns[:n], kinds, strict=False)], names=["path", "doc_id", "at", "n_tokens", "ids_crc32", "ids"][:n])
+                for rows in slices_of(path_, content.as_py()):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     files = _files(spark, path)
     before = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)

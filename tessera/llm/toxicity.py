@@ -7,8 +7,9 @@ and word beginnings that toxic texts hold far more often than others, weighted b
 with such a word that only other texts hold are exceptions: matches inside them don't count.
 
 The score is a logistic function, fitted on the same rows, of the matched weight and of the weight per
-word. Training takes a bounded sample, TRAIN_DOCS a class, drawn by a hash of the id, of texts up to
-TRAIN_TEXT_BYTES; scoring takes whole texts in one pass without a shuffle.
+word. Training takes a bounded sample, `train_docs` a class, drawn by a hash of the id; a text of over
+`train_chars` characters goes in as one slice of that length from a place that its hash chooses. Scoring
+takes whole texts in one pass without a shuffle.
 
 Null and empty texts match nothing; without labels of both classes every score is 0; repeated rows
 score alike; other columns are not read.
@@ -20,19 +21,17 @@ import math
 import unicodedata
 from bisect import bisect_right
 from collections import Counter, defaultdict
-from collections.abc import Iterator
 from itertools import accumulate
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
-from .shared import labelled_sample, null_to_empty
+from .shared import labelled_sample, per_text
 
 TRAIN_DOCS = 2_000
-TRAIN_TEXT_BYTES = 1 << 16
+TRAIN_CHARS = 1 << 16
 #: An entry follows so many different words in toxic texts at least (copies of one text don't make a word toxic), and has these log odds.
 LEAST_PLACES, LEAST_LOG_ODDS = 5, 3.0
 BEGINNINGS = (4, 5, 6)
@@ -163,24 +162,19 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
     return w
 
 
-def train_toxicity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_docs: int = TRAIN_DOCS, labels: DataFrame | None = None) -> Lexicon:
+def train_toxicity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_docs: int = TRAIN_DOCS, labels: DataFrame | None = None, train_chars: int = TRAIN_CHARS) -> Lexicon:
     """labels: a table of (id_col, label_col), where docs don't hold the label themselves."""
-    sample, counts = labelled_sample(docs, labels, id_col, text_col, label_col, train_docs, TRAIN_TEXT_BYTES, "toxicity")
+    sample, counts = labelled_sample(docs, labels, id_col, text_col, label_col, train_docs, train_chars, "toxicity")
     if sample is None or len(counts) < 2:
         return Lexicon({})
     return learn_lexicon([(r["text"], r["label"]) for r in sample.toLocalIterator()], counts[1] / sum(counts.values()))
 
 
-def score_toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
-    """A row per document: id_col, `more`, score."""
-    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col), *more)
-    kept = [f for f in rows.schema if f.name != "text"]
+def score_toxicity(docs: DataFrame, lexicon: Lexicon, kept: list[str], text_col: str = "text", *more: Column) -> DataFrame:
+    """A row per document: the kept columns, `more`, score."""
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scorer():
         automaton = lexicon.automaton()
-        for batch in batches:
-            scores = [lexicon.score(lexicon.features(automaton, fold(t))) for t in null_to_empty(batch.column(0).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores, pa.float64())], names=[*batch.schema.names[1:], "score"])
+        return lambda texts: [pa.array([lexicon.score(lexicon.features(automaton, fold(t.as_py()))) for t in texts], pa.float64())]
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", score double"
-    return rows.mapInArrow(score, schema)
+    return per_text(docs, text_col, kept, scorer, "score double", more)

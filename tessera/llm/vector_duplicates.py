@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import materialize, rate_of
+from .shared import Scratch, named, rate_of
 
 BLOCKS, LEAF, MAX_CELLS, SAMPLE = 8, 4096, 4096, 20_000
 #: Rows of a tile that meets the residents, and pairs whose cosines are computed at a time.
@@ -249,32 +249,32 @@ def _join(cells: Cells, dim: int):
 
 def link_vectors(vectors: DataFrame, cosine: float, id_col: str = "vec_id", vector_col: str = "embedding", blocks: int = BLOCKS, leaf: int = LEAF) -> DataFrame:
     """A row per vector: id_col, n_links (other vectors linked directly), component_id (smallest id reachable), kept."""
-    spark = vectors.sparkSession
-    kind = vectors.schema[id_col].dataType.simpleString()
-    v = F.col(vector_col)
+    spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession)
+    kind = vectors.schema[id_col].dataType
+    v = named(vector_col)
     usable = F.coalesce((F.size(v) > 0) & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(v, lambda c: c != 0), F.lit(False))
-    rows = vectors.select(F.col(id_col).alias("id"), F.when(usable, v).alias("vector"))
+    rows = vectors.select(named(id_col).alias("id"), F.when(usable, v).alias("vector"))
     # One key per distinct vector: its smallest id may be null or repeated, so the key is a number of its own.
     classes = rows.where("vector is not null").groupBy("vector").agg(F.min("id").alias("first"), F.count("*").alias("weight")).withColumn("key", F.monotonically_increasing_id())
-    classes = materialize(classes.withColumn("dim", F.size("vector")), "vectors")
+    classes = scratch.save(classes.withColumn("dim", F.size("vector")), "vectors")
     met = []
     sizes = classes.groupBy("dim").count().collect()
     for dim, total in ((r["dim"], r["count"]) for r in sizes):
         own = classes.where(F.col("dim") == dim)
-        picked = own.where(rate_of(F.col("key"), "cells") < min(1.0, SAMPLE / total)).select("vector").collect()
+        picked = own.where(rate_of("cells", "key") < min(1.0, SAMPLE / total)).select("vector").collect()
         cells = Cells(dim, np.array([r["vector"] for r in picked], dtype=np.float64).reshape(-1, dim), cosine, total, blocks, leaf)
         homes = own.select("vector").mapInArrow(_homes(cells, dim), "block long, cell long, n long").groupBy("block", "cell").agg(F.sum("n").alias("n")).collect()
         salts = {(r["block"], r["cell"]): 1 + (r["n"] - 1) // (2 * leaf) for r in homes if r["n"] > 2 * leaf}
         element = classes.schema["vector"].dataType.simpleString()
         dealt = own.select("key", "weight", "vector").mapInArrow(_deal(cells, dim, salts), f"spot long, visitor boolean, key long, weight long, vector {element}")
-        met.append(materialize(dealt.repartition("spot").sortWithinPartitions("spot", "visitor").mapInArrow(_join(cells, dim), "a long, b long, n long"), "met"))
+        met.append(scratch.save(dealt.repartition("spot").sortWithinPartitions("spot", "visitor").mapInArrow(_join(cells, dim), "a long, b long, n long"), f"met-{dim}"))
     if not met:
         met = [spark.createDataFrame([], "a long, b long, n long")]
     found = met[0]
     for more in met[1:]:
         found = found.unionByName(more)
     counts = found.groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "key")
-    roots = components(found.where("b is not null").select("a", "b"), "a", "b").withColumnRenamed("node", "key")
+    roots = components(found.where("b is not null").select("a", "b"), "a", "b", scratch, "roots").withColumnRenamed("node", "key")
     joined = classes.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = joined.groupBy("root").agg(F.min("first").alias("component"))
     labels = joined.join(least, "root").join(counts, "key", "left").select("vector", "component", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))

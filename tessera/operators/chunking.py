@@ -1,78 +1,188 @@
-"""Overlapping sentence-aware chunks of whole documents.
+"""Overlapping chunks of whole documents along sentences, with the pages they span.
 
-Sentences are split by a built-in expression; the greedy fold over them depends on every earlier
-choice, so it is one Arrow-batched function per document. No shuffle: a document is one row.
+Pages are stitched to one text; built-in expressions cut it into sentences and measure them. Where a
+chunk ends depends on every chunk before it, so one Arrow function per document finds the boundaries,
+on lengths alone: running sums and a search for the place where the next chunk is full. Texts stay in
+the JVM, which cuts the chunks out by place. A document is one row; there is no shuffle but the one that
+brings a document's pages together.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+
+from tessera.functions import text as T
 
-# Characters of a chunk, its hard limit, its overlap, and the shortest remainder of its own.
+# Characters of a chunk, its hard limit, its overlap, and the shortest remainder of its own; where sentences part.
 TARGET, LIMIT, OVERLAP, REMAINDER = 800, 1600, 150, 200
-SENTENCE_END = r"(?<=[.!?…])\s+(?=[A-ZÇĞİÖŞÜ0-9(])"
-
-
-def _wrapped(sentence: str) -> Iterator[str]:
-    if len(sentence) <= TARGET:
-        yield sentence
-        return
-    line = ""
-    for word in sentence.split():
-        if line and len(line) + len(word) + 1 > TARGET:
-            yield line
-            line = word
-        else:
-            line = f"{line} {word}" if line else word
-    if line:
-        yield line
-
-
-def fold(sentences: list[str]) -> list[str]:
-    chunks: list[str] = []
-    held: list[str] = []
-    size = 0
-
-    def flush() -> None:
-        nonlocal held, size
-        chunks.append(" ".join(held).strip())
-        tail, room = [], 0
-        for s in reversed(held):
-            if room >= OVERLAP:
-                break
-            tail.insert(0, s)
-            room += len(s) + 1
-        held = tail if len(tail) < len(held) else []
-        size = sum(len(s) + 1 for s in held)
-
-    for piece in (p for s in sentences for p in _wrapped(s)):
-        if held and size + len(piece) > LIMIT:
-            flush()
-        held.append(piece)
-        size += len(piece) + 1
-        if size >= TARGET:
-            flush()
-    if held:
-        rest = " ".join(held)
-        if chunks and len(rest) < REMAINDER:
-            chunks[-1] = f"{chunks[-1]} {rest}".strip()
+SENTENCE_GAP = r"(?<=[.!?…])\s+(?=[A-ZÇĞİÖŞÜ0-9(])"
+
+
+def wrap(words: np.ndarray, width: int = TARGET) -> list[int]:
+    """Lengths of the lines that words of these lengths fill, each word with the space behind it; a line takes one word at least."""
+    ends = np.concatenate([[0], np.cumsum(words + 1)])
+    lines, at = [], 0
+    while at < len(words):
+        stop = max(at + 1, int(np.searchsorted(ends, ends[at] + width, side="right")) - 1)
+        lines.append(int(ends[stop] - ends[at]) - 1)
+        at = stop
+    return lines
+
+
+def chunk_ranges(sizes: np.ndarray) -> tuple[list[tuple[int, int]], int]:
+    """Ranges of pieces that make full chunks, and where the remainder begins.
+
+    A piece weighs its length and one. A chunk is full with the piece that brings it to TARGET; if that piece
+    would bring it beyond LIMIT, the chunk ends before it. The next chunk begins with the shortest run of
+    pieces at the end of this one that weighs OVERLAP, unless that is all of it.
+    """
+    reach = np.concatenate([[0], np.cumsum(sizes + 1)])
+
+    def behind(a: int, b: int) -> int:
+        t = int(np.searchsorted(reach, reach[b] - OVERLAP, side="right")) - 1
+        return t if t > a else b
+
+    found: list[tuple[int, int]] = []
+    a = b = 0
+    while b < len(sizes):
+        filling = max(int(np.searchsorted(reach, reach[a] + TARGET)) - 1, b)
+        if filling >= len(sizes):
+            break
+        if filling > a and reach[filling + 1] - 1 - reach[a] > LIMIT:
+            found.append((a, filling))
+            a = behind(a, filling)
+        b = filling + 1
+        if reach[b] - reach[a] >= TARGET:
+            found.append((a, b))
+            a = behind(a, b)
+    return found, a
+
+
+def places(words: list[np.ndarray], gaps: np.ndarray) -> list[dict]:
+    """Chunks of a text as character ranges. words: lengths of the words of each sentence, or one length for a short one; gaps between sentences.
+
+    start and stop bound the chunk, tail is where a short remainder that joins it begins, and last the place that tells its last page.
+    """
+    sizes, starts, at = [], [], 0
+    for sentence, gap in zip(words, [*gaps, 0], strict=True):
+        lines = [int(sentence[0])] if len(sentence) == 1 else wrap(np.asarray(sentence, np.int64))
+        for line in lines:
+            sizes.append(line)
+            starts.append(at)
+            at += line + 1
+        at += int(gap) - 1
+    n = np.asarray(sizes, np.int64)
+    ranges, rest = chunk_ranges(n)
+    out = [{"start": starts[a], "stop": starts[b - 1] + sizes[b - 1], "tail": None, "last": starts[b - 1] + sizes[b - 1] - 1} for a, b in ranges]
+    if rest < len(sizes):
+        end = starts[-1] + sizes[-1]
+        if out and int((n[rest:] + 1).sum()) - 1 < REMAINDER:
+            out[-1] |= {"tail": starts[rest], "tail_stop": end, "last": starts[-1]}
         else:
-            chunks.append(rest.strip())
-    return chunks
+            out.append({"start": starts[rest], "stop": end, "tail": None, "last": end - 1})
+    return [{"tail_stop": None, **c} for c in out]
+
+
+_PLACES = ArrayType(StructType([StructField(n, IntegerType()) for n in ("start", "stop", "tail", "tail_stop", "last")]))
+
+
+@F.pandas_udf(_PLACES)
+def _places(words: pd.Series, gaps: pd.Series) -> pd.Series:
+    return pd.Series([None if w is None else places(list(w), g) for w, g in zip(words, gaps, strict=True)])
+
+
+def sentences(text: Column) -> Column:
+    return F.split(text, SENTENCE_GAP)
+
 
+def sentence_lines(text: Column) -> Column:
+    """Sentences, those of over TARGET characters wrapped word by word into lines; for texts short enough for one row of lines."""
+    return F.flatten(F.transform(sentences(text), lambda s: F.when(F.length(s) <= TARGET, F.array(s)).otherwise(_lines(s))))
 
-@F.pandas_udf(ArrayType(StringType()))
-def _folded(sentences: pd.Series) -> pd.Series:
-    return sentences.map(lambda s: [] if s is None else fold([x for x in s if x]))
 
+def _lines(sentence: Column) -> Column:
+    start = F.struct(F.array().cast("array<string>").alias("full"), F.lit(None).cast("string").alias("line"))
 
-def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id_col, ordinal, chunk_id, text). Null, empty and blank texts have no chunks."""
-    body = F.trim(F.regexp_replace(F.col(text_col), r"\s+", " "))
-    found = docs.select(id_col, F.posexplode(_folded(F.split(body, SENTENCE_END))).alias("ordinal", "text"))
-    return found.select(id_col, "ordinal", F.format_string("%s#%04d", F.col(id_col).cast("string"), F.col("ordinal")).alias("chunk_id"), "text")
+    def step(state: Column, word: Column) -> Column:
+        over = state["line"].isNotNull() & (F.length(state["line"]) + F.length(word) + 2 > TARGET)
+        return F.struct(F.when(over, F.array_append(state["full"], state["line"])).otherwise(state["full"]).alias("full"), F.when(over | state["line"].isNull(), word).otherwise(F.concat_ws(" ", state["line"], word)).alias("line"))
+
+    return F.aggregate(F.split(sentence, " "), start, step, lambda state: F.array_append(state["full"], state["line"]))
+
+
+def page_offsets(pages: DataFrame, doc: str = "doc", page: str = "page_no", text_col: str = "text") -> DataFrame:
+    """The pages with `start`, their place in the stitched text: one space stands between two pages."""
+    before = Window.partitionBy(doc).orderBy(page).rowsBetween(Window.unboundedPreceding, -1)
+    return pages.withColumn("start", F.coalesce(F.sum(F.length(text_col) + 1).over(before), F.lit(0)).cast("int"))
+
+
+def stitch(pages: DataFrame, doc: str = "doc", page: str = "page_no", text_col: str = "text", method: str = "method") -> DataFrame:
+    """A row per document: doc, body, starts and methods of its pages in order."""
+    ordered = page_offsets(pages.withColumn(text_col, F.coalesce(F.col(text_col), F.lit(""))), doc, page, text_col)
+    held = F.array_sort(F.collect_list(F.struct(F.col(page).alias("no"), F.col("start").alias("start"), F.col(text_col).alias("text"), F.col(method).alias("method"))))
+    rows = ordered.groupBy(doc).agg(held.alias("held"))
+    return rows.select(doc, F.array_join("held.text", " ").alias("body"), F.col("held.start").alias("starts"), F.col("held.method").alias("methods"))
+
+
+def page_at(starts: Column, offset: Column) -> Column:
+    """Number, from 1, of the page that a place of the stitched text lies on."""
+    return F.size(F.filter(starts, lambda s: s <= offset))
+
+
+def page_of_offsets(offsets: DataFrame, pages: DataFrame, doc: str = "doc", page: str = "page_no", offset: str = "offset") -> DataFrame:
+    """As-of join: the offsets with the page that begins last at or before them. pages: rows (doc, page, start)."""
+    found = offsets.join(pages.select(doc, F.col(page).alias("page_no"), "start"), doc).where(F.col("start") <= F.col(offset))
+    return found.groupBy(doc, offset).agg(F.max_by("page_no", "start").alias("page_no"))
+
+
+def chunk_stitched(docs: DataFrame, doc: str = "doc") -> DataFrame:
+    """Chunks (doc, ordinal, chunk_id, page_start, page_end, method, text) of rows (doc, body, starts, methods). Empty texts have none.
+
+    The method is that of the chunk's pages, or mixed; a remainder that joins a chunk moves its last page, not its method.
+    """
+    rows = docs.where(F.length("body") > 0)
+    lengths = F.transform(sentences(F.col("body")), lambda s: F.when(F.length(s) <= TARGET, F.array(F.length(s))).otherwise(F.transform(F.split(s, " "), lambda w: F.length(w))))
+    gaps = F.transform(F.regexp_extract_all("body", F.lit(SENTENCE_GAP), F.lit(0)), lambda g: F.length(g))
+    found = rows.withColumn("place", _places(lengths, gaps)).select("*", F.posexplode("place").alias("ordinal", "at")).drop("place")
+    cut = lambda a, b: F.regexp_replace(F.substring("body", a + 1, b - a), SENTENCE_GAP, " ")
+    at = F.col("at")
+    text = cut(at["start"], at["stop"])
+    text = F.when(at["tail"].isNull(), text).otherwise(T.stripped(F.concat(text, F.lit(" "), cut(at["tail"], at["tail_stop"]))))
+    first, full, last = page_at(F.col("starts"), at["start"]), page_at(F.col("starts"), at["stop"] - 1), page_at(F.col("starts"), at["last"])
+    methods = F.array_distinct(F.slice("methods", first, full - first + 1))
+    return found.select(
+        doc,
+        "ordinal",
+        F.format_string("%s#%04d", T.stem(F.col(doc).cast("string")), F.col("ordinal")).alias("chunk_id"),
+        first.alias("page_start"),
+        last.alias("page_end"),
+        F.when(F.size(methods) == 1, methods[0]).otherwise("mixed").alias("method"),
+        text.alias("text"),
+    )
+
+
+def chunk_pages(pages: DataFrame, doc: str = "doc", page: str = "page_no", text_col: str = "text", method: str = "method") -> DataFrame:
+    """Chunks of documents given by pages, whose texts are normalised first."""
+    return chunk_stitched(stitch(pages.withColumn(text_col, T.normalize(F.col(text_col))), doc, page, text_col, method), doc)
+
+
+def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", method: str = "text_layer") -> DataFrame:
+    """Chunks of documents of one page each. Null, empty and blank texts have none."""
+    rows = docs.select(id_col, T.normalize(F.col(text_col)).alias("body"), F.array(F.lit(0)).alias("starts"), F.array(F.lit(method)).alias("methods"))
+    return chunk_stitched(rows, id_col)
+
+
+def without_chunks(docs: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
+    """Documents that gave no chunk."""
+    return docs.join(chunks.select(key).distinct(), key, "left_anti")
+
+
+def require_chunks(docs: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
+    """The chunks; an error names a document that gave none."""
+    if missing := without_chunks(docs.select(key), chunks, key).head(1):
+        raise ValueError(f"document {missing[0][0]} has no text")
+    return chunks

@@ -1,4 +1,4 @@
-"""Exact top-k by cosine: blocks of queries against all vectors, k per batch, then k overall."""
+"""Exact top-k by cosine: declarative for question sets that may be broadcast, by blocks of matrix products for larger ones."""
 
 from __future__ import annotations
 
@@ -7,49 +7,89 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Queries that one pass takes; more queries take more passes.
 QUERY_BLOCK = 4096
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    length = np.linalg.norm(x, axis=1, keepdims=True)
-    return np.divide(x, length, out=np.zeros_like(x), where=length > 0)
+def usable(vector: Column) -> Column:
+    """A vector that has a direction: there, without null or non-finite components, not zero."""
+    return F.coalesce((F.size(vector) > 0) & F.forall(vector, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(vector, lambda c: c != 0), F.lit(False))
 
 
-def search_dense(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """Rows (query_id, rank, id_col, score). A query doesn't find its own id; ties go to the smaller id. Null vectors are not searched."""
-    rows = vectors.select(id_col, vector_col).where(F.col(vector_col).isNotNull())
-    asked = queries.select(id_col, vector_col).where(F.col(vector_col).isNotNull()).orderBy(id_col).toLocalIterator()
-    parts, block = [], []
+def unit(vector: Column) -> Column:
+    """In double precision, of length 1."""
+    x = F.transform(vector, lambda c: c.cast("double"))
+    length = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, c: s + c * c))
+    return F.transform(x, lambda c: c / length)
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """Of two unit vectors."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, c: s + c)
+
+
+def top_k(scored: DataFrame, k: int, query_id: str, id_col: str) -> DataFrame:
+    """Rows (query_id, rank, id_col, score): best first, ties to the smaller id."""
+    order = Window.partitionBy(query_id).orderBy(F.col("score").desc(), id_col)
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(query_id, "rank", id_col, "score")
+
+
+def search_dense(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "query_id", query_vector: str = "embedding", exclude: DataFrame | None = None) -> DataFrame:
+    """Rows (query_id, rank, id_col, score), scores rounded to 9 places. Vectors without a direction, or of another length than the query's, are not found.
+
+    queries: rows (query_id, query_vector) that fit a broadcast; every vector is scored where it lies, and k rows a query leave a task.
+    exclude: rows (query_id, id_col) that are not to be found.
+    """
+    rows = vectors.where(usable(F.col(vector_col))).select(id_col, unit(F.col(vector_col)).alias("of_row"))
+    asked = queries.where(usable(F.col(query_vector))).select(query_id, unit(F.col(query_vector)).alias("of_query"))
+    pairs = rows.join(F.broadcast(asked), F.size("of_row") == F.size("of_query"))
+    if exclude is not None:
+        pairs = pairs.join(exclude.select(query_id, id_col), [query_id, id_col], "left_anti")
+    return top_k(pairs.select(query_id, id_col, F.round(cosine(F.col("of_row"), F.col("of_query")), 9).alias("score")), k, query_id, id_col)
+
+
+def search_dense_blocks(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
+    """Rows (query_id, rank, id_col, score) like search_dense, for many queries, whose ids are of the table: none finds itself.
+
+    A block of queries is on the driver at a time and goes with the tasks of one pass, k rows a batch come back.
+    """
+    rows = vectors.where(usable(F.col(vector_col))).select(id_col, vector_col)
+    asked = queries.where(usable(F.col(vector_col))).select(id_col, vector_col).orderBy(id_col).toLocalIterator()
+    parts, held = [], []
     for q in asked:
-        block.append(q)
-        if len(block) == QUERY_BLOCK:
-            parts.append(rows.mapInArrow(_search(block, k), f"query_id long, {id_col} long, score double"))
-            block = []
-    if block or not parts:
-        parts.append(rows.mapInArrow(_search(block, k), f"query_id long, {id_col} long, score double"))
-    found = reduce(DataFrame.unionByName, parts)
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), id_col)
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", id_col, "score")
+        held.append(q)
+        if len(held) == block:
+            parts.append(rows.mapInArrow(_search(held, k), f"query_id long, {id_col} long, score double"))
+            held = []
+    if held or not parts:
+        parts.append(rows.mapInArrow(_search(held, k), f"query_id long, {id_col} long, score double"))
+    return top_k(reduce(DataFrame.unionByName, parts), k, "query_id", id_col)
 
 
 def _search(block: list, k: int):
-    keys = np.array([q[0] for q in block], np.int64)
-    unit = _unit(np.array([q[1] for q in block], np.float64).reshape(len(block), -1))
+    by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for n in {len(q[1]) for q in block}:
+        own = [q for q in block if len(q[1]) == n]
+        x = np.array([q[1] for q in own], np.float64)
+        by_size[n] = np.array([q[0] for q in own], np.int64), x / np.linalg.norm(x, axis=1, keepdims=True)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = np.asarray(batch.column(0))
-            if not len(ids) or not len(keys):
-                continue
-            scores = np.round(unit @ _unit(np.asarray(batch.column(1).flatten(), np.float64).reshape(len(ids), -1)).T, 9)
-            scores[keys[:, None] == ids] = -np.inf
-            order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
-            best = np.take_along_axis(scores, order, 1)
-            kept = np.isfinite(best)
-            yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(keys[:, None], best.shape)[kept]), pa.array(ids[order][kept]), pa.array(best[kept])], names=["query_id", batch.schema.names[0], "score"])
+            sizes = np.diff(batch.column(1).offsets.to_numpy())
+            for n, (keys, asked) in by_size.items():
+                own = batch.take(pa.array(np.flatnonzero(sizes == n)))
+                if not own.num_rows:
+                    continue
+                ids = np.asarray(own.column(0))
+                x = np.asarray(own.column(1).flatten(), np.float64).reshape(-1, n)
+                scores = np.round(asked @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, 9)
+                scores[keys[:, None] == ids] = -np.inf
+                order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
+                best = np.take_along_axis(scores, order, 1)
+                kept = np.isfinite(best)
+                yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(keys[:, None], best.shape)[kept]), pa.array(ids[order][kept]), pa.array(best[kept])], names=["query_id", batch.schema.names[0], "score"])
 
     return search

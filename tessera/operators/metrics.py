@@ -1,33 +1,195 @@
-"""Retrieval and refusal metrics as aggregations."""
+"""Retrieval, refusal and answer metrics as aggregations."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Depths of the recall curve.
+CURVE = (1, 3, 5, 10)
+#: Bins of scores whose counts one task adds up; scores within a bin are added up in as many tasks as there are.
+BINS = 4096
+
+
+def anchor_ranks(anchors: DataFrame, hits: DataFrame, query_id: str = "query_id") -> DataFrame:
+    """The anchors (query_id, doc, quote) with `rank` of the first hit of their document that holds their quote, at any depth; null if none."""
+    near = anchors.join(hits.select(query_id, "doc", F.col("rank").alias("at"), "text"), [query_id, "doc"], "left")
+    good = F.when(F.col("text").contains(F.col("quote")), F.col("at"))
+    return near.groupBy(query_id, "doc", "quote").agg(F.min(good).alias("rank"))
+
+
+def missing_anchors(ranked: DataFrame, k: int) -> DataFrame:
+    return ranked.where(F.coalesce(F.col("rank") > k, F.lit(True)))
+
+
+def relevant_hits(hits: DataFrame, anchors: DataFrame, query_id: str = "query_id") -> DataFrame:
+    """The hits with `relevant`: some anchor of the question is of their document and in their text."""
+    own = anchors.groupBy(query_id, "doc").agg(F.collect_set("quote").alias("quotes"))
+    return hits.join(own, [query_id, "doc"], "left").withColumn("relevant", F.coalesce(F.exists("quotes", lambda q: F.col("text").contains(q)), F.lit(False))).drop("quotes")
+
 
 def ranking_metrics(hits: DataFrame, k: int, query_id: str = "query_id") -> DataFrame:
-    """hits: (query_id, rank, relevant). Per query: precision (of k, not of what came back), reciprocal rank, first relevant rank."""
-    first = F.min(F.when(F.col("relevant"), F.col("rank")))
-    return hits.where(F.col("rank") <= k).groupBy(query_id).agg((F.count_if("relevant") / k).alias("precision"), F.coalesce(1 / first, F.lit(0.0)).alias("reciprocal_rank"), first.alias("first_rank"))
+    """hits: (query_id, rank, relevant). Per query: precision (of k, not of what came back), reciprocal rank within k, first relevant rank at any depth."""
+    good, within = F.col("relevant"), F.col("rank") <= k
+    first = F.min(F.when(good & within, F.col("rank")))
+    return hits.groupBy(query_id).agg((F.count_if(good & within) / k).alias("precision"), F.coalesce(1 / first, F.lit(0.0)).alias("reciprocal_rank"), F.min(F.when(good, F.col("rank"))).alias("first_rank"))
+
+
+def recall_curve(ranked: DataFrame, depths: Sequence[int] = CURVE, query_id: str = "query_id") -> DataFrame:
+    """Rows (query_id, recall_1, ...): share of the anchors found at each depth, out of one ranking."""
+    return ranked.groupBy(query_id).agg(*(F.avg(F.coalesce(F.col("rank") <= k, F.lit(False)).cast("int")).alias(f"recall_{k}") for k in depths))
+
+
+def grouped_means(per_query: DataFrame, groups: Sequence[str], measures: Sequence[str]) -> DataFrame:
+    """Means over everything, and over each value of each group, in one pass: the group's columns are null where a row isn't of it. No rows: one row of zeros."""
+    sets = [[], *([g] for g in groups)]
+    return per_query.groupingSets([[F.col(g) for g in s] for s in sets], *groups).agg(F.count("*").alias("n"), *(F.coalesce(F.avg(m), F.lit(0.0)).alias(m) for m in measures))
+
+
+def mean_of(per_query: DataFrame, measure: str, ids: Sequence, query_id: str = "query_id") -> DataFrame:
+    """One row: the mean over a fixed list of questions, 0 if none is there."""
+    return per_query.agg(F.coalesce(F.avg(F.when(F.col(query_id).isin(list(ids)), F.col(measure))), F.lit(0.0)).alias(measure))
+
+
+def top_scores(questions: DataFrame, hits: DataFrame, query_id: str = "query_id") -> DataFrame:
+    """Rows (query_id, top_score): the first hit's score, 0 without hits."""
+    top = hits.where("rank = 1").select(query_id, F.col("score").alias("top_score"))
+    return questions.select(query_id).join(top, query_id, "left").withColumn("top_score", F.coalesce("top_score", F.lit(0.0)))
 
 
 def auc(rows: DataFrame, positive: Column, score: Column) -> DataFrame:
-    """One row (n_pos, n_neg, auc), ties half; 0 where a side is empty. Works on counts per score, so ties cost nothing."""
-    per = rows.select(positive.alias("p"), score.alias("s")).where("p is not null and s is not null").groupBy("s").agg(F.count_if("p").alias("pos"), F.count_if(~F.col("p")).alias("neg"))
-    return _auc(per)
+    """One row (n_pos, n_neg, auc), ties half; 0 where a side is empty.
+
+    Works on counts per score. Scores are dealt to bins in order of value, and negatives below a score are
+    counted within its bin and over the bins before it, so no task orders all scores but that of BINS numbers.
+    """
+    per = rows.select(positive.alias("p"), score.cast("double").alias("s")).where("p is not null and s is not null").groupBy("s").agg(F.count_if("p").alias("pos"), F.count_if(~F.col("p")).alias("neg"))
+    bounds = per.agg(F.min("s").alias("low"), F.max("s").alias("high"))
+    # A bin is a stretch of values, so equal scores share one, and order among bins is order among scores.
+    share = F.coalesce(F.try_divide(F.col("s") - F.col("low"), F.col("high") - F.col("low")), F.lit(0.0))
+    binned = per.crossJoin(F.broadcast(bounds)).withColumn("bin", F.least(F.floor(share * BINS), F.lit(BINS - 1)).cast("int")).drop("low", "high")
+    before = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = binned.groupBy("bin").agg(F.sum("neg").alias("bin_neg")).withColumn("earlier", F.coalesce(F.sum("bin_neg").over(before), F.lit(0))).drop("bin_neg")
+    inside = Window.partitionBy("bin").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    placed = binned.withColumn("below", F.coalesce(F.sum("neg").over(inside), F.lit(0))).join(F.broadcast(bins), "bin")
+    wins = F.sum(F.col("pos") * (F.col("earlier") + F.col("below") + F.col("neg") / 2))
+    n_pos, n_neg = F.coalesce(F.sum("pos"), F.lit(0)), F.coalesce(F.sum("neg"), F.lit(0))
+    return placed.agg(n_pos.alias("n_pos"), n_neg.alias("n_neg"), F.coalesce(F.try_divide(wins, n_pos * n_neg), F.lit(0.0)).alias("auc"))
+
+
+def overlap(rows: DataFrame, positive: Column, score: Column) -> DataFrame:
+    """One row: negatives that score at least what the lowest positive does."""
+    lowest = rows.where(positive).agg(F.min(score).alias("lowest"))
+    return rows.crossJoin(F.broadcast(lowest)).agg(F.count_if(~positive & (score >= F.col("lowest"))).alias("overlap"))
+
+
+def summary(rows: DataFrame, value: Column) -> DataFrame:
+    """One row: least, mean, median and largest value."""
+    return rows.agg(F.min(value).alias("least"), F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("median"), F.max(value).alias("most"))
+
+
+def repeated_summary(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """Summary over groups of the median of each group's repeats."""
+    return summary(rows.groupBy(group).agg(F.percentile(value, F.lit(0.5)).alias("of_group")), F.col("of_group"))
 
 
-def _auc(per: DataFrame) -> DataFrame:
-    per.createOrReplaceTempView("_scores")
-    return per.sparkSession.sql(
-        """with below as (select s, pos, neg, coalesce(sum(neg) over (order by s rows between unbounded preceding and 1 preceding), 0) as less from _scores)
-        select coalesce(sum(pos), 0) as n_pos, coalesce(sum(neg), 0) as n_neg,
-        case when coalesce(sum(pos) * sum(neg), 0) = 0 then 0D else sum(pos * (less + neg / 2)) / (sum(pos) * sum(neg)) end as auc from below"""
-    )
+def paired_auc(rows: DataFrame, positive: Column, first: Column, second: Column) -> DataFrame:
+    """One row comparing two scores on the same questions: both AUCs over pairs (positive, negative), their difference, and the pairs that only one orders rightly.
+
+    For evaluation sets; every pair is looked at, on the side of the larger class where it lies.
+    """
+    judged = rows.select(positive.alias("p"), first.alias("a"), second.alias("b")).where("p is not null")
+    pos = judged.where("p").select(F.col("a").alias("a1"), F.col("b").alias("b1"))
+    neg = judged.where("not p").select(F.col("a").alias("a0"), F.col("b").alias("b0"))
+    won = lambda x, y: F.when(x > y, 1.0).when(x == y, 0.5).otherwise(0.0)
+    pairs = pos.crossJoin(neg).select(won(F.col("a1"), F.col("a0")).alias("a"), won(F.col("b1"), F.col("b0")).alias("b"))
+    mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
+    return pairs.agg(mean("a").alias("auc_first"), mean("b").alias("auc_second"), (mean("a") - mean("b")).alias("delta"), F.count_if((F.col("a") == 1) & (F.col("b") < 1)).alias("only_first"), F.count_if((F.col("a") < 1) & (F.col("b") == 1)).alias("only_second"))
+
+
+def paired_bootstrap(rows: DataFrame, positive: Column, first: Column, second: Column, rounds: int = 5000, seed: int = 0) -> DataFrame:
+    """One row (low, high): where 95 of 100 differences of the two AUCs lie when both classes are drawn again with replacement.
+
+    A row is drawn as often as a hash of round, class and draw falls on it, so a run repeats itself; a round is one group of the class sizes.
+    """
+    import numpy as np
+    import pandas as pd
+
+    judged = rows.select(positive.alias("p"), first.cast("double").alias("a"), second.cast("double").alias("b")).where("p is not null").collect()
+    sides = [np.array([(r.a, r.b) for r in judged if r.p is want], float).reshape(-1, 2) for want in (True, False)]
+
+    def area(x: np.ndarray, y: np.ndarray) -> float:
+        return float(((x[:, None] > y[None]) + 0.5 * (x[:, None] == y[None])).mean()) if len(x) and len(y) else 0.0
+
+    def draw(batches):
+        for batch in batches:
+            out = []
+            for i in batch["id"]:
+                rng = np.random.default_rng([seed, int(i)])
+                x, y = (s[rng.integers(0, len(s), len(s))] if len(s) else s for s in sides)
+                out.append(area(x[:, 0], y[:, 0]) - area(x[:, 1], y[:, 1]))
+            yield pd.DataFrame({"delta": out})
+
+    deltas = rows.sparkSession.range(rounds).mapInPandas(draw, "delta double")
+    order = Window.orderBy("delta")
+    placed = deltas.withColumn("place", F.row_number().over(order) - 1)
+    at = lambda share: F.max(F.when(F.col("place") == min(int(share * rounds), rounds - 1), F.col("delta")))
+    return placed.agg(at(0.025).alias("low"), at(0.975).alias("high"))
 
 
 def confusion(rows: DataFrame, positive: Column, score: Column, threshold: float) -> DataFrame:
     """One row: true_accept, false_accept, false_refuse, true_refuse at score >= threshold."""
     accepted = score >= threshold
     return rows.agg(F.count_if(positive & accepted).alias("true_accept"), F.count_if(~positive & accepted).alias("false_accept"), F.count_if(positive & ~accepted).alias("false_refuse"), F.count_if(~positive & ~accepted).alias("true_refuse"))
+
+
+def best_thresholds(rows: DataFrame, positive: Column, score: Column) -> DataFrame:
+    """One row: the observed score of the highest accuracy (of equals the lowest), that accuracy, and the least threshold that accepts no negative."""
+    per = rows.select(positive.alias("p"), score.cast("double").alias("s")).where("p is not null and s is not null").groupBy("s").agg(F.count_if("p").alias("pos"), F.count_if(~F.col("p")).alias("neg"))
+    from_here = Window.orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    right = F.sum("pos").over(from_here) + F.sum("neg").over(everything) - F.sum("neg").over(from_here)
+    tried = per.select("s", "neg", (right / F.sum(F.col("pos") + F.col("neg")).over(everything)).alias("accuracy"))
+    clean = F.coalesce(F.max(F.when(F.col("neg") > 0, F.col("s"))) + 1e-9, F.min("s"))
+    return tried.agg(F.max_by("s", F.struct("accuracy", -F.col("s"))).alias("threshold"), F.max("accuracy").alias("accuracy"), clean.alias("no_false_accept"))
+
+
+def answer_labels(results: DataFrame) -> DataFrame:
+    """The results (expected, refused, content_ok, gated) with `label` and `stage` of a refusal."""
+    answerable = F.col("expected") == "answer"
+    label = F.when(~answerable & ~F.col("refused"), "fabricated").when(~answerable, "correct_refusal").when(F.col("refused"), "needless_refusal").when(F.coalesce("content_ok", F.lit(False)), "correct").otherwise("wrong")
+    return results.withColumn("label", label).withColumn("stage", F.when(F.col("refused"), F.when(F.col("gated"), "stage1").otherwise("stage2")))
+
+
+def abstention_matrix(labelled: DataFrame) -> DataFrame:
+    """One row: how often each label occurs, and the refusals of either stage."""
+    names = ("fabricated", "correct_refusal", "needless_refusal", "correct", "wrong")
+    return labelled.agg(F.count("*").alias("n"), *(F.count_if(F.col("label") == x).alias(x) for x in names), *(F.count_if(F.coalesce(F.col("stage") == s, F.lit(False))).alias(s) for s in ("stage1", "stage2")))
+
+
+def rate(hit: Column, of: Column) -> list[Column]:
+    """hit, total and percent; no percent of nothing."""
+    n, total = F.count_if(hit & of), F.count_if(of)
+    return [n.alias("hit"), total.alias("total"), F.try_divide(100 * n, total).alias("percent")]
+
+
+def judge_report(results: DataFrame, by: str) -> DataFrame:
+    """Per group: answers that the checks and the judge hold for right, those that the judge didn't decide, and disagreements. results: (det_ok, judge_verdict)."""
+    said = F.col("judge_verdict")
+    right = said == "right"
+    return results.groupBy(by).agg(F.count("*").alias("n"), F.count_if("det_ok").alias("by_checks"), F.count_if(F.coalesce(right, F.lit(False))).alias("by_judge"), F.count_if(said.isNull()).alias("undecided"), F.count_if(F.coalesce(right != F.col("det_ok"), F.lit(False))).alias("disagreed"))
+
+
+def paired_difference(before: DataFrame, after: DataFrame, measure: str, query_id: str = "query_id", least: float = 1e-9) -> DataFrame:
+    """Rows (query_id, before, after, difference) of the questions whose measure changed."""
+    both = before.select(query_id, F.col(measure).alias("before")).join(after.select(query_id, F.col(measure).alias("after")), query_id)
+    return both.withColumn("difference", F.col("after") - F.col("before")).where(F.abs("difference") > least)
+
+
+def best_by(rows: DataFrame, name: str, order: str, *keys: str) -> DataFrame:
+    """One row (name, n_tied): the row with the greatest keys, of equals the first in `order`, and how many share them."""
+    most = F.max(F.struct(*keys))
+    tied = rows.join(F.broadcast(rows.agg(most.alias("most"))), F.struct(*keys) == F.col("most"))
+    return tied.agg(F.min_by(name, order).alias(name), F.count("*").alias("n_tied"))

@@ -1,136 +1,9 @@
-"""Queries over the standard tables, with the SQL that gives the same rows. Two have none: chunks is a sequential fold,
-and DuckDB's edit distance counts bytes where character_errors counts characters; tests compare them with brute force."""
+"""All queries over the standard tables and the literal ones, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from tessera.plans import answering, evaluation, retrieval, texts
 
-from tessera.functions.text import error_rate, numbers, tokens
-from tessera.operators.chunking import chunk_documents
-from tessera.operators.dense import search_dense
-from tessera.operators.fusion import DEPTH, fuse
-from tessera.operators.lexical import postings, search_bm25, statistics, term_weights
-from tessera.operators.metrics import auc, confusion, ranking_metrics
-from tessera.operators.routing import route_pages
-from tessera.sources.tables import read_table
-
-K = 5
-
-
-def page_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return route_pages(read_table(spark, sf_dir, "documents")).select("doc_id", "reason", "needs_ocr")
-
-
-def routing_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return route_pages(read_table(spark, sf_dir, "documents")).groupBy("reason").agg(F.count("*").alias("n"))
-
-
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk_documents(read_table(spark, sf_dir, "documents"))
-
-
-def term_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return postings(read_table(spark, sf_dir, "documents"))
-
-
-def inverse_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    return term_weights(postings(docs), statistics(docs)).withColumn("idf", F.round("idf", 6))
-
-
-def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search_bm25(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), K)
-    return found.withColumn("score", F.round("score", 6))
-
-
-def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, items = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
-    found = fuse(search_bm25(docs, items, DEPTH), search_bm25(docs, items, DEPTH, pattern="split"), K, "item_id", "doc_id")
-    return found.withColumn("score", F.round("score", 6))
-
-
-def _dense(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    vectors = read_table(spark, sf_dir, "embeddings")
-    return vectors, search_dense(vectors, vectors.where("vec_id % 50 = 0"), K)
-
-
-def dense_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _dense(spark, sf_dir)[1].withColumn("score", F.round("score", 6))
-
-
-def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors, found = _dense(spark, sf_dir)
-    asked = vectors.select(F.col("vec_id").alias("query_id"), F.col("label").alias("wanted"))
-    hits = found.join(vectors.select("vec_id", "label"), "vec_id").join(asked, "query_id").withColumn("relevant", F.col("label") == F.col("wanted"))
-    return ranking_metrics(hits, K).select("query_id", F.round("precision", 6).alias("precision"), F.round("reciprocal_rank", 6).alias("reciprocal_rank"), "first_rank")
-
-
-def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "labels").join(read_table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
-
-
-def score_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = auc(_judged(spark, sf_dir), F.col("quality") == 1, F.col("n_chars"))
-    return found.select(F.col("n_pos").cast("long").alias("n_pos"), F.col("n_neg").cast("long").alias("n_neg"), F.round("auc", 6).alias("auc"))
-
-
-def threshold_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return confusion(_judged(spark, sf_dir), F.col("quality") == 1, F.col("n_chars"), 1000)
-
-
-def character_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = read_table(spark, sf_dir, "benchmark")
-    later = items.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("reference"))
-    return items.join(later, "item_id").select("item_id", F.round(error_rate(F.col("text"), F.col("reference")), 6).alias("cer"))
-
-
-def text_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents").select("doc_id", F.size(numbers(F.col("text"))).cast("long").alias("n_numbers"), F.size(tokens(F.col("text"), "split")).cast("long").alias("n_tokens"))
-
-
-QUERIES = {f.__name__: f for f in (page_routing, routing_reasons, chunks, term_frequencies, inverse_frequencies, bm25_search, hybrid_search, dense_search, retrieval_metrics, score_auc, threshold_confusion, character_errors, text_numbers)}
-
-_KEEP = r"[\p{L}\p{N}_]+(?:[.,/:\-][\p{L}\p{N}_]+)*"
-_SPLIT = r"[\p{L}\p{N}_]+"
-
-
-def _tokens(pattern: str, column: str = "text") -> str:
-    return f"regexp_extract_all(replace(lower({column}), chr(775), ''), '{pattern}')"
-
-
-def _bm25(pattern: str, k: int, p: str = "") -> str:
-    """Common table expressions ending in {p}ranked."""
-    return f"""{p}tok as (select doc_id, {_tokens(pattern)} as t from documents),
-    {p}post as (select doc_id, term, count(*) as tf, max(length) as length from (select doc_id, len(t) as length, unnest(t) as term from {p}tok) group by all),
-    {p}idf as (select term, count(*) as df, ln(1 + ((select count(*) from documents) - count(*) + 0.5::double) / (count(*) + 0.5::double)) as idf from {p}post group by term),
-    {p}ask as (select item_id, term, count(*) as asked from (select item_id, unnest({_tokens(pattern)}) as term from benchmark) group by all),
-    {p}sc as (select item_id, doc_id, sum(asked * idf * tf * 2.5::double / (tf + 1.5::double * (0.25::double + 0.75::double * length / (select avg(len(t)) from {p}tok)))) as score from {p}ask join {p}idf using (term) join {p}post using (term) group by all),
-    {p}ranked as (select item_id, doc_id, score, row_number() over (partition by item_id order by round(score, 9) desc, doc_id) as rank from {p}sc qualify rank <= {k})"""
-
-
-_REASON = r"""case when length(b) < 120 then 'no_text' when regexp_matches(b, '\(cid:\d+\)') then 'broken_font'
-when (length(b) - length(translate(b, 'ðþýÐÞÝ', ''))) / greatest(length(b), 1) > 0.001 or regexp_matches(b, 'â€.|Ã[\x{80}-\x{ff}]') then 'mojibake'
-when len(regexp_extract_all(b, '[\x{0}-\x{8}\x{e}-\x{1b}\x{7f}-\x{84}\x{86}-\x{9f}\x{e000}-\x{f8ff}]')) / greatest(length(b), 1) > 0.005 then 'garbage_chars' else 'text_layer' end"""
-_ROUTED = rf"select doc_id, {_REASON} as reason from (select doc_id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') as b from documents)"
-_DENSE = f"""hits as (select q.vec_id as query_id, v.vec_id, q.label as wanted, v.label, round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 9) as score,
-row_number() over (partition by q.vec_id order by round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 9) desc, v.vec_id) as rank
-from embeddings q join embeddings v on q.vec_id % 50 = 0 and q.vec_id <> v.vec_id qualify rank <= {K})"""
-_JUDGED = "judged as (select quality, n_chars from labels join documents using (doc_id))"
-
-ORACLES = {
-    "page_routing": f"select doc_id, reason, reason <> 'text_layer' as needs_ocr from ({_ROUTED})",
-    "routing_reasons": f"select reason, count(*) as n from ({_ROUTED}) group by reason",
-    "term_frequencies": f"with {_bm25(_KEEP, K)} select doc_id, term, tf, length::int as length from post",
-    "inverse_frequencies": f"with {_bm25(_KEEP, K)} select term, df, round(idf, 6) as idf from idf",
-    "bm25_search": f"with {_bm25(_KEEP, K)} select item_id, rank::int as rank, doc_id, round(score, 6) as score from ranked",
-    "hybrid_search": f"""with {_bm25(_KEEP, 20, "x_")}, {_bm25(_SPLIT, 20, "y_")},
-    f as (select coalesce(a.item_id, b.item_id) as item_id, coalesce(a.doc_id, b.doc_id) as doc_id, a.rank::int as first_rank, b.rank::int as second_rank, coalesce(2::double / (10 + a.rank), 0) + coalesce(1::double / (10 + b.rank), 0) as score from x_ranked a full join y_ranked b on a.item_id = b.item_id and a.doc_id = b.doc_id),
-    r as (select *, row_number() over (partition by item_id order by round(score, 12) desc, first_rank nulls last, second_rank nulls last) as rank from f qualify rank <= {K})
-    select item_id, rank::int as rank, doc_id, round(score, 6) as score, first_rank, second_rank from r""",
-    "dense_search": f"with {_DENSE} select query_id, rank::int as rank, vec_id, round(score, 6) as score from hits",
-    "retrieval_metrics": f"with {_DENSE} select query_id, round(count(*) filter (label = wanted) / {K}::double, 6) as precision, round(coalesce(1::double / min(rank) filter (label = wanted), 0), 6) as reciprocal_rank, (min(rank) filter (label = wanted))::int as first_rank from hits group by query_id",
-    "score_auc": f"with {_JUDGED}, r as (select quality, rank() over (order by n_chars) + (count(*) over (partition by n_chars) - 1) / 2::double as rk from judged) select count(*) filter (quality = 1) as n_pos, count(*) filter (quality = 0) as n_neg, round((sum(rk) filter (quality = 1) - count(*) filter (quality = 1) * (count(*) filter (quality = 1) + 1) / 2::double) / (count(*) filter (quality = 1) * count(*) filter (quality = 0)), 6) as auc from r",
-    "threshold_confusion": f"with {_JUDGED} select count(*) filter (quality = 1 and n_chars >= 1000) as true_accept, count(*) filter (quality <> 1 and n_chars >= 1000) as false_accept, count(*) filter (quality = 1 and n_chars < 1000) as false_refuse, count(*) filter (quality <> 1 and n_chars < 1000) as true_refuse from judged",
-    "text_numbers": rf"select doc_id, len(list_distinct(regexp_extract_all(regexp_replace(lower(text), '(\d)[.,](\d)', '\1.\2', 'g'), '\d+(?:\.\d+)?'))) as n_numbers, len({_tokens(_SPLIT)}) as n_tokens from documents",
-}
+_PARTS = (texts, retrieval, answering, evaluation)
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}

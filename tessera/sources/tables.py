@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -15,7 +16,16 @@ def write_index(chunks: DataFrame, path: str) -> None:
 
 
 def read_index(spark: SparkSession, path: str, variant: str, model: str) -> DataFrame:
-    found = spark.read.parquet(path).where(f"variant = '{variant}' and model = '{model}'")
-    if found.isEmpty():
-        raise FileNotFoundError(f"no index of variant {variant} and model {model} under {path}: write one with write_index")
-    return found
+    """One index; an error where there is none."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        found = spark.read.parquet(path).where((F.col("variant") == F.lit(variant)) & (F.col("model") == F.lit(model)))
+        if not found.isEmpty():
+            return found
+    raise FileNotFoundError(f"no index of variant {variant} and model {model} under {path}: write one with write_index")
+
+
+def index_facts(index: DataFrame) -> DataFrame:
+    """Rows (variant, model, documents, chunks, ocr_chunks, dim): what an index holds."""
+    ocr = F.count_if(F.col("method") != "text_layer")
+    return index.groupBy("variant", "model").agg(F.countDistinct("doc").alias("documents"), F.count("*").alias("chunks"), ocr.alias("ocr_chunks"), F.max(F.size("embedding")).alias("dim"))

@@ -17,6 +17,7 @@ from tessera.llm.near_duplicates import CHILDREN, COORDINATES, MISSED, branches,
 from tessera.llm.packing import pack_documents
 from tessera.llm.quality import score_quality, train_quality_model
 from tessera.llm.queries import vocabulary
+from tessera.llm.shared import Scratch
 from tessera.llm.token_counts import count_tokens
 from tessera.llm.token_files import decode_chunk, encode_chunk, read_token_files, write_token_files
 from tessera.llm.toxicity import score_toxicity, train_toxicity
@@ -60,9 +61,9 @@ def _roots(nodes, links):
 
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 120)] + [(7, 7)]
-    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long"), "a", "b", Scratch(spark), "roots").collect()}
     assert got == _roots({x for p in links for x in p}, links)
-    assert components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+    assert components(spark.createDataFrame([], "a long, b long"), "a", "b", Scratch(spark), "roots").count() == 0
 
 
 @pytest.mark.parametrize("size,percent,small", [(3, 85, 1000), (5, 80, 1000), (3, 85, 3)])
@@ -198,10 +199,12 @@ def test_token_files(spark, docs, rows, tmp_path):
     write_token_files(docs, f"file://{tmp_path}/t", path, 1)
     at = 0
     read = read_token_files(spark, f"file://{tmp_path}/t", with_ids=True).orderBy("start").collect()
-    for r, (i, text) in zip(read, sorted(((i, t or "") for i, t, *_ in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1])), strict=True):
-        ids = [*library.encode(text, add_special_tokens=False).ids, 1]
-        assert (r.doc_id, r.start, r.ids) == (i, at, ids) and r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
-        at += len(ids)
+    wanted = Counter((i, *library.encode(t or "", add_special_tokens=False).ids, 1) for i, t, *_ in rows)
+    assert Counter((r.doc_id, *r.ids) for r in read) == wanted
+    assert [r.doc_id for r in read] == sorted((i for i, *_ in rows), key=lambda i: (i is not None, i or 0))
+    for r in read:
+        assert r.start == at and r.n_tokens == len(r.ids) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+        at += len(r.ids)
     for planes in ("byte", "bit"):
         x = np.random.default_rng(0).integers(0, 50_000, 1001).astype(np.uint32)
         assert (decode_chunk(encode_chunk(x, planes)) == x).all()
@@ -209,8 +212,8 @@ def test_token_files(spark, docs, rows, tmp_path):
 
 def test_decontamination(spark, docs, rows):
     source = rows[30][1].split()
-    items = [(1, " ".join(source[:12])), (2, "nowhere to be found"), (3, None), (4, "Two words!")]
-    got = decontaminate(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    items = [(1, " ".join(source[:12])), (2, "nowhere to be found"), (3, None), (4, "Two words!"), (None, "no id"), (None, None)]
+    got = decontaminate(docs, spark.createDataFrame(items, "item_id long, text string"), ["doc_id"]).collect()
     assert len(got) == len(rows)
     for r in got:
         words = (next(t for i, t, *_ in rows if i == r.doc_id) or "").lower().split()
@@ -222,7 +225,7 @@ def test_decontamination(spark, docs, rows):
                 for a in range(len(words) - len(window) + 1):
                     if words[a : a + len(window)] == window:
                         hit |= set(range(a, a + len(window)))
-                        found.add(item)
+                        found |= {str(item)} - {"None"}
         assert (r.n_words, r.n_hit, sorted(r.items), r.contaminated) == (len(words), len(hit), sorted(found), bool(hit))
 
 
@@ -232,15 +235,15 @@ def test_learned_scores(spark, docs):
     made = [(i, " ".join(rng.choice(good if i % 2 else bad) for _ in range(30)), "aa" if i % 2 else "bb", i % 2) for i in range(200)]
     learned = spark.createDataFrame(made, "doc_id long, text string, lang string, label int")
     model = train_quality_model(learned, label_col="label")
-    assert all((r.score > 0.5) == (r.doc_id % 2 == 1) for r in score_quality(learned, model).collect())
+    assert all((r.score > 0.5) == (r.doc_id % 2 == 1) for r in score_quality(learned, model, ["doc_id"]).collect())
     trees = train_language_model(learned)
-    assert all(r.lang_pred == ("aa" if r.doc_id % 2 else "bb") for r in score_languages(learned, trees).collect())
+    assert all(r.lang_pred == ("aa" if r.doc_id % 2 else "bb") for r in score_languages(learned, trees, ["doc_id"]).collect())
     lexicon = train_toxicity(learned, label_col="label")
-    assert all((r.score > 0.5) == (r.doc_id % 2 == 1) for r in score_toxicity(learned, lexicon).collect())
+    assert all((r.score > 0.5) == (r.doc_id % 2 == 1) for r in score_toxicity(learned, lexicon, ["doc_id"]).collect())
     nothing = spark.createDataFrame([], "doc_id long, text string, lang string, label int")
-    for found in (score_quality(docs, train_quality_model(nothing, label_col="label")), score_languages(docs, train_language_model(nothing)), score_toxicity(docs, train_toxicity(nothing, label_col="label"))):
+    for found in (score_quality(docs, train_quality_model(nothing, label_col="label"), ["doc_id"]), score_languages(docs, train_language_model(nothing), ["doc_id"]), score_toxicity(docs, train_toxicity(nothing, label_col="label"), ["doc_id"])):
         assert found.count() == docs.count() and all(0 <= r.score <= 1 for r in found.collect())
-    assert {r.lang_pred for r in score_languages(docs, trees).collect() if r.doc_id in (1, 2, 3)} == {"und"}
+    assert {r.lang_pred for r in score_languages(docs, trees, ["doc_id"]).collect() if r.doc_id in (1, 2, 3)} == {"und"}
 
 
 def test_pipeline_gives_token_ids(spark, docs, rows):
