@@ -212,7 +212,7 @@ ORACLES = {
     select depth, constant, weight, item_id, (row_number() over (partition by depth, constant, weight, item_id order by round(score, 12) desc, a nulls last, b nulls last))::int as rank, doc_id, round(score, 6) as score from s qualify rank <= 3""",
     "rerank_search": f"""with {fused_sql(RERANK_DEPTH)}, {_RERANKED} select item_id, rank, round(rs, 6) as score, doc_id, 'doc-' || doc_id::varchar as doc, 1 as page_start, 1 as page_end, 'text_layer' as method,
     round(dense_score, 6) as dense_score, dense_rank, round(bm25_score, 6) as bm25_score, bm25_rank, round(rs, 6) as rerank_score, candidate_rank from reranked""",
-    "named_retrievers": f"""with {rankings_sql(RERANK_DEPTH)}, r as (select item_id, doc_id, rs, row_number() over (partition by item_id order by round(rs, 9) desc, rank) as rank from (select d.*, {_SIGMOID} as rs from d join documents using (doc_id)) qualify rank <= {K})
+    "named_retrievers": f"""with {rankings_sql(RERANK_DEPTH)}, r as (select item_id, doc_id, rs, row_number() over (partition by item_id order by round(rs, 9) desc, before) as rank from (select item_id, doc_id, d.rank as before, {_SIGMOID} as rs from d join documents using (doc_id)) qualify rank <= {K})
     select 'dense' as retriever, item_id, rank::int as rank, doc_id, round(score, 6) as score from d where rank <= {K} union all select 'bm25', item_id, rank::int, doc_id, round(score, 6) from b where rank <= {K} union all select 'rerank', item_id, rank::int, doc_id, round(rs, 6) from r""",
     "embedded_items": f"select item_id, {', '.join(f'round(({_LETTERS[i]} / {_LENGTH})::float::double, 5) as x{i}' for i in (0, 4, 14))} from benchmark",
     "previews": "select doc_id, case when length(text) > 300 then left(text, 300) || '…' else text end as preview from documents",

@@ -166,9 +166,9 @@ def _chunks_sql(pages: str) -> str:
     return f"""{pages}, {_STARTS},
     body as (select doc, string_agg(text, ' ' order by page_no) as body, list(start order by page_no) as page_starts, list(method order by page_no) as methods from starts group by doc),
     parts as (select doc, unnest({_CUT.format("body")}) as p, generate_subscripts({_CUT.format("body")}, 1) as i from body where length(body) > 0),
-    placed as (select *, coalesce(sum(length(p)) over (partition by doc order by i rows between unbounded preceding and 1 preceding), 0) as at from parts),
-    wrapped as (select doc, i, at, unnest(w) as p, generate_subscripts(w, 1) as j from (select doc, i, at, {_WRAP} as w from placed where i % 2 = 1)),
-    pieces as (select doc, p, length(p)::int as l, row_number() over (partition by doc order by i, j) as n, (at + coalesce(sum(length(p) + 1) over (partition by doc, i order by j rows between unbounded preceding and 1 preceding), 0))::int as o from wrapped),
+    placed as (select *, coalesce(sum(length(p)) over (partition by doc order by i rows between unbounded preceding and 1 preceding), 0) as spot from parts),
+    wrapped as (select doc, i, spot, unnest(w) as p, generate_subscripts(w, 1) as j from (select doc, i, spot, {_WRAP} as w from placed where i % 2 = 1)),
+    pieces as (select doc, p, length(p)::int as l, row_number() over (partition by doc order by i, j) as n, (spot + coalesce(sum(length(p) + 1) over (partition by doc, i order by j rows between unbounded preceding and 1 preceding), 0))::int as o from wrapped),
     held as (select doc, count(*) as n, list(p order by n) as ps, list(o order by n) as os from pieces group by doc),
     fold as (
         select doc, 1::bigint as i, []::int[] as buf, []::struct(f bigint, s bigint)[] as done from held

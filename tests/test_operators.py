@@ -1,11 +1,12 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.functions.text import error_rate, normalize, page_label
 from tessera.operators.answers import citations, grounding_gate, score_gate
-from tessera.operators.chunking import LIMIT, TARGET, fold
+from tessera.operators.chunking import LIMIT, TARGET, chunk_documents, chunk_pages, wrap
 from tessera.operators.metrics import auc
 from tessera.operators.routing import route_pages
-from tessera.streaming.upserts import replace_documents
+from tessera.streaming.upserts import Store, replace_documents, upsert_stream
 
 
 def test_routes(spark):
@@ -15,11 +16,35 @@ def test_routes(spark):
     assert got == {1: "no_text", 2: "no_text", 3: "text_layer", 4: "broken_font", 5: "mojibake", 6: "mojibake", 7: "garbage_chars"}
 
 
-def test_fold_keeps_every_word_and_the_limit():
+def _chunks_of(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    found = {i: [] for i in range(len(texts))}
+    for r in chunk_documents(rows).orderBy("doc_id", "ordinal").collect():
+        found[r.doc_id].append(r)
+    return list(found.values())
+
+
+def test_chunks_keep_every_sentence_and_the_limit(spark):
     sentences = [f"Sentence {i} " + "word " * (i % 37) + "end." for i in range(200)]
-    chunks = fold(sentences)
-    assert all(len(c) <= LIMIT + TARGET for c in chunks) and all(any(s in c for c in chunks) for s in sentences)
-    assert fold([]) == [] and fold(["x" * 3000]) == ["x" * 3000]
+    many, none, blank, word, short = _chunks_of(spark, [" ".join(sentences), None, " \n ", "x" * 3000, "One. Two."])
+    texts = [c.text for c in many]
+    assert all(len(c) <= LIMIT + TARGET for c in texts) and all(any(s in c for c in texts) for s in sentences)
+    assert [c.chunk_id for c in many[:2]] == ["0#0000", "0#0001"]
+    assert none == [] and blank == [] and [c.text for c in word] == ["x" * 3000] and [c.text for c in short] == ["One. Two."]
+
+
+def test_lines_count_the_space_behind_each_word():
+    assert wrap(np.array([399, 400, 50])) == [399, 451]
+    assert wrap(np.array([900, 1])) == [900, 1] and wrap(np.array([], int)) == []
+
+
+def test_chunks_tell_their_pages(spark):
+    text = " ".join(["A sentence of the page."] * 40)
+    pages = spark.createDataFrame([("d.pdf", n, text, m) for n, m in ((1, "text_layer"), (2, "ocr_raw"), (3, "ocr_raw"))], "doc string, page_no int, text string, method string")
+    got = chunk_pages(pages).orderBy("ordinal").collect()
+    assert got[0].chunk_id == "d#0000" and (got[0].page_start, got[-1].page_end) == (1, 3)
+    assert {c.method for c in got} == {"text_layer", "mixed", "ocr_raw"}
+    assert all(c.page_start <= c.page_end for c in got)
 
 
 def test_gates_and_citations(spark):
@@ -53,3 +78,34 @@ def test_small_functions(spark):
     assert auc(spark.createDataFrame([], "p boolean, s double"), F.col("p"), F.col("s")).first()["auc"] == 0
     old, new = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), spark.createDataFrame([(2, "c")], "k int, v string")
     assert {tuple(r) for r in replace_documents(old, new, "k").collect()} == {(1, "a"), (2, "c")}
+
+
+def test_store_replaces_and_replays(spark, tmp_path):
+    schema = "doc string, n int"
+    store = Store(spark, str(tmp_path / "store"), spark.createDataFrame([], schema).schema, "doc", buckets=3)
+    assert not store.exists() and store.rows().count() == 0
+    rows = lambda: sorted((tuple(r) for r in store.rows().collect()), key=str)
+    store.put(spark.createDataFrame([("a", 1), ("a", 2), (None, 3)], schema), 0)
+    store.put(spark.createDataFrame([("a", 4), ("b", 5)], schema), 1)
+    expected = sorted([("a", 4), ("b", 5), (None, 3)], key=str)
+    assert rows() == expected
+    store.put(spark.createDataFrame([("a", 4), ("b", 5)], schema), 1)
+    assert rows() == expected
+    store.put(spark.createDataFrame([(None, 6)], schema), 2)
+    assert rows() == sorted([("a", 4), ("b", 5), (None, 6)], key=str)
+    store.vacuum(1)
+    assert rows() == sorted([("a", 4), ("b", 5), (None, 6)], key=str)
+    assert store.clear() == 3 and store.clear() == 0 and not store.exists()
+
+
+def test_stream_of_batches(spark, tmp_path):
+    schema = "doc string, n int, seen int"
+    arriving = str(tmp_path / "in")
+    spark.createDataFrame([("a", 1, 1), ("a", 2, 2), (None, 3, 1)], schema).coalesce(1).write.parquet(arriving)
+    store = Store(spark, str(tmp_path / "store"), spark.createDataFrame([], schema).schema, "doc", buckets=2)
+    for _ in range(2):
+        source = spark.readStream.schema(schema).parquet(arriving)
+        query = upsert_stream(source, store, str(tmp_path / "progress"), order="seen")
+        query.processAllAvailable()
+        query.stop()
+        assert {tuple(r) for r in store.rows().collect()} == {("a", 2, 2), (None, 3, 1)}
