@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, named, struct
+from .shared import Scratch, in_arrow, named, struct
 
 WINDOW = 10
 ITEM_BYTES = 4 << 20
@@ -171,4 +171,4 @@ def _scanned(rows: DataFrame, kept: list[str], text_col: str, items: list[tuple[
                 columns += [pa.array([[x for r in rs for x in r] for rs in runs], ints), pa.array(found, strings)]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return sent.mapInArrow(scan, schema)
+    return in_arrow(sent, scan, schema)

@@ -35,6 +35,8 @@ TRAIN_BYTES = 600_000
 TRAIN_CHARS = 1 << 16
 #: Distinct words whose costs a worker keeps.
 MEMORY_WORDS = 150_000
+#: Bytes that are looked up at a time.
+STEP_BYTES = 1 << 16
 UNDETERMINED = "und"
 
 
@@ -89,7 +91,7 @@ class ContextTrees:
         """Bits of each word and the space after it, by language."""
         stream, starts = _stream(words)
         total = np.zeros((len(words), len(self.languages)))
-        step = 1 << 20
+        step = STEP_BYTES
         owner = np.repeat(np.arange(len(words)), np.diff(np.append(starts, len(stream))))
         inside = _depth(starts, len(stream))
         for k in range(self.order + 1):

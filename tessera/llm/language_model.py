@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField
 
-from .shared import MOST_PARTITIONS, Scratch, mix, named, null_to_empty, remainder, slices, struct
+from .shared import MOST_PARTITIONS, Scratch, in_arrow, mix, named, null_to_empty, remainder, slices, struct
 
 FOLDS, HELD_OUT, DELETED = 10, 0, 1
 #: N-grams that a range holds at a time, about.
@@ -265,22 +265,22 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.select(named(id_col).alias("id"), remainder(named(id_col), FOLDS).alias("fold"), named(text_col).cast("string").alias("text"))
     fields = [StructField("block", LongType()), StructField("ids", ArrayType(key.dataType))]
     own = "folds array<int>, lengths array<long>"
-    blocks = scratch.save(rows.mapInArrow(_blocks, struct(fields, f"{own}, words binary, tokens binary")), "blocks")
+    blocks = scratch.save(in_arrow(rows, _blocks, struct(fields, f"{own}, words binary, tokens binary")), "blocks")
     sums = blocks.select(F.explode(F.arrays_zip("folds", "lengths")).alias("d")).select(F.col("d.folds").alias("fold"), F.col("d.lengths").alias("n"))
     totals = {r["fold"]: r["n"] for r in sums.groupBy("fold").agg(F.sum("n").alias("n")).collect()}
     total, tokens = sum(n for f, n in totals.items() if f != HELD_OUT), sum(totals.values())
     ranges = max(8, tokens // RANGE_GRAMS)
-    asked = blocks.mapInArrow(_asked(ranges), "range long, block long, keys binary, fit binary, deleted binary")
+    asked = in_arrow(blocks, _asked(ranges), "range long, block long, keys binary, fit binary, deleted binary")
     dealt = asked.repartition(min(ranges, MOST_PARTITIONS), "range").sortWithinPartitions("range")
-    answers = scratch.save(dealt.mapInArrow(_answered, "range long, block long, fit binary, whole binary, seen long"), "answers")
+    answers = scratch.save(in_arrow(dealt, _answered, "range long, block long, fit binary, whole binary, seen long"), "answers")
     both = blocks.withColumn("range", F.lit(-1).cast("long")).unionByName(answers, allowMissingColumns=True)
     parts = max(1, min(MOST_PARTITIONS, tokens // BLOCK_TOKENS))
     counted = both.repartition(parts, "block").sortWithinPartitions("block", "range")
-    counted = counted.mapInArrow(_resolved(total - totals.get(DELETED, 0)), struct(fields, f"{own}, known array<long>, seen long, start long, word binary, pair binary, cells array<struct<cell: long, n: long>>"))
+    counted = in_arrow(counted, _resolved(total - totals.get(DELETED, 0)), struct(fields, f"{own}, known array<long>, seen long, start long, word binary, pair binary, cells array<struct<cell: long, n: long>>"))
     resolved = scratch.save(counted, "resolved")
     scratch.drop("blocks", "answers")
     distinct = resolved.agg(F.coalesce(F.sum("seen"), F.lit(0))).first()[0]
     cells = {r["cell"]: r["n"] for r in resolved.select(F.explode("cells").alias("c")).groupBy("c.cell").agg(F.sum("c.n").alias("n")).collect()}
     weights = learn_weights(cells, 1 / (distinct + 1))
     out = struct([key], "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return resolved.select("ids", "folds", "lengths", "known", "start", "word", "pair").mapInArrow(_scored(total, distinct, weights, id_col), out)
+    return in_arrow(resolved.select("ids", "folds", "lengths", "known", "start", "word", "pair"), _scored(total, distinct, weights, id_col), out)

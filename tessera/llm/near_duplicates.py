@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Scratch, mix, named, null_to_empty, slices, struct
+from .shared import Scratch, in_arrow, mix, named, null_to_empty, slices, struct
 
 SHINGLE, SIMILARITY = 5, 0.8
 DEPTH, CHILDREN, SMALL = 3, 6, 1000
@@ -316,7 +316,7 @@ def _nodes(classes: DataFrame, small: int) -> DataFrame:
     rows = rows.join(large, "node", "left")
     first = rows.where("large is null").select("node", "class", F.lit(None).cast("long").alias("dealt"))
     deeper = _with_class(rows.where("large").select("class", "tree", "node"), classes.select("class", "sign"))
-    deeper = deeper.select("class", "tree", "node", "sign").mapInArrow(_branched, "class binary, tree int, node long")
+    deeper = in_arrow(deeper.select("class", "tree", "node", "sign"), _branched, "class binary, tree int, node long")
     blocks = deeper.groupBy("node").count().select("node", F.ceil(F.col("count") / small).alias("blocks"))
     block = F.when(F.col("blocks") > 1, F.xxhash64("node", F.pmod(F.xxhash64("class", "tree"), F.col("blocks")))).otherwise(F.col("node"))
     second = deeper.join(blocks, "node").select(block.alias("node"), "class", F.when(F.col("blocks") > 1, F.col("node")).alias("dealt"))
@@ -339,14 +339,14 @@ def _across_blocks(nodes: DataFrame, roots: DataFrame, small: int) -> DataFrame:
 
 
 def _per_node(rows: DataFrame, work, schema: str, names: list[str], kinds: list[pa.DataType]) -> DataFrame:
-    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(by_node(work, names, kinds), schema)
+    return in_arrow(rows.repartition("node").sortWithinPartitions("node"), by_node(work, names, kinds), schema)
 
 
 def _sets_of(rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """Rows (class, shingles) of the wanted (class, sample): sample is (id, hash) of a text of the class. Other texts of that hash are found out."""
     own = wanted.select("class", F.col("sample.id").alias("of"), F.col("sample.hash").alias("hash"))
     one = rows.join(own, rows["id"].eqNullSafe(own["of"]) & (rows["hash"] == own["hash"])).select("class", "text")
-    return one.mapInArrow(_full_sets(shingle), "class binary, shingles binary, own binary").where("own = class").select("class", "shingles").dropDuplicates(["class"])
+    return in_arrow(one, _full_sets(shingle), "class binary, shingles binary, own binary").where("own = class").select("class", "shingles").dropDuplicates(["class"])
 
 
 def link_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, small: int = SMALL) -> DataFrame:
@@ -355,7 +355,7 @@ def link_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     text = named(text_col).cast("string")
     rows = docs.select(named(id_col).alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
     schema = struct([rows.schema["id"]], "hash long, n long, class binary, sign binary, nodes array<long>")
-    sketched = scratch.save(rows.mapInArrow(_sketches(shingle, trees_for(similarity)), schema), "sketches")
+    sketched = scratch.save(in_arrow(rows, _sketches(shingle, trees_for(similarity)), schema), "sketches")
     full = sketched.where("n > 0")
     classes = scratch.save(full.groupBy("class").agg(F.min("id").alias("first"), F.min(F.struct("id", "hash")).alias("sample"), F.count("*").alias("copies"), F.any_value("n").alias("n"), F.any_value("sign").alias("sign"), F.any_value("nodes").alias("nodes")), "classes")
     # Nodes of one class have nothing to compare; they go before any sketch is sent.
@@ -368,7 +368,7 @@ def link_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes.select("class", "sample"), "class")
     sets = scratch.save(_sets_of(rows, wanted, shingle), "sets")
     both = pairs.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("y")), "b")
-    tried = scratch.save(both.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a binary, b binary, linked boolean"), "tried")
+    tried = scratch.save(in_arrow(both.select("a", "b", "x", "y"), _confirm(percent), "a binary, b binary, linked boolean"), "tried")
     roots = components(tried.where("linked").select("a", "b"), "a", "b", scratch, "roots")
     compared = ("a binary, b binary", ["a", "b"], [pa.binary(), pa.binary()])
 

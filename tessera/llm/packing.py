@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .pieces import codec
-from .shared import byte_slices, named, struct
+from .shared import byte_slices, in_arrow, named, struct
 
 #: Share of a sequence that the pieces of a class may leave empty before a document is cut instead.
 WASTE = 0.01
@@ -121,4 +121,4 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, capacity: int
             yield batch_of(bins.rest())
 
     schema = struct([docs.schema[id_col]], ", ".join(f"{n} long" for n in names[1:7]) + (", ids array<long>" if with_ids else ""))
-    return docs.select(named(id_col), named(text_col).cast("string").alias("text")).mapInArrow(pack, schema)
+    return in_arrow(docs.select(named(id_col), named(text_col).cast("string").alias("text")), pack, schema)

@@ -27,7 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 
-from .shared import labelled_sample, mix, per_text
+from .shared import byte_slices, in_arrow, labelled_sample, mix, per_text
 
 #: Buckets of words and their n-grams, and of bigrams behind them.
 BUCKETS, BIGRAMS = 1 << 15, 1 << 17
@@ -35,6 +35,8 @@ GRAMS = (3, 4, 5)
 DIM, EPOCHS, RATE, BATCH, SEED = 8, 20, 1.0, 16, 7
 TRAIN_DOCS, TRAIN_CHARS = 1000, 1 << 16
 MEMORY_WORDS = 200_000
+#: New words that a worker hashes at a time, and bytes of texts whose features it holds in training.
+HASHED_WORDS, EXTRACT_BYTES = 8192, 1 << 18
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -114,9 +116,12 @@ class QualityModel:
             new = [w for w in words if w not in places]
             if new:
                 places.update(zip(new, range(len(places), len(places) + len(new)), strict=True))
-                hashed, buckets, counts = _hashed(new)
-                sums = np.add.reduceat(self.weights[buckets].astype(float), np.cumsum(counts) - counts)
-                names, values = np.concatenate([names, hashed]), np.concatenate([values, sums / counts])
+                more_names, more_values = [names], [values]
+                for a in range(0, len(new), HASHED_WORDS):
+                    hashed, buckets, counts = _hashed(new[a : a + HASHED_WORDS])
+                    more_names.append(hashed)
+                    more_values.append(np.add.reduceat(self.weights[buckets].astype(float), np.cumsum(counts) - counts) / counts)
+                names, values = np.concatenate(more_names), np.concatenate(more_values)
             at = np.fromiter(map(places.__getitem__, words), np.int64, len(words))[codes]
             pairs, owner = _pairs(names[at], edges)
             n = np.diff(edges)
@@ -167,11 +172,13 @@ def train_quality_model(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(document_features(batch.column(0)))
-            yield pa.RecordBatch.from_arrays([pa.array([b.astype("<u4").tobytes() for b, _ in found], pa.binary()), pa.array([w.astype("<f4").tobytes() for _, w in found], pa.binary()), batch.column(1)], names=["buckets", "weights", "label"])
+            for a, b in byte_slices(batch.column(0), EXTRACT_BYTES):
+                packed = [(f.astype("<u4").tobytes(), w.astype("<f4").tobytes()) for f, w in document_features(batch.column(0)[a:b])]
+                columns = [pa.array(c, pa.binary()) for c in zip(*packed, strict=True)]
+                yield pa.RecordBatch.from_arrays([*columns, batch.column(1)[a:b]], names=["buckets", "weights", "label"])
 
     # One partition is on the driver's JVM at a time; rows stay as they are sent.
-    found = sample.mapInArrow(extract, "buckets binary, weights binary, label int").toLocalIterator()
+    found = in_arrow(sample, extract, "buckets binary, weights binary, label int").toLocalIterator()
     data = [(np.frombuffer(r["buckets"], "<u4"), np.frombuffer(r["weights"], "<f4"), r["label"]) for r in found]
     return fit(data, counts.get(1, 0) / sum(counts.values()))
 

@@ -17,6 +17,8 @@ from pyspark.sql.types import StructField, StructType
 SLICE_CHARS = 2 << 20
 #: Bytes of text that a worker takes apart at a time where Arrow does it.
 SLICE_BYTES = 2 << 20
+#: Bytes of rows that go to a Python worker at a time, and Spark's setting for it. The default lets 10,000 texts come at once, each several times in memory.
+BATCH_BYTES, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Spark's switch for removing shuffle files at the end of a query.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of stored input to a partition that a shuffle of texts makes, and the most partitions.
@@ -37,6 +39,14 @@ def struct(fields: Sequence[StructField], more: str) -> StructType:
     return StructType([StructField(f.name, f.dataType, True) for f in fields] + StructType.fromDDL(more).fields)
 
 
+def in_arrow(rows: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """mapInArrow with batches bounded in bytes, for this session from here on; a row is never parted, and a smaller bound of the session's stays."""
+    spark = rows.sparkSession
+    if not 0 < spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() <= BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+    return rows.mapInArrow(work, schema)
+
+
 def per_text(docs: DataFrame, text_col: str, kept: Sequence[str], work: Callable[[], Callable[[pa.Array], list[pa.Array]]], more: str, extra: Sequence[Column] = ()) -> DataFrame:
     """The kept columns, `extra` columns and `more`, which work()(texts) gives for an array of texts without nulls.
 
@@ -58,7 +68,7 @@ def per_text(docs: DataFrame, text_col: str, kept: Sequence[str], work: Callable
             rest = iter(batch.columns[1:])
             yield pa.RecordBatch.from_arrays([*(texts if own else next(rest) for own in with_text), *rest, *new], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return in_arrow(rows, run, schema)
 
 
 def partitions_for(docs: DataFrame) -> int:

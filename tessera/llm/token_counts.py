@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pieces import codec
-from .shared import byte_slices, named, struct
+from .shared import byte_slices, in_arrow, named, struct
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -33,4 +33,4 @@ def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
 
     text = named(text_col).cast("string")
     rows = docs.select(named(id_col), text.alias("text"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
-    return rows.mapInArrow(lengths, struct([docs.schema[id_col]], "n_bytes long, n_tokens long"))
+    return in_arrow(rows, lengths, struct([docs.schema[id_col]], "n_bytes long, n_tokens long"))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .pieces import codec
-from .shared import byte_slices, named, partitions_for
+from .shared import byte_slices, in_arrow, named, partitions_for
 
 CHUNK_IDS = 1 << 16
 RECORDS_PER_FILE = 512
@@ -147,7 +147,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int,
 
     rows = docs.select(named(id_col).cast("long").alias("id"), named(text_col).cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
     dealt = rows.repartitionByRange(partitions_for(docs), "id", "mark").sortWithinPartitions("id", "mark", "text").select("id", "text")
-    records_ = dealt.mapInArrow(build, "record binary")
+    records_ = in_arrow(dealt, build, "record binary")
     records_.select(F.col("record").cast("string")).write.option("maxRecordsPerFile", records).option("compression", "none").text(path)
 
 
@@ -232,6 +232,6 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
 
     files = _files(spark, path)
     before = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = files.mapInArrow(totals, "path string, place long, ids long").select("path", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("before"))
-    rows = files.mapInArrow(documents, "path string, doc_id long, at long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else ""))
+    offsets = in_arrow(files, totals, "path string, place long, ids long").select("path", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("before"))
+    rows = in_arrow(files, documents, "path string, doc_id long, at long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else ""))
     return rows.join(offsets, "path").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))

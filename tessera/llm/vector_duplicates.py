@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Scratch, named, rate_of
+from .shared import Scratch, in_arrow, named, rate_of
 
 BLOCKS, LEAF, MAX_CELLS, SAMPLE = 8, 4096, 4096, 20_000
 #: Rows of a tile that meets the residents, and pairs whose cosines are computed at a time.
@@ -263,11 +263,11 @@ def link_vectors(vectors: DataFrame, cosine: float, id_col: str = "vec_id", vect
         own = classes.where(F.col("dim") == dim)
         picked = own.where(rate_of("cells", "key") < min(1.0, SAMPLE / total)).select("vector").collect()
         cells = Cells(dim, np.array([r["vector"] for r in picked], dtype=np.float64).reshape(-1, dim), cosine, total, blocks, leaf)
-        homes = own.select("vector").mapInArrow(_homes(cells, dim), "block long, cell long, n long").groupBy("block", "cell").agg(F.sum("n").alias("n")).collect()
+        homes = in_arrow(own.select("vector"), _homes(cells, dim), "block long, cell long, n long").groupBy("block", "cell").agg(F.sum("n").alias("n")).collect()
         salts = {(r["block"], r["cell"]): 1 + (r["n"] - 1) // (2 * leaf) for r in homes if r["n"] > 2 * leaf}
         element = classes.schema["vector"].dataType.simpleString()
-        dealt = own.select("key", "weight", "vector").mapInArrow(_deal(cells, dim, salts), f"spot long, visitor boolean, key long, weight long, vector {element}")
-        met.append(scratch.save(dealt.repartition("spot").sortWithinPartitions("spot", "visitor").mapInArrow(_join(cells, dim), "a long, b long, n long"), f"met-{dim}"))
+        dealt = in_arrow(own.select("key", "weight", "vector"), _deal(cells, dim, salts), f"spot long, visitor boolean, key long, weight long, vector {element}")
+        met.append(scratch.save(in_arrow(dealt.repartition("spot").sortWithinPartitions("spot", "visitor"), _join(cells, dim), "a long, b long, n long"), f"met-{dim}"))
     if not met:
         met = [spark.createDataFrame([], "a long, b long, n long")]
     found = met[0]
