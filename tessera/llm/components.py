@@ -24,8 +24,10 @@ def _hung(pairs: DataFrame, larger_only: bool) -> DataFrame:
     return rows.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
 
 
-def _state(pairs: DataFrame) -> tuple:
-    return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _settled(pairs: DataFrame) -> bool:
+    """Whether every component is a star: no node hangs on two others, and none that hangs has others on it."""
+    ends = pairs.select(F.col("u").alias("node"), F.lit(1).alias("up")).unionByName(pairs.select(F.col("v").alias("node"), F.lit(0).alias("up")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.count("*").alias("ends")).where("up > 1 or (up = 1 and ends > 1)").isEmpty()
 
 
 def components(links: DataFrame, a: str, b: str, scratch: Scratch, name: str) -> DataFrame:
@@ -36,14 +38,10 @@ def components(links: DataFrame, a: str, b: str, scratch: Scratch, name: str) ->
     own = f"{name}-links"
     pairs = links.select(F.greatest(a, b).cast(kind).alias("u"), F.least(a, b).cast(kind).alias("v")).where("u <> v").distinct()
     pairs = scratch.save(pairs, own)
-    state = _state(pairs)
-    while True:
+    while not _settled(pairs):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _hung(both, larger_only=True).where("u <> v").distinct()
         pairs = scratch.save(_hung(large, larger_only=False).where("u <> v").distinct(), own)
-        if (new := _state(pairs)) == state:
-            break
-        state = new
     stars = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
     roots = scratch.save(stars.unionByName(stars.select(F.col("root").alias("node"), "root")).distinct(), name)
     scratch.drop(own)
