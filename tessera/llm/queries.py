@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontamination import decontaminate
@@ -10,11 +10,14 @@ from .language import score_languages, train_language_model
 from .language_model import score_texts
 from .near_duplicates import link_near_duplicates
 from .packing import pack_documents
+from .periodic_runs import find_runs
 from .quality import score_quality, train_quality_model
+from .secret_scan import PATTERNS, scan_secrets
 from .shared import fresh_path, remainder, table
 from .token_counts import count_tokens
 from .token_files import read_token_files, write_token_files
 from .toxicity import score_toxicity, train_toxicity
+from .vector_codes import code_vectors
 from .vector_duplicates import link_vectors
 
 #: Documents of more tokens than this don't fit one context.
@@ -92,4 +95,48 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= LIKELY).cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_token_counts, op3_near_duplicates, op4_language, op5_decontamination, op6_packing, op7_token_files, op8_language_model, op9_vector_duplicates, op10_toxicity)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = code_vectors(table(spark, sf_dir, "embeddings"))
+    code = F.lower(F.hex("code")).alias("code")
+    return found.rows.select("vec_id", code, "error", "label_error", F.lit(found.digest()).alias("codebooks_sha256"))
+
+
+def _listed(spans: str) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
+
+
+def _number(kind: str) -> Column:
+    return F.size(F.filter("known", lambda s: s["kind"] == kind))
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents"), ["doc_id"])
+    counts = [_number(p.kind).cast("long").alias(f"n_{p.kind}") for p in PATTERNS]
+    return found.select("doc_id", *counts, F.sha2(_listed("known"), 256).alias("base_sha256"), _listed("spans").alias("spans"))
+
+
+def _with_periods(doc_id: Column, text: Column) -> tuple[Column, Column, Column]:
+    """A text's words, whether its id chooses it (one in ten, a null id never), and the text whose words repeat from one on; that reads a column `words`."""
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g, n = F.floor(h / 10), F.size("words")
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    repeated = F.transform("words", lambda w, i: F.when(i < a, w).otherwise(F.col("words")[(a + (i - a) % p).cast("int")]))
+    return words, h % 10 == 0, F.array_join(repeated, " ")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words, chosen, repeated = _with_periods(F.col("doc_id"), F.col("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.when(chosen, words).alias("words"))
+    docs = docs.select("doc_id", F.when(F.size("words") > 0, repeated).otherwise(F.col("text")).alias("text"))
+    found = find_runs(docs, ["doc_id"])
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("shortness"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))), F.lit("\n"))), "")
+    best = found.withColumn("best", longest).withColumn("length", -F.col("best.shortness"))
+    exponent = F.floor(1000 * F.col("length") / F.col("best.period")).alias("exponent_milli")
+    digests = [F.sha2(lines, 256).alias("runs_sha256"), F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256")]
+    return best.select("doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), "length", F.col("best.period").alias("period"), exponent, *digests)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_token_counts, op3_near_duplicates, op4_language, op5_decontamination, op6_packing, op7_token_files, op8_language_model, op9_vector_duplicates, op10_toxicity, op11_vector_codes, op12_secrets, op13_periodic_runs)}
