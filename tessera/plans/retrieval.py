@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +12,7 @@ from tessera.operators.fusion import DEPTH, fuse, fusion_grid, reciprocal_ranks
 from tessera.operators.rerank import hits_of, rerank, reranking, search
 from tessera.plans.fixtures import fixture, with_fixtures
 from tessera.plans.texts import tokens_sql
+from tessera.sources.shared import shared_path
 from tessera.sources.tables import read_table
 
 K, PLACES, RERANK_DEPTH = 5, 6, 10
@@ -58,10 +56,7 @@ def bm25_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bm25_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over an index that is written first, in the shared folder, or in local mode without one in a folder of its own."""
     docs, items, _ = _tables(spark, sf_dir)
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    path = f"{shared.rstrip('/') if shared else 'file://' + tempfile.mkdtemp(prefix='tessera-')}/lexical-{uuid.uuid4().hex}"
+    path = shared_path(spark, "lexical")
     lexical.write_lexical_index(docs, path)
     return _rounded(lexical.search_lexical_index(spark, path, items, K))
 

@@ -1,25 +1,9 @@
-"""Documents that arrive over time: each micro-batch replaces the documents it brings again.
-
-The table is partitioned by a hash of the document's name, and a batch rewrites the buckets that it
-touches. A bucket is written to a place of its own under the batch's number and named in a manifest, so
-readers never see half a batch, and a batch that runs again gives the same table.
-"""
+"""Documents that arrive over time: each batch replaces the documents that it brings again."""
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
-
-#: Parts of a table; a batch rewrites those that its documents fall into.
-BUCKETS = 64
-
-
-def bucket(key: Column, buckets: int = BUCKETS) -> Column:
-    return F.pmod(F.xxhash64(key.cast("string")), F.lit(buckets)).cast("int")
 
 
 def replace_documents(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -46,77 +30,3 @@ def upsert_report(old: DataFrame, pages: DataFrame, chunks: DataFrame, doc: str
     counts = chunks.groupBy(doc).agg(F.count("*").alias("chunks"))
     known = old.select(doc, F.lit(True).alias("updated")).distinct()
     return rows.join(counts, doc, "left").join(known, doc, "left").select(doc, "pages", "ocr_pages", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.coalesce("updated", F.lit(False)).alias("updated"))
-
-
-class Store:
-    """A table of documents' rows that batches are put into. Folders of buckets by batch, and manifests that name the current ones."""
-
-    def __init__(self, spark: SparkSession, path: str, schema: StructType, key: str, buckets: int = BUCKETS):
-        self.spark, self.path, self.schema, self.key, self.buckets = spark, path.rstrip("/"), schema, key, buckets
-        place = spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        self._files = place.getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _place(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-
-    def _manifests(self) -> list[int]:
-        folder = self._place("manifests")
-        if not self._files.exists(folder):
-            return []
-        names = [f.getPath().getName() for f in self._files.listStatus(folder)]
-        return sorted(int(n) for n in names if n.isdigit())
-
-    def _current(self, before: int | None = None) -> dict[str, int]:
-        """Batch that wrote each bucket, as of the last batch below `before`."""
-        numbers = [n for n in self._manifests() if before is None or n < before]
-        if not numbers:
-            return {}
-        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.path}/manifests/{numbers[-1]}").collect()))
-
-    def _rows(self, current: dict[str, int]) -> DataFrame:
-        # The manifest is read anew for every table: no reader keeps files that a later batch has left behind.
-        paths = [f"{self.path}/batch={n}/bucket={b}" for b, n in sorted(current.items(), key=lambda x: int(x[0]))]
-        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
-
-    def rows(self) -> DataFrame:
-        return self._rows(self._current())
-
-    def exists(self) -> bool:
-        return bool(self._current())
-
-    def put(self, batch: DataFrame, number: int) -> None:
-        """Replaces the batch's documents. Putting the same batch again changes nothing."""
-        before = self._current(number)
-        own = batch.select(*self.schema.names).withColumn("bucket", bucket(F.col(self.key), self.buckets))
-        touched = sorted(r.bucket for r in own.select("bucket").distinct().collect())
-        old = self._rows({b: n for b, n in before.items() if int(b) in touched})
-        kept = replace_documents(old, own.drop("bucket"), self.key).withColumn("bucket", bucket(F.col(self.key), self.buckets))
-        kept.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/batch={number}")
-        manifest = json.dumps(before | {str(b): number for b in touched})
-        self.spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/manifests/{number}")
-
-    def vacuum(self, keep: int = 2) -> None:
-        """Deletes batches that none of the last `keep` manifests names, and older manifests."""
-        numbers = self._manifests()
-        used = {n for m in numbers[-keep:] for n in self._current(m + 1).values()}
-        for n in numbers[:-keep]:
-            self._files.delete(self._place(f"manifests/{n}"), True)
-        for f in self._files.listStatus(self._place("")) if numbers else []:
-            name = f.getPath().getName()
-            if name.startswith("batch=") and int(name[6:]) not in used:
-                self._files.delete(f.getPath(), True)
-
-    def clear(self) -> int:
-        """Deletes the table; gives the number of its documents. Clearing again gives 0."""
-        n = self.rows().select(self.key).distinct().count()
-        self._files.delete(self._place(""), True)
-        return n
-
-
-def upsert_stream(source: DataFrame, store: Store, checkpoint: str, order: str | None = None) -> StreamingQuery:
-    """Puts each micro-batch into the store. order: a column whose greatest value tells the rows of a document that a batch brings twice."""
-
-    def apply(batch: DataFrame, number: int) -> None:
-        store.put(latest(batch, store.key, order) if order else batch, number)
-
-    return source.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).start()
