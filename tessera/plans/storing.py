@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.sources.shared import shared_path
-from tessera.sources.tables import read_table
+from tessera.sources.tables import read_table, stream_table
 from tessera.streaming.store import Store, put_stream
 
 #: Documents shorter than this are taken out again.
@@ -24,7 +24,7 @@ def stored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     store = Store(spark, shared_path(spark, "store"), _revision(docs, 1).schema, "doc_id", buckets=8, order="revision")
     store.put(_revision(docs, 1))
-    arriving = spark.readStream.schema(docs.schema).parquet(f"{sf_dir}/documents.parquet").where("lang = 'en'")
+    arriving = stream_table(spark, sf_dir, "documents").where("lang = 'en'")
     for _ in range(2):
         put_stream(_revision(arriving, 2), store, shared_path(spark, "progress"), once=True).awaitTermination()
         store.put(_revision(docs, 1))

@@ -10,6 +10,11 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The files of a table as a stream. The path is a pattern, because a stream takes a single file by no other."""
+    return spark.readStream.schema(read_table(spark, folder, name).schema).parquet(f"{folder}/{name}.parque[t]")
+
+
 def write_index(chunks: DataFrame, path: str) -> None:
     """Partitioned by variant and model; writing one of them leaves the others alone."""
     chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("variant", "model").parquet(path)
