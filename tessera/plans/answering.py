@@ -1,4 +1,4 @@
-"""Queries of gates, prompts, answers and the store, over literal tables, with the SQL that gives the same rows."""
+"""Queries of gates, prompts, answers and stored pages, over hits of the benchmark and turns of conversations, with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
@@ -15,79 +15,79 @@ from tessera.streaming.upserts import documents_of, replace_documents, upsert_re
 
 
 def gated_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return answers.score_gate(fixture(spark, "questions"), fixture(spark, "hits"))
+    return answers.score_gate(fixture(spark, sf_dir, "questions"), fixture(spark, sf_dir, "hits"))
 
 
 def page_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixture(spark, "hits").select("query_id", "rank", T.page_label(F.col("page_start"), F.col("page_end")).alias("label"))
+    return fixture(spark, sf_dir, "hits").select("query_id", "rank", T.page_label(F.col("page_start"), F.col("page_end")).alias("label"))
 
 
 def question_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return answers.prompts(fixture(spark, "questions"), answers.contexts(fixture(spark, "hits"))).select("query_id", "prompt")
+    return answers.prompts(fixture(spark, sf_dir, "questions"), answers.contexts(fixture(spark, sf_dir, "hits"))).select("query_id", "prompt")
 
 
 def grounded_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return answers.grounding_gate(fixture(spark, "raw_answers"))
+    return answers.grounding_gate(fixture(spark, sf_dir, "raw_answers"))
 
 
 def answer_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cited pages of each answer, numbered in the order of their first mark."""
-    found = answers.citations(answers.grounding_gate(fixture(spark, "raw_answers")), fixture(spark, "hits"))
+    found = answers.citations(answers.grounding_gate(fixture(spark, sf_dir, "raw_answers")), fixture(spark, sf_dir, "hits"))
     order = F.array_sort(F.collect_list(F.struct("place", "doc", "page_start", "page_end")))
     listed = found.groupBy("query_id").agg(order.alias("held"))
     return listed.select("query_id", F.posexplode("held").alias("at", "c")).select("query_id", "at", "c.doc", "c.page_start", "c.page_end")
 
 
 def cited_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = fixture(spark, "hits")
-    cited = answers.citations(answers.grounding_gate(fixture(spark, "raw_answers")), hits)
+    hits = fixture(spark, sf_dir, "hits")
+    cited = answers.citations(answers.grounding_gate(fixture(spark, sf_dir, "raw_answers")), hits)
     return answers.passages(hits, cited, chars=10).select("query_id", "rank", "cited", "preview")
 
 
 def answered_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole way with a stand-in that quotes the first passage."""
-    done = answers.answer_questions(fixture(spark, "questions"), fixture(spark, "hits"), QuotingGenerator())
+    done = answers.answer_questions(fixture(spark, sf_dir, "questions"), fixture(spark, sf_dir, "hits"), QuotingGenerator())
     return done.select("query_id", "answer", "refused", "reason", F.array_join(F.transform("sources", lambda s: F.concat_ws(" ", s["doc"], s["page"].cast("string"))), "; ").alias("sources"))
 
 
 def thinking_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers with thinking forced on and off."""
-    asked = answers.prompts(fixture(spark, "questions"), answers.contexts(fixture(spark, "hits")))
+    asked = answers.prompts(fixture(spark, sf_dir, "questions"), answers.contexts(fixture(spark, sf_dir, "hits")))
     return answers.thinking_probe(asked, QuotingGenerator(), options("large-instruct", Config()))
 
 
 def folded_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers put together from a stream's parts, and whether what is there may still become a refusal."""
-    folded = answers.folded_stream(fixture(spark, "deltas"))
+    folded = answers.folded_stream(fixture(spark, sf_dir, "deltas"))
     return folded.withColumn("may_refuse", answers.may_become_refusal(F.col("answer")))
 
 
 def judge_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixture(spark, "said").select("id", answers.verdict(F.col("said")).alias("verdict"))
+    return fixture(spark, sf_dir, "said").select("id", answers.verdict(F.col("said")).alias("verdict"))
 
 
 def judged_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stand-in for a judge, which quotes nothing and so refuses: no verdict."""
-    rows = fixture(spark, "given_answers").select(F.col("id").alias("question"), F.lit(None).cast("string").alias("reference_answer"), "answer")
+    rows = fixture(spark, sf_dir, "given_answers").select(F.col("id").alias("question"), F.lit(None).cast("string").alias("reference_answer"), "answer")
     return answers.judge_answers(rows, QuotingGenerator(), {"temperature": 0}).select("question", "judge_verdict", "judge_reason")
 
 
 def upserted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace_documents(fixture(spark, "stored"), fixture(spark, "arriving"), "doc")
+    return replace_documents(fixture(spark, sf_dir, "stored"), fixture(spark, sf_dir, "arriving"), "doc")
 
 
 def listed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents_of(replace_documents(fixture(spark, "stored"), fixture(spark, "arriving"), "doc"))
+    return documents_of(replace_documents(fixture(spark, sf_dir, "stored"), fixture(spark, sf_dir, "arriving"), "doc"))
 
 
 def upsert_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a batch of pages brings, each page a chunk, by document with a name."""
-    batch = fixture(spark, "arriving").where("doc is not null")
-    return upsert_report(fixture(spark, "stored"), batch, batch)
+    batch = fixture(spark, sf_dir, "arriving").where("doc is not null")
+    return upsert_report(fixture(spark, sf_dir, "stored"), batch, batch)
 
 
 def open_configurations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return open_runs(fixture(spark, "planned"), fixture(spark, "done"))
+    return open_runs(fixture(spark, sf_dir, "planned"), fixture(spark, sf_dir, "done"))
 
 
 QUERIES = {f.__name__: f for f in (gated_questions, page_labels, question_prompts, grounded_answers, answer_citations, cited_passages, answered_questions, thinking_compared, folded_streams, judge_verdicts, judged_answers, upserted_documents, listed_documents, upsert_reports, open_configurations)}

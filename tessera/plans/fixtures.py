@@ -1,64 +1,118 @@
-"""Small literal tables as SQL that Spark and DuckDB read alike: inputs that the standard tables don't hold."""
+"""Inputs that the standard tables don't hold as such, made of them by SQL that Spark and DuckDB read alike.
+
+Pages, answers, runs and results are rows of documents, benchmark and conversations with a new role; the
+cases that matter (a threshold's either side, blanks, nulls, strange signs) are spread over all rows by their
+numbers, so a query works on as many rows as the tables have. {name} stands for a table.
+"""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.operators.dense import search_dense
+from tessera.sources.tables import read_table
+
+#: A turn's number over all conversations, and conversations as documents of pages.
+_TURN = "conv_id * 1000 + turn"
+_DOC = "'conv-' || cast(conv_id as string)"
 
 FIXTURES = {
     # Pages for every reason of the router, and at either side of its thresholds.
-    "routed": """select cast(id as int) as id, text, cast(image_share as double) as image_share from (values
-        (1, cast(null as string), 0.0), (2, ' ' || repeat('a', 119), 0.0), (3, repeat('a', 120), 0.0), (4, repeat('a', 120) || '(cid:12)', 0.0),
-        (5, repeat('a', 120) || 'Ã©', 0.0), (6, repeat('a', 120) || 'þ', 0.0), (7, repeat('a', 999) || 'þ', 0.0), (8, repeat('a', 120) || chr(1) || chr(2), 0.0),
-        (9, repeat('a', 398) || chr(1) || chr(2), 0.0), (10, repeat('a', 130), 0.9), (11, repeat('a', 700), 0.9), (12, repeat('a', 130), 0.75), (13, repeat('a', 120) || 'â€x', 0.0)) as t(id, text, image_share)""",
-    "words_read": "select page, cast(confidence as double) as confidence from (values ('a', 90), ('a', 70), ('a', -1), ('b', -1), ('c', 0)) as t(page, confidence)",
-    "spreads": "select page, cast(spread as double) as spread from (values ('a', 3.5), ('b', 24.999), ('c', 25), ('d', 120)) as t(page, spread)",
-    "spaced": "select cast(id as int) as id, text from (values (1, 'one-' || chr(10) || '  two'), (2, chr(9) || ' a  b' || chr(13) || chr(10)), (3, 'x' || chr(133) || 'y' || chr(160) || ' z'), (4, ''), (5, cast(null as string)), (6, 'semi - colon'), (7, 'a b　c')) as t(id, text)",
-    "blank_docs": "select cast(doc_id as bigint) as doc_id, text from (values (1, 'Some text. More of it.'), (2, ''), (3, '  ' || chr(10)), (4, cast(null as string))) as t(doc_id, text)",
-    "models": "select model from (values ('intfloat/multilingual-E5-base'), ('bge-m3'), ('turbo'), ('large'), ('deepseek-r1'), ('large-instruct')) as t(model)",
-    "paths": "select path from (values ('/data/in/Report.v2.PDF'), ('scan.JPG'), ('../../etc/x.png'), ('folder/.hidden'), ('notes')) as t(path)",
-    "questions": "select cast(query_id as int) as query_id, question from (values (1, 'How long?'), (2, 'What mark?'), (3, 'Who?'), (4, 'Where?')) as t(query_id, question)",
-    "hits": """select cast(query_id as int) as query_id, cast(rank as int) as rank, cast(score as double) as score, doc, cast(page_start as int) as page_start, cast(page_end as int) as page_end, text from (values
-        (1, 1, 0.9, 'rules', 1, 2, 'At most nine terms.'), (1, 2, 0.8, 'rules', 3, 3, 'Terms are counted.'), (1, 3, 0.7, 'guide', 2, 2, 'See the rules.'),
-        (2, 1, 0.003, 'rules', 12, 12, 'At least CC, 2,50 points.'), (3, 1, 0.0029, 'guide', 1, 1, 'Nobody.')) as t(query_id, rank, score, doc, page_start, page_end, text)""",
-    "raw_answers": """select cast(query_id as int) as query_id, answer from (values (1, '<THINK>hm' || chr(10) || 'well</THINK> Nine terms [2][1][2][9], see [3].' || chr(10)), (2, '<think>x</think>' || chr(10) || chr(10)),
-        (3, 'No. [YANITLANAMADI] not said'), (4, '[YANITLANAMADI]'), (5, cast(null as string)), (6, 'At least 2.50')) as t(query_id, answer)""",
-    "deltas": """select cast(query_id as int) as query_id, cast(seq as int) as seq, content, thinking from (values (1, 1, cast(null as string), 'let me'), (1, 2, '', 'see'), (1, 3, 'Nine ', cast(null as string)), (1, 4, 'terms', ''),
-        (2, 2, 'LANAMADI]', ''), (2, 1, '[YANIT', ''), (3, 1, '', 'only thoughts')) as t(query_id, seq, content, thinking)""",
-    "said": "select cast(id as int) as id, said from (values (1, 'DOĞRU. It says nine.'), (2, 'yanlis'), (3, 'YANLIŞ, not DOĞRU'), (4, 'perhaps'), (5, cast(null as string)), (6, 'DOGRU or YANLIS')) as t(id, said)",
-    "results": """select id, lang, category, expected, refused, gated, content_ok, judge_verdict, cast(latency as double) as latency from (values
-        ('q1', 'tr', 'single_doc', 'answer', false, false, true, 'right', 1.5), ('q2', 'tr', 'single_doc', 'answer', false, false, false, 'right', 2.0), ('q3', 'en', 'table', 'answer', true, true, cast(null as boolean), cast(null as string), 0.5),
-        ('q4', 'en', 'out_of_domain', 'refuse', true, true, cast(null as boolean), 'wrong', 0.25), ('q5', 'tr', 'unanswerable', 'refuse', false, false, false, 'wrong', 4.0), ('q6', 'tr', 'false_premise', 'refuse', true, false, cast(null as boolean), 'right', 3.0),
-        ('q7', 'en', 'table', 'answer', true, false, false, 'wrong', 8.0)) as t(id, lang, category, expected, refused, gated, content_ok, judge_verdict, latency)""",
-    "paired_scores": """select id, expected, cast(rerank_score as double) as rerank_score, cast(cosine_score as double) as cosine_score from (
-        select 'a' || cast(i as string) as id, 'answer' as expected, 0.8 + 0.01 * i as rerank_score, 0.5 + 0.02 * (i % 5) as cosine_score from (values (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11), (12), (13), (14), (15), (16), (17), (18), (19)) as t(i)
-        union all select 'r' || cast(j as string), 'refuse', 0.2 + 0.01 * j, 0.45 + 0.02 * (j % 5) from (values (0), (1), (2), (3), (4), (5), (6), (7), (8), (9)) as t(j)) as u""",
-    "pages_read": """select doc, cast(page_no as int) as page_no, text from (values ('rules', 1, 'At most NINE terms in all.'), ('rules', 2, 'A mark of 2,50 or more. IRMAK'), ('guide', 1, 'See the rules of the school.')) as t(doc, page_no, text)""",
-    "anchors": """select id, cast(place as int) as place, doc, cast(page as int) as page, quote from (values ('q1', 0, 'rules', 1, 'NINE terms'), ('q1', 1, 'rules', 2, 'NINE terms'), ('q2', 0, 'rules', 2, 'ırmak'), ('q3', 0, 'rules', 9, 'terms'), ('q4', 0, 'other', 1, 'terms'),
-        ('q5', 0, 'guide', 1, 'nowhere at all to be found'), ('q6', 0, 'guide', 1, ''), ('q7', 0, 'rules', 2, 'mark of 2,50')) as t(id, place, doc, page, quote)""",
-    "chunks_read": """select doc, cast(page_start as int) as page_start, cast(page_end as int) as page_end, text from (values ('rules', 1, 1, 'At most NINE terms'), ('rules', 1, 2, 'in all. A mark of 2,50 or more.'), ('guide', 1, 1, 'See the rules.')) as t(doc, page_start, page_end, text)""",
-    "given_answers": "select id, answer from (values ('q1', 'It is NINE terms.'), ('q2', 'The river ırmak'), ('q7', 'A 2.50 is needed'), ('q5', 'no')) as t(id, answer)",
-    "cited": "select id, doc, cast(page as int) as page from (values ('q1', 'rules', 1), ('q1', 'rules', 2), ('q7', 'rules', 1), ('q5', 'guide', 1)) as t(id, doc, page)",
-    "runs": """select method, doc, text from (values ('raw', 'd1', 'hallo welt'), ('raw', 'd2', 'good mornin'), ('clean', 'd1', 'hello world'), ('clean', 'd2', 'god morning'), ('raw', 'd3', 'page'), ('clean', 'd4', 'x'), ('slow', 'd1', 'hello world'), ('slow', 'd2', 'god morning')) as t(method, doc, text)""",
-    "truths": "select doc, reference, scope from (values ('d1', 'hello world', 'document'), ('d2', 'good morning', 'document'), ('d3', 'pages', 'pages')) as t(doc, reference, scope)",
-    "languages": "select doc, lang from (values ('d1', 'TR'), ('d2', 'EN')) as t(doc, lang)",
-    "elapsed": "select doc, method, cast(seconds as double) as seconds from (values ('d1', 'raw', 1), ('d2', 'raw', 2), ('d1', 'clean', 4), ('d2', 'clean', 6), ('d1', 'slow', 9)) as t(doc, method, seconds)",
-    "manual": "select doc, text from (values ('d1', 'by hand')) as t(doc, text)",
-    "overrides": "select doc, of_doc, cast(page_from as int) as page_from, cast(page_to as int) as page_to from (values ('d1', 'rules', 1, 1), ('d3', 'rules', 1, 2)) as t(doc, of_doc, page_from, page_to)",
-    "compared": "select doc from (values ('d1'), ('d3'), ('guide'), ('nothing')) as t(doc)",
-    "settings": "select name, cast(place as int) as place, cast(tr as double) as tr, cast(cross_lingual as double) as cross_lingual, cast(mrr as double) as mrr from (values ('keep', 1, 0.9, 0.5, 0.7), ('split', 2, 0.9, 0.5, 0.7), ('plain', 3, 0.9, 0.4, 0.9)) as t(name, place, tr, cross_lingual, mrr)",
-    "latencies": "select pair, cast(seconds as double) as seconds from (values ('a', 1.0), ('a', 3.0), ('a', 2.0), ('b', 10.0), ('c', 4.0), ('c', 5.0)) as t(pair, seconds)",
-    "stored": "select doc, cast(pos as bigint) as pos, method, text from (values ('a', 0, 'text_layer', 'a0'), ('a', 1, 'ocr_raw', 'a1'), ('b', 2, 'text_layer', 'b0'), (cast(null as string), 3, 'text_layer', 'n0')) as t(doc, pos, method, text)",
-    "arriving": "select doc, cast(pos as bigint) as pos, method, text from (values ('a', 4, 'ocr_raw', 'a2'), (cast(null as string), 5, 'text_layer', 'n1'), ('c', 6, 'text_layer', 'c0')) as t(doc, pos, method, text)",
+    "routed": """select doc_id as id, cast(doc_id % 10 as double) / 10 as image_share, case doc_id % 13 when 0 then cast(null as string) when 1 then ' ' || left(text, 119) when 2 then left(text, 120) when 3 then text || '(cid:12)'
+        when 4 then text || 'Ã©' when 5 then left(text, 120) || 'þ' when 6 then left(text, 999) || 'þ' when 7 then left(text, 120) || chr(1) || chr(2) when 8 then left(text, 398) || chr(1) || chr(2) when 9 then left(text, 700)
+        when 10 then left(text, 130) when 11 then text || 'â€x' else text end as text from {documents}""",
+    "words_read": "select conv_id as page, cast(case when turn % 4 = 3 then -1 else length(text) % 101 end as double) as confidence from {conversations}",
+    "spreads": "select doc_id as page, cast(length(text) % 500 as double) / 10 as spread from {documents}",
+    "spaced": f"""select {_TURN} as id, case {_TURN} % 6 when 0 then replace(text, ' ', '-' || chr(10) || '  ') when 1 then chr(9) || ' ' || replace(text, ' ', '  ') || chr(13) || chr(10) when 2 then replace(text, ' ', chr(133) || chr(160))
+        when 3 then '' when 4 then cast(null as string) else replace(text, ' ', ' - ') end as text from {{conversations}}""",
+    "blank_docs": f"select {_TURN} as doc_id, case {_TURN} % 5 when 0 then '' when 1 then '  ' || chr(10) when 2 then cast(null as string) else text end as text from {{conversations}}",
+    "models": "select doc_id as id, case doc_id % 6 when 0 then 'turbo' when 1 then 'large' when 2 then source || '/multilingual-E5-base' when 3 then source || '-r1' when 4 then 'large-instruct' else source end as model from {documents}",
+    "paths": "select case page_id % 5 when 0 then url || '/Report.v2.PDF' when 1 then url || '/scan.JPG' when 2 then '../../' || url || '/x.png' when 3 then url || '/.hidden' else url end as path from {pages}",
+    "questions": "select item_id as query_id, text as question from {benchmark}",
+    "raw_answers": """select conv_id as query_id, case conv_id % 6 when 0 then '<THINK>' || text || chr(10) || 'well</THINK> ' || text || ' [2][1][2][9], see [3].' || chr(10) when 1 then '<think>' || text || '</think>' || chr(10) || chr(10)
+        when 2 then text || ' [YANITLANAMADI] not said' when 3 then '[YANITLANAMADI]' when 4 then cast(null as string) else text || ' [1]' end as answer from {conversations} where turn = 1""",
+    "deltas": """select conv_id as query_id, turn as seq, case when conv_id % 7 = 0 and turn = 0 then '[YANIT' when conv_id % 7 = 0 and turn = 1 then 'LANAMADI]' when turn % 3 = 2 then cast(null as string) when conv_id % 5 = 1 then '' else text end as content,
+        case when turn % 3 = 2 then text when turn % 3 = 1 then '' end as thinking from {conversations}""",
+    "said": f"select {_TURN} as id, case {_TURN} % 7 when 0 then 'DOĞRU. ' || text when 1 then 'yanlis' when 2 then 'YANLIŞ, ' || text || ' not DOĞRU' when 3 then cast(null as string) when 4 then 'DOGRU or YANLIS' when 5 then text || ' yanlış' else text end as said from {{conversations}}",
+    "results": """select doc_id as id, lang, case doc_id % 5 when 0 then 'single_doc' when 1 then 'table' when 2 then 'out_of_domain' when 3 then 'unanswerable' else 'false_premise' end as category, case when quality = 1 then 'answer' else 'refuse' end as expected,
+        doc_id % 3 = 0 as refused, doc_id % 6 = 0 as gated, case when doc_id % 3 > 0 then length(text) % 2 = 0 end as content_ok, case doc_id % 4 when 0 then cast(null as string) when 1 then 'wrong' else 'right' end as judge_verdict, cast(length(text) % 4096 as double) / 256 as latency
+        from {documents} join {labels} using (doc_id)""",
+    # Two scores of the labelled texts: their length, and how many of their signs aren't letters e.
+    "paired_scores": "select doc_id as id, case when quality = 1 then 'answer' else 'refuse' end as expected, cast(length(text) as double) as rerank_score, cast(length(replace(text, 'e', '')) % 512 as double) as cosine_score from {documents} join {labels} using (doc_id)",
+    "pages_read": f"select {_DOC} as doc, cast(turn + 1 as int) as page_no, text from {{conversations}}",
+    # Quotes: as they stand, in capitals, of the next page, of no page, empty.
+    "anchors": f"""select 'q' || cast(conv_id as string) as id, cast(turn as int) as place, case when {_TURN} % 11 = 10 then 'other' else {_DOC} end as doc, cast(case when {_TURN} % 9 = 8 then 99 when {_TURN} % 9 = 7 then turn + 2 else turn + 1 end as int) as page,
+        case {_TURN} % 8 when 0 then '' when 1 then 'nowhere at all to be found 2,50' when 2 then upper(substr(text, 3, 20)) when 3 then 'zzz' || substr(text, 3, 20) else substr(text, 2, 30) end as quote from {{conversations}}""",
+    "chunks_read": f"select {_DOC} as doc, cast(turn + 1 as int) as page_start, cast(turn + 1 + turn % 2 as int) as page_end, substr(text, 1 + cast(turn % 3 as int), 400) as text from {{conversations}}",
+    "given_answers": "select 'q' || cast(conv_id as string) as id, 'It is 2.50: ' || text as answer from {conversations} where turn = 0",
+    "cited": f"select 'q' || cast(conv_id as string) as id, {_DOC} as doc, cast(turn + 1 as int) as page from {{conversations}} where turn % 2 = 0",
+    # Readings of the benchmark by three methods; DuckDB's edit distance counts bytes, so signs beyond ASCII are left out.
+    "texts_read": "select item_id, trim(regexp_replace(regexp_replace(text, '[^!-~]', ' ', 'g'), ' +', ' ', 'g')) as text from {benchmark}",
+    "runs": """select 'raw' as method, 'd' || cast(item_id as string) as doc, replace(text, 'e', 'c') as text from ({texts_read}) as r union all select 'clean', 'd' || cast(item_id as string), replace(text, 'th', 't') from ({texts_read}) as c where item_id % 5 < 4
+        union all select 'slow', 'd' || cast(item_id as string), text from ({texts_read}) as s where item_id % 2 = 0""",
+    "truths": "select 'd' || cast(item_id as string) as doc, text as reference, case when item_id % 4 = 3 then 'pages' else 'document' end as scope from ({texts_read}) as r where item_id % 7 < 6",
+    "languages": "select 'd' || cast(item_id as string) as doc, case item_id % 3 when 0 then 'TR' else 'EN' end as lang from {benchmark} where item_id % 11 < 10",
+    "elapsed": "select 'd' || cast(item_id as string) as doc, method, cast(length(text) % 17 + weight as double) as seconds from {benchmark} cross join (values ('raw', 1), ('clean', 4), ('slow', 9)) as m(method, weight) where method <> 'slow' or item_id % 3 = 0",
+    "manual": f"select {_DOC} as doc, 'by hand: ' || text as text from {{conversations}} where turn = 0 and conv_id % 5 = 0",
+    "overrides": "select 'conv-' || cast(conv_id as string) as doc, 'conv-' || cast(conv_id + 1 as string) as of_doc, cast(1 as int) as page_from, cast(2 as int) as page_to from {conversations} where turn = 0 and conv_id % 3 = 0",
+    "compared": "select distinct 'conv-' || cast(conv_id + 1 as string) as doc from {conversations}",
+    "settings": "select source as name, cast(min(doc_id) as int) as place, cast(count(distinct lang) as double) as tr, cast(min(length(lang)) as double) as cross_lingual, cast(max(length(text)) // 1000 as double) as mrr from {documents} group by source",
+    "latencies": "select source || lang as pair, cast(length(text) as double) / 128 as seconds from {documents}",
+    # A store of pages, a document without a name among them, and a batch that brings some again and others anew.
+    "stored": f"select case when conv_id % 50 = 7 then cast(null as string) else {_DOC} end as doc, {_TURN} as pos, case when turn % 3 = 1 then 'ocr_raw' else 'text_layer' end as method, text from {{conversations}}",
+    "arriving": f"select case when conv_id % 50 = 7 then cast(null as string) when conv_id % 6 = 1 then 'new-' || cast(conv_id as string) else {_DOC} end as doc, 1000000000 + {_TURN} as pos, case when turn % 2 = 1 then 'ocr_raw' else 'text_layer' end as method, upper(text) as text from {{conversations}} where conv_id % 3 = 1 and turn < 3",
     "grid": "select cast(depth as int) as depth, cast(constant as int) as constant, cast(weight as double) as weight from (values (10, 10, 1), (10, 10, 2), (10, 10, 3), (10, 60, 1), (10, 60, 2), (10, 60, 3), (20, 10, 1), (20, 10, 2), (20, 10, 3), (20, 60, 1), (20, 60, 2), (20, 60, 3)) as t(depth, constant, weight)",
-    "planned": "select config, doc from (values ('c1', 'd1'), ('c1', 'd2'), ('c2', 'd1')) as t(config, doc)",
-    "done": "select config, doc from (values ('c1', 'd1'), ('c1', 'd1'), ('c9', 'd1')) as t(config, doc)",
+    "planned": "select 'c' || cast(length(text) % 3 as string) as config, 'd' || cast(doc_id as string) as doc from {documents}",
+    "done": "select 'c' || cast(doc_id % 3 as string) as config, 'd' || cast(doc_id as string) as doc from {documents} union all select 'c1', 'd' || cast(doc_id as string) from {documents}",
 }
 
+# Hits of the benchmark's items among the documents, by the vectors of their numbers: pages are made of a document's number, and a
+# score near 0 is one that the gate refuses.
+HITS, CONTEXT_HITS, LEAST_COSINE = "hits", 5, 0.3
+_HITS_SQL = f"""select q.vec_id as query_id, cast(row_number() over (partition by q.vec_id order by round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 9) desc, v.vec_id) as int) as rank,
+    greatest(round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 9) - {LEAST_COSINE}, 0) as score, 'doc-' || (v.vec_id % 40) as doc, (1 + v.vec_id % 5)::int as page_start, (1 + v.vec_id % 5 + v.vec_id % 2)::int as page_end, d.text
+    from embeddings q join embeddings v on q.vec_id in (select item_id from benchmark) join documents d on d.doc_id = v.vec_id qualify rank <= {CONTEXT_HITS}"""
+
+
+def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items, vectors = (read_table(spark, sf_dir, n) for n in ("documents", "benchmark", "embeddings"))
+    of_docs = vectors.join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    asked = vectors.join(items.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = search_dense(of_docs.select("vec_id", "embedding"), asked, CONTEXT_HITS)
+    first = (1 + F.col("vec_id") % 5).cast("int")
+    score = F.greatest(F.round("score", 9) - LEAST_COSINE, F.lit(0.0))
+    rows = found.select("query_id", F.col("rank").cast("int").alias("rank"), score.alias("score"), F.concat(F.lit("doc-"), F.col("vec_id") % 40).alias("doc"), first.alias("page_start"), (first + F.col("vec_id") % 2).cast("int").alias("page_end"), F.col("vec_id").alias("doc_id"))
+    return rows.join(docs.select("doc_id", "text"), "doc_id").drop("doc_id")
+
+
+def _for_spark(sql: str) -> str:
+    """Whole quotients, and replacements of all occurrences, are written otherwise in Spark."""
+    return sql.replace(", 'g')", ")").replace(" // ", " div ")
+
+
+def _tables(sql: str) -> set[str]:
+    return {n for n in re.findall(r"\{(\w+)\}", sql)}
+
+
+def _expanded(name: str) -> str:
+    """The SQL with other inputs put in where they are named."""
+    sql = FIXTURES[name]
+    for other in _tables(sql) & FIXTURES.keys():
+        sql = sql.replace("{" + other + "}", _expanded(other))
+    return sql
+
 
-def fixture(spark: SparkSession, name: str) -> DataFrame:
-    return spark.sql(FIXTURES[name])
+def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if name == HITS:
+        return _hits(spark, sf_dir)
+    sql = _for_spark(_expanded(name))
+    return spark.sql(sql, **{n: read_table(spark, sf_dir, n) for n in _tables(sql)})
 
 
 def with_fixtures(*names: str) -> str:
-    """Common table expressions of fixtures, for the beginning of an oracle's SQL."""
-    return ",\n".join(f"{n} as ({FIXTURES[n]})" for n in names)
+    """Common table expressions of the inputs, for the beginning of an oracle's SQL."""
+    sql = {n: _HITS_SQL if n == HITS else re.sub(r"\{(\w+)\}", r"\1", _expanded(n)) for n in names}
+    return ",\n".join(f"{n} as ({s})" for n, s in sql.items())

@@ -105,7 +105,7 @@ def rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fusion_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(fusion_grid(*_rankings(spark, sf_dir), fixture(spark, "grid"), 3, "item_id", "doc_id"))
+    return _rounded(fusion_grid(*_rankings(spark, sf_dir), fixture(spark, sf_dir, "grid"), 3, "item_id", "doc_id"))
 
 
 def _chunked(docs: DataFrame) -> DataFrame:

@@ -32,12 +32,12 @@ def routing_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def routing_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return route_pages(fixture(spark, "routed"), image_share=F.col("image_share")).select("id", "reason", "needs_ocr")
+    return route_pages(fixture(spark, sf_dir, "routed"), image_share=F.col("image_share")).select("id", "reason", "needs_ocr")
 
 
 def routing_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the router measures on each document, and on the cases, whose ids are negative."""
-    pages = _docs(spark, sf_dir).select("doc_id", "text").unionByName(fixture(spark, "routed").select((-F.col("id")).cast("long").alias("doc_id"), "text"))
+    pages = _docs(spark, sf_dir).select("doc_id", "text").unionByName(fixture(spark, sf_dir, "routed").select((-F.col("id")).cast("long").alias("doc_id"), "text"))
     measured = page_ratios(F.col("text"))
     return _rounded(pages.select("doc_id", *(c.alias(n) for n, c in measured.items())), "misread_share", "garbage_share")
 
@@ -50,15 +50,15 @@ def source_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recognition_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ocr_confidence(fixture(spark, "words_read"), "page")
+    return ocr_confidence(fixture(spark, sf_dir, "words_read"), "page")
 
 
 def recognition_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixture(spark, "spreads").select("page", ocr_method(F.col("spread")).alias("method"))
+    return fixture(spark, sf_dir, "spreads").select("page", ocr_method(F.col("spread")).alias("method"))
 
 
 def normalized_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixture(spark, "spaced").select("id", T.normalize(F.col("text")).alias("text"))
+    return fixture(spark, sf_dir, "spaced").select("id", T.normalize(F.col("text")).alias("text"))
 
 
 def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +106,7 @@ def chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def empty_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = fixture(spark, "blank_docs")
+    docs = fixture(spark, sf_dir, "blank_docs")
     return chunking.without_chunks(docs, chunking.chunk_documents(docs), "doc_id").select("doc_id")
 
 
@@ -117,12 +117,12 @@ def text_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def model_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     config, model = Config(), tier_model(F.col("model"), Config())
-    return fixture(spark, "models").select("model", model.alias("resolved"), token_limit(model, config).alias("token_limit"), reasons(model, config).alias("reasons"), model_prefix(model, "query").alias("query_prefix"), T.slug(model).alias("slug"))
+    return fixture(spark, sf_dir, "models").select("model", model.alias("resolved"), token_limit(model, config).alias("token_limit"), reasons(model, config).alias("reasons"), model_prefix(model, "query").alias("query_prefix"), T.slug(model).alias("slug"))
 
 
 def path_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.col("path")
-    return fixture(spark, "paths").select("path", T.base_name(path).alias("name"), T.stem(path).alias("stem"), T.is_image(path).alias("is_image"))
+    return fixture(spark, sf_dir, "paths").select("path", T.base_name(path).alias("name"), T.stem(path).alias("stem"), T.is_image(path).alias("is_image"))
 
 
 QUERIES = {f.__name__: f for f in (page_routing, routing_reasons, routing_cases, routing_ratios, source_labels, recognition_confidence, recognition_methods, normalized_text, sentence_counts, wrapped_lines, page_offsets, offset_pages, chunks, page_chunks, chunk_counts, empty_documents, text_numbers, model_options, path_names)}
@@ -209,5 +209,5 @@ ORACLES = {
     "text_numbers": f"select doc_id, len({numbers_sql('text')})::int as n_numbers, len({tokens_sql('split')})::int as n_split, len({tokens_sql('keep')})::int as n_keep from documents",
     "model_options": f"""with {with_fixtures('models')}, m as (select model, case model when 'turbo' then 'small-instruct' when 'large' then 'large-instruct' else model end as resolved from models)
     select model, resolved, case when resolved = 'large-instruct' then 1536 else 512 end::int as token_limit, regexp_matches(resolved, '(?i)(reason|think|r1)') as reasons, case when lower(resolved) like '%e5%' then 'query: ' else '' end as query_prefix, replace(resolved, '/', '__') as slug from m""",
-    "path_names": f"""with {with_fixtures('paths')}, n as (select path, string_split(path, '/')[-1] as name from paths) select path, name, case when strpos(substr(name, 2), '.') > 0 then regexp_replace(name, '\\.[^.]*$', '') else name end as stem, regexp_matches(lower(path), '\\.(png|jpg|jpeg)$') as is_image from n""",
+    "path_names": f"""with {with_fixtures('paths')}, n as (select path, string_split(rtrim(path, '/'), '/')[-1] as name from paths) select path, name, case when strpos(substr(name, 2), '.') > 0 then regexp_replace(name, '\\.[^.]*$', '') else name end as stem, regexp_matches(lower(path), '\\.(png|jpg|jpeg)$') as is_image from n""",
 }
