@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import golden, metrics, recognition
+from tessera.operators.containment import containing
 from tessera.operators.dense import search_dense
 from tessera.operators.lexical import search_bm25
 from tessera.plans.fixtures import fixture, with_fixtures
@@ -34,10 +35,10 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows (item_id, doc_id, lang, quote): containment has no key to join on, so the items, a small table, go to the documents."""
+    """Rows (item_id, doc_id, lang, quote): the documents that hold an item's whole text."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     items = read_table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
-    return docs.join(F.broadcast(items), F.col("text").contains(F.col("quote"))).select("item_id", "doc_id", "lang", "quote")
+    return containing(docs, items, ["doc_id"]).join(items, "quote").select("item_id", "doc_id", "lang", "quote")
 
 
 def golden_set(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,40 +150,40 @@ def threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def paired_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(metrics.paired_auc(fixture(spark, "paired_scores"), F.col("expected") == "answer", F.col("rerank_score"), F.col("cosine_score")), "auc_first", "auc_second", "delta")
+    return _rounded(metrics.paired_auc(fixture(spark, sf_dir, "paired_scores"), F.col("expected") == "answer", F.col("rerank_score"), F.col("cosine_score")), "auc_first", "auc_second", "delta")
 
 
 def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(metrics.paired_bootstrap(fixture(spark, "paired_scores"), F.col("expected") == "answer", F.col("rerank_score"), F.col("cosine_score")), "low", "high")
+    return _rounded(metrics.paired_bootstrap(fixture(spark, sf_dir, "paired_scores"), F.col("expected") == "answer", F.col("rerank_score"), F.col("cosine_score")), "low", "high")
 
 
 def answer_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.answer_labels(fixture(spark, "results")).select("id", "label", "stage")
+    return metrics.answer_labels(fixture(spark, sf_dir, "results")).select("id", "label", "stage")
 
 
 def abstention_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.abstention_matrix(metrics.answer_labels(fixture(spark, "results")))
+    return metrics.abstention_matrix(metrics.answer_labels(fixture(spark, sf_dir, "results")))
 
 
 def answer_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the questions to be answered, those answered rightly, by language; and the latency's median and greatest value."""
-    rows = fixture(spark, "results")
+    rows = fixture(spark, sf_dir, "results")
     right = F.coalesce("content_ok", F.lit(False))
     return rows.groupBy("lang").agg(*metrics.rate(right, F.col("expected") == "answer"), F.percentile("latency", F.lit(0.5)).alias("median_latency"), F.max("latency").alias("most_latency"))
 
 
 def judge_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.judge_report(fixture(spark, "results").withColumn("det_ok", F.coalesce("content_ok", F.lit(False))), "category")
+    return metrics.judge_report(fixture(spark, sf_dir, "results").withColumn("det_ok", F.coalesce("content_ok", F.lit(False))), "category")
 
 
 def answer_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Content and citations of answers; quotes without numbers must stand there word for word."""
-    return golden.answer_checks(fixture(spark, "given_answers"), fixture(spark, "anchors"), fixture(spark, "cited"), fuzzy=False)
+    return golden.answer_checks(fixture(spark, sf_dir, "given_answers"), fixture(spark, sf_dir, "anchors"), fixture(spark, sf_dir, "cited"), fuzzy=False)
 
 
 def quote_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with a fuzzy measure of words."""
-    return golden.answer_checks(fixture(spark, "given_answers"), fixture(spark, "anchors"), fixture(spark, "cited"))
+    return golden.answer_checks(fixture(spark, sf_dir, "given_answers"), fixture(spark, sf_dir, "anchors"), fixture(spark, sf_dir, "cited"))
 
 
 def canonical_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,11 +193,11 @@ def canonical_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def anchor_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return golden.anchor_status(fixture(spark, "anchors"), fixture(spark, "pages_read"), fuzzy=False)
+    return golden.anchor_status(fixture(spark, sf_dir, "anchors"), fixture(spark, sf_dir, "pages_read"), fuzzy=False)
 
 
 def index_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return golden.index_status(fixture(spark, "anchors"), fixture(spark, "chunks_read"))
+    return golden.index_status(fixture(spark, sf_dir, "anchors"), fixture(spark, sf_dir, "chunks_read"))
 
 
 def anchor_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,11 +207,11 @@ def anchor_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def remapped_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return golden.remapped(fixture(spark, "anchors"), ("rules", "other"), "rules-v2").select("id", "place", "doc")
+    return golden.remapped(fixture(spark, sf_dir, "anchors"), ("rules", "other"), "rules-v2").select("id", "place", "doc")
 
 
 def turkish_folding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixture(spark, "pages_read").select("doc", "page_no", T.turkish_lower(F.col("text")).alias("text"), T.occurrences(F.col("text"), F.lit("e")).alias("n"))
+    return fixture(spark, sf_dir, "pages_read").select("doc", "page_no", T.turkish_lower(F.col("text")).alias("text"), T.occurrences(F.col("text"), F.lit("e")).alias("n"))
 
 
 def character_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,20 +222,20 @@ def character_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def method_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = recognition.scored_runs(*(fixture(spark, n) for n in ("runs", "truths", "languages", "elapsed")))
+    scored = recognition.scored_runs(*(fixture(spark, sf_dir, n) for n in ("runs", "truths", "languages", "elapsed")))
     return _rounded(recognition.method_ranking(scored), "cer_tr", "cer_en", "worst", "seconds")
 
 
 def reference_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recognition.reference_texts(*(fixture(spark, n) for n in ("compared", "manual", "overrides", "pages_read")))
+    return recognition.reference_texts(*(fixture(spark, sf_dir, n) for n in ("compared", "manual", "overrides", "pages_read")))
 
 
 def best_setting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.best_by(fixture(spark, "settings"), "name", "place", "tr", "cross_lingual", "mrr")
+    return metrics.best_by(fixture(spark, sf_dir, "settings"), "name", "place", "tr", "cross_lingual", "mrr")
 
 
 def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.repeated_summary(fixture(spark, "latencies"), "pair", "seconds")
+    return metrics.repeated_summary(fixture(spark, sf_dir, "latencies"), "pair", "seconds")
 
 
 QUERIES = {f.__name__: f for f in (golden_set, anchor_ranks, missing_anchors, recall_curve, retrieval_recall, recall_groups, chosen_recall, tokenizer_differences, retrieval_metrics, top_scores, score_overlap, score_summary, score_auc, threshold_confusion, threshold_search, paired_scores, bootstrap_interval, answer_labels, abstention_matrix, answer_rates, judge_reports, answer_checks, quote_likeness, canonical_numbers, anchor_statuses, index_statuses, anchor_coverage, remapped_anchors, turkish_folding, character_errors, method_ranking, reference_texts, best_setting, latency_summary)}

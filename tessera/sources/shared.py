@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -14,3 +15,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
     if not shared and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return f"{shared.rstrip('/') if shared else 'file://' + tempfile.mkdtemp(prefix='tessera-')}/{name}-{uuid.uuid4().hex}"
+
+
+def bounded(rows: DataFrame, most: int) -> DataFrame:
+    """The rows with a hint to broadcast them if there are `most` at most, else as they are. They are counted, so they should be cheap to read."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows

@@ -14,7 +14,7 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for name in ("documents", "embeddings", "benchmark", "labels"):
+    for name in ("documents", "embeddings", "benchmark", "labels", "conversations", "pages"):
         con.sql(f"create view {name} as select * from '{SF}/{name}.parquet'")
     return con
 
@@ -27,3 +27,10 @@ def test_same_rows(spark, duck, name):
     assert columns == sorted(other.columns)
     frames = [f[columns].sort_values(columns).reset_index(drop=True) for f in (own, other)]
     pd.testing.assert_frame_equal(*frames, check_dtype=False, rtol=0, atol=2e-6)
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_reads_given_tables(spark, name):
+    """No query gives rows without the tables."""
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        QUERIES[name](spark, "/nowhere").collect()
