@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.cumulative import below, ordered_pairs
+
 #: Depths of the recall curve.
 CURVE = (1, 3, 5, 10)
-#: Bins of scores whose counts one task adds up; scores within a bin are added up in as many tasks as there are.
-BINS = 4096
 
 
 def anchor_ranks(anchors: DataFrame, hits: DataFrame, query_id: str = "query_id") -> DataFrame:
@@ -59,22 +59,15 @@ def top_scores(questions: DataFrame, hits: DataFrame, query_id: str = "query_id"
     return questions.select(query_id).join(top, query_id, "left").withColumn("top_score", F.coalesce("top_score", F.lit(0.0)))
 
 
-def auc(rows: DataFrame, positive: Column, score: Column) -> DataFrame:
-    """One row (n_pos, n_neg, auc), ties half; 0 where a side is empty.
+def _counted(rows: DataFrame, positive: Column, score: Column) -> DataFrame:
+    """Rows (s, pos, neg): positive and negative rows of each score."""
+    return rows.select(positive.alias("p"), score.cast("double").alias("s")).where("p is not null and s is not null").groupBy("s").agg(F.count_if("p").alias("pos"), F.count_if(~F.col("p")).alias("neg"))
 
-    Works on counts per score. Scores are dealt to bins in order of value, and negatives below a score are
-    counted within its bin and over the bins before it, so no task orders all scores but that of BINS numbers.
-    """
-    per = rows.select(positive.alias("p"), score.cast("double").alias("s")).where("p is not null and s is not null").groupBy("s").agg(F.count_if("p").alias("pos"), F.count_if(~F.col("p")).alias("neg"))
-    bounds = per.agg(F.min("s").alias("low"), F.max("s").alias("high"))
-    # A bin is a stretch of values, so equal scores share one, and order among bins is order among scores.
-    share = F.coalesce(F.try_divide(F.col("s") - F.col("low"), F.col("high") - F.col("low")), F.lit(0.0))
-    binned = per.crossJoin(F.broadcast(bounds)).withColumn("bin", F.least(F.floor(share * BINS), F.lit(BINS - 1)).cast("int")).drop("low", "high")
-    before = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = binned.groupBy("bin").agg(F.sum("neg").alias("bin_neg")).withColumn("earlier", F.coalesce(F.sum("bin_neg").over(before), F.lit(0))).drop("bin_neg")
-    inside = Window.partitionBy("bin").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    placed = binned.withColumn("below", F.coalesce(F.sum("neg").over(inside), F.lit(0))).join(F.broadcast(bins), "bin")
-    wins = F.sum(F.col("pos") * (F.col("earlier") + F.col("below") + F.col("neg") / 2))
+
+def auc(rows: DataFrame, positive: Column, score: Column) -> DataFrame:
+    """One row (n_pos, n_neg, auc), ties half; 0 where a side is empty. Negatives below a score are counted by stretches of scores, so no task orders them all."""
+    placed = below(_counted(rows, positive, score), "s", ["neg"])
+    wins = F.sum(F.col("pos") * (F.col("below_neg") + F.col("neg") / 2))
     n_pos, n_neg = F.coalesce(F.sum("pos"), F.lit(0)), F.coalesce(F.sum("neg"), F.lit(0))
     return placed.agg(n_pos.alias("n_pos"), n_neg.alias("n_neg"), F.coalesce(F.try_divide(wins, n_pos * n_neg), F.lit(0.0)).alias("auc"))
 
@@ -98,15 +91,19 @@ def repeated_summary(rows: DataFrame, group: str, value: str) -> DataFrame:
 def paired_auc(rows: DataFrame, positive: Column, first: Column, second: Column) -> DataFrame:
     """One row comparing two scores on the same questions: both AUCs over pairs (positive, negative), their difference, and the pairs that only one orders rightly.
 
-    For evaluation sets; every pair is looked at, on the side of the larger class where it lies.
+    Pairs are counted, never made: of all that one score orders rightly, those that both do are taken off. Rows with a null score are left out.
     """
-    judged = rows.select(positive.alias("p"), first.alias("a"), second.alias("b")).where("p is not null")
-    pos = judged.where("p").select(F.col("a").alias("a1"), F.col("b").alias("b1"))
-    neg = judged.where("not p").select(F.col("a").alias("a0"), F.col("b").alias("b0"))
-    won = lambda x, y: F.when(x > y, 1.0).when(x == y, 0.5).otherwise(0.0)
-    pairs = pos.crossJoin(neg).select(won(F.col("a1"), F.col("a0")).alias("a"), won(F.col("b1"), F.col("b0")).alias("b"))
-    mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
-    return pairs.agg(mean("a").alias("auc_first"), mean("b").alias("auc_second"), (mean("a") - mean("b")).alias("delta"), F.count_if((F.col("a") == 1) & (F.col("b") < 1)).alias("only_first"), F.count_if((F.col("a") < 1) & (F.col("b") == 1)).alias("only_second"))
+    judged = rows.select(positive.alias("p"), first.cast("double").alias("a"), second.cast("double").alias("b")).where("p is not null and a is not null and b is not null")
+    both = ordered_pairs(judged, "p", "a", "b")
+    sides = []
+    for name, score in (("first", "a"), ("second", "b")):
+        placed = below(_counted(judged, F.col("p"), F.col(score)), "s", ["neg"])
+        pairs = F.coalesce(F.sum("pos") * F.sum("neg"), F.lit(0))
+        ordered = F.coalesce(F.sum(F.col("pos") * F.col("below_neg")), F.lit(0))
+        wins = F.sum(F.col("pos") * (F.col("below_neg") + F.col("neg") / 2))
+        sides.append(placed.agg(F.coalesce(F.try_divide(wins, pairs), F.lit(0.0)).alias(f"auc_{name}"), (ordered - both).cast("long").alias(f"only_{name}")))
+    # One row each.
+    return sides[0].crossJoin(sides[1]).select("auc_first", "auc_second", (F.col("auc_first") - F.col("auc_second")).alias("delta"), "only_first", "only_second")
 
 
 def paired_bootstrap(rows: DataFrame, positive: Column, first: Column, second: Column, rounds: int = 5000, seed: int = 0) -> DataFrame:
@@ -147,11 +144,11 @@ def confusion(rows: DataFrame, positive: Column, score: Column, threshold: float
 
 def best_thresholds(rows: DataFrame, positive: Column, score: Column) -> DataFrame:
     """One row: the observed score of the highest accuracy (of equals the lowest), that accuracy, and the least threshold that accepts no negative."""
-    per = rows.select(positive.alias("p"), score.cast("double").alias("s")).where("p is not null and s is not null").groupBy("s").agg(F.count_if("p").alias("pos"), F.count_if(~F.col("p")).alias("neg"))
-    from_here = Window.orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    right = F.sum("pos").over(from_here) + F.sum("neg").over(everything) - F.sum("neg").over(from_here)
-    tried = per.select("s", "neg", (right / F.sum(F.col("pos") + F.col("neg")).over(everything)).alias("accuracy"))
+    per = _counted(rows, positive, score)
+    whole = per.agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
+    right = F.col("all_pos") - F.col("below_pos") + F.col("below_neg")
+    # One row of totals.
+    tried = below(per, "s", ["pos", "neg"]).crossJoin(F.broadcast(whole)).select("s", "neg", (right / (F.col("all_pos") + F.col("all_neg"))).alias("accuracy"))
     clean = F.coalesce(F.max(F.when(F.col("neg") > 0, F.col("s"))) + 1e-9, F.min("s"))
     return tried.agg(F.max_by("s", F.struct("accuracy", -F.col("s"))).alias("threshold"), F.max("accuracy").alias("accuracy"), clean.alias("no_false_accept"))
 
