@@ -8,7 +8,8 @@ and a window within each stretch gives the rest. Cuts are numbers in the plan, s
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -21,11 +22,16 @@ CUTS, CUTS_OF_PAIRS = 1024, 128
 ACCURACY = 20
 
 
+def _constant(numbers: Iterable[float], kind: str = "double") -> Column:
+    """An array of numbers as one literal of the plan."""
+    return F.split(F.lit(",".join(map(repr, numbers))), ",").cast(f"array<{kind}>")
+
+
 def cuts_of(rows: DataFrame, values: Sequence[str], most: int = CUTS) -> list[list[float]]:
     """Per column the values, ascending, that cut its rows into stretches of about equal numbers. Nulls count for none."""
-    shares = F.array(*(F.lit((i + 1) / (most + 1)) for i in range(most)))
+    shares = _constant((i + 1) / (most + 1) for i in range(most))
     found = rows.agg(*(F.percentile_approx(v, shares, F.lit(most * ACCURACY)).alias(f"c{i}") for i, v in enumerate(values))).first()
-    return [sorted(set(c or [])) for c in found]
+    return [sorted({float(x) for x in c or []}) for c in found]
 
 
 def stretch(value: Column, cuts: Sequence[float]) -> Column:
@@ -34,30 +40,24 @@ def stretch(value: Column, cuts: Sequence[float]) -> Column:
         return F.lit(0)
     # Two steps, as a search for a word turns to a page first: of blocks, then within one.
     size = max(1, int(len(cuts) ** 0.5))
-    doubles = lambda xs: F.array(*(F.lit(float(x)) for x in xs))
-    block = F.size(F.filter(doubles(cuts[::size]), lambda c: c <= value))
-    inside = F.slice(doubles(cuts), F.greatest((block - 1) * size + 1, F.lit(1)), size)
+    block = F.size(F.filter(_constant(cuts[::size]), lambda c: c <= value))
+    inside = F.slice(_constant(cuts), F.greatest((block - 1) * size + 1, F.lit(1)), size)
     upto = F.when(block == 0, 0).otherwise((block - 1) * size + F.size(F.filter(inside, lambda c: c <= value)))
-    last = F.element_at(doubles(cuts), F.greatest(upto, F.lit(1)).cast("int"))
+    last = F.element_at(_constant(cuts), F.greatest(upto, F.lit(1)).cast("int"))
     return (2 * upto - F.when((upto > 0) & (last == value), 1).otherwise(0)).cast("int")
 
 
 def below(rows: DataFrame, value: str, sums: Sequence[str]) -> DataFrame:
-    """The rows with `below_<sum>` for each of `sums`: its total over rows of a smaller value. value: a column of doubles without nulls."""
+    """The rows with `below_<sum>` for each of `sums`: its total over rows of a smaller value. value: a column of doubles without nulls; what is added up are whole numbers."""
     (cuts,) = cuts_of(rows, [value])
     dealt = rows.withColumn("_stretch", stretch(F.col(value), cuts))
     totals = {r["_stretch"]: r for r in dealt.groupBy("_stretch").agg(*(F.sum(s).alias(s) for s in sums)).collect()}
-    before, running = {}, dict.fromkeys(sums, 0)
-    for k in sorted(totals):
-        before[k] = dict(running)
-        running = {s: running[s] + (totals[k][s] or 0) for s in sums}
+    earlier = {s: [0, *accumulate(totals[k][s] or 0 if k in totals else 0 for k in range(2 * len(cuts)))] for s in sums}
     # Rows of one value are one row here, so that a window holds distinct values of one stretch.
     per = dealt.groupBy("_stretch", value).agg(*(F.sum(s).alias(s) for s in sums))
     inside = Window.partitionBy("_stretch").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    if not totals:
-        return rows.withColumns({f"below_{s}": F.lit(0) for s in sums})
-    earlier = {s: F.create_map(*(F.lit(x) for k in before for x in (k, before[k][s]))) for s in sums}
-    summed = per.select(F.col(value).alias("_value"), *((F.coalesce(F.sum(s).over(inside), F.lit(0)) + earlier[s][F.col("_stretch")]).alias(f"below_{s}") for s in sums))
+    before = {s: F.element_at(_constant(n, "bigint"), F.col("_stretch") + 1) for s, n in earlier.items()}
+    summed = per.select(F.col(value).alias("_value"), *((F.coalesce(F.sum(s).over(inside), F.lit(0)) + before[s]).alias(f"below_{s}") for s in sums))
     return rows.join(summed, F.col(value) == F.col("_value")).drop("_value")
 
 
