@@ -112,8 +112,8 @@ def spans_of(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def blocks_of_items(benchmark: DataFrame, item_col: str, text_col: str, item_bytes: int) -> Iterator[list[tuple[str | None, str]]]:
-    """The items, dealt so that a block holds about `item_bytes` of text; one block is on the driver at a time."""
-    rows = benchmark.select(named(item_col).cast("string").alias("item"), named(text_col).cast("string").alias("text")).where("text is not null")
+    """The different items, dealt so that a block holds about `item_bytes` of text; one block is on the driver at a time."""
+    rows = benchmark.select(named(item_col).cast("string").alias("item"), named(text_col).cast("string").alias("text")).where("text is not null").distinct()
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = 1 + int(total) // item_bytes
     for k in range(n):

@@ -7,9 +7,9 @@ in its word, the space before the word included. A byte seen in the longest cont
 frozen after training, so the code length of a word is exact and the same wherever it stands; a text
 costs what its words cost, and the shortest code wins.
 
-Training takes a bounded sample of the labelled texts: about `train_bytes` a language, drawn by a hash
-of id and text, copies once, and of a text of over `train_chars` characters one slice of that length from
-a place that its hash chooses, so a language whose texts are all long is learned like any other.
+Training takes a bounded sample of the labelled texts: of each language the different texts with the smallest
+hashes, one at least, until they have `train_bytes`; of a text of over `train_chars` characters one slice of
+that length from a place that its hash chooses. So every language is learned, however long or often copied its texts.
 Prediction takes whole texts. A worker keeps the costs of words it has seen; unseen words are costed
 together by table look-ups.
 
@@ -25,14 +25,16 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import named, per_text, rate_of, slice_of
+from .shared import named, per_text, slice_of
 
 ORDER = 4
 TRAIN_BYTES = 600_000
 TRAIN_CHARS = 1 << 16
+#: Texts are first drawn to so many times the sample's bytes, and to so many texts a language.
+SPARE, LEAST_DRAWN = 3, 30
 #: Distinct words whose costs a worker keeps.
 MEMORY_WORDS = 150_000
 #: Bytes that are looked up at a time.
@@ -144,16 +146,23 @@ def _codes(stream: np.ndarray, k: int) -> np.ndarray:
 def train_language_model(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, train_bytes: int = TRAIN_BYTES, train_chars: int = TRAIN_CHARS) -> ContextTrees:
     """From rows with a language; null texts and languages are left out. One row a language comes to the driver, and the sample."""
     rows = labelled.select(named(id_col).alias("id"), named(text_col).cast("string").alias("whole"), named(lang_col).cast("string").alias("lang")).where("whole is not null and lang is not null")
-    rows = rows.select("lang", slice_of(F.col("whole"), train_chars, "language").alias("text"), rate_of("language", "id", "whole").alias("rate"))
-    totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
+    # A text's turn is that of its hash: how often or by whom it was written doesn't matter.
+    rate = F.pmod(F.xxhash64("whole", F.lit("language")), F.lit(1 << 52)) / float(1 << 52)
+    text = slice_of(F.col("whole"), train_chars, "language")
+    rows = rows.select("lang", rate.alias("rate"), text.alias("text"), F.octet_length(text).alias("bytes"))
+    once = rows.groupBy("lang", "rate").agg(F.max("bytes").alias("bytes"))
+    totals = once.groupBy("lang").agg(F.count("*").alias("n"), F.sum("bytes").alias("total"), F.min("rate").alias("first")).collect()
     if not totals:
         return ContextTrees([], {}, order)
-    rates = F.create_map(*(x for lang, n in totals.items() for x in (F.lit(lang), F.lit(min(1.0, train_bytes / max(n, 1))))))
-    texts: dict[str, list[str]] = {lang: [] for lang in sorted(totals)}
-    for r in rows.where(F.col("rate") < rates[F.col("lang")]).select("lang", "text").distinct().toLocalIterator():
+    # A share that holds the sample several times over, then the sample itself, by turns: the first text and all before which the sample isn't full.
+    shares = {r["lang"]: max(r["first"], SPARE * train_bytes / max(r["total"], 1), LEAST_DRAWN / r["n"]) for r in totals}
+    limits = F.create_map(*(F.lit(x) for pair in shares.items() for x in pair))
+    drawn = rows.where(F.col("rate") <= limits[F.col("lang")]).distinct()
+    before = F.sum("bytes").over(Window.partitionBy("lang").orderBy("rate", "text").rowsBetween(Window.unboundedPreceding, -1))
+    texts: dict[str, list[str]] = {lang: [] for lang in sorted(shares)}
+    for r in drawn.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < train_bytes).select("lang", "text").toLocalIterator():
         texts[r["lang"]].append(r["text"])
-    languages = [lang for lang in texts if texts[lang]]
-    return ContextTrees(languages, texts, order)
+    return ContextTrees(list(texts), texts, order)
 
 
 def score_languages(docs: DataFrame, trees: ContextTrees, kept: list[str], text_col: str = "text", *more: Column) -> DataFrame:

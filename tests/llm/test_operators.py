@@ -10,8 +10,8 @@ import pytest
 
 import tessera.llm.near_duplicates as near
 from tessera.llm.components import components
-from tessera.llm.decontamination import decontaminate
-from tessera.llm.language import score_languages, train_language_model
+from tessera.llm.decontamination import blocks_of_items, decontaminate
+from tessera.llm.language import ContextTrees, score_languages, train_language_model
 from tessera.llm.language_model import OCTAVES, STEPS, _step, learn_weights, score_texts
 from tessera.llm.near_duplicates import CHILDREN, COORDINATES, MISSED, branches, link_near_duplicates, missed, paths, trees_for
 from tessera.llm.packing import pack_documents
@@ -252,3 +252,50 @@ def test_pipeline_gives_token_ids(spark, docs, rows):
     pieces = corpus_pipeline.packing(spark, docs, "").collect()
     assert all(len(p.ids) == p.length and zlib.crc32(np.array(p.ids, "<u4").tobytes()) == p.ids_crc32 for p in pieces)
     assert {p.doc_id for p in pieces} == {i for i, *_ in rows}
+
+
+def test_every_language_is_learned(spark):
+    """200 languages of long texts, and one whose only text stands in 30 copies beside many others."""
+    rng = random.Random(11)
+    rows = []
+    for lang in range(200):
+        own = [f"{chr(0x4E00 + 40 * lang + rng.randrange(40))}{chr(0x4E00 + 40 * lang + rng.randrange(40))}" for _ in range(20)]
+        rows += [(1000 * lang + i, " ".join(rng.choice(own) for _ in range(300)), f"l{lang:03d}") for i in range(12)]
+    rows += [(900_000 + i, "the one text of it", "xx") for i in range(30)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    trees = train_language_model(table, train_bytes=2000, train_chars=400)
+    assert trees.languages == sorted({r[2] for r in rows})
+    got = {r["doc_id"]: r["lang_pred"] for r in score_languages(table, trees, ["doc_id"]).collect()}
+    assert sum(got[i] == lang for i, _, lang in rows) / len(rows) > 0.99
+
+
+def _bits(texts, word, order):
+    """Code length of a word by counting contexts as the definition has it, one byte after the other."""
+    words = [b" " + w.encode() + b" " for t in texts for w in t.split()]
+
+    def cost(context, byte):
+        if context is None:
+            return 8.0
+        seen = Counter(w[i] for w in words for i in range(1, len(w)) if len(context) <= i and w[i - len(context) : i] == context)
+        n, q = sum(seen.values()), len(seen)
+        shorter = context[1:] if context else None
+        if not n:
+            return cost(shorter, byte)
+        return -np.log2(seen[byte] / (n + q)) if seen[byte] else -np.log2(q / (n + q)) + cost(shorter, byte)
+
+    own = b" " + word.encode() + b" "
+    return sum(cost(own[max(0, i - order) : i], own[i]) for i in range(1, len(own)))
+
+
+def test_code_lengths_equal_the_definition(spark):
+    texts = {"a": ["the cat sat on the mat", "that hat"], "b": ["el gato se sienta", "está allí"]}
+    trees = ContextTrees(["a", "b"], texts, 3)
+    words = ["the", "gato", "hats", "zz", "é"]
+    want = [[_bits(texts[lang], w, 3) for lang in ("a", "b")] for w in words]
+    assert np.allclose(trees.words(words), want)
+
+
+def test_repeated_items_are_one(spark):
+    items = spark.createDataFrame([(i % 3, "one two three") for i in range(2000)], "item_id int, text string")
+    blocks = list(blocks_of_items(items, "item_id", "text", 1 << 20))
+    assert sum(map(len, blocks)) == 3
