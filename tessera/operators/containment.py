@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.sources.shared import bounded, shared_path
+from tessera.sources.shared import bounded, written
 
 #: Words of a window at most, and letters of a short quote's.
 WORDS, LETTERS = 4, 3
@@ -44,7 +44,6 @@ def containing(texts: DataFrame, quotes: DataFrame, keys: Sequence[str], text_co
     """Rows of texts with each distinct quote that they contain. Null and empty quotes are contained nowhere; ids may repeat and be null.
 
     keys: columns by which texts are found again; rows that share them are all looked at."""
-    spark = texts.sparkSession
     asked = quotes.select(F.col(quote_col).alias("quote")).where(F.length("quote") > 0).distinct()
     words = _words(F.col("quote"))
     # What stands between the first and the last white space, if there are words.
@@ -53,23 +52,18 @@ def containing(texts: DataFrame, quotes: DataFrame, keys: Sequence[str], text_co
     sizes = range(1, WORDS + 1), range(1, LETTERS + 1)
     own = F.coalesce(*(F.when(F.col("size") == n, _windows(F.col("inner"), n)) for n in sizes[0]), *(F.when(F.col("size") == -n, _letters(F.col("quote"), n)) for n in sizes[1]))
     wanted = sized.select("quote", "size", F.explode(F.array_distinct(own)).alias("window"))
-    path = shared_path(spark, "windows")
-    wanted.write.parquet(path)
-    wanted = spark.read.parquet(path)
+    wanted = written(wanted, "windows")
     used = [r["size"] for r in wanted.select("size").distinct().collect()]
     split = texts.select(*keys, F.col(text_col).alias("text"), _words(F.col(text_col)).alias("words"))
     found = F.array_distinct(F.flatten(F.array(*(_windows(F.col("words"), n) if n > 0 else _letters(F.col("text"), -n) for n in used)))) if used else F.array().cast("array<bigint>")
     held = split.select(*keys, F.explode(found).alias("window")).join(bounded(wanted.select("window").distinct(), MOST_BROADCAST), "window", "left_semi")
-    spots = shared_path(spark, "postings")
-    held.write.parquet(spots)
-    held = spark.read.schema(held.schema).parquet(spots)
+    held = written(held, "windows-held")
     counts = held.groupBy("window").agg(F.count("*").alias("n"))
     rarest = wanted.join(counts, "window", "left").groupBy("quote").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "window")).alias("least")).where("least.n > 0").select("quote", F.col("least.window").alias("window"))
     candidates = held.join(rarest, "window").select(*(F.col(k).alias(f"of_{k}") for k in keys), "quote").distinct()
-    pairs = shared_path(spark, "candidates")
-    candidates.write.parquet(pairs)
+    candidates = written(candidates, "candidates")
     same = F.lit(True)
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"of_{k}"))
-    met = texts.join(bounded(spark.read.schema(candidates.schema).parquet(pairs), MOST_BROADCAST), same)
+    met = texts.join(bounded(candidates, MOST_BROADCAST), same)
     return met.where(F.col(text_col).contains(F.col("quote"))).select(*texts.columns, F.col("quote").alias(quote_col))

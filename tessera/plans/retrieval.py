@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera import providers
 from tessera.functions import text as T
-from tessera.operators import dense, lexical
+from tessera.operators import blockmax, dense, lexical
 from tessera.operators.fusion import DEPTH, fuse, fusion_grid, reciprocal_ranks
 from tessera.operators.rerank import hits_of, rerank, reranking, search
 from tessera.plans.fixtures import fixture, with_fixtures
@@ -61,6 +61,14 @@ def bm25_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(lexical.search_lexical_index(spark, path, items, K))
 
 
+def bm25_block_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What bm25_search finds, over an index of blocks of which those without a hit aren't read."""
+    docs, items, _ = _tables(spark, sf_dir)
+    path = shared_path(spark, "blocks")
+    blockmax.write_block_index(docs, path)
+    return _rounded(blockmax.search_blocks(spark, path, items, K).hits)
+
+
 def _asked(vectors: DataFrame, query_id: str = "query_id") -> DataFrame:
     return vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias(query_id), "embedding")
 
@@ -148,7 +156,7 @@ def previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents").select("doc_id", T.preview(F.col("text")).alias("preview"))
 
 
-QUERIES = {f.__name__: f for f in (term_frequencies, document_lengths, inverse_frequencies, bm25_search, bm25_excluded, bm25_index_search, dense_search, dense_excluded, dense_block_search, hybrid_search, rank_fusion, fusion_sweep, rerank_search, named_retrievers, embedded_items, previews)}
+QUERIES = {f.__name__: f for f in (term_frequencies, document_lengths, inverse_frequencies, bm25_search, bm25_excluded, bm25_index_search, bm25_block_search, dense_search, dense_excluded, dense_block_search, hybrid_search, rank_fusion, fusion_sweep, rerank_search, named_retrievers, embedded_items, previews)}
 
 
 def bm25_sql(pattern: str, k: int, p: str = "", question: str = "text", where: str = "true") -> str:
@@ -196,6 +204,7 @@ ORACLES = {
     "inverse_frequencies": f"with {bm25_sql('keep', K)} select term, df, round(idf, 6) as idf from idf",
     "bm25_search": f"with {bm25_sql('keep', K)} select item_id, rank::int as rank, doc_id, round(score, 6) as score from ranked",
     "bm25_index_search": f"with {bm25_sql('keep', K)} select item_id, rank::int as rank, doc_id, round(score, 6) as score from ranked",
+    "bm25_block_search": f"with {bm25_sql('keep', K)} select item_id, rank::int as rank, doc_id, round(score, 6) as score from ranked",
     "bm25_excluded": f"with {bm25_sql('keep', K, where='doc_id % 10 <> item_id % 10')} select item_id, rank::int as rank, doc_id, round(score, 6) as score from ranked",
     "dense_search": f"with {_dense_sql('q.vec_id <> v.vec_id')} select query_id, rank::int as rank, vec_id, round(score, 6) as score from hits",
     "dense_block_search": f"with {_dense_sql('q.vec_id <> v.vec_id')} select query_id, rank::int as rank, vec_id, round(score, 6) as score from hits",

@@ -20,3 +20,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def bounded(rows: DataFrame, most: int) -> DataFrame:
     """The rows with a hint to broadcast them if there are `most` at most, else as they are. They are counted, so they should be cheap to read."""
     return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder: what is read more than once is worked out once."""
+    path = shared_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
