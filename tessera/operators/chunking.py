@@ -3,7 +3,7 @@
 Pages are stitched to one text; built-in expressions cut it into sentences and measure them. Where a
 chunk ends depends on every chunk before it, so one Arrow function per document finds the boundaries,
 on lengths alone: running sums and a search for the place where the next chunk is full. Texts stay in
-the JVM, which cuts the chunks out by place. A document is one row; there is no shuffle but the one that
+the JVM, which joins the sentences of each chunk; so the work is linear in a text. A document is one row; there is no shuffle but the one that
 brings a document's pages together.
 """
 
@@ -22,17 +22,22 @@ TARGET, LIMIT, OVERLAP, REMAINDER = 800, 1600, 150, 200
 SENTENCE_GAP = r"(?<=[.!?…])\s+(?=[A-ZÇĞİÖŞÜ0-9(])"
 
 
-def wrap(words: np.ndarray, width: int = TARGET) -> list[int]:
-    """Lengths of the lines that words of these lengths fill, each word with the space behind it; a line takes one word at least."""
+def wrapped(words: np.ndarray, width: int = TARGET) -> list[tuple[int, int, int]]:
+    """Lines that words of these lengths fill, each word with the space behind it, as (first word, words, length); a line takes one word at least."""
     ends = np.concatenate([[0], np.cumsum(words + 1)])
     lines, at = [], 0
     while at < len(words):
         stop = max(at + 1, int(np.searchsorted(ends, ends[at] + width, side="right")) - 1)
-        lines.append(int(ends[stop] - ends[at]) - 1)
+        lines.append((at, stop - at, int(ends[stop] - ends[at]) - 1))
         at = stop
     return lines
 
 
+def wrap(words: np.ndarray, width: int = TARGET) -> list[int]:
+    """Lengths of the lines."""
+    return [length for _, _, length in wrapped(words, width)]
+
+
 def chunk_ranges(sizes: np.ndarray) -> tuple[list[tuple[int, int]], int]:
     """Ranges of pieces that make full chunks, and where the remainder begins.
 
@@ -62,56 +67,90 @@ def chunk_ranges(sizes: np.ndarray) -> tuple[list[tuple[int, int]], int]:
     return found, a
 
 
-def places(words: list[np.ndarray], gaps: np.ndarray) -> list[dict]:
-    """Chunks of a text as character ranges. words: lengths of the words of each sentence, or one length for a short one; gaps between sentences.
+def _lines_of(words: list[np.ndarray]) -> list[list[tuple[int, int, int]]]:
+    """Per sentence its lines; words: lengths of the words of each sentence, or one length for a short one."""
+    return [[(0, 1, int(w[0]))] if len(w) == 1 else wrapped(np.asarray(w, np.int64)) for w in words]
 
-    start and stop bound the chunk, tail is where a short remainder that joins it begins, and last the place that tells its last page.
+
+def places(lines: list[list[tuple[int, int, int]]], gaps: np.ndarray | None, starts: np.ndarray) -> list[dict]:
+    """Chunks of a text. lines: of its sentences; gaps between sentences, where they aren't all 1; starts: of its pages.
+
+    first and n are a chunk's pieces, rest and n_rest those of a short remainder that joins it; page_start, page_full and
+    page_end are numbers, from 1, of the pages on which it begins, ends, and ends with its remainder.
     """
-    sizes, starts, at = [], [], 0
-    for sentence, gap in zip(words, [*gaps, 0], strict=True):
-        lines = [int(sentence[0])] if len(sentence) == 1 else wrap(np.asarray(sentence, np.int64))
-        for line in lines:
-            sizes.append(line)
-            starts.append(at)
-            at += line + 1
-        at += int(gap) - 1
-    n = np.asarray(sizes, np.int64)
+    n = np.array([length for own in lines for _, _, length in own], np.int64)
+    if not len(n) or not n.any():
+        return []
+    behind = np.ones(len(n), np.int64)
+    if gaps is not None:
+        behind[np.cumsum([len(own) for own in lines])[:-1] - 1] = gaps
+    at = np.cumsum(n + behind) - n - behind
+    page = lambda place: int(np.searchsorted(starts, place, side="right"))
     ranges, rest = chunk_ranges(n)
-    out = [{"start": starts[a], "stop": starts[b - 1] + sizes[b - 1], "tail": None, "last": starts[b - 1] + sizes[b - 1] - 1} for a, b in ranges]
-    if rest < len(sizes):
-        end = starts[-1] + sizes[-1]
+    out = []
+    for a, b in ranges:
+        end = page(at[b - 1] + n[b - 1] - 1)
+        out.append({"first": a, "n": b - a, "rest": 0, "n_rest": 0, "page_start": page(at[a]), "page_full": end, "page_end": end})
+    if rest < len(n):
         if out and int((n[rest:] + 1).sum()) - 1 < REMAINDER:
-            out[-1] |= {"tail": starts[rest], "tail_stop": end, "last": starts[-1]}
+            out[-1] |= {"rest": rest, "n_rest": len(n) - rest, "page_end": page(at[-1])}
         else:
-            out.append({"start": starts[rest], "stop": end, "tail": None, "last": end - 1})
-    return [{"tail_stop": None, **c} for c in out]
+            end = page(at[-1] + n[-1] - 1)
+            out.append({"first": rest, "n": len(n) - rest, "rest": 0, "n_rest": 0, "page_start": page(at[rest]), "page_full": end, "page_end": end})
+    return out
+
+
+def _whole(*names: str) -> ArrayType:
+    return ArrayType(StructType([StructField(n, IntegerType()) for n in names]))
 
 
-_PLACES = ArrayType(StructType([StructField(n, IntegerType()) for n in ("start", "stop", "tail", "tail_stop", "last")]))
+_LINES = ArrayType(_whole("first", "n"))
+_CHUNKS = _whole("first", "n", "rest", "n_rest", "page_start", "page_full", "page_end")
 
 
-@F.pandas_udf(_PLACES)
-def _places(words: pd.Series, gaps: pd.Series) -> pd.Series:
-    return pd.Series([None if w is None else places(list(w), g) for w, g in zip(words, gaps, strict=True)])
+def _told(lines: list[list[tuple[int, int, int]]]) -> list[list[dict]]:
+    """What the JVM needs to cut lines out: nothing for a sentence of one."""
+    return [[] if len(own) == 1 else [{"first": a, "n": k} for a, k, _ in own] for own in lines]
+
+
+@F.pandas_udf(StructType([StructField("lines", _LINES), StructField("chunks", _CHUNKS)]))
+def _places(words: pd.Series, gaps: pd.Series, starts: pd.Series) -> pd.DataFrame:
+    found = []
+    for w, g, at in zip(words, gaps, starts, strict=True):
+        lines = [] if w is None else _lines_of(list(w))
+        found.append((_told(lines), places(lines, g, at) if lines else []))
+    return pd.DataFrame(found, columns=["lines", "chunks"])
+
+
+@F.pandas_udf(_LINES)
+def _line_places(words: pd.Series) -> pd.Series:
+    return words.map(lambda w: None if w is None else _told(_lines_of(list(w))))
 
 
 def sentences(text: Column) -> Column:
     return F.split(text, SENTENCE_GAP)
 
 
-def sentence_lines(text: Column) -> Column:
-    """Sentences, those of over TARGET characters wrapped word by word into lines; for texts short enough for one row of lines."""
-    return F.flatten(F.transform(sentences(text), lambda s: F.when(F.length(s) <= TARGET, F.array(s)).otherwise(_lines(s))))
+def _lengths(parts: Column) -> Column:
+    """Per sentence its length, or those of its words if it is longer than a chunk."""
+    return F.transform(parts, lambda s: F.when(F.length(s) <= TARGET, F.array(F.length(s))).otherwise(F.transform(F.split(s, " "), lambda w: F.length(w))))
 
 
-def _lines(sentence: Column) -> Column:
-    start = F.struct(F.array().cast("array<string>").alias("full"), F.lit(None).cast("string").alias("line"))
+def _pieces(parts: Column, lines: Column) -> Column:
+    """Sentences, the long ones cut into their lines."""
 
-    def step(state: Column, word: Column) -> Column:
-        over = state["line"].isNotNull() & (F.length(state["line"]) + F.length(word) + 2 > TARGET)
-        return F.struct(F.when(over, F.array_append(state["full"], state["line"])).otherwise(state["full"]).alias("full"), F.when(over | state["line"].isNull(), word).otherwise(F.concat_ws(" ", state["line"], word)).alias("line"))
+    def cut(sentence: Column, i: Column) -> Column:
+        # The words are split once for all lines.
+        by_lines = F.transform(F.array(F.split(sentence, " ")), lambda words: F.transform(lines[i], lambda x: F.array_join(F.slice(words, x["first"] + 1, x["n"]), " ")))
+        return F.when(F.size(lines[i]) == 0, F.array(sentence)).otherwise(by_lines[0])
 
-    return F.aggregate(F.split(sentence, " "), start, step, lambda state: F.array_append(state["full"], state["line"]))
+    return F.flatten(F.transform(parts, cut))
+
+
+def sentence_lines(rows: DataFrame, text_col: str, name: str = "lines") -> DataFrame:
+    """The rows with their sentences, those of over TARGET characters wrapped word by word into lines."""
+    held = rows.withColumn("_parts", sentences(F.col(text_col)))
+    return held.withColumn("_at", _line_places(_lengths(F.col("_parts")))).withColumn(name, _pieces(F.col("_parts"), F.col("_at"))).drop("_parts", "_at")
 
 
 def page_offsets(pages: DataFrame, doc: str = "doc", page: str = "page_no", text_col: str = "text") -> DataFrame:
@@ -128,15 +167,13 @@ def stitch(pages: DataFrame, doc: str = "doc", page: str = "page_no", text_col:
     return rows.select(doc, F.array_join("held.text", " ").alias("body"), F.col("held.start").alias("starts"), F.col("held.method").alias("methods"))
 
 
-def page_at(starts: Column, offset: Column) -> Column:
-    """Number, from 1, of the page that a place of the stitched text lies on."""
-    return F.size(F.filter(starts, lambda s: s <= offset))
-
-
 def page_of_offsets(offsets: DataFrame, pages: DataFrame, doc: str = "doc", page: str = "page_no", offset: str = "offset") -> DataFrame:
     """As-of join: the offsets with the page that begins last at or before them. pages: rows (doc, page, start)."""
-    found = offsets.join(pages.select(doc, F.col(page).alias("page_no"), "start"), doc).where(F.col("start") <= F.col(offset))
-    return found.groupBy(doc, offset).agg(F.max_by("page_no", "start").alias("page_no"))
+    # Both sides in one order, pages first where they begin at the offset: the last page seen is the one.
+    both = offsets.select(doc, F.col(offset).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(pages.schema[page].dataType).alias("page_no")).unionByName(pages.select(doc, F.col("start").alias("_at"), F.lit(0).alias("_side"), F.col(page).alias("page_no")))
+    order = Window.partitionBy(doc).orderBy("_at", "_side", "page_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = both.withColumn("page_no", F.last("page_no", ignorenulls=True).over(order)).where("_side = 1 and page_no is not null")
+    return seen.select(doc, F.col("_at").alias(offset), "page_no").distinct()
 
 
 def chunk_stitched(docs: DataFrame, doc: str = "doc") -> DataFrame:
@@ -144,25 +181,19 @@ def chunk_stitched(docs: DataFrame, doc: str = "doc") -> DataFrame:
 
     The method is that of the chunk's pages, or mixed; a remainder that joins a chunk moves its last page, not its method.
     """
-    rows = docs.where(F.length("body") > 0)
-    lengths = F.transform(sentences(F.col("body")), lambda s: F.when(F.length(s) <= TARGET, F.array(F.length(s))).otherwise(F.transform(F.split(s, " "), lambda w: F.length(w))))
-    gaps = F.transform(F.regexp_extract_all("body", F.lit(SENTENCE_GAP), F.lit(0)), lambda g: F.length(g))
-    found = rows.withColumn("place", _places(lengths, gaps)).select("*", F.posexplode("place").alias("ordinal", "at")).drop("place")
-    cut = lambda a, b: F.regexp_replace(F.substring("body", a + 1, b - a), SENTENCE_GAP, " ")
-    at = F.col("at")
-    text = cut(at["start"], at["stop"])
-    text = F.when(at["tail"].isNull(), text).otherwise(T.stripped(F.concat(text, F.lit(" "), cut(at["tail"], at["tail_stop"]))))
-    first, full, last = page_at(F.col("starts"), at["start"]), page_at(F.col("starts"), at["stop"] - 1), page_at(F.col("starts"), at["last"])
-    methods = F.array_distinct(F.slice("methods", first, full - first + 1))
-    return found.select(
-        doc,
-        "ordinal",
-        F.format_string("%s#%04d", T.stem(F.col(doc).cast("string")), F.col("ordinal")).alias("chunk_id"),
-        first.alias("page_start"),
-        last.alias("page_end"),
-        F.when(F.size(methods) == 1, methods[0]).otherwise("mixed").alias("method"),
-        text.alias("text"),
-    )
+    gaps = F.when(F.contains("body", F.lit("  ")), F.transform(F.regexp_extract_all("body", F.lit(SENTENCE_GAP), F.lit(0)), lambda g: F.length(g)))
+    parted = docs.select(doc, sentences(F.col("body")).alias("parts"), gaps.alias("gaps"), "starts", "methods")
+    placed = parted.withColumn("at", _places(_lengths(F.col("parts")), F.col("gaps"), F.col("starts"))).select(doc, "methods", "at", _pieces(F.col("parts"), F.col("at.lines")).alias("pieces"))
+
+    def chunk(at: Column) -> Column:
+        text = F.array_join(F.slice("pieces", at["first"] + 1, at["n"]), " ")
+        whole = F.when(at["n_rest"] == 0, text).otherwise(T.stripped(F.concat_ws(" ", text, F.array_join(F.slice("pieces", at["rest"] + 1, at["n_rest"]), " "))))
+        methods = F.array_distinct(F.slice("methods", at["page_start"], at["page_full"] - at["page_start"] + 1))
+        return F.struct(at["page_start"].alias("page_start"), at["page_end"].alias("page_end"), F.when(F.size(methods) == 1, methods[0]).otherwise("mixed").alias("method"), whole.alias("text"))
+
+    # Chunks are cut out within the row: what goes on is each chunk with its own text.
+    found = placed.select(doc, F.posexplode(F.transform("at.chunks", chunk)).alias("ordinal", "c"))
+    return found.select(doc, "ordinal", F.format_string("%s#%04d", T.stem(F.col(doc).cast("string")), F.col("ordinal")).alias("chunk_id"), "c.page_start", "c.page_end", "c.method", "c.text")
 
 
 def chunk_pages(pages: DataFrame, doc: str = "doc", page: str = "page_no", text_col: str = "text", method: str = "method") -> DataFrame:

@@ -67,9 +67,9 @@ def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wrapped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of each document's first 5000 characters as one sentence without an end."""
-    text = F.left(F.regexp_replace(T.normalize(F.col("text")), "[.!?…]", ""), F.lit(5000))
-    return _docs(spark, sf_dir).select("doc_id", F.posexplode(chunking.sentence_lines(text)).alias("place", "line"))
+    """Lines of each document as one sentence without an end."""
+    rows = _docs(spark, sf_dir).select("doc_id", F.regexp_replace(T.normalize(F.col("text")), "[.!?…]", "").alias("text"))
+    return chunking.sentence_lines(rows, "text").select("doc_id", F.posexplode("lines").alias("place", "line"))
 
 
 def _lines_as_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,7 +198,7 @@ ORACLES = {
     "recognition_methods": f"with {with_fixtures('spreads')} select page, case when spread >= 25 then 'ocr_preprocessed' else 'ocr_raw' end as method from spreads",
     "normalized_text": f"with {with_fixtures('spaced')} select id, {normalized_sql('text')} as text from spaced",
     "sentence_counts": f"select doc_id, len(n)::int as sentences, list_max(n)::int as longest, list_sum(n)::int as total from (select doc_id, list_transform(list_filter({_CUT.format(normalized_sql('text'))}, lambda p, i: i % 2 = 1), lambda p: length(p)) as n from documents)",
-    "wrapped_lines": f"select doc_id, (generate_subscripts(w, 1) - 1)::int as place, unnest(w) as line from (select doc_id, {_WRAP} as w from (select doc_id, left(regexp_replace({normalized_sql('text')}, '[.!?…]', '', 'g'), 5000) as p from documents))",
+    "wrapped_lines": f"select doc_id, (generate_subscripts(w, 1) - 1)::int as place, unnest(w) as line from (select doc_id, {_WRAP} as w from (select doc_id, regexp_replace({normalized_sql('text')}, '[.!?…]', '', 'g') as p from documents))",
     "page_offsets": f"with {_LINE_PAGES}, {_STARTS} select doc, page_no, start from starts",
     "offset_pages": f"""with {_LINE_PAGES}, {_STARTS}, asked as (select doc, unnest(range(0, n + 1, 500))::int as "offset" from (select doc, max(start + length(text)) as n from starts group by doc))
     select a.doc, a."offset", s.page_no from asked a asof join starts s on a.doc = s.doc and a."offset" >= s.start""",
