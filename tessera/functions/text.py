@@ -62,14 +62,15 @@ def page_label(first: Column, last: Column) -> Column:
     return F.when(first == last, F.concat(F.lit("s."), first)).otherwise(F.concat(F.lit("s."), first, F.lit("-"), last))
 
 
-def canonical(text: Column) -> Column:
+def canonical(text: Column, compose: bool = True) -> Column:
     """For comparing answers with quotes: composed, lower case, decimal commas as points, white space collapsed."""
-    return collapsed(F.regexp_replace(F.lower(composed(text)), r"(?<=\d)[.,](?=\d)", "."))
+    return collapsed(F.regexp_replace(F.lower(composed(text) if compose else text), r"(?<=\d)[.,](?=\d)", "."))
 
 
-def numbers(text: Column) -> Column:
+def numbers(text: Column, compose: bool = True) -> Column:
     """Distinct numbers of a text, decimal comma read as a point."""
-    return F.array_distinct(F.regexp_extract_all(canonical(text), F.lit(r"\d+(?:\.\d+)?"), F.lit(0)))
+    lowered = F.lower(composed(text) if compose else text)
+    return F.array_distinct(F.regexp_extract_all(F.regexp_replace(lowered, r"(?<=\d)[.,](?=\d)", "."), F.lit(r"\d+(?:\.\d+)?"), F.lit(0)))
 
 
 def turkish_lower(text: Column) -> Column:

@@ -18,11 +18,10 @@ from tessera.operators.lexical import search_bm25
 from tessera.plans.fixtures import fixture, with_fixtures
 from tessera.plans.retrieval import bm25_sql
 from tessera.plans.texts import numbers_sql, tokens_sql
+from tessera.sources.shared import written
 from tessera.sources.tables import read_table
 
 K, DEPTH, PLACES = 5, 10, 6
-#: Texts whose characters are one byte each: DuckDB's edit distance counts bytes.
-ASCII = r"^[\x00-\x7f]*$"
 
 
 def _rounded(rows: DataFrame, *names: str) -> DataFrame:
@@ -72,16 +71,23 @@ def recall_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(curve, *(f"recall_{k}" for k in metrics.CURVE))
 
 
-def _per_question(spark: SparkSession, sf_dir: str, pattern: str = "keep") -> DataFrame:
+def _measured(anchors: DataFrame, hits: DataFrame) -> DataFrame:
     """Recall, precision and reciprocal rank of each answerable question."""
-    anchors = _anchors(spark, sf_dir).select("item_id", F.col("doc_id").alias("doc"), "quote")
-    hits = _hits(spark, sf_dir, pattern)
     recall = metrics.recall_curve(metrics.anchor_ranks(anchors, hits, "item_id"), (K,), "item_id").withColumnRenamed(f"recall_{K}", "recall")
     relevant = metrics.ranking_metrics(metrics.relevant_hits(hits, anchors, "item_id"), K, "item_id")
     zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
     return recall.join(relevant, "item_id", "left").select("item_id", "recall", zero("precision"), zero("reciprocal_rank"), "first_rank")
 
 
+def _held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors (item_id, doc, quote), worked out once."""
+    return written(_anchors(spark, sf_dir).select("item_id", F.col("doc_id").alias("doc"), "quote"), "anchors")
+
+
+def _per_question(spark: SparkSession, sf_dir: str, pattern: str = "keep") -> DataFrame:
+    return _measured(_held(spark, sf_dir), written(_hits(spark, sf_dir, pattern), "hits"))
+
+
 def retrieval_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_per_question(spark, sf_dir), "recall", "precision", "reciprocal_rank")
 
@@ -99,7 +105,19 @@ def chosen_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tokenizer_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions whose reciprocal rank differs between the two tokenizers."""
-    changed = metrics.paired_difference(_per_question(spark, sf_dir, "split"), _per_question(spark, sf_dir), "reciprocal_rank", "item_id")
+    anchors = _held(spark, sf_dir)
+    split, keep = (_measured(anchors, written(_hits(spark, sf_dir, p), "hits")) for p in ("split", "keep"))
+    return _rounded(metrics.paired_difference(split, keep, "reciprocal_rank", "item_id"), "before", "after", "difference")
+
+
+def retriever_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions whose reciprocal rank differs between the ranking by the vectors of their numbers and BM25."""
+    anchors, docs, vectors = _held(spark, sf_dir), read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "embeddings")
+    of_docs = vectors.select(F.col("vec_id").alias("doc"), "embedding").join(docs.select(F.col("doc_id").alias("doc")), "doc", "left_semi")
+    of_items = vectors.select(F.col("vec_id").alias("item_id"), "embedding").join(read_table(spark, sf_dir, "benchmark").select("item_id"), "item_id", "left_semi")
+    found = search_dense(of_docs, of_items, DEPTH, id_col="doc", query_id="item_id")
+    dense = written(found.join(docs.select(F.col("doc_id").alias("doc"), "text"), "doc"), "hits")
+    changed = metrics.paired_difference(_measured(anchors, dense), _measured(anchors, written(_hits(spark, sf_dir), "hits")), "reciprocal_rank", "item_id")
     return _rounded(changed, "before", "after", "difference")
 
 
@@ -215,10 +233,9 @@ def turkish_folding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def character_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Beginnings of neighbouring documents of one source in ASCII, each pair once."""
-    docs = read_table(spark, sf_dir, "documents").where(F.col("text").rlike(ASCII)).select("doc_id", "source", F.left("text", F.lit(200)).alias("text"))
-    later = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("source").alias("own"), F.col("text").alias("reference"))
-    return docs.join(later, "doc_id").select("doc_id", F.round(T.error_rate(F.col("text"), F.col("reference")), PLACES).alias("cer"))
+    """Error rate of every reading of an item's whole text, both sides normalised."""
+    pairs = fixture(spark, sf_dir, "runs").join(fixture(spark, sf_dir, "truths"), "doc")
+    return pairs.select("method", "doc", F.round(T.error_rate(T.normalize(F.col("text")), T.normalize(F.col("reference"))), PLACES).alias("cer"))
 
 
 def method_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,7 +255,7 @@ def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.repeated_summary(fixture(spark, sf_dir, "latencies"), "pair", "seconds")
 
 
-QUERIES = {f.__name__: f for f in (golden_set, anchor_ranks, missing_anchors, recall_curve, retrieval_recall, recall_groups, chosen_recall, tokenizer_differences, retrieval_metrics, top_scores, score_overlap, score_summary, score_auc, threshold_confusion, threshold_search, paired_scores, bootstrap_interval, answer_labels, abstention_matrix, answer_rates, judge_reports, answer_checks, quote_likeness, canonical_numbers, anchor_statuses, index_statuses, anchor_coverage, remapped_anchors, turkish_folding, character_errors, method_ranking, reference_texts, best_setting, latency_summary)}
+QUERIES = {f.__name__: f for f in (golden_set, anchor_ranks, missing_anchors, recall_curve, retrieval_recall, recall_groups, chosen_recall, tokenizer_differences, retriever_differences, retrieval_metrics, top_scores, score_overlap, score_summary, score_auc, threshold_confusion, threshold_search, paired_scores, bootstrap_interval, answer_labels, abstention_matrix, answer_rates, judge_reports, answer_checks, quote_likeness, canonical_numbers, anchor_statuses, index_statuses, anchor_coverage, remapped_anchors, turkish_folding, character_errors, method_ranking, reference_texts, best_setting, latency_summary)}
 
 _QUESTIONS = f"benchmark_ as (select item_id, array_to_string(({tokens_sql('keep')})[1:12], ' ') as question, text as quote from benchmark)"
 _ANCHORS = "anchored as (select b.item_id, d.doc_id, d.lang, b.text as quote from documents d join benchmark b on contains(d.text, b.text))"
@@ -254,12 +271,24 @@ def _hits_sql(p: str, pattern: str) -> str:
 
 def _measured_sql(p: str, pattern: str) -> str:
     """Common table expressions ending in {p}measured."""
-    return f"""{_hits_sql(p, pattern)}, {p}at as (select a.item_id, a.doc_id, min(h.rank)::int as rank from anchored a left join {p}hits h on h.item_id = a.item_id and h.doc_id = a.doc_id group by a.item_id, a.doc_id),
+    return f"{_hits_sql(p, pattern)}, {_rates_sql(p)}"
+
+
+def _rates_sql(p: str) -> str:
+    """From {p}hits to {p}measured."""
+    return f"""{p}at as (select a.item_id, a.doc_id, min(h.rank)::int as rank from anchored a left join {p}hits h on h.item_id = a.item_id and h.doc_id = a.doc_id group by a.item_id, a.doc_id),
     {p}rel as (select h.item_id, h.rank, exists (select 1 from anchored a where a.item_id = h.item_id and a.doc_id = h.doc_id) as relevant from {p}hits h),
     {p}prec as (select item_id, count(*) filter (relevant and rank <= {K}) / {K}::double as precision, coalesce(1::double / min(rank) filter (relevant and rank <= {K}), 0) as reciprocal_rank, (min(rank) filter (relevant))::int as first_rank from {p}rel group by item_id),
     {p}measured as (select item_id, recall, coalesce(precision, 0) as precision, coalesce(reciprocal_rank, 0) as reciprocal_rank, first_rank from (select item_id, avg(coalesce(rank <= {K}, false)::int) as recall from {p}at group by item_id) left join {p}prec using (item_id))"""
 
 
+def _dense_measured_sql() -> str:
+    """Common table expressions ending in v_measured: the ranking by vectors."""
+    cosine = "round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 9)"
+    return f"""v_hits as (select q.vec_id as item_id, v.vec_id as doc_id, row_number() over (partition by q.vec_id order by {cosine} desc, v.vec_id) as rank, d.text
+    from embeddings q join embeddings v on q.vec_id in (select item_id from benchmark) join documents d on d.doc_id = v.vec_id qualify rank <= {DEPTH}), {_rates_sql('v_')}"""
+
+
 _MEASURED = f"{_GOLDEN}, {_measured_sql('k_', 'keep')}"
 _TOP = f"{_GOLDEN}, {_hits_sql('k_', 'keep')}, tops as (select item_id, expected, coalesce(score, 0) as top_score from golden left join (select item_id, score from k_hits where rank = 1) using (item_id))"
 _COSINE = "round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 9)"
@@ -281,6 +310,7 @@ ORACLES = {
     "recall_groups": f"with {_MEASURED} select lang, category, count(*) as n, round(coalesce(avg(recall), 0), 6) as recall, round(coalesce(avg(precision), 0), 6) as precision, round(coalesce(avg(reciprocal_rank), 0), 6) as reciprocal_rank from k_measured join golden using (item_id) group by grouping sets ((), (lang), (category))",
     "chosen_recall": f"with {_MEASURED} select round(coalesce(avg(recall) filter (item_id in (1, 3, 5, 7, 11)), 0), 6) as recall from k_measured",
     "tokenizer_differences": f"with {_MEASURED}, {_measured_sql('s_', 'split')} select item_id, round(s.reciprocal_rank, 6) as before, round(k.reciprocal_rank, 6) as after, round(k.reciprocal_rank - s.reciprocal_rank, 6) as difference from s_measured s join k_measured k using (item_id) where abs(k.reciprocal_rank - s.reciprocal_rank) > 1e-9",
+    "retriever_differences": f"with {_MEASURED}, {_dense_measured_sql()} select item_id, round(v.reciprocal_rank, 6) as before, round(k.reciprocal_rank, 6) as after, round(k.reciprocal_rank - v.reciprocal_rank, 6) as difference from v_measured v join k_measured k using (item_id) where abs(k.reciprocal_rank - v.reciprocal_rank) > 1e-9",
     "retrieval_metrics": f"with {_DENSE} select query_id, round(count(*) filter (relevant) / {K}::double, 6) as precision, round(coalesce(1::double / min(rank) filter (relevant), 0), 6) as reciprocal_rank, (min(rank) filter (relevant))::int as first_rank from hits group by query_id",
     "top_scores": f"with {_TOP} select item_id, expected, round(top_score, 6) as top_score from tops",
     "score_overlap": f"with {_TOP} select count(*) filter (expected <> 'answer' and round(top_score, 9) >= (select min(round(top_score, 9)) from tops where expected = 'answer')) as overlap from tops",
@@ -306,7 +336,7 @@ ORACLES = {
     "anchor_coverage": f"with {_ANCHORS} select d.doc_id, count(a.item_id) as n_anchors, count(distinct a.item_id) as n_questions from documents d left join anchored a using (doc_id) group by d.doc_id",
     "remapped_anchors": f"with {with_fixtures('anchors')} select id, place, case when doc in ('rules', 'other') then 'rules-v2' else doc end as doc from anchors",
     "turkish_folding": f"with {with_fixtures('pages_read')} select doc, page_no, {_TR.format('text')} as text, (length(text) - length(replace(text, 'e', '')))::int as n from pages_read",
-    "character_errors": rf"""with a as (select doc_id, left(text, 200) as text from documents where regexp_full_match(text, '[\x00-\x7f\n]*')), p as (select a.doc_id, a.text, b.text as reference from a join a b on b.doc_id = a.doc_id + 1) select doc_id, round({_CER}, 6) as cer from p""",
+    "character_errors": f"with {with_fixtures('runs', 'truths')} select method, doc, round({_CER}, 6) as cer from runs join truths using (doc)",
     "method_ranking": f"""with {with_fixtures('runs', 'truths', 'languages', 'elapsed')}, s as (select r.method, coalesce(l.lang, '??') as lang, {_CER.replace('text', 'r.text')} as cer, e.seconds, coalesce(f.scope, 'document') as scope from runs r left join truths f on r.doc = f.doc left join languages l on r.doc = l.doc left join elapsed e on r.doc = e.doc and r.method = e.method),
     m as (select method, avg(cer) filter (lang = 'TR') as cer_tr, avg(cer) filter (lang = 'EN') as cer_en, avg(seconds) as seconds from s where scope = 'document' group by method)
     select method, round(cer_tr, 6) as cer_tr, round(cer_en, 6) as cer_en, round(seconds, 6) as seconds, round(greatest(cer_tr, cer_en), 6) as worst, (row_number() over (order by greatest(cer_tr, cer_en) nulls last, seconds nulls last, method))::int as rank from m""",

@@ -112,7 +112,8 @@ def empty_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
-    return _docs(spark, sf_dir).select("doc_id", F.size(T.numbers(text)).alias("n_numbers"), F.size(T.tokens(text, "split")).alias("n_split"), F.size(T.tokens(text, "keep")).alias("n_keep"))
+    composed = _docs(spark, sf_dir).select("doc_id", T.composed(text).alias("text"))
+    return composed.select("doc_id", F.size(T.numbers(text, compose=False)).alias("n_numbers"), F.size(T.tokens(text, "split", compose=False)).alias("n_split"), F.size(T.tokens(text, "keep", compose=False)).alias("n_keep"))
 
 
 def model_options(spark: SparkSession, sf_dir: str) -> DataFrame:
