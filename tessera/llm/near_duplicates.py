@@ -18,8 +18,8 @@ brings its ends together or if the sketch errs by over DEVIATIONS (2.5e-6 of pai
 A tree brings a pair of similarity J together with J^3 where its nodes are small, and with
 J^3 (1 - (1 - J^3)^CHILDREN) where they branch. `trees_for` takes as many trees as keep the pairs at the
 threshold that none brings together below MISSED even where all nodes branch, with the tokens that all
-trees share counted in: 14 trees at 0.85 (1.5e-5 where nodes branch, 1.2e-5 where they are small) and
-20 at 0.8 (1.4e-5 and 7.2e-6).
+trees share counted in: 17 trees at 0.85 (1.3e-5 where nodes branch, 1.6e-6 where they are small) and
+25 at 0.8 (2.0e-5 and 6.7e-7).
 
 A class's full set comes from one of its texts, which is found by id and a hash of the text, so rows that
 share an id, null included, cost no more than others. Hashes of shingles have 64 bits.
@@ -45,7 +45,8 @@ from .components import components
 from .shared import Scratch, in_arrow, mix, named, null_to_empty, slices, struct
 
 SHINGLE, SIMILARITY = 5, 0.8
-DEPTH, CHILDREN, SMALL = 3, 6, 1000
+#: Three children need 17 trees at 0.85 and send a class of a large node to 51 places; six need 14 and 84, two need 20 and 40, but more rows where nodes are small.
+DEPTH, CHILDREN, SMALL = 3, 3, 1000
 COORDINATES = 128
 #: Share of the pairs at the threshold that no tree may bring together, and the most trees.
 MISSED, MOST_TREES = 2e-5, 64
