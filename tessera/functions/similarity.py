@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from functools import partial as with_arguments
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -27,14 +29,43 @@ def ratio(a: str, b: str) -> float:
     return 200 * common_length(a, b) / both if both else 100.0
 
 
-def partial(a: str, b: str) -> float:
-    """The best ratio of the shorter text with any part of the longer one of its length; parts at the ends may be shorter."""
+def _shared(short: np.ndarray, long: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """For each part of `long` how many signs it shares with `short`, repeats counted: one pass a distinct sign."""
+    total = np.zeros(len(starts), np.int64)
+    for sign, n in zip(*np.unique(short, return_counts=True), strict=True):
+        upto = np.concatenate([[0], np.cumsum(long == sign)])
+        total += np.minimum(upto[stops] - upto[starts], n)
+    return total
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+
+
+def partial(a: str, b: str, least: float = 0.0) -> float:
+    """The best ratio of the shorter text with any part of the longer one of its length, 0 if that is below `least`; parts at the ends may be shorter.
+
+    What a part can reach is bounded by the signs and by the pairs of signs that it shares with the shorter text: a sign left out
+    spoils two pairs, one put in spoils one. Parts are looked at in the order of that bound, until none can be better.
+    """
     short, long = sorted((a, b), key=len)
     if not short:
         return 100.0 if not long else 0.0
-    n = len(short)
-    parts = {long[max(0, i) : i + n] for i in range(1 - n, len(long))}
-    return max(ratio(short, p) for p in parts)
+    n, x, y = len(short), _codes(short), _codes(long)
+    first = np.arange(1 - n, len(long))
+    starts, stops = np.maximum(first, 0), np.minimum(first + n, len(long))
+    both = n + stops - starts
+    pairs = _shared((x[:-1] << 21) + x[1:], (y[:-1] << 21) + y[1:], starts, np.maximum(stops - 1, starts))
+    bound = 200 * np.minimum(_shared(x, y, starts, stops), (pairs + both + 1) // 3) / both
+    best, seen = 0.0, set()
+    for i in np.argsort(-bound, kind="stable"):
+        if bound[i] <= best or bound[i] < least:
+            break
+        part = long[starts[i] : stops[i]]
+        if part not in seen:
+            seen.add(part)
+            best = max(best, ratio(short, part))
+    return best if best >= least else 0.0
 
 
 def token_set(a: str, b: str) -> float:
@@ -59,3 +90,8 @@ def _each(measure):
 
 
 partial_ratio, token_set_ratio = _each(partial), _each(token_set)
+
+
+def partial_ratio_from(least: float):
+    """The same, 0 below `least`, which spares most parts of a long text."""
+    return _each(with_arguments(partial, least=least))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.functions.similarity import partial_ratio, token_set_ratio
+from tessera.functions.similarity import partial_ratio_from, token_set_ratio
 
 # Categories, those of them that must be refused or need two documents, languages, and the least fuzzy likeness.
 CATEGORIES = ("single_doc", "multi_doc", "unanswerable", "false_premise", "conflict", "table", "cross_lingual", "out_of_domain")
@@ -82,7 +82,7 @@ def anchor_status(anchors: DataFrame, pages: DataFrame, fuzzy: bool = True) -> D
     seen = anchors.join(pages, "doc", "left").groupBy(*key).agg(*(F.coalesce(F.max(c.cast("int")), F.lit(0)).alias(n) for c, n in ((exact & own, "exact"), (folded & own, "folded"), (exact | folded, "other"))), F.max(F.when(own, F.col("text"))).alias("own_text"))
     # Only quotes that every exact test leaves open are compared letter by letter.
     open_ = F.when((F.col("exact") + F.col("folded") + F.col("other") == 0) & (F.length("quote") > 0), F.col("own_text"))
-    likeness = partial_ratio(F.col("quote"), open_) if fuzzy else F.lit(None).cast("double")
+    likeness = partial_ratio_from(LEAST_LIKENESS)(F.col("quote"), open_) if fuzzy else F.lit(None).cast("double")
     rows = seen.withColumn("likeness", likeness).join(known, "doc", "left")
     broken = F.col("doc").isNull() | F.col("page").isNull() | (F.coalesce("quote", F.lit("")) == "")
     status = F.when(broken, "schema").when(F.col("last_page").isNull(), "no_file").when((F.col("page") < 1) | (F.col("page") > F.col("last_page")), "page_range")

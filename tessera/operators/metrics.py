@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from math import factorial
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.cumulative import below, ordered_pairs
+from tessera.operators.cumulative import CUTS_OF_PAIRS, below, cuts_of, ordered_pairs, stretch
 
 #: Depths of the recall curve.
 CURVE = (1, 3, 5, 10)
+#: Weights of a bootstrap that a worker holds at a time.
+ROUND_CELLS = 4 << 20
 
 
 def anchor_ranks(anchors: DataFrame, hits: DataFrame, query_id: str = "query_id") -> DataFrame:
@@ -106,36 +111,64 @@ def paired_auc(rows: DataFrame, positive: Column, first: Column, second: Column)
     return sides[0].crossJoin(sides[1]).select("auc_first", "auc_second", (F.col("auc_first") - F.col("auc_second")).alias("delta"), "only_first", "only_second")
 
 
-def paired_bootstrap(rows: DataFrame, positive: Column, first: Column, second: Column, rounds: int = 5000, seed: int = 0) -> DataFrame:
-    """One row (low, high): where 95 of 100 differences of the two AUCs lie when both classes are drawn again with replacement.
+def paired_bootstrap(rows: DataFrame, positive: Column, first: Column, second: Column, key: Column, rounds: int = 5000, seed: int = 0) -> DataFrame:
+    """One row (low, high): where 95 of 100 differences of the two AUCs lie when the rows are drawn again with replacement.
 
-    A row is drawn as often as a hash of round, class and draw falls on it, so a run repeats itself; a round is one group of the class sizes.
+    In each round a row counts as often as a Poisson variable of mean 1 says that a hash of its key and the round gives, so rows stay
+    where they are and a run repeats itself; rows of one key are drawn together. Each score is cut into stretches; a stretch
+    gives each round's sums of weights and of ordered pairs within it, and what comes to one place is stretches times rounds.
     """
-    import numpy as np
-    import pandas as pd
-
-    judged = rows.select(positive.alias("p"), first.cast("double").alias("a"), second.cast("double").alias("b")).where("p is not null").collect()
-    sides = [np.array([(r.a, r.b) for r in judged if r.p is want], float).reshape(-1, 2) for want in (True, False)]
-
-    def area(x: np.ndarray, y: np.ndarray) -> float:
-        return float(((x[:, None] > y[None]) + 0.5 * (x[:, None] == y[None])).mean()) if len(x) and len(y) else 0.0
-
-    def draw(batches):
+    points = rows.select(positive.alias("p"), first.cast("double").alias("a"), second.cast("double").alias("b"), F.xxhash64(key).alias("h")).where("p is not null and a is not null and b is not null")
+    cuts = cuts_of(points, ["a", "b"], CUTS_OF_PAIRS)
+    sides = [points.select(F.lit(k).alias("side"), stretch(F.col(c), cuts[k]).alias("at"), "p", F.col(c).alias("s"), "h") for k, c in enumerate(("a", "b"))]
+    dealt = sides[0].unionByName(sides[1])
+    shape = "side int, at int, round int, pos double, neg double, inside double"
+
+    def told(side: int, at: int, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        rows = rows.sort_values("s")
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(rows["s"]) > 0]))
+        p, h = rows["p"].to_numpy(bool), rows["h"].to_numpy(np.int64).astype(np.uint64)
+        step = max(1, ROUND_CELLS // len(rows))
+        for a in range(0, rounds, step):
+            part = np.arange(a, min(rounds, a + step))
+            w = poisson(h, part.astype(np.uint64), seed).astype(np.int64)
+            pos, neg = (np.add.reduceat(w * side_p[:, None], starts, axis=0) for side_p in (p, ~p))
+            inside = (pos * (np.cumsum(neg, 0) - neg + neg / 2)).sum(0)
+            yield pd.DataFrame({"side": side, "at": at, "round": part, "pos": pos.sum(0), "neg": neg.sum(0), "inside": inside})
+
+    def open_stretch(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat(told(rows["side"].iloc[0], rows["at"].iloc[0], rows))
+
+    def one_value(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Any part of a stretch of one value adds up: nothing in it is ordered.
         for batch in batches:
-            out = []
-            for i in batch["id"]:
-                rng = np.random.default_rng([seed, int(i)])
-                x, y = (s[rng.integers(0, len(s), len(s))] if len(s) else s for s in sides)
-                out.append(area(x[:, 0], y[:, 0]) - area(x[:, 1], y[:, 1]))
-            yield pd.DataFrame({"delta": out})
-
-    deltas = rows.sparkSession.range(rounds).mapInPandas(draw, "delta double")
-    order = Window.orderBy("delta")
-    placed = deltas.withColumn("place", F.row_number().over(order) - 1)
+            for (side, at), own in batch.groupby(["side", "at"]):
+                for found in told(side, at, own):
+                    yield found.assign(inside=0.0)
+
+    between = dealt.where("at % 2 = 0").groupBy("side", "at").applyInPandas(open_stretch, shape)
+    alone = dealt.where("at % 2 = 1").mapInPandas(one_value, shape)
+    per = between.unionByName(alone).groupBy("side", "at", "round").agg(*(F.sum(c).alias(c) for c in ("pos", "neg", "inside")))
+    before = F.coalesce(F.sum("neg").over(Window.partitionBy("side", "round").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    inside = F.when(F.col("at") % 2 == 1, F.col("pos") * F.col("neg") / 2).otherwise(F.col("inside"))
+    areas = per.select("side", "round", "pos", "neg", (F.col("pos") * before + inside).alias("wins")).groupBy("side", "round").agg(F.coalesce(F.try_divide(F.sum("wins"), F.sum("pos") * F.sum("neg")), F.lit(0.0)).alias("auc"))
+    deltas = areas.groupBy("round").agg(F.sum(F.when(F.col("side") == 0, F.col("auc")).otherwise(-F.col("auc"))).alias("delta"))
+    # One number a round.
+    placed = deltas.withColumn("place", F.row_number().over(Window.orderBy("delta")) - 1)
     at = lambda share: F.max(F.when(F.col("place") == min(int(share * rounds), rounds - 1), F.col("delta")))
     return placed.agg(at(0.025).alias("low"), at(0.975).alias("high"))
 
 
+def poisson(keys: np.ndarray, rounds: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Draws of a Poisson variable of mean 1, a row a key and a column a round, by hashes of both."""
+    x = keys[:, None] + (rounds[None] + np.uint64(seed) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    share = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
+    # The number of terms of the distribution that lie below the share.
+    return np.searchsorted(np.cumsum([np.exp(-1) / factorial(k) for k in range(16)]), share, side="right").astype(np.uint8)
+
+
 def confusion(rows: DataFrame, positive: Column, score: Column, threshold: float) -> DataFrame:
     """One row: true_accept, false_accept, false_refuse, true_refuse at score >= threshold."""
     accepted = score >= threshold

@@ -172,7 +172,7 @@ def paired_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(metrics.paired_bootstrap(fixture(spark, sf_dir, "paired_scores"), F.col("expected") == "answer", F.col("rerank_score"), F.col("cosine_score")), "low", "high")
+    return _rounded(metrics.paired_bootstrap(fixture(spark, sf_dir, "paired_scores"), F.col("expected") == "answer", F.col("rerank_score"), F.col("cosine_score"), F.col("id")), "low", "high")
 
 
 def answer_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
