@@ -40,12 +40,16 @@ def top_k(scored: DataFrame, k: int, query_id: str, id_col: str) -> DataFrame:
 def search_dense(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "query_id", query_vector: str = "embedding", exclude: DataFrame | None = None) -> DataFrame:
     """Rows (query_id, rank, id_col, score), scores rounded to 9 places. Vectors without a direction, or of another length than the query's, are not found.
 
-    queries: rows (query_id, query_vector) that fit a broadcast; every vector is scored where it lies, and k rows a query leave a task.
+    queries: rows (query_id, query_vector); up to QUERY_BLOCK of them are broadcast, more in several passes. Every vector is scored where it
+    lies, and k rows a query leave a task.
     exclude: rows (query_id, id_col) that are not to be found.
     """
     rows = vectors.where(usable(F.col(vector_col))).select(id_col, unit(F.col(vector_col)).alias("of_row"))
     asked = queries.where(usable(F.col(query_vector))).select(query_id, unit(F.col(query_vector)).alias("of_query"))
-    pairs = rows.join(F.broadcast(asked), F.size("of_row") == F.size("of_query"))
+    n = 1 + asked.count() // QUERY_BLOCK
+    # Parts by a hash, half as large as the bound on average, so that none is above it.
+    parts = [asked] if n == 1 else [asked.where(F.pmod(F.xxhash64("of_query", F.col(query_id)), F.lit(2 * n)) == i) for i in range(2 * n)]
+    pairs = reduce(DataFrame.unionByName, (rows.join(F.broadcast(part), F.size("of_row") == F.size("of_query")) for part in parts))
     if exclude is not None:
         pairs = pairs.join(exclude.select(query_id, id_col), [query_id, id_col], "left_anti")
     return top_k(pairs.select(query_id, id_col, F.round(cosine(F.col("of_row"), F.col("of_query")), 9).alias("score")), k, query_id, id_col)

@@ -12,6 +12,8 @@ from tessera.functions.text import IMAGE_SUFFIXES, base_name, is_image
 from tessera.operators.routing import route_pages
 from tessera.providers import Recogniser
 
+#: Columns that Spark gives of a file.
+FILES = "path string, modificationTime timestamp, length long, content binary"
 PAGES = "doc string, page_no int, text string, method string"
 
 
@@ -21,6 +23,11 @@ def scan_files(spark: SparkSession, folder: str, images: bool | None = None) ->
     return files if images is None else files.where(is_image(F.col("path")) == F.lit(images))
 
 
+def stream_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The same of files as they arrive. Spark reads them, so the folder may be in any store that it reaches."""
+    return spark.readStream.format("binaryFile").schema(FILES).load(folder).select("path", base_name(F.col("path")).alias("doc"), "content")
+
+
 def extract_pages(files: DataFrame, recogniser: Recogniser) -> DataFrame:
     """Rows (doc, page_no, text, method), numbered from 1; an image is one page."""
 

@@ -2,8 +2,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.functions.text import error_rate, normalize, page_label
+from tessera.operators import dense
 from tessera.operators.answers import citations, grounding_gate, score_gate
 from tessera.operators.chunking import LIMIT, TARGET, chunk_documents, chunk_pages, wrap
+from tessera.operators.dense import search_dense
 from tessera.operators.metrics import auc
 from tessera.operators.routing import route_pages
 from tessera.streaming.upserts import replace_documents
@@ -78,3 +80,13 @@ def test_small_functions(spark):
     assert auc(spark.createDataFrame([], "p boolean, s double"), F.col("p"), F.col("s")).first()["auc"] == 0
     old, new = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), spark.createDataFrame([(2, "c")], "k int, v string")
     assert {tuple(r) for r in replace_documents(old, new, "k").collect()} == {(1, "a"), (2, "c")}
+
+
+def test_dense_passes_agree(spark, monkeypatch):
+    """Questions in one pass and in several find the same."""
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=8)]) for i in range(120)] + [(500, None), (501, [0.0] * 8), (502, [1.0] * 3)], "vec_id long, embedding array<double>")
+    asked = rows.where("vec_id % 3 = 0").withColumnRenamed("vec_id", "query_id")
+    one = sorted(map(tuple, search_dense(rows, asked, 4).collect()))
+    monkeypatch.setattr(dense, "QUERY_BLOCK", 10)
+    assert sorted(map(tuple, search_dense(rows, asked, 4).collect())) == one and len(one) >= 160
