@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.providers import Reranker, rerank_scores
+from tessera.sources.shared import written
 
 #: A retriever gives rows (query_id, rank, chunk_id, score, ...) for questions and a number of hits.
 Retriever = Callable[[DataFrame, int], DataFrame]
@@ -26,6 +27,19 @@ def rerank(candidates: DataFrame, questions: DataFrame, texts: DataFrame, provid
     return ranked.withColumn("score", F.col("rerank_score")).drop("question", "text")
 
 
+def rerank_grid(candidates: DataFrame, questions: DataFrame, texts: DataFrame, provider: Reranker, k: int, depths: Sequence[int], query_id: str = "query_id", id_col: str = "chunk_id") -> DataFrame:
+    """Rows (base, depth, query_id, rank, id_col, score) of every base's ranking reranked at every depth; a question's text is scored once, whatever the number of settings.
+
+    candidates: rows (base, query_id, id_col, rank).
+    """
+    first = candidates.where(F.col("rank") <= max(depths)).select("base", query_id, id_col, F.col("rank").alias("candidate_rank"))
+    pairs = first.select(query_id, id_col).distinct().join(questions.select(query_id, "question"), query_id).join(texts.select(id_col, "text"), id_col)
+    scored = written(rerank_scores(pairs, provider, out="score").select(query_id, id_col, "score"), "rerank-scores")
+    tried = first.join(scored, [query_id, id_col]).withColumn("depth", F.explode(F.array(*map(F.lit, depths)))).where(F.col("candidate_rank") <= F.col("depth"))
+    order = Window.partitionBy("base", "depth", query_id).orderBy(F.round("score", 9).desc(), "candidate_rank")
+    return tried.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("base", "depth", query_id, "rank", id_col, "score")
+
+
 def hits_of(ranked: DataFrame, chunks: DataFrame, query_id: str = "query_id", id_col: str = "chunk_id") -> DataFrame:
     """The ranked rows with their chunk's document, pages, method and text, and every column of provenance: null where a retriever didn't rank the row."""
     own = ranked.join(chunks.select(id_col, "doc", "page_start", "page_end", "method", "text"), id_col)

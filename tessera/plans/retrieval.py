@@ -9,13 +9,14 @@ from tessera import providers
 from tessera.functions import text as T
 from tessera.operators import blockmax, dense, lexical
 from tessera.operators.fusion import DEPTH, fuse, fusion_grid, reciprocal_ranks
-from tessera.operators.rerank import hits_of, rerank, reranking, search
+from tessera.operators.rerank import hits_of, rerank, rerank_grid, reranking, search
 from tessera.plans.fixtures import fixture, with_fixtures
 from tessera.plans.texts import tokens_sql
-from tessera.sources.shared import shared_path
+from tessera.sources.shared import bounded, shared_path, written
 from tessera.sources.tables import read_table
 
 K, PLACES, RERANK_DEPTH = 5, 6, 10
+DEPTHS = (5, 10, 20)
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -49,7 +50,7 @@ def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bm25_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Without the documents whose number ends as the item's does; counts are of all documents."""
     docs, items, _ = _tables(spark, sf_dir)
-    exclude = docs.select("doc_id").join(F.broadcast(items.select("item_id")), F.col("doc_id") % 10 == F.col("item_id") % 10)
+    exclude = docs.select("doc_id").join(bounded(items.select("item_id"), 1_000_000), F.col("doc_id") % 10 == F.col("item_id") % 10)
     return _rounded(lexical.search_bm25(docs, items, K, exclude=exclude))
 
 
@@ -130,6 +131,17 @@ def rerank_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(hits, "score", "dense_score", "bm25_score", "rerank_score")
 
 
+def rerank_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense, BM25 and hybrid rankings of the items, each reranked at three depths."""
+    docs, items, _ = _tables(spark, sf_dir)
+    dense_, bm25 = (written(r, "rankings") for r in _rankings(spark, sf_dir))
+    bases = {"dense": dense_, "bm25": bm25, "hybrid": fuse(dense_, bm25, max(DEPTHS), "item_id", "doc_id")}
+    rows = [r.select(F.lit(n).alias("base"), "item_id", "doc_id", "rank") for n, r in bases.items()]
+    questions = items.select("item_id", F.col("text").alias("question"))
+    found = rerank_grid(rows[0].unionByName(rows[1]).unionByName(rows[2]), questions, docs.select("doc_id", "text"), providers.LengthReranker(), K, DEPTHS, "item_id", "doc_id")
+    return _rounded(found)
+
+
 def named_retrievers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of every retriever of a registry, under its name."""
     docs, items, vectors = _tables(spark, sf_dir)
@@ -156,7 +168,7 @@ def previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents").select("doc_id", T.preview(F.col("text")).alias("preview"))
 
 
-QUERIES = {f.__name__: f for f in (term_frequencies, document_lengths, inverse_frequencies, bm25_search, bm25_excluded, bm25_index_search, bm25_block_search, dense_search, dense_excluded, dense_block_search, hybrid_search, rank_fusion, fusion_sweep, rerank_search, named_retrievers, embedded_items, previews)}
+QUERIES = {f.__name__: f for f in (term_frequencies, document_lengths, inverse_frequencies, bm25_search, bm25_excluded, bm25_index_search, bm25_block_search, dense_search, dense_excluded, dense_block_search, hybrid_search, rank_fusion, fusion_sweep, rerank_search, rerank_sweep, named_retrievers, embedded_items, previews)}
 
 
 def bm25_sql(pattern: str, k: int, p: str = "", question: str = "text", where: str = "true") -> str:
@@ -216,6 +228,9 @@ ORACLES = {
     select depth, constant, weight, item_id, (row_number() over (partition by depth, constant, weight, item_id order by round(score, 12) desc, a nulls last, b nulls last))::int as rank, doc_id, round(score, 6) as score from s qualify rank <= 3""",
     "rerank_search": f"""with {fused_sql(RERANK_DEPTH)}, {_RERANKED} select item_id, rank, round(rs, 6) as score, doc_id, 'doc-' || doc_id::varchar as doc, 1 as page_start, 1 as page_end, 'text_layer' as method,
     round(dense_score, 6) as dense_score, dense_rank, round(bm25_score, 6) as bm25_score, bm25_rank, round(rs, 6) as rerank_score, candidate_rank from reranked""",
+    "rerank_sweep": f"""with {fused_sql(max(DEPTHS))}, c as (select 'dense' as base, item_id, doc_id, rank from d union all select 'bm25', item_id, doc_id, rank from b union all select 'hybrid', item_id, doc_id, rank from fused),
+    t as (select c.*, depth, {_SIGMOID} as rs from c join (values {', '.join(f'({x})' for x in DEPTHS)}) as v(depth) on rank <= depth join documents using (doc_id))
+    select base, depth, item_id, (row_number() over (partition by base, depth, item_id order by round(rs, 9) desc, before))::int as rank, doc_id, round(rs, 6) as score from (select * rename (rank as before) from t) qualify rank <= {K}""",
     "named_retrievers": f"""with {rankings_sql(RERANK_DEPTH)}, r as (select item_id, doc_id, rs, row_number() over (partition by item_id order by round(rs, 9) desc, before) as rank from (select item_id, doc_id, d.rank as before, {_SIGMOID} as rs from d join documents using (doc_id)) qualify rank <= {K})
     select 'dense' as retriever, item_id, rank::int as rank, doc_id, round(score, 6) as score from d where rank <= {K} union all select 'bm25', item_id, rank::int, doc_id, round(score, 6) from b where rank <= {K} union all select 'rerank', item_id, rank::int, doc_id, round(rs, 6) from r""",
     "embedded_items": f"select item_id, {', '.join(f'round(({_LETTERS[i]} / {_LENGTH})::float::double, 5) as x{i}' for i in (0, 4, 14))} from benchmark",

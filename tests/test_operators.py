@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.text import error_rate, normalize, page_label
@@ -7,7 +8,9 @@ from tessera.operators.answers import citations, grounding_gate, score_gate
 from tessera.operators.chunking import LIMIT, TARGET, chunk_documents, chunk_pages, wrap
 from tessera.operators.dense import search_dense
 from tessera.operators.metrics import auc
+from tessera.operators.rerank import reranking, search
 from tessera.operators.routing import route_pages
+from tessera.providers import LengthReranker
 from tessera.streaming.upserts import replace_documents
 
 
@@ -90,3 +93,14 @@ def test_dense_passes_agree(spark, monkeypatch):
     one = sorted(map(tuple, search_dense(rows, asked, 4).collect()))
     monkeypatch.setattr(dense, "QUERY_BLOCK", 10)
     assert sorted(map(tuple, search_dense(rows, asked, 4).collect())) == one and len(one) >= 160
+
+
+def test_reranking_an_unknown_base_is_an_error(spark):
+    texts = spark.createDataFrame([(1, "a"), (2, "b" * 5000)], "chunk_id int, text string")
+    base = {"plain": lambda questions, k: questions.select("query_id", F.lit(1).alias("chunk_id"), F.lit(1).alias("rank"), F.lit(0.5).alias("score"))}
+    with pytest.raises(ValueError, match="unknown base 'other'"):
+        reranking(base, "other", texts, LengthReranker())
+    with pytest.raises(ValueError, match="unknown retriever"):
+        search(base, "other", texts, 3)
+    found = reranking(base, "plain", texts, LengthReranker())(spark.createDataFrame([(7, "q")], "query_id int, question string"), 3).collect()
+    assert [(r["query_id"], r["rank"], r["candidate_rank"]) for r in found] == [(7, 1, 1)]
