@@ -9,6 +9,8 @@ brings a document's pages together.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -38,41 +40,42 @@ def wrap(words: np.ndarray, width: int = TARGET) -> list[int]:
     return [length for _, _, length in wrapped(words, width)]
 
 
-def chunk_ranges(sizes: np.ndarray) -> tuple[list[tuple[int, int]], int]:
+def chunk_ranges(sizes: np.ndarray, target: int = TARGET, overlap: int = OVERLAP, limit: int = LIMIT) -> tuple[list[tuple[int, int]], int]:
     """Ranges of pieces that make full chunks, and where the remainder begins.
 
-    A piece weighs its length and one. A chunk is full with the piece that brings it to TARGET; if that piece
-    would bring it beyond LIMIT, the chunk ends before it. The next chunk begins with the shortest run of
-    pieces at the end of this one that weighs OVERLAP, unless that is all of it.
+    A piece weighs its length and one. A chunk is full with the piece that brings it to `target`; if that piece
+    would bring it beyond `limit`, the chunk ends before it. The next chunk begins with the shortest run of
+    pieces at the end of this one that weighs `overlap`, unless that is all of it.
     """
     reach = np.concatenate([[0], np.cumsum(sizes + 1)])
 
     def behind(a: int, b: int) -> int:
-        t = int(np.searchsorted(reach, reach[b] - OVERLAP, side="right")) - 1
+        t = int(np.searchsorted(reach, reach[b] - overlap, side="right")) - 1
         return t if t > a else b
 
     found: list[tuple[int, int]] = []
     a = b = 0
     while b < len(sizes):
-        filling = max(int(np.searchsorted(reach, reach[a] + TARGET)) - 1, b)
+        filling = max(int(np.searchsorted(reach, reach[a] + target)) - 1, b)
         if filling >= len(sizes):
             break
-        if filling > a and reach[filling + 1] - 1 - reach[a] > LIMIT:
+        if filling > a and reach[filling + 1] - 1 - reach[a] > limit:
             found.append((a, filling))
             a = behind(a, filling)
         b = filling + 1
-        if reach[b] - reach[a] >= TARGET:
+        if reach[b] - reach[a] >= target:
             found.append((a, b))
             a = behind(a, b)
     return found, a
 
 
-def _lines_of(words: list[np.ndarray]) -> list[list[tuple[int, int, int]]]:
+def _lines_of(words: list[np.ndarray], target: int = TARGET) -> list[list[tuple[int, int, int]]]:
     """Per sentence its lines; words: lengths of the words of each sentence, or one length for a short one."""
-    return [[(0, 1, int(w[0]))] if len(w) == 1 else wrapped(np.asarray(w, np.int64)) for w in words]
+    whole = [int(np.sum(w)) + len(w) - 1 for w in words]
+    return [[(0, 1, n)] if n <= target or len(w) == 1 else wrapped(np.asarray(w, np.int64), target) for w, n in zip(words, whole, strict=True)]
 
 
-def places(lines: list[list[tuple[int, int, int]]], gaps: np.ndarray | None, starts: np.ndarray) -> list[dict]:
+def places(lines: list[list[tuple[int, int, int]]], gaps: np.ndarray | None, starts: np.ndarray, target: int = TARGET, overlap: int = OVERLAP, limit: int = LIMIT) -> list[dict]:
     """Chunks of a text. lines: of its sentences; gaps between sentences, where they aren't all 1; starts: of its pages.
 
     first and n are a chunk's pieces, rest and n_rest those of a short remainder that joins it; page_start, page_full and
@@ -86,7 +89,7 @@ def places(lines: list[list[tuple[int, int, int]]], gaps: np.ndarray | None, sta
         behind[np.cumsum([len(own) for own in lines])[:-1] - 1] = gaps
     at = np.cumsum(n + behind) - n - behind
     page = lambda place: int(np.searchsorted(starts, place, side="right"))
-    ranges, rest = chunk_ranges(n)
+    ranges, rest = chunk_ranges(n, target, overlap, limit)
     out = []
     for a, b in ranges:
         end = page(at[b - 1] + n[b - 1] - 1)
@@ -131,9 +134,9 @@ def sentences(text: Column) -> Column:
     return F.split(text, SENTENCE_GAP)
 
 
-def _lengths(parts: Column) -> Column:
+def _lengths(parts: Column, target: int = TARGET) -> Column:
     """Per sentence its length, or those of its words if it is longer than a chunk."""
-    return F.transform(parts, lambda s: F.when(F.length(s) <= TARGET, F.array(F.length(s))).otherwise(F.transform(F.split(s, " "), lambda w: F.length(w))))
+    return F.transform(parts, lambda s: F.when(F.length(s) <= target, F.array(F.length(s))).otherwise(F.transform(F.split(s, " "), lambda w: F.length(w))))
 
 
 def _pieces(parts: Column, lines: Column) -> Column:
@@ -196,6 +199,39 @@ def chunk_stitched(docs: DataFrame, doc: str = "doc") -> DataFrame:
     return found.select(doc, "ordinal", F.format_string("%s#%04d", T.stem(F.col(doc).cast("string")), F.col("ordinal")).alias("chunk_id"), "c.page_start", "c.page_end", "c.method", "c.text")
 
 
+def chunk_grid(docs: DataFrame, settings: Sequence[tuple[int, int]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (target, overlap, id_col, ordinal, text): the chunks of documents of one page for every setting (target, overlap), a chunk's limit being twice its target.
+
+    Texts are read, normalised and parted once; their lengths go through one Arrow function, which folds them for all settings."""
+    settings = [(int(t), int(o)) for t, o in settings]
+    shortest = min(t for t, _ in settings)
+
+    @F.pandas_udf(ArrayType(StructType([StructField("target", IntegerType()), StructField("overlap", IntegerType()), StructField("lines", _LINES), StructField("chunks", _CHUNKS)])))
+    def folded(words: pd.Series) -> pd.Series:
+        def of(w: list[np.ndarray] | None) -> list[dict]:
+            found = []
+            for target, overlap in settings if w is not None else ():
+                lines = _lines_of(list(w), target)
+                found.append({"target": target, "overlap": overlap, "lines": _told(lines), "chunks": places(lines, None, np.zeros(1, np.int64), target, overlap, 2 * target)})
+            return found
+
+        return words.map(of)
+
+    parted = docs.select(id_col, sentences(T.normalize(F.col(text_col))).alias("parts"))
+    placed = parted.withColumn("at", folded(_lengths(F.col("parts"), shortest)))
+
+    def joined(pieces: Column, first: Column, n: Column) -> Column:
+        return F.array_join(F.slice(pieces, first + 1, n), " ")
+
+    def texts(setting: Column) -> Column:
+        whole = lambda pieces: F.transform(setting["chunks"], lambda c: F.when(c["n_rest"] == 0, joined(pieces, c["first"], c["n"])).otherwise(T.stripped(F.concat_ws(" ", joined(pieces, c["first"], c["n"]), joined(pieces, c["rest"], c["n_rest"])))))
+        cut = F.transform(F.array(_pieces(F.col("parts"), setting["lines"])), whole)[0]
+        return F.struct(setting["target"].alias("target"), setting["overlap"].alias("overlap"), cut.alias("texts"))
+
+    each = placed.select(id_col, F.explode(F.transform("at", texts)).alias("s"))
+    return each.select("s.target", "s.overlap", id_col, F.posexplode("s.texts").alias("ordinal", "text"))
+
+
 def chunk_pages(pages: DataFrame, doc: str = "doc", page: str = "page_no", text_col: str = "text", method: str = "method") -> DataFrame:
     """Chunks of documents given by pages, whose texts are normalised first."""
     return chunk_stitched(stitch(pages.withColumn(text_col, T.normalize(F.col(text_col))), doc, page, text_col, method), doc)

@@ -12,16 +12,19 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import golden, metrics, recognition
+from tessera.operators.chunking import chunk_grid
 from tessera.operators.containment import containing
 from tessera.operators.dense import search_dense
 from tessera.operators.lexical import search_bm25
 from tessera.plans.fixtures import fixture, with_fixtures
 from tessera.plans.retrieval import bm25_sql
-from tessera.plans.texts import numbers_sql, tokens_sql
+from tessera.plans.texts import chunks_of_size_sql, numbers_sql, tokens_sql
 from tessera.sources.shared import written
 from tessera.sources.tables import read_table
 
 K, DEPTH, PLACES = 5, 10, 6
+#: Sizes of chunks that are tried, with their overlaps.
+GRID = tuple((target, overlap) for target in (600, 800, 1000, 1200) for overlap in (100, 150, 200))
 
 
 def _rounded(rows: DataFrame, *names: str) -> DataFrame:
@@ -121,6 +124,30 @@ def retriever_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(changed, "before", "after", "difference")
 
 
+def _chunk_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows (target, overlap, chunks, recall, reciprocal_rank): for every size of chunks, what BM25 finds of the anchors among its first K chunks."""
+    chunks = written(chunk_grid(read_table(spark, sf_dir, "documents"), GRID).withColumn("chunk", F.struct("doc_id", "ordinal")), "chunks")
+    found = search_bm25(chunks, _questions(spark, sf_dir), K, id_col="chunk", query_text="question", groups=("target", "overlap"))
+    hits = found.join(chunks.select("target", "overlap", "chunk", "text"), ["target", "overlap", "chunk"]).withColumn("doc", F.col("chunk.doc_id"))
+    anchors = _held(spark, sf_dir)
+    tried = anchors.crossJoin(F.broadcast(spark.createDataFrame(list(GRID), "target int, overlap int")))
+    holds = F.when(F.col("text").contains(F.col("quote")), F.col("rank"))
+    ranked = tried.join(hits.select("target", "overlap", "item_id", "doc", "rank", "text"), ["target", "overlap", "item_id", "doc"], "left").groupBy("target", "overlap", "item_id", "doc", "quote").agg(F.min(holds).alias("rank"))
+    per = ranked.groupBy("target", "overlap", "item_id").agg(F.avg(F.col("rank").isNotNull().cast("int")).alias("recall"), F.coalesce(1 / F.min("rank"), F.lit(0.0)).alias("reciprocal_rank"))
+    means = per.groupBy("target", "overlap").agg(F.avg("recall").alias("recall"), F.avg("reciprocal_rank").alias("reciprocal_rank"))
+    return chunks.groupBy("target", "overlap").agg(F.count("*").alias("chunks")).join(means, ["target", "overlap"], "left")
+
+
+def chunk_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_chunk_rates(spark, sf_dir), "recall", "reciprocal_rank")
+
+
+def best_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The size of chunks with the best recall, of equals the best reciprocal rank; of ties the first of the grid."""
+    rates = written(_rounded(_chunk_rates(spark, sf_dir), "recall", "reciprocal_rank"), "rates")
+    return metrics.best_by(rates.withColumn("name", F.concat_ws("/", "target", "overlap")).withColumn("place", F.col("target") * 1000 + F.col("overlap")), "name", "place", "recall", "reciprocal_rank")
+
+
 def _vector_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read_table(spark, sf_dir, "embeddings")
     asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding", F.col("label").alias("wanted"))
@@ -255,7 +282,7 @@ def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.repeated_summary(fixture(spark, sf_dir, "latencies"), "pair", "seconds")
 
 
-QUERIES = {f.__name__: f for f in (golden_set, anchor_ranks, missing_anchors, recall_curve, retrieval_recall, recall_groups, chosen_recall, tokenizer_differences, retriever_differences, retrieval_metrics, top_scores, score_overlap, score_summary, score_auc, threshold_confusion, threshold_search, paired_scores, bootstrap_interval, answer_labels, abstention_matrix, answer_rates, judge_reports, answer_checks, quote_likeness, canonical_numbers, anchor_statuses, index_statuses, anchor_coverage, remapped_anchors, turkish_folding, character_errors, method_ranking, reference_texts, best_setting, latency_summary)}
+QUERIES = {f.__name__: f for f in (golden_set, anchor_ranks, missing_anchors, recall_curve, retrieval_recall, recall_groups, chosen_recall, tokenizer_differences, retriever_differences, chunk_sweep, best_chunks, retrieval_metrics, top_scores, score_overlap, score_summary, score_auc, threshold_confusion, threshold_search, paired_scores, bootstrap_interval, answer_labels, abstention_matrix, answer_rates, judge_reports, answer_checks, quote_likeness, canonical_numbers, anchor_statuses, index_statuses, anchor_coverage, remapped_anchors, turkish_folding, character_errors, method_ranking, reference_texts, best_setting, latency_summary)}
 
 _QUESTIONS = f"benchmark_ as (select item_id, array_to_string(({tokens_sql('keep')})[1:12], ' ') as question, text as quote from benchmark)"
 _ANCHORS = "anchored as (select b.item_id, d.doc_id, d.lang, b.text as quote from documents d join benchmark b on contains(d.text, b.text))"
@@ -289,6 +316,24 @@ def _dense_measured_sql() -> str:
     from embeddings q join embeddings v on q.vec_id in (select item_id from benchmark) join documents d on d.doc_id = v.vec_id qualify rank <= {DEPTH}), {_rates_sql('v_')}"""
 
 
+def _sweep_sql() -> str:
+    """Common table expressions ending in rates: every setting's chunks by the recursive fold, and their BM25."""
+    part = " union all by name ".join(f"select {t} as target, {o} as overlap, * from ({chunks_of_size_sql(t, o)})" for t, o in GRID)
+    words = tokens_sql("keep")
+    return f"""{_GOLDEN}, cut as materialized (select target, overlap, doc_id, ordinal, text from ({part})),
+    cut_tok as (select target, overlap, doc_id, ordinal, {words} as t from cut),
+    cut_all as (select target, overlap, count(*) as n, avg(len(t)) as average from cut_tok group by target, overlap),
+    cut_post as (select target, overlap, doc_id, ordinal, term, count(*) as tf, max(length) as length from (select target, overlap, doc_id, ordinal, len(t) as length, unnest(t) as term from cut_tok) group by all),
+    cut_idf as (select target, overlap, term, ln(1 + (any_value(n) - count(*) + 0.5::double) / (count(*) + 0.5::double)) as idf, any_value(average) as average from cut_post join cut_all using (target, overlap) group by target, overlap, term),
+    cut_ask as (select item_id, term, count(*) as asked from (select item_id, unnest({tokens_sql('keep', 'question')}) as term from benchmark_) group by all),
+    cut_hits as (select target, overlap, item_id, doc_id, ordinal, row_number() over (partition by target, overlap, item_id order by round(score, 9) desc, doc_id, ordinal) as rank from (
+        select target, overlap, item_id, doc_id, ordinal, sum(asked * idf * tf * 2.5::double / (tf + 1.5::double * (0.25::double + 0.75::double * length / average))) as score from cut_ask join cut_idf using (term) join cut_post using (target, overlap, term) group by all) qualify rank <= {K}),
+    cut_found as (select h.*, c.text from cut_hits h join cut c using (target, overlap, doc_id, ordinal)),
+    cut_at as (select s.target, s.overlap, a.item_id, a.doc_id, min(case when contains(h.text, a.quote) then h.rank end) as rank from anchored a cross join cut_all s left join cut_found h on h.target = s.target and h.overlap = s.overlap and h.item_id = a.item_id and h.doc_id = a.doc_id group by all),
+    cut_per as (select target, overlap, item_id, avg((rank is not null)::int) as recall, coalesce(1::double / min(rank), 0) as reciprocal_rank from cut_at group by all),
+    rates as (select target, overlap, n as chunks, round(avg(recall), 6) as recall, round(avg(reciprocal_rank), 6) as reciprocal_rank from cut_all left join cut_per using (target, overlap) group by all)"""
+
+
 _MEASURED = f"{_GOLDEN}, {_measured_sql('k_', 'keep')}"
 _TOP = f"{_GOLDEN}, {_hits_sql('k_', 'keep')}, tops as (select item_id, expected, coalesce(score, 0) as top_score from golden left join (select item_id, score from k_hits where rank = 1) using (item_id))"
 _COSINE = "round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 9)"
@@ -311,6 +356,8 @@ ORACLES = {
     "chosen_recall": f"with {_MEASURED} select round(coalesce(avg(recall) filter (item_id in (1, 3, 5, 7, 11)), 0), 6) as recall from k_measured",
     "tokenizer_differences": f"with {_MEASURED}, {_measured_sql('s_', 'split')} select item_id, round(s.reciprocal_rank, 6) as before, round(k.reciprocal_rank, 6) as after, round(k.reciprocal_rank - s.reciprocal_rank, 6) as difference from s_measured s join k_measured k using (item_id) where abs(k.reciprocal_rank - s.reciprocal_rank) > 1e-9",
     "retriever_differences": f"with {_MEASURED}, {_dense_measured_sql()} select item_id, round(v.reciprocal_rank, 6) as before, round(k.reciprocal_rank, 6) as after, round(k.reciprocal_rank - v.reciprocal_rank, 6) as difference from v_measured v join k_measured k using (item_id) where abs(k.reciprocal_rank - v.reciprocal_rank) > 1e-9",
+    "chunk_sweep": f"with {_sweep_sql()} select * from rates",
+    "best_chunks": f"with {_sweep_sql()} select arg_min(target || '/' || overlap, target * 1000 + overlap) as name, count(*) as n_tied from rates where (recall, reciprocal_rank) = (select max((recall, reciprocal_rank)) from rates)",
     "retrieval_metrics": f"with {_DENSE} select query_id, round(count(*) filter (relevant) / {K}::double, 6) as precision, round(coalesce(1::double / min(rank) filter (relevant), 0), 6) as reciprocal_rank, (min(rank) filter (relevant))::int as first_rank from hits group by query_id",
     "top_scores": f"with {_TOP} select item_id, expected, round(top_score, 6) as top_score from tops",
     "score_overlap": f"with {_TOP} select count(*) filter (expected <> 'answer' and round(top_score, 9) >= (select min(round(top_score, 9)) from tops where expected = 'answer')) as overlap from tops",

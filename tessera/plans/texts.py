@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -188,6 +190,12 @@ def _chunks_sql(pages: str) -> str:
         case when last_joins then trim(t || ' ' || more) else t end as text from spans)"""
 
 
+def chunks_of_size_sql(target: int, overlap: int) -> str:
+    """Chunks of documents by the recursive fold, with another target, a limit of twice that, and another overlap."""
+    sizes = {"800": str(target), "1600": str(2 * target), "150": str(overlap)}
+    return re.sub(r"\b(800|1600|150)\b", lambda m: sizes[m[0]], f"with recursive {_chunks_sql(_ONE_PAGE)} select doc as doc_id, ordinal, text from chunked")
+
+
 ORACLES = {
     "page_routing": f"select doc_id, reason, reason <> 'text_layer' as needs_ocr from ({_ROUTED})",
     "routing_reasons": f"select reason, count(*) as n from ({_ROUTED}) group by reason",
