@@ -44,14 +44,14 @@ def containing(texts: DataFrame, quotes: DataFrame, keys: Sequence[str], text_co
     """Rows of texts with each distinct quote that they contain. Null and empty quotes are contained nowhere; ids may repeat and be null.
 
     keys: columns by which texts are found again; rows that share them are all looked at."""
-    asked = quotes.select(F.col(quote_col).alias("quote")).where(F.length("quote") > 0).distinct()
-    words = _words(F.col("quote"))
+    asked = quotes.select(F.col(quote_col).alias("_quote")).where(F.length("_quote") > 0).distinct()
+    words = _words(F.col("_quote"))
     # What stands between the first and the last white space, if there are words.
     inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
-    sized = asked.withColumn("inner", inner).withColumn("size", F.when(F.size("inner") > 0, F.least(F.size("inner"), F.lit(WORDS))).otherwise(-F.least(F.length("quote"), F.lit(LETTERS))))
+    sized = asked.withColumn("inner", inner).withColumn("size", F.when(F.size("inner") > 0, F.least(F.size("inner"), F.lit(WORDS))).otherwise(-F.least(F.length("_quote"), F.lit(LETTERS))))
     sizes = range(1, WORDS + 1), range(1, LETTERS + 1)
-    own = F.coalesce(*(F.when(F.col("size") == n, _windows(F.col("inner"), n)) for n in sizes[0]), *(F.when(F.col("size") == -n, _letters(F.col("quote"), n)) for n in sizes[1]))
-    wanted = sized.select("quote", "size", F.explode(F.array_distinct(own)).alias("window"))
+    own = F.coalesce(*(F.when(F.col("size") == n, _windows(F.col("inner"), n)) for n in sizes[0]), *(F.when(F.col("size") == -n, _letters(F.col("_quote"), n)) for n in sizes[1]))
+    wanted = sized.select("_quote", "size", F.explode(F.array_distinct(own)).alias("window"))
     wanted = written(wanted, "windows")
     used = [r["size"] for r in wanted.select("size").distinct().collect()]
     split = texts.select(*keys, F.col(text_col).alias("text"), _words(F.col(text_col)).alias("words"))
@@ -59,11 +59,11 @@ def containing(texts: DataFrame, quotes: DataFrame, keys: Sequence[str], text_co
     held = split.select(*keys, F.explode(found).alias("window")).join(bounded(wanted.select("window").distinct(), MOST_BROADCAST), "window", "left_semi")
     held = written(held, "windows-held")
     counts = held.groupBy("window").agg(F.count("*").alias("n"))
-    rarest = wanted.join(counts, "window", "left").groupBy("quote").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "window")).alias("least")).where("least.n > 0").select("quote", F.col("least.window").alias("window"))
-    candidates = held.join(rarest, "window").select(*(F.col(k).alias(f"of_{k}") for k in keys), "quote").distinct()
+    rarest = wanted.join(counts, "window", "left").groupBy("_quote").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "window")).alias("least")).where("least.n > 0").select("_quote", F.col("least.window").alias("window"))
+    candidates = held.join(rarest, "window").select(*(F.col(k).alias(f"_of_{k}") for k in keys), "_quote").distinct()
     candidates = written(candidates, "candidates")
     same = F.lit(True)
     for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"of_{k}"))
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
     met = texts.join(bounded(candidates, MOST_BROADCAST), same)
-    return met.where(F.col(text_col).contains(F.col("quote"))).select(*texts.columns, F.col("quote").alias(quote_col))
+    return met.where(F.col(text_col).contains(F.col("_quote"))).select(*texts.columns, F.col("_quote").alias(quote_col))

@@ -139,13 +139,12 @@ def _chunk_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(_chunk_rates(spark, sf_dir), "recall", "reciprocal_rank")
-
-
-def best_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The size of chunks with the best recall, of equals the best reciprocal rank; of ties the first of the grid."""
+    """Every size of chunks with what is found, and which is best: by recall, then by reciprocal rank, of equals the first of the grid."""
     rates = written(_rounded(_chunk_rates(spark, sf_dir), "recall", "reciprocal_rank"), "rates")
-    return metrics.best_by(rates.withColumn("name", F.concat_ws("/", "target", "overlap")).withColumn("place", F.col("target") * 1000 + F.col("overlap")), "name", "place", "recall", "reciprocal_rank")
+    placed = rates.withColumn("place", F.col("target") * 1000 + F.col("overlap"))
+    best = metrics.best_by(placed.withColumn("name", F.struct("target", "overlap")), "name", "place", "recall", "reciprocal_rank")
+    # One row.
+    return rates.crossJoin(F.broadcast(best.select("name"))).select(*rates.columns, (F.struct("target", "overlap") == F.col("name")).alias("best"))
 
 
 def _vector_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,7 +281,7 @@ def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.repeated_summary(fixture(spark, sf_dir, "latencies"), "pair", "seconds")
 
 
-QUERIES = {f.__name__: f for f in (golden_set, anchor_ranks, missing_anchors, recall_curve, retrieval_recall, recall_groups, chosen_recall, tokenizer_differences, retriever_differences, chunk_sweep, best_chunks, retrieval_metrics, top_scores, score_overlap, score_summary, score_auc, threshold_confusion, threshold_search, paired_scores, bootstrap_interval, answer_labels, abstention_matrix, answer_rates, judge_reports, answer_checks, quote_likeness, canonical_numbers, anchor_statuses, index_statuses, anchor_coverage, remapped_anchors, turkish_folding, character_errors, method_ranking, reference_texts, best_setting, latency_summary)}
+QUERIES = {f.__name__: f for f in (golden_set, anchor_ranks, missing_anchors, recall_curve, retrieval_recall, recall_groups, chosen_recall, tokenizer_differences, retriever_differences, chunk_sweep, retrieval_metrics, top_scores, score_overlap, score_summary, score_auc, threshold_confusion, threshold_search, paired_scores, bootstrap_interval, answer_labels, abstention_matrix, answer_rates, judge_reports, answer_checks, quote_likeness, canonical_numbers, anchor_statuses, index_statuses, anchor_coverage, remapped_anchors, turkish_folding, character_errors, method_ranking, reference_texts, best_setting, latency_summary)}
 
 _QUESTIONS = f"benchmark_ as (select item_id, array_to_string(({tokens_sql('keep')})[1:12], ' ') as question, text as quote from benchmark)"
 _ANCHORS = "anchored as (select b.item_id, d.doc_id, d.lang, b.text as quote from documents d join benchmark b on contains(d.text, b.text))"
@@ -356,8 +355,7 @@ ORACLES = {
     "chosen_recall": f"with {_MEASURED} select round(coalesce(avg(recall) filter (item_id in (1, 3, 5, 7, 11)), 0), 6) as recall from k_measured",
     "tokenizer_differences": f"with {_MEASURED}, {_measured_sql('s_', 'split')} select item_id, round(s.reciprocal_rank, 6) as before, round(k.reciprocal_rank, 6) as after, round(k.reciprocal_rank - s.reciprocal_rank, 6) as difference from s_measured s join k_measured k using (item_id) where abs(k.reciprocal_rank - s.reciprocal_rank) > 1e-9",
     "retriever_differences": f"with {_MEASURED}, {_dense_measured_sql()} select item_id, round(v.reciprocal_rank, 6) as before, round(k.reciprocal_rank, 6) as after, round(k.reciprocal_rank - v.reciprocal_rank, 6) as difference from v_measured v join k_measured k using (item_id) where abs(k.reciprocal_rank - v.reciprocal_rank) > 1e-9",
-    "chunk_sweep": f"with {_sweep_sql()} select * from rates",
-    "best_chunks": f"with {_sweep_sql()} select arg_min(target || '/' || overlap, target * 1000 + overlap) as name, count(*) as n_tied from rates where (recall, reciprocal_rank) = (select max((recall, reciprocal_rank)) from rates)",
+    "chunk_sweep": f"with {_sweep_sql()} select *, row_number() over (order by recall desc, reciprocal_rank desc, target, overlap) = 1 as best from rates",
     "retrieval_metrics": f"with {_DENSE} select query_id, round(count(*) filter (relevant) / {K}::double, 6) as precision, round(coalesce(1::double / min(rank) filter (relevant), 0), 6) as reciprocal_rank, (min(rank) filter (relevant))::int as first_rank from hits group by query_id",
     "top_scores": f"with {_TOP} select item_id, expected, round(top_score, 6) as top_score from tops",
     "score_overlap": f"with {_TOP} select count(*) filter (expected <> 'answer' and round(top_score, 9) >= (select min(round(top_score, 9)) from tops where expected = 'answer')) as overlap from tops",
