@@ -88,8 +88,20 @@ def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(docs.select("doc_id", "text"), "doc_id").drop("doc_id")
 
 
+#: Signs whose capital is several signs in Spark (ß: SS), and the one sign that DuckDB has for each; itself where there is none.
+_LONG = "".join(c for c in map(chr, range(0x80, 0xFB18)) if len(c.upper()) > 1)
+_SHORT = "".join("ẞ" if c == "ß" else c.title() if len(c.title()) == 1 else c for c in _LONG)
+
+
+def _upper(text: str) -> str:
+    """Spark's SQL for capitals sign by sign. A ß is frequent and exchanged beforehand; texts with another such sign are taken apart."""
+    each = f"array_join(transform(split({text}, ''), c -> case when instr('{_LONG}', c) > 0 then translate(c, '{_LONG}', '{_SHORT}') else upper(c) end), '')"
+    return f"case when {text} rlike '[{_LONG.replace('ß', '')}]' then {each} else upper(translate({text}, 'ß', 'ẞ')) end"
+
+
 def _for_spark(sql: str) -> str:
-    """Whole quotients, and replacements of all occurrences, are written otherwise in Spark."""
+    """Whole quotients, replacements of all occurrences and capitals are written otherwise in Spark."""
+    sql = re.sub(r"\bupper\(((?:[^()]|\([^()]*\))*)\)", lambda m: _upper(m[1]), sql)
     return sql.replace(", 'g')", ")").replace(" // ", " div ")
 
 
