@@ -150,7 +150,7 @@ def chunk_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _vector_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read_table(spark, sf_dir, "embeddings")
     asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding", F.col("label").alias("wanted"))
-    found = search_dense(vectors, asked, K, exclude=asked.select("query_id", F.col("query_id").alias("vec_id")))
+    found = search_dense(vectors, asked, K, apart=(F.col("query_id"), F.col("vec_id")))
     return found.join(vectors.select("vec_id", "label"), "vec_id").join(asked.select("query_id", "wanted"), "query_id").withColumn("relevant", F.col("label") == F.col("wanted"))
 
 

@@ -77,15 +77,14 @@ def _asked(vectors: DataFrame, query_id: str = "query_id") -> DataFrame:
 def dense_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every 50th vector asks all others."""
     vectors = read_table(spark, sf_dir, "embeddings")
-    own = _asked(vectors).select("query_id", F.col("query_id").alias("vec_id"))
-    return _rounded(dense.search_dense(vectors, _asked(vectors), K, exclude=own))
+    return _rounded(dense.search_dense(vectors, _asked(vectors), K, apart=(F.col("query_id"), F.col("vec_id"))))
 
 
 def dense_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Without the vectors of the query's own label."""
     vectors = read_table(spark, sf_dir, "embeddings")
-    labels = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    return _rounded(dense.search_dense(vectors, _asked(vectors), K, exclude=labels.join(vectors.select("vec_id", "label"), "label").select("query_id", "vec_id")))
+    asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "label")
+    return _rounded(dense.search_dense(vectors, asked, K, apart=(F.col("label"), F.col("label"))))
 
 
 def dense_block_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,16 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/') if shared else 'file://' + tempfile.mkdtemp(prefix='tessera-')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of rows that go to a Python worker at a time, and Spark's setting for it. The default lets 10,000 texts come at once, each several times in memory.
+BATCH_BYTES, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a Python worker gets at a time, for this session from here on; a smaller bound of the session's stays."""
+    if not 0 < spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() <= BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+
+
 def bounded(rows: DataFrame, most: int) -> DataFrame:
     """The rows with a hint to broadcast them if there are `most` at most, else as they are. They are counted, so they should be cheap to read."""
     return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
