@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.providers import Reranker, rerank_scores
-from tessera.sources.shared import written
+from tessera.sources.shared import bounded, with_texts, written
 
+#: Hits up to which they are broadcast to their chunks.
+MOST_BROADCAST = 1_000_000
 #: A retriever gives rows (query_id, rank, chunk_id, score, ...) for questions and a number of hits.
 Retriever = Callable[[DataFrame, int], DataFrame]
 PROVENANCE = ("dense_score", "dense_rank", "bm25_score", "bm25_rank", "rerank_score", "candidate_rank")
@@ -21,7 +23,7 @@ def rerank(candidates: DataFrame, questions: DataFrame, texts: DataFrame, provid
     candidate_rank tells where a hit stood before, rerank_score and score what the model gave. questions: (query_id, question); texts: (id_col, text).
     """
     first = candidates.where(F.col("rank") <= depth).withColumnRenamed("rank", "candidate_rank").drop("score")
-    scored = rerank_scores(first.join(questions.select(query_id, "question"), query_id).join(texts.select(id_col, "text"), id_col), provider)
+    scored = rerank_scores(with_texts(first, texts, id_col).join(questions.select(query_id, "question"), query_id), provider)
     order = Window.partitionBy(query_id).orderBy(F.round("rerank_score", 9).desc(), "candidate_rank")
     ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.withColumn("score", F.col("rerank_score")).drop("question", "text")
@@ -33,7 +35,7 @@ def rerank_grid(candidates: DataFrame, questions: DataFrame, texts: DataFrame, p
     candidates: rows (base, query_id, id_col, rank).
     """
     first = candidates.where(F.col("rank") <= max(depths)).select("base", query_id, id_col, F.col("rank").alias("candidate_rank"))
-    pairs = first.select(query_id, id_col).distinct().join(questions.select(query_id, "question"), query_id).join(texts.select(id_col, "text"), id_col)
+    pairs = with_texts(first.select(query_id, id_col).distinct(), texts, id_col).join(questions.select(query_id, "question"), query_id)
     scored = written(rerank_scores(pairs, provider, out="score").select(query_id, id_col, "score"), "rerank-scores")
     tried = first.join(scored, [query_id, id_col]).withColumn("depth", F.explode(F.array(*map(F.lit, depths)))).where(F.col("candidate_rank") <= F.col("depth"))
     order = Window.partitionBy("base", "depth", query_id).orderBy(F.round("score", 9).desc(), "candidate_rank")
@@ -42,7 +44,9 @@ def rerank_grid(candidates: DataFrame, questions: DataFrame, texts: DataFrame, p
 
 def hits_of(ranked: DataFrame, chunks: DataFrame, query_id: str = "query_id", id_col: str = "chunk_id") -> DataFrame:
     """The ranked rows with their chunk's document, pages, method and text, and every column of provenance: null where a retriever didn't rank the row."""
-    own = ranked.join(chunks.select(id_col, "doc", "page_start", "page_end", "method", "text"), id_col)
+    found = written(ranked, "ranked")
+    # Few hits, so that chunks stay where they lie.
+    own = chunks.select(id_col, "doc", "page_start", "page_end", "method", "text").join(bounded(found, MOST_BROADCAST), id_col)
     kinds = {"score": "double", "rank": "int"}
     traces = [F.col(c) if c in ranked.columns else F.lit(None).cast(kinds[c.rsplit("_")[-1]]).alias(c) for c in PROVENANCE]
     return own.select(query_id, "rank", "score", id_col, "doc", "page_start", "page_end", "method", "text", *traces)

@@ -19,7 +19,7 @@ from tessera.operators.lexical import search_bm25
 from tessera.plans.fixtures import fixture, with_fixtures
 from tessera.plans.retrieval import bm25_sql
 from tessera.plans.texts import chunks_of_size_sql, numbers_sql, tokens_sql
-from tessera.sources.shared import written
+from tessera.sources.shared import with_texts, written
 from tessera.sources.tables import read_table
 
 K, DEPTH, PLACES = 5, 10, 6
@@ -53,7 +53,7 @@ def golden_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _hits(spark: SparkSession, sf_dir: str, pattern: str = "keep") -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     found = search_bm25(docs, _questions(spark, sf_dir), DEPTH, query_text="question", pattern=pattern)
-    return found.join(docs.select("doc_id", "text"), "doc_id").withColumnRenamed("doc_id", "doc")
+    return with_texts(found, docs, "doc_id").withColumnRenamed("doc_id", "doc")
 
 
 def _ranked(spark: SparkSession, sf_dir: str, pattern: str = "keep") -> DataFrame:
@@ -119,7 +119,7 @@ def retriever_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     of_docs = vectors.select(F.col("vec_id").alias("doc"), "embedding").join(docs.select(F.col("doc_id").alias("doc")), "doc", "left_semi")
     of_items = vectors.select(F.col("vec_id").alias("item_id"), "embedding").join(read_table(spark, sf_dir, "benchmark").select("item_id"), "item_id", "left_semi")
     found = search_dense(of_docs, of_items, DEPTH, id_col="doc", query_id="item_id")
-    dense = written(found.join(docs.select(F.col("doc_id").alias("doc"), "text"), "doc"), "hits")
+    dense = written(with_texts(found, docs.select(F.col("doc_id").alias("doc"), "text"), "doc"), "hits")
     changed = metrics.paired_difference(_measured(anchors, dense), _measured(anchors, written(_hits(spark, sf_dir), "hits")), "reciprocal_rank", "item_id")
     return _rounded(changed, "before", "after", "difference")
 
@@ -128,7 +128,7 @@ def _chunk_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows (target, overlap, chunks, recall, reciprocal_rank): for every size of chunks, what BM25 finds of the anchors among its first K chunks."""
     chunks = written(chunk_grid(read_table(spark, sf_dir, "documents"), GRID).withColumn("chunk", F.struct("doc_id", "ordinal")), "chunks")
     found = search_bm25(chunks, _questions(spark, sf_dir), K, id_col="chunk", query_text="question", groups=("target", "overlap"))
-    hits = found.join(chunks.select("target", "overlap", "chunk", "text"), ["target", "overlap", "chunk"]).withColumn("doc", F.col("chunk.doc_id"))
+    hits = with_texts(found, chunks, "target", "overlap", "chunk").withColumn("doc", F.col("chunk.doc_id"))
     anchors = _held(spark, sf_dir)
     tried = anchors.crossJoin(F.broadcast(spark.createDataFrame(list(GRID), "target int, overlap int")))
     holds = F.when(F.col("text").contains(F.col("quote")), F.col("rank"))

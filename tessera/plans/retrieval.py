@@ -12,7 +12,7 @@ from tessera.operators.fusion import DEPTH, fuse, fusion_grid, reciprocal_ranks
 from tessera.operators.rerank import hits_of, rerank, rerank_grid, reranking, search
 from tessera.plans.fixtures import fixture, with_fixtures
 from tessera.plans.texts import tokens_sql
-from tessera.sources.shared import bounded, shared_path, written
+from tessera.sources.shared import shared_path, written
 from tessera.sources.tables import read_table
 
 K, PLACES, RERANK_DEPTH = 5, 6, 10
@@ -50,8 +50,7 @@ def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bm25_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Without the documents whose number ends as the item's does; counts are of all documents."""
     docs, items, _ = _tables(spark, sf_dir)
-    exclude = docs.select("doc_id").join(bounded(items.select("item_id"), 1_000_000), F.col("doc_id") % 10 == F.col("item_id") % 10)
-    return _rounded(lexical.search_bm25(docs, items, K, exclude=exclude))
+    return _rounded(lexical.search_bm25(docs, items, K, apart=(F.col("item_id") % 10, F.col("doc_id") % 10)))
 
 
 def bm25_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,3 +37,9 @@ def written(rows: DataFrame, name: str) -> DataFrame:
     path = shared_path(rows.sparkSession, name)
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def with_texts(hits: DataFrame, texts: DataFrame, *keys: str, text_col: str = "text") -> DataFrame:
+    """The hits with the text of their keys. Hits are written, and broadcast if there are few, so that texts stay where they lie."""
+    found = written(hits, "hits")
+    return texts.select(*keys, text_col).join(bounded(found, 1_000_000), list(keys)).select(*found.columns, text_col)

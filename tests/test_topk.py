@@ -42,3 +42,44 @@ def test_best_keeps_ties_by_id():
         best.add(np.ones((1, 2)), [pa.array(ids)])
         best.rows()
     assert best.rows()["id0"].to_pylist() == [1, 3]
+
+
+def test_bm25_in_blocks_and_apart(spark, monkeypatch):
+    """Blocks of questions, slices of a batch, an index, pairs and keys that aren't to be found all agree with scores by the definition."""
+    from tessera.operators import lexical
+
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(30)]
+    texts = {i: " ".join(rng.choice(words, rng.integers(1, 12))) for i in range(120)} | {120: None, 121: ""}
+    asked = {i: " ".join(rng.choice([*words, "none"], 4)) for i in range(17)} | {17: "none", 18: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    items = spark.createDataFrame(list(asked.items()), "item_id long, text string")
+    split = {i: (t or "").split() for i, t in texts.items()}
+    average = sum(map(len, split.values())) / len(split)
+    idf = {w: np.log(1 + (len(split) - n + 0.5) / (n + 0.5)) for w in words for n in [sum(w in t for t in split.values())]}
+
+    def brute(allowed):
+        rows = set()
+        for q, text in asked.items():
+            scored = []
+            for i, t in split.items():
+                score = sum(idf[w] * t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / average)) for w in (text or "").split() if w in t)
+                if score > 0 and allowed(q, i):
+                    scored.append((-round(float(score), 9), i))
+            rows |= {(q, n, i, -s) for n, (s, i) in enumerate(sorted(scored)[:5], 1)}
+        return rows
+
+    told = lambda found: {(q, n, i, round(s, 9)) for q, n, i, s in map(tuple, found.collect())}
+    pairs = [(q, i) for q in asked for i in texts if (q * i) % 5 == 1]
+    banned = set(pairs)
+    monkeypatch.setattr(lexical, "QUERY_BLOCK", 6)
+    monkeypatch.setattr(lexical, "CELLS", 100)
+    assert told(lexical.search_bm25(docs, items, 5)) == brute(lambda q, i: True)
+    assert told(lexical.search_bm25(docs, items, 5, apart=(F.col("item_id") % 3, F.col("doc_id") % 3))) == brute(lambda q, i: q % 3 != i % 3)
+    assert told(lexical.search_bm25(docs, items, 5, exclude=spark.createDataFrame(pairs, "item_id long, doc_id long"))) == brute(lambda q, i: (q, i) not in banned)
+    from tessera.sources.shared import shared_path
+
+    path = shared_path(spark, "lexical")
+    lexical.write_lexical_index(docs, path)
+    assert told(lexical.search_lexical_index(spark, path, items, 5)) == brute(lambda q, i: True)
+    assert lexical.search_bm25(docs, items.where("item_id >= 17"), 5).count() == 0
