@@ -11,11 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.cumulative import CUTS_OF_PAIRS, below, cuts_of, ordered_pairs, stretch
+from tessera.sources.shared import written
 
 #: Depths of the recall curve.
 CURVE = (1, 3, 5, 10)
 #: Weights of a bootstrap that a worker holds at a time.
-ROUND_CELLS = 4 << 20
+ROUND_CELLS = 1 << 17
 
 
 def anchor_ranks(anchors: DataFrame, hits: DataFrame, query_id: str = "query_id") -> DataFrame:
@@ -99,6 +100,8 @@ def paired_auc(rows: DataFrame, positive: Column, first: Column, second: Column)
     Pairs are counted, never made: of all that one score orders rightly, those that both do are taken off. Rows with a null score are left out.
     """
     judged = rows.select(positive.alias("p"), first.cast("double").alias("a"), second.cast("double").alias("b")).where("p is not null and a is not null and b is not null")
+    # Read a dozen times below.
+    judged = written(judged, "judged")
     both = ordered_pairs(judged, "p", "a", "b")
     sides = []
     for name, score in (("first", "a"), ("second", "b")):
@@ -119,32 +122,44 @@ def paired_bootstrap(rows: DataFrame, positive: Column, first: Column, second: C
     gives each round's sums of weights and of ordered pairs within it, and what comes to one place is stretches times rounds.
     """
     points = rows.select(positive.alias("p"), first.cast("double").alias("a"), second.cast("double").alias("b"), F.xxhash64(key).alias("h")).where("p is not null and a is not null and b is not null")
+    # Read by the cuts and by either side.
+    points = written(points, "points")
     cuts = cuts_of(points, ["a", "b"], CUTS_OF_PAIRS)
     sides = [points.select(F.lit(k).alias("side"), stretch(F.col(c), cuts[k]).alias("at"), "p", F.col(c).alias("s"), "h") for k, c in enumerate(("a", "b"))]
     dealt = sides[0].unionByName(sides[1])
     shape = "side int, at int, round int, pos double, neg double, inside double"
 
-    def told(side: int, at: int, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    def open_stretch(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("s")
-        starts = np.flatnonzero(np.concatenate([[True], np.diff(rows["s"]) > 0]))
+        value = np.cumsum(np.concatenate([[0], np.diff(rows["s"]) > 0]))
         p, h = rows["p"].to_numpy(bool), rows["h"].to_numpy(np.int64).astype(np.uint64)
+        of_side = [(h[own], *np.unique(value[own], return_index=True)) for own in (p, ~p)]
+        found = np.zeros((3, rounds))
         step = max(1, ROUND_CELLS // len(rows))
         for a in range(0, rounds, step):
             part = np.arange(a, min(rounds, a + step))
-            w = poisson(h, part.astype(np.uint64), seed).astype(np.int64)
-            pos, neg = (np.add.reduceat(w * side_p[:, None], starts, axis=0) for side_p in (p, ~p))
-            inside = (pos * (np.cumsum(neg, 0) - neg + neg / 2)).sum(0)
-            yield pd.DataFrame({"side": side, "at": at, "round": part, "pos": pos.sum(0), "neg": neg.sum(0), "inside": inside})
-
-    def open_stretch(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat(told(rows["side"].iloc[0], rows["at"].iloc[0], rows))
+            pos, neg = np.zeros((2, value[-1] + 1, len(part)))
+            for sums, (keys, values, starts) in zip((pos, neg), of_side, strict=True):
+                if len(keys):
+                    sums[values] = np.add.reduceat(poisson(keys, part.astype(np.uint64), seed), starts, axis=0, dtype=np.int64)
+            found[:, part] = pos.sum(0), neg.sum(0), np.einsum("ij,ij->j", pos, np.cumsum(neg, 0) - neg / 2)
+        return pd.DataFrame({"side": rows["side"].iloc[0], "at": rows["at"].iloc[0], "round": np.arange(rounds), "pos": found[0], "neg": found[1], "inside": found[2]})
 
     def one_value(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # Any part of a stretch of one value adds up: nothing in it is ordered.
+        # Any part of a stretch of one value adds up: nothing in it is ordered. A task tells each stretch once.
+        sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             for (side, at), own in batch.groupby(["side", "at"]):
-                for found in told(side, at, own):
-                    yield found.assign(inside=0.0)
+                held = sums.setdefault((side, at), np.zeros((2, rounds)))
+                p, h = own["p"].to_numpy(bool), own["h"].to_numpy(np.int64).astype(np.uint64)
+                step = max(1, ROUND_CELLS // len(h))
+                for a in range(0, rounds, step):
+                    part = np.arange(a, min(rounds, a + step))
+                    w = poisson(h, part.astype(np.uint64), seed)
+                    held[0, part] += w[p].sum(0, dtype=np.int64)
+                    held[1, part] += w[~p].sum(0, dtype=np.int64)
+        for (side, at), (pos, neg) in sums.items():
+            yield pd.DataFrame({"side": side, "at": at, "round": np.arange(rounds), "pos": pos, "neg": neg, "inside": 0.0})
 
     between = dealt.where("at % 2 = 0").groupBy("side", "at").applyInPandas(open_stretch, shape)
     alone = dealt.where("at % 2 = 1").mapInPandas(one_value, shape)
@@ -164,9 +179,24 @@ def poisson(keys: np.ndarray, rounds: np.ndarray, seed: int = 0) -> np.ndarray:
     x = keys[:, None] + (rounds[None] + np.uint64(seed) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    share = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
-    # The number of terms of the distribution that lie below the share.
-    return np.searchsorted(np.cumsum([np.exp(-1) / factorial(k) for k in range(16)]), share, side="right").astype(np.uint8)
+    x ^= x >> np.uint64(31)
+    # Nearly all shares are told by their first bits; those that share them with a step are looked up by the whole.
+    head = (x >> np.uint64(64 - _HEAD)).astype(np.intp)
+    draws = _DRAWS[head]
+    open_ = np.nonzero(draws == _OPEN)
+    draws[open_] = _terms(x[open_])
+    return draws
+
+
+def _terms(x: np.ndarray) -> np.ndarray:
+    """The number of terms of the distribution that lie below the share."""
+    return np.searchsorted(_STEPS, (x >> np.uint64(11)) / float(1 << 53), side="right").astype(np.uint8)
+
+
+_STEPS = np.cumsum([np.exp(-1) / factorial(k) for k in range(16)])
+_HEAD, _OPEN = 16, 255
+_DRAWS = _terms(np.arange(1 << _HEAD, dtype=np.uint64) << np.uint64(64 - _HEAD))
+_DRAWS[_DRAWS != _terms((np.arange(1 << _HEAD, dtype=np.uint64) << np.uint64(64 - _HEAD)) | np.uint64((1 << 64 - _HEAD) - 1))] = _OPEN
 
 
 def confusion(rows: DataFrame, positive: Column, score: Column, threshold: float) -> DataFrame:

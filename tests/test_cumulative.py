@@ -53,3 +53,41 @@ def test_nothing_to_compare(spark):
     assert auc(none, F.col("p"), F.col("a")).first()["auc"] == 0
     assert tuple(paired_auc(none, F.col("p"), F.col("a"), F.col("b")).first()) == (0.0, 0.0, 0.0, 0, 0)
     assert cumulative.below(spark.createDataFrame([], "s double, n long"), "s", ["n"]).collect() == []
+
+
+def test_draws_by_their_first_bits():
+    """The draws are the number of terms of the distribution below each share, whichever bits tell it."""
+    from math import factorial
+
+    import numpy as np
+
+    from tessera.operators import metrics
+
+    steps = np.cumsum([np.exp(-1) / factorial(k) for k in range(16)])
+    keys, rounds = np.arange(3000, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95), np.arange(200, dtype=np.uint64)
+    x = keys[:, None] + (rounds[None] + np.uint64(4)) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    share = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
+    assert (metrics.poisson(keys, rounds, 3) == np.searchsorted(steps, share, side="right")).all()
+
+
+def test_scores_are_read_once(spark):
+    """The input is read once, however often the paired measures look at it."""
+    from pyspark.sql import functions as F
+
+    from tessera.operators import metrics
+
+    for measure in (metrics.paired_auc, metrics.paired_bootstrap):
+        seen = spark.sparkContext.accumulator(0)
+
+        @F.udf("double")
+        def noted(x, seen=seen):
+            seen.add(1)
+            return float(x % 7)
+
+        rows = spark.range(60).withColumn("s", noted(F.col("id")))
+        more = {"key": F.col("id"), "rounds": 20} if measure is metrics.paired_bootstrap else {}
+        assert measure(rows, F.col("id") % 2 == 0, F.col("s"), F.col("id") * 1.0, **more).count() == 1
+        # For the test of nulls and for the value.
+        assert seen.value <= 120
