@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from tessera.functions import text as T
+from tessera.sources.shared import small_batches
 
 # Characters of a chunk, its hard limit, its overlap, and the shortest remainder of its own; where sentences part.
 TARGET, LIMIT, OVERLAP, REMAINDER = 800, 1600, 150, 200
@@ -69,9 +70,14 @@ def chunk_ranges(sizes: np.ndarray, target: int = TARGET, overlap: int = OVERLAP
     return found, a
 
 
-def _lines_of(words: list[np.ndarray], target: int = TARGET) -> list[list[tuple[int, int, int]]]:
-    """Per sentence its lines; words: lengths of the words of each sentence, or one length for a short one."""
-    whole = [int(np.sum(w)) + len(w) - 1 for w in words]
+def _wholes(words: list[np.ndarray]) -> list[int]:
+    """Lengths of sentences."""
+    return [int(w[0]) if len(w) == 1 else int(np.sum(w)) + len(w) - 1 for w in words]
+
+
+def _lines_of(words: list[np.ndarray], target: int = TARGET, whole: list[int] | None = None) -> list[list[tuple[int, int, int]]]:
+    """Per sentence its lines; words: lengths of the words of each sentence, or one length for a short one; whole: _wholes of them, if known."""
+    whole = _wholes(words) if whole is None else whole
     return [[(0, 1, n)] if n <= target or len(w) == 1 else wrapped(np.asarray(w, np.int64), target) for w, n in zip(words, whole, strict=True)]
 
 
@@ -152,6 +158,7 @@ def _pieces(parts: Column, lines: Column) -> Column:
 
 def sentence_lines(rows: DataFrame, text_col: str, name: str = "lines") -> DataFrame:
     """The rows with their sentences, those of over TARGET characters wrapped word by word into lines."""
+    small_batches(rows.sparkSession)
     held = rows.withColumn("_parts", sentences(F.col(text_col)))
     return held.withColumn("_at", _line_places(_lengths(F.col("_parts")))).withColumn(name, _pieces(F.col("_parts"), F.col("_at"))).drop("_parts", "_at")
 
@@ -184,6 +191,7 @@ def chunk_stitched(docs: DataFrame, doc: str = "doc") -> DataFrame:
 
     The method is that of the chunk's pages, or mixed; a remainder that joins a chunk moves its last page, not its method.
     """
+    small_batches(docs.sparkSession)
     gaps = F.when(F.contains("body", F.lit("  ")), F.transform(F.regexp_extract_all("body", F.lit(SENTENCE_GAP), F.lit(0)), lambda g: F.length(g)))
     parted = docs.select(doc, sentences(F.col("body")).alias("parts"), gaps.alias("gaps"), "starts", "methods")
     placed = parted.withColumn("at", _places(_lengths(F.col("parts")), F.col("gaps"), F.col("starts"))).select(doc, "methods", "at", _pieces(F.col("parts"), F.col("at.lines")).alias("pieces"))
@@ -203,6 +211,7 @@ def chunk_grid(docs: DataFrame, settings: Sequence[tuple[int, int]], id_col: str
     """Rows (target, overlap, id_col, ordinal, text): the chunks of documents of one page for every setting (target, overlap), a chunk's limit being twice its target.
 
     Texts are read, normalised and parted once; their lengths go through one Arrow function, which folds them for all settings."""
+    small_batches(docs.sparkSession)
     settings = [(int(t), int(o)) for t, o in settings]
     shortest = min(t for t, _ in settings)
 
@@ -210,8 +219,10 @@ def chunk_grid(docs: DataFrame, settings: Sequence[tuple[int, int]], id_col: str
     def folded(words: pd.Series) -> pd.Series:
         def of(w: list[np.ndarray] | None) -> list[dict]:
             found = []
+            words = [] if w is None else list(w)
+            whole = _wholes(words)
             for target, overlap in settings if w is not None else ():
-                lines = _lines_of(list(w), target)
+                lines = _lines_of(words, target, whole)
                 found.append({"target": target, "overlap": overlap, "lines": _told(lines), "chunks": places(lines, None, np.zeros(1, np.int64), target, overlap, 2 * target)})
             return found
 
