@@ -63,6 +63,17 @@ class Best:
         return rows
 
 
+def parted(ids: pa.Array) -> list[pa.Array]:
+    """The columns that ids are compared by: those of a struct one by one."""
+    return ids.flatten() if pa.types.is_struct(ids.type) else [ids]
+
+
+def joined(rows: pa.Table, kind: pa.DataType) -> pa.Array:
+    """The ids of Best's rows, of the kind that they had."""
+    parts = [rows[n].combine_chunks() for n in rows.column_names[3:]]
+    return pa.StructArray.from_arrays(parts, [f.name for f in kind]) if pa.types.is_struct(kind) else parts[0]
+
+
 def hidden(rows: DataFrame, ids: Sequence[str], numbered: DataFrame, query_id: str, exclude: DataFrame | None) -> DataFrame:
     """The rows with OUT: numbers of the queries that aren't to find them, by `exclude`, rows (query_id, ids). numbered: rows (query_id, number)."""
     if exclude is None:
