@@ -83,3 +83,22 @@ def test_bm25_in_blocks_and_apart(spark, monkeypatch):
     lexical.write_lexical_index(docs, path)
     assert told(lexical.search_lexical_index(spark, path, items, 5)) == brute(lambda q, i: True)
     assert lexical.search_bm25(docs, items.where("item_id >= 17"), 5).count() == 0
+
+
+def test_texts_and_postings_are_not_shuffled_to_hits(spark):
+    """Even where Spark broadcasts nothing of its own, a search shuffles what its tasks found, and texts stay where they lie."""
+    from tessera.operators.lexical import search_bm25
+    from tessera.plans.evaluation import _hits
+    from tessera.sources.tables import read_table
+
+    sf = "/root/testdata/sf0.001"
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan_of = lambda rows: rows._jdf.queryExecution().executedPlan().toString()
+        search = plan_of(search_bm25(read_table(spark, sf, "documents"), read_table(spark, sf, "benchmark"), 5))
+        hits = plan_of(_hits(spark, sf))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert "SortMergeJoin" not in search + hits
+    assert search.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning" not in hits
