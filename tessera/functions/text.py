@@ -48,10 +48,10 @@ def normalize(text: Column, compose: bool = True) -> Column:
     return collapsed(F.regexp_replace(composed(text) if compose else text, rf"-{SPACE}*\n{SPACE}*", ""))
 
 
-def tokens(text: Column, pattern: str = "keep", compose: bool = True) -> Column:
-    """Lower-case tokens of the composed text; the dot that lower-casing a dotted capital I leaves is dropped."""
+def tokens(text: Column, pattern: str = "keep", compose: bool = True, between: str = "") -> Column:
+    """Lower-case tokens of the composed text; the dot that lower-casing a dotted capital I leaves is dropped. between: signs, no part of any token, each of which is told in its place too."""
     lowered = F.replace(F.lower(composed(text) if compose else text), F.lit("̇"), F.lit(""))
-    return F.regexp_extract_all(lowered, F.lit(TOKEN_PATTERNS[pattern]), F.lit(0))
+    return F.regexp_extract_all(lowered, F.lit(TOKEN_PATTERNS[pattern] + (f"|[{between}]" if between else "")), F.lit(0))
 
 
 def without_thinking(answer: Column) -> Column:

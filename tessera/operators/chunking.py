@@ -9,7 +9,9 @@ brings a document's pages together.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator, Sequence
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -42,23 +44,27 @@ def wrap(words: np.ndarray, width: int = TARGET) -> list[int]:
 
 
 def chunk_ranges(sizes: np.ndarray, target: int = TARGET, overlap: int = OVERLAP, limit: int = LIMIT) -> tuple[list[tuple[int, int]], int]:
-    """Ranges of pieces that make full chunks, and where the remainder begins.
+    """Ranges of pieces of these lengths that make full chunks, and where the remainder begins."""
+    return filled(np.concatenate([[0], np.cumsum(sizes + 1)]).tolist(), target, overlap, limit)
+
+
+def filled(reach: list[int], target: int, overlap: int, limit: int) -> tuple[list[tuple[int, int]], int]:
+    """Ranges of pieces that make full chunks, and where the remainder begins. reach: where pieces begin, and where one behind the last would.
 
     A piece weighs its length and one. A chunk is full with the piece that brings it to `target`; if that piece
     would bring it beyond `limit`, the chunk ends before it. The next chunk begins with the shortest run of
     pieces at the end of this one that weighs `overlap`, unless that is all of it.
     """
-    reach = np.concatenate([[0], np.cumsum(sizes + 1)])
 
     def behind(a: int, b: int) -> int:
-        t = int(np.searchsorted(reach, reach[b] - overlap, side="right")) - 1
+        t = bisect_right(reach, reach[b] - overlap, 0, b + 1) - 1
         return t if t > a else b
 
     found: list[tuple[int, int]] = []
     a = b = 0
-    while b < len(sizes):
-        filling = max(int(np.searchsorted(reach, reach[a] + target)) - 1, b)
-        if filling >= len(sizes):
+    while b < len(reach) - 1:
+        filling = max(bisect_left(reach, reach[a] + target, a) - 1, b)
+        if filling >= len(reach) - 1:
             break
         if filling > a and reach[filling + 1] - 1 - reach[a] > limit:
             found.append((a, filling))
@@ -70,6 +76,37 @@ def chunk_ranges(sizes: np.ndarray, target: int = TARGET, overlap: int = OVERLAP
     return found, a
 
 
+def wrapped_words(starts: list[int], sentences: list[int], target: int) -> list[int]:
+    """The words at which a text's pieces begin: its sentences, those longer than `target` wrapped word by word; the number of words comes last.
+
+    starts: where words begin, and where one behind the last would; one sign stands between two. sentences: their first words, and the number of words."""
+    begins = []
+    for first, stop in pairwise(sentences):
+        begins.append(first)
+        if starts[stop] - starts[first] - 1 > target:
+            at = max(first + 1, bisect_right(starts, starts[first] + target, first, stop + 1) - 1)
+            while at < stop:
+                begins.append(at)
+                at = max(at + 1, bisect_right(starts, starts[at] + target, at, stop + 1) - 1)
+    return [*begins, sentences[-1]]
+
+
+def ranges_of_words(starts: list[int], sentences: list[int], settings: Sequence[tuple[int, int]]) -> Iterator[tuple[list[tuple[int, int]], tuple[int, int]]]:
+    """For every setting (target, overlap) the ranges of words that are a text's chunks, and that of a short remainder which joins the last, else (0, 0). Arguments as of wrapped_words."""
+    pieces = {t: wrapped_words(starts, sentences, t) for t in {t for t, _ in settings}}
+    reaches = {t: [starts[w] for w in own] for t, own in pieces.items()}
+    for target, overlap in settings:
+        own, reach = pieces[target], reaches[target]
+        found, rest = filled(reach, target, overlap, 2 * target)
+        last, joins = len(reach) - 1, (0, 0)
+        if rest < last:
+            if found and reach[last] - reach[rest] - 1 < REMAINDER:
+                joins = own[rest], own[last]
+            else:
+                found.append((rest, last))
+        yield [(own[a], own[b]) for a, b in found], joins
+
+
 def _wholes(words: list[np.ndarray]) -> list[int]:
     """Lengths of sentences."""
     return [int(w[0]) if len(w) == 1 else int(np.sum(w)) + len(w) - 1 for w in words]

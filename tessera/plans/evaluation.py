@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import golden, metrics, recognition
-from tessera.operators.chunking import chunk_grid
-from tessera.operators.containment import containing
+from tessera.operators.chunk_search import chunk_text, search_chunks
+from tessera.operators.containment import MOST_BROADCAST, containing
 from tessera.operators.dense import search_dense
 from tessera.operators.lexical import search_bm25
 from tessera.plans.fixtures import fixture, with_fixtures
 from tessera.plans.retrieval import bm25_sql
 from tessera.plans.texts import chunks_of_size_sql, numbers_sql, tokens_sql
-from tessera.sources.shared import with_texts, written
+from tessera.sources.shared import bounded, with_texts, written
 from tessera.sources.tables import read_table
 
 K, DEPTH, PLACES = 5, 10, 6
@@ -126,16 +126,19 @@ def retriever_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _chunk_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows (target, overlap, chunks, recall, reciprocal_rank): for every size of chunks, what BM25 finds of the anchors among its first K chunks."""
-    chunks = written(chunk_grid(read_table(spark, sf_dir, "documents"), GRID).withColumn("chunk", F.struct("doc_id", "ordinal")), "chunks")
-    found = search_bm25(chunks, _questions(spark, sf_dir), K, id_col="chunk", query_text="question", groups=("target", "overlap"))
-    hits = with_texts(found, chunks, "target", "overlap", "chunk").withColumn("doc", F.col("chunk.doc_id"))
+    docs = read_table(spark, sf_dir, "documents")
+    sizes, found = search_chunks(docs, _questions(spark, sf_dir), K, GRID, query_text="question")
     anchors = _held(spark, sf_dir)
+    key = ["target", "overlap", "item_id", "doc", "quote"]
+    # Only chunks of documents that are anchors of their question can hold what it asks; their documents are normalised once each.
+    near = written(found.withColumn("doc", F.col("chunk.doc_id")).join(anchors, ["item_id", "doc"]).select(*key, "rank", "chunk"), "near")
+    bodies = docs.select(F.col("doc_id").alias("doc"), "text").join(bounded(near.select("doc").distinct(), MOST_BROADCAST), "doc", "left_semi").select("doc", T.normalize(F.col("text")).alias("body"))
+    held = near.join(bodies, "doc").where(chunk_text(F.col("body"), F.col("chunk")).contains(F.col("quote"))).groupBy(*key).agg(F.min("rank").alias("rank"))
     tried = anchors.crossJoin(F.broadcast(spark.createDataFrame(list(GRID), "target int, overlap int")))
-    holds = F.when(F.col("text").contains(F.col("quote")), F.col("rank"))
-    ranked = tried.join(hits.select("target", "overlap", "item_id", "doc", "rank", "text"), ["target", "overlap", "item_id", "doc"], "left").groupBy("target", "overlap", "item_id", "doc", "quote").agg(F.min(holds).alias("rank"))
+    ranked = tried.join(held, key, "left").select(*key, "rank").distinct()
     per = ranked.groupBy("target", "overlap", "item_id").agg(F.avg(F.col("rank").isNotNull().cast("int")).alias("recall"), F.coalesce(1 / F.min("rank"), F.lit(0.0)).alias("reciprocal_rank"))
     means = per.groupBy("target", "overlap").agg(F.avg("recall").alias("recall"), F.avg("reciprocal_rank").alias("reciprocal_rank"))
-    return chunks.groupBy("target", "overlap").agg(F.count("*").alias("chunks")).join(means, ["target", "overlap"], "left")
+    return sizes.join(means, ["target", "overlap"], "left")
 
 
 def chunk_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
