@@ -29,9 +29,14 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+def is_composed(text: Column) -> Column:
+    """Is it of signs alone of which any text is its own NFKC? ASCII is taken out first, as it is most of a text."""
+    return F.regexp_replace(text, r"[\x00-\x7f]+", "").rlike(COMPOSED)
+
+
 def composed(text: Column) -> Column:
     """NFKC. Only texts that hold a sign it may change leave the JVM; the others go as nulls."""
-    return F.coalesce(nfkc(F.when(~text.rlike(COMPOSED), text)), text)
+    return F.coalesce(nfkc(F.when(~is_composed(text), text)), text)
 
 
 def stripped(text: Column) -> Column:
@@ -40,7 +45,8 @@ def stripped(text: Column) -> Column:
 
 def collapsed(text: Column) -> Column:
     """White space collapsed to one space, ends stripped."""
-    return stripped(F.regexp_replace(text, f"{SPACE}+", " "))
+    # A single plain space stays as it is, and only such are left at the ends.
+    return F.trim(F.regexp_replace(text, f"[{SPACE}&&[^ ]]{SPACE}*| {SPACE}+", " "))
 
 
 def normalize(text: Column, compose: bool = True) -> Column:

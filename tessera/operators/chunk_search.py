@@ -30,7 +30,7 @@ SPACE, GAP = " ", "\n"
 def _marked(docs: DataFrame, id_col: str, text_col: str, pattern: str) -> DataFrame:
     """Rows (id_col, marked): of every text a struct of the normalised text, with GAP between sentences, and its tokens, with SPACE and GAP in their places."""
     # A text of composed signs alone stays one: what is taken out of it makes no others.
-    plain = docs.select(id_col, F.col(text_col).alias("text"), F.col(text_col).rlike(T.COMPOSED).alias("plain"))
+    plain = docs.select(id_col, F.col(text_col).alias("text"), T.is_composed(F.col(text_col)).alias("plain"))
     composed = plain.select(id_col, "plain", F.coalesce(T.nfkc(F.when(~F.col("plain"), F.col("text"))), F.col("text")).alias("text"))
     body = F.regexp_replace(T.normalize(F.col("text"), compose=False), SENTENCE_GAP, GAP)
     # Words and gaps stay as they are where the text between them is composed again, as it is for tokens.

@@ -13,8 +13,8 @@ GRID = [(60, 10), (60, 25), (90, 0), (140, 150)]
 
 def _texts():
     rng = np.random.default_rng(11)
-    words = ["ab", "ΣΑΣ", "İstanbul", "ﬁne", "ét", "Ça", "x.y-z", "1,5", "—", "̇", "\U0001d4b3y", "Ça", "(b", "end.", "Why?", "so…", "long" * 30]
-    gaps = [" ", " ", " ", "\n", "  ", "-\n", "-\ń", ". ", "\t\t"]
+    words = ["ab", "\u03a3\u0391\u03a3", "\u0130stanbul", "\ufb01ne", "e\u0301t", "\u00c7a", "x.y-z", "1,5", "\u2014", "\u0307", "\U0001d4b3y", "C\u0327a", "(b", "end.", "Why?", "so\u2026", "long" * 30]
+    gaps = [" ", " ", " ", "\n", "  ", "-\n", "-\n\u0301", ". ", "\t\t"]
     texts = ["".join(w for _ in range(rng.integers(1, 120)) for w in (rng.choice(words), rng.choice(gaps))) for _ in range(50)]
     return [*texts, None, "", " \n ", "a", "w" * 500, "word " * 300, "A. " * 200]
 
@@ -71,3 +71,14 @@ def test_texts_are_normalised_once_and_not_written(spark, monkeypatch):
     assert all(not {"text", "body"} & set(columns) for _, columns in names)
     plan = next(p for p in plans if p)
     assert plan.count("regexp_extract_all") == 1 and plan.count("FileScan") == 1 and "Exchange" not in plan
+
+
+def test_white_space_and_composed_texts_are_told_as_by_the_definition(spark):
+    signs = ["", " ", "  ", "a", "\u00e9", "\ufb01", "\u00e9", "\u0416", "\n", "\t", "\x0b", "\x1c", "\x85", " ", "\u3000", "\u200b", "(b"]
+    rng = np.random.default_rng(2)
+    rows = spark.createDataFrame([("".join(rng.choice(signs, n)),) for n in range(12) for _ in range(20)] + [(None,)], "t string")
+    t = F.col("t")
+    spaces = T.stripped(F.regexp_replace(t, f"{T.SPACE}+", " "))
+    assert rows.where(~T.collapsed(t).eqNullSafe(spaces)).count() == 0
+    # What is taken for composed is its own composition.
+    assert rows.where(T.is_composed(t) & (T.nfkc(t) != t)).count() == 0 and rows.where(T.is_composed(t)).count() > 20 and rows.where(~T.is_composed(t)).count() > 20
